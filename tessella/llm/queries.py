@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+import public_tokenizers
+
+from . import bpe, mixing, quality, secrets
 from .common import table
-from .sql import op1
+from .sql import op1, op2, op7
 
 QUERIES = {}
 SQL = {}
@@ -21,3 +23,24 @@ def op1_quality_rules(spark, sf_dir):
 
 
 SQL["op1_quality_rules"] = op1.SQL
+
+
+@query
+def op2_secret_scans(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+SQL["op2_secret_scans"] = op2.SQL
+
+
+@query
+def op7_mixing(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+SQL["op7_mixing"] = op7.SQL
+
+
+@query
+def op3_byte_bpe(spark, sf_dir):
+    return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
