@@ -64,3 +64,10 @@ def word_count(text: Column) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def open_store(uri: str):
+    """The file system of a folder and the folder's path in it; works in tasks, for any store that Arrow knows."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)

@@ -82,16 +82,19 @@ def text_counts(documents: DataFrame, rules: QualityRules = QualityRules()) -> C
     return F.struct(by_word.alias("w"), symbols.alias("n_symbols"), repeated.alias("n_dup_lines"))
 
 
+def _normal(line: Column) -> Column:
+    return ascii_lower(F.regexp_replace(F.btrim(line, F.lit(BLANKS)), BLANK_RUN, " "))
+
+
+def _line_chars(lines: Column) -> Column:
+    return F.aggregate(lines, F.lit(0).cast("long"), lambda total, line: total + F.length(line))
+
+
 def _keyed(documents: DataFrame, host: str) -> DataFrame:
     """doc_id, host, a hash of the text, and the normalised lines."""
     text = F.coalesce(documents["text"], F.lit(""))
-    normal = lambda line: ascii_lower(F.regexp_replace(F.btrim(line, F.lit(BLANKS)), BLANK_RUN, " "))
-    return documents.select(
-        documents["doc_id"],
-        documents[host].alias("host"),
-        F.xxhash64(text).alias("text_key"),
-        F.transform(_lines(text), normal).alias("lines"),
-    )
+    lines = F.transform(_lines(text), _normal)
+    return documents.select(documents["doc_id"], documents[host].alias("host"), F.xxhash64(text).alias("text_key"), lines.alias("lines"))
 
 
 def frequent_lines(documents: DataFrame, host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
@@ -111,52 +114,60 @@ def frequent_lines(documents: DataFrame, host: str = "source", rules: QualityRul
 
 
 def removed_lines(documents: DataFrame, host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
-    """doc_id, host, text_key, pos, n_chars: each line that is removed from a document.
+    """doc_id, host, text_key, pos, n_chars, line_chars (of the document): each line removed from a document.
 
-    The frequent lines are written first, so their size is known when the join is planned: Spark broadcasts
-    them below its threshold and shuffles both sides beyond it.
+    The frequent lines are written first, so their size is known when the join is planned: Spark broadcasts them
+    below its threshold and shuffles both sides beyond it.
     """
     frequent = written(frequent_lines(documents, host, rules), "frequent-lines")
-    rows = _keyed(documents, host).select("doc_id", "host", "text_key", F.posexplode("lines").alias("pos", "line"))
-    rows = rows.select("doc_id", "host", "text_key", "pos", F.xxhash64("host", "line").alias("line_key"), F.length("line").alias("n_chars"))
+    rows = _keyed(documents, host).select("doc_id", "host", "text_key", _line_chars(F.col("lines")).alias("line_chars"), F.posexplode("lines").alias("pos", "line"))
+    key = F.xxhash64("host", "line").alias("line_key")
+    rows = rows.select("doc_id", "host", "text_key", "line_chars", "pos", key, F.length("line").alias("n_chars"))
     return (
         rows.join(frequent, "line_key")
         .filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-        .select("doc_id", "host", "text_key", "pos", "n_chars")
+        .select("doc_id", "host", "text_key", "line_chars", "pos", "n_chars")
         .dropDuplicates(["doc_id", "host", "text_key", "pos"])
     )
 
 
-def depleted_documents(documents: DataFrame, host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
-    """doc_id, host, text_key, removed_chars, removed_lines of the documents that lose a line."""
-    return removed_lines(documents, host, rules).groupBy("doc_id", "host", "text_key").agg(
-        F.sum("n_chars").cast("long").alias("removed_chars"), F.count("*").alias("removed_lines")
+def losses(documents: DataFrame, host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
+    """doc_id, host, text_key, removed_lines, depleted: the documents that lose a line."""
+    lost = removed_lines(documents, host, rules).groupBy("doc_id", "host", "text_key").agg(
+        F.count("*").alias("removed_lines"), F.sum("n_chars").alias("removed"), F.first("line_chars").alias("line_chars")
     )
+    return lost.select("doc_id", "host", "text_key", "removed_lines", (100 * F.col("removed") > rules.max_removed_percent * F.col("line_chars")).alias("depleted"))
+
+
+def _base_failed(n_words: Column, n_repeat_words: Column, rules: QualityRules) -> Column:
+    return (n_words < rules.min_words) | (100 * n_repeat_words > rules.max_repeat_percent * n_words)
 
 
 def judge(documents: DataFrame, host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
     """One row per document: the counts, ``base_failed``, what line removal takes, ``kept``."""
-    counts = text_counts(documents, rules)
-    chars = F.aggregate(_keyed_lines_length(documents), F.lit(0).cast("long"), lambda a, n: a + n)
-    found = documents.select(
-        "doc_id",
-        documents[host].alias("host"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
-        counts.alias("c"),
-        chars.alias("line_chars"),
-    ).select("doc_id", "host", "text_key", "line_chars", "c.w.n_words", "c.w.word_chars", "c.n_symbols", "c.n_dup_lines", "c.w.n_repeat_words")
-    lost = depleted_documents(documents, host, rules)
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = documents.select("doc_id", documents[host].alias("host"), text_key.alias("text_key"), text_counts(documents, rules).alias("c"))
+    found = found.select("doc_id", "host", "text_key", "c.w.n_words", "c.w.word_chars", "c.n_symbols", "c.n_dup_lines", "c.w.n_repeat_words")
+    lost = losses(documents, host, rules)
     same = [found[k].eqNullSafe(lost[k]) for k in ("doc_id", "host", "text_key")]
-    removed = F.coalesce(lost["removed_chars"], F.lit(0).cast("long"))
     joined = found.join(lost, same, "left").select(
         *[found[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        ((found["n_words"] < rules.min_words) | (100 * found["n_repeat_words"] > rules.max_repeat_percent * found["n_words"])).alias("base_failed"),
+        _base_failed(found["n_words"], found["n_repeat_words"], rules).alias("base_failed"),
         F.coalesce(lost["removed_lines"], F.lit(0).cast("long")).alias("removed_lines"),
-        (100 * removed > rules.max_removed_percent * found["line_chars"]).alias("depleted"),
+        F.coalesce(lost["depleted"], F.lit(False)).alias("depleted"),
     )
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
-def _keyed_lines_length(documents: DataFrame) -> Column:
-    text = F.coalesce(documents["text"], F.lit(""))
-    return F.transform(_lines(text), lambda line: F.length(F.regexp_replace(F.btrim(line, F.lit(BLANKS)), BLANK_RUN, " ")).cast("long"))
+def accepted(documents: DataFrame, host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
+    """The documents that the rules keep, as they are.
+
+    The texts are judged where they lie; the depleted documents are a table of known size, and texts move only where
+    it is too large to broadcast.
+    """
+    gone = losses(documents, host, rules).filter("depleted").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key"))
+    gone = written(gone, "depleted-documents")
+    counts = documents.withColumn("_c", text_counts(documents, rules)["w"])
+    sound = counts.filter(~_base_failed(F.col("_c.n_words"), F.col("_c.n_repeat_words"), rules)).drop("_c")
+    key = F.xxhash64(F.coalesce(sound["text"], F.lit("")))
+    return sound.join(gone, sound["doc_id"].eqNullSafe(gone["_id"]) & sound[host].eqNullSafe(gone["_host"]) & (key == gone["_key"]), "left_anti")

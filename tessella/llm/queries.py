@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, mixing, quality, secrets
+from . import bpe, chat, fingerprints, mixing, quality, records, secrets, simhash, urlfilter, warc
 from .common import table
-from .sql import op1, op2, op7
+from .sql import op1, op2, op7, op8
 
 QUERIES = {}
 SQL = {}
@@ -44,3 +44,36 @@ SQL["op7_mixing"] = op7.SQL
 @query
 def op3_byte_bpe(spark, sf_dir):
     return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op9_simhash_near_dedup(spark, sf_dir):
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_warc(spark, sf_dir):
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_binary_records(spark, sf_dir):
+    return records.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_chat_formatting(spark, sf_dir):
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op8_url_filters(spark, sf_dir):
+    return urlfilter.report(table(spark, sf_dir, "pages"))
+
+
+SQL["op8_url_filters"] = op8.SQL
+
+
+@query
+def op10_document_fingerprints(spark, sf_dir):
+    return fingerprints.report(table(spark, sf_dir, "documents"))

@@ -176,3 +176,12 @@ def report(documents: DataFrame, ledger: str | None = None) -> DataFrame:
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
+
+
+def cleaned(documents: DataFrame, ledger: str | None = None, mark: str = "[secret]") -> DataFrame:
+    """``documents`` with their secrets replaced by ``mark``; n_chars, where there is such a column, follows."""
+    found = scan(documents, ledger)
+    text = redacted(F.col("text"), F.col("spans"), mark)
+    length = F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in documents.columns else None
+    made = {"text": text, "n_chars": length}
+    return found.select(*[made.get(c, F.col(c)).alias(c) if made.get(c) is not None else F.col(c) for c in documents.columns])
