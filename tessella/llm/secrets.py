@@ -180,8 +180,8 @@ def report(documents: DataFrame, ledger: str | None = None) -> DataFrame:
 
 def cleaned(documents: DataFrame, ledger: str | None = None, mark: str = "[secret]") -> DataFrame:
     """``documents`` with their secrets replaced by ``mark``; n_chars, where there is such a column, follows."""
-    found = scan(documents, ledger)
-    text = redacted(F.col("text"), F.col("spans"), mark)
-    length = F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in documents.columns else None
-    made = {"text": text, "n_chars": length}
-    return found.select(*[made.get(c, F.col(c)).alias(c) if made.get(c) is not None else F.col(c) for c in documents.columns])
+    # The row travels as a struct, so its columns can't clash with those of the scan.
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), "text")
+    found = scan(rows, ledger).withColumn("_text", redacted(F.col("_row.text"), F.col("spans"), mark))
+    made = {"text": F.col("_text"), "n_chars": F.when(F.size("spans") == 0, F.col("_row")["n_chars"]).otherwise(F.length("_text").cast("long"))}
+    return found.select(*[(made[c] if c in made else F.col("_row")[c]).alias(c) for c in documents.columns])
