@@ -71,3 +71,9 @@ def open_store(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
+
+
+def tasks(df: DataFrame) -> int:
+    """The session's number of shuffle partitions: for rows that are few bytes but much work, which Spark would
+    otherwise put together in a few tasks."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -18,10 +18,13 @@ Defined results
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import open_store, shared_folder, written
+from .common import open_store, shared_folder, tasks, written
 
 _HEADER = struct.Struct("<q?BxxI")
 #: Distinct chunks remembered per worker.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 # --- CRC-32C ---------------------------------------------------------------------------------------------------
 
@@ -124,33 +127,59 @@ def masked_crc32c(payloads: list[bytes]) -> list[int]:
 # --- encoding --------------------------------------------------------------------------------------------------
 
 
-class ChunkEncoder:
-    """Encodes texts with a tokenizer that drops white space, remembering chunks.
+#: Chunks of these characters alone are taken apart here; all others by the tokenizer's own normaliser and splitter.
+#: They hold no white space, control character or "<" (which begins special tokens), and Unicode composes none of them.
+PLAIN = re.compile("[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
+#: The tokenizer's split of lower-cased plain chunks.
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u017e0-9]+")
+
+
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, other = {b: chr(b) for b in shown}, iter(range(256, 512))
+    return [out[b] if b in out else chr(next(other)) for b in range(256)]
+
+
+class ChunkEncoder(dict):
+    """Encodes texts with a lower-casing tokenizer that drops white space, remembering the ids of chunks.
 
     Its words and special tokens hold no white space, and its normaliser acts on either side of a space alone.  So a
-    text's ids are those of its chunks between spaces and line ends, one after the other.
+    text's ids are those of its chunks between spaces and line ends, one after the other.  A missing chunk is encoded
+    when it's asked for.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already uses every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        self.code = {2: "H", 4: "I"}[self.width]
+        self.model = self.tokenizer.model
+        self.shown = _byte_characters()
+        self.piece = lru_cache(maxsize=1 << 17)(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        word = piece if piece.isascii() else "".join([self.shown[b] for b in piece.encode()])
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if PLAIN.fullmatch(chunk):
+            low = chunk.lower()
+            ids = self.piece(low) if low.isalpha() else b"".join(map(self.piece, SPLIT.findall(low)))
+        else:
+            ids = array(self.code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, ``width`` bytes each, little-endian."""
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*chunks)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        new = list(new - self.known.keys())
-        kind = f"<u{self.width}"
-        for found, chunk in zip(self.tokenizer.encode_batch_fast(new, add_special_tokens=False), new):
-            self.known[chunk] = np.array(found.ids, dtype=kind).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        """Ids of each text, ``width`` bytes each."""
+        get = self.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -284,7 +313,7 @@ def read(manifest: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=schema.names)
                         at = last
 
-    return files.repartition("file").mapInArrow(run, schema)
+    return files.repartition(tasks(files), "place").mapInArrow(run, schema)
 
 
 def report(documents: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
