@@ -148,32 +148,52 @@ def compare_with_next(documents: DataFrame) -> DataFrame:
 
 def _halves(fingerprint_: Column) -> list[Column]:
     """The fingerprint's two halves as longs."""
-    return [F.conv(F.substring(fingerprint_, start, 16), 16, -10).cast("long") for start in (1, 17)]
+    return [F.conv(F.substring(fingerprint_, start, 16), 16, -10).cast("long").alias(name) for start, name in ((1, "hi"), (17, "lo"))]
 
 
-def _tables(distinct: DataFrame, radius: int, agree: int) -> DataFrame:
-    """fingerprint, hi, lo and, for each block table, its number and the bits of the blocks it chooses."""
+def _hex(hi: Column, lo: Column) -> Column:
+    return F.lower(F.concat(*[F.lpad(F.hex(half), 16, "0") for half in (hi, lo)]))
+
+
+def blocks_to_agree(count: int, radius: int) -> int:
+    """The fewest agreeing blocks whose bits tell apart so many fingerprints, within a factor of four."""
+    return next(a for a in range(1, BITS) if a * (BITS // (radius + a)) + 2 >= count.bit_length())
+
+
+def _tables(fingerprints_: DataFrame, radius: int, agree: int) -> DataFrame:
+    """hi, lo and, for each block table, a key of its number and the bits of the blocks it chooses."""
     blocks = radius + agree
-    digits = BITS // 4
-    cuts = [digits * k // blocks for k in range(blocks + 1)]
-    block = [F.substring("fingerprint", cuts[k] + 1, cuts[k + 1] - cuts[k]) for k in range(blocks)]
-    keys = F.array(*[F.xxhash64(F.lit(n), *[block[k] for k in chosen]) for n, chosen in enumerate(combinations(range(blocks), agree))])
-    hi, lo = _halves(F.col("fingerprint"))
-    return distinct.select("fingerprint", hi.alias("hi"), lo.alias("lo"), F.explode(keys).alias("key"))
+    cuts = [BITS * k // blocks for k in range(blocks + 1)]
+
+    def block(start: int, end: int) -> Column:
+        # Bits start to end of the 128; a block may lie in both halves.
+        parts = []
+        for half, base in (("hi", 0), ("lo", 64)):
+            first, last = max(start - base, 0), min(end - base, 64)
+            if first < last:
+                mask = ((1 << (last - first)) - 1) << (64 - last)
+                parts.append(F.col(half).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
+        return F.struct(*parts) if len(parts) > 1 else parts[0]
+
+    block_of = [block(cuts[k], cuts[k + 1]) for k in range(blocks)]
+    keys = F.array(*[F.xxhash64(F.lit(n), *[block_of[k] for k in chosen]) for n, chosen in enumerate(combinations(range(blocks), agree))])
+    return fingerprints_.select(*_halves(F.col("fingerprint"))).distinct().select("hi", "lo", F.explode(keys).alias("key"))
 
 
-def search(queries: DataFrame, corpus: DataFrame, radius: int = 6, agree: int = 2) -> DataFrame:
+def search(queries: DataFrame, corpus: DataFrame, radius: int = 6, agree: int | None = None) -> DataFrame:
     """query, fingerprint, distance: all distinct fingerprints of ``corpus`` within the radius of one of ``queries``.
 
     Both have a column ``fingerprint``.  Equal fingerprints count once, so copies don't multiply; documents of a
     fingerprint are had by a join.  ``agree`` blocks of radius + agree form the key of a table, so every pair within
-    the radius meets in at least one table: nothing is missed and no bucket is capped.
+    the radius meets in at least one table: nothing is missed and no bucket is capped.  Without ``agree``, keys get
+    longer as the corpus grows, so that few rows share one.
     """
-    asked = _tables(queries.select("fingerprint").distinct(), radius, agree)
-    asked = asked.select("key", F.col("fingerprint").alias("query"), F.col("hi").alias("query_hi"), F.col("lo").alias("query_lo"))
+    agree = agree or blocks_to_agree(corpus.count(), radius)
+    asked = _tables(queries, radius, agree).select("key", F.col("hi").alias("query_hi"), F.col("lo").alias("query_lo"))
     distance = F.bit_count(F.col("hi").bitwiseXOR(F.col("query_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("query_lo")))
-    met = _tables(corpus.select("fingerprint").distinct(), radius, agree).join(asked, "key").withColumn("distance", distance)
-    return met.filter(F.col("distance") <= radius).select("query", "fingerprint", "distance").distinct()
+    met = _tables(corpus, radius, agree).join(asked, "key").withColumn("distance", distance).filter(F.col("distance") <= radius)
+    found = met.select("query_hi", "query_lo", "hi", "lo", "distance").distinct()
+    return found.select(_hex(F.col("query_hi"), F.col("query_lo")).alias("query"), _hex(F.col("hi"), F.col("lo")).alias("fingerprint"), "distance")
 
 
 def report(documents: DataFrame, query_every: int = 50, radius: int = 6) -> DataFrame:

@@ -168,11 +168,15 @@ def test_search_finds_all_within_the_radius(spark):
     corpus = spark.createDataFrame([(f"{f:032x}",) for f in base], "fingerprint string")
     queries = corpus.limit(40)
     asked = {int(r["fingerprint"], 16) for r in queries.collect()}
-    for radius, agree in ((6, 2), (3, 1), (0, 1)):
+    for radius, agree in ((6, 2), (6, None), (3, 1), (0, 1)):
         got = {(r["query"], r["fingerprint"], r["distance"]) for r in fingerprints.search(queries, corpus, radius, agree).collect()}
         assert got == {(f"{q:032x}", f"{f:032x}", (q ^ f).bit_count()) for q in asked for f in base if (q ^ f).bit_count() <= radius}
 
 
+def test_blocks_grow_with_the_corpus():
+    assert [fingerprints.blocks_to_agree(n, 6) for n in (1, 10**5, 10**6, 10**7, 10**9, 10**11)] == [1, 1, 1, 2, 2, 3]
+
+
 def plain_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: k % 3 + 1 for k, s in enumerate(names)}
