@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import coding, patterns, rasters, vectors, workflows
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _area in (rasters, patterns, vectors, coding, workflows):
+    QUERIES |= _area.QUERIES
+    SQL |= _area.SQL
