@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, open_store, shared_folder, written
+from .common import ascii_lower, open_store, shared_folder, tasks, written
 
 LEAST_REVISIT = 100
 #: Lines of an index block.
@@ -244,7 +244,7 @@ def look_up(requests: DataFrame, folder: str, shards: list[tuple[tuple, str]]) -
     Requests are range-sorted like the index, so a task reads each block about once.
     """
     by = [F.col("key"), F.col("page_id").asc_nulls_first()]
-    ranged = requests.select("key", "page_id").distinct().repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = requests.select("key", "page_id").distinct().repartitionByRange(tasks(requests), *by).sortWithinPartitions(*by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(folder, shards)
@@ -264,7 +264,7 @@ def fetch(captures: DataFrame, folder: str, payloads: bool = False) -> DataFrame
     fields = T._parse_datatype_string("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long").fields
     schema = T.StructType(fields + [T.StructField("payload", T.BinaryType())] * payloads)
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: len(schema)]
-    dealt = captures.repartition("file", F.floor(F.col("offset") / 16_000_000)).sortWithinPartitions("file", "offset")
+    dealt = captures.repartition(tasks(captures), "file", F.floor(F.col("offset") / 16_000_000)).sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)
