@@ -80,6 +80,8 @@ def normalised(counts: list[int], precision: int) -> Table:
     if total <= 0:
         return Table(precision, (base,) + (0,) * (SYMBOLS - 1))
     exact = {s: n * base / total for s, n in enumerate(counts) if n > 0}
+    if len(exact) > base:
+        raise ValueError("more symbols than the precision can tell apart")
     freq = [max(1, int(exact[s])) if s in exact else 0 for s in range(SYMBOLS)]
     over = sum(freq) - base
 
@@ -95,7 +97,8 @@ def normalised(counts: list[int], precision: int) -> Table:
     rest = {s: exact[s] - freq[s] for s in exact}
     if over > 0:
         over = spend(sorted(rest, key=lambda s: (rest[s], counts[s])), -1, over)
-        spend(sorted(range(SYMBOLS), key=lambda s: -freq[s]), -1, over)
+        while over > 0:  # one pass of the format's rule is often enough; a table with a negative entry helps nobody
+            over = spend(sorted(range(SYMBOLS), key=lambda s: -freq[s]), -1, over)
     elif over < 0:
         missing = spend(sorted(rest, key=lambda s: (-rest[s], -counts[s])), 1, -over)
         spend(sorted(range(SYMBOLS), key=lambda s: -counts[s]), 1, missing)
