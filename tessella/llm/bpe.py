@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -95,7 +96,6 @@ def _merge_rows(vocabulary: Vocabulary, pieces: list[bytes], lengths: np.ndarray
     raw = np.zeros((n, width), dtype=np.uint8)
     raw[filled] = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     ids = np.where(filled, vocabulary.of_byte[raw], -1)
-    # The last column is a place for writes beyond the ends.
     after = np.where(place + 1 < lengths[:, None], place + 1, width)
     before = np.tile(place - 1, (n, 1))
     tree = np.full((n, 2 * width), NONE)
@@ -273,7 +273,7 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def _slices(batch: pa.RecordBatch, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about so many bytes of text, so that what is made of a part stays small."""
-    sizes = [0 if s is None else s for s in pa.compute.binary_length(batch.column("text")).to_pylist()]
+    sizes = [0 if s is None else s for s in pc.binary_length(batch.column("text")).to_pylist()]
     start = total = 0
     for i, s in enumerate(sizes):
         if i > start and total + s > chars:
