@@ -21,6 +21,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -90,9 +91,12 @@ def leading_bits(count: int, radius: int) -> int:
     return min(32, max(LEAST_LEADING_BITS, (variants // AT_A_TIME).bit_length()))
 
 
-def _links(fps: np.ndarray, rest: np.ndarray, bits: int, cache: dict) -> list[np.ndarray]:
-    """Links among fingerprints of one group: the variants' first BITS - bits bits are those of the group, which took
-    them ``rest`` short of the half radius.  Rows (fingerprint, least fingerprint that shares a variant)."""
+def _links(fps: np.ndarray, labels: np.ndarray, rest: np.ndarray, bits: int, cache: dict, chain: bool = False) -> list[np.ndarray]:
+    """Links among fingerprints of one group: the variants' leading bits are those of the group, which took them
+    ``rest`` short of the half radius; ``bits`` bits follow.
+
+    Rows (label, least label that shares a variant); with ``chain`` also (label, next lower label that does).
+    """
     radii = np.unique(rest)
     for r in radii.tolist():
         if (bits, r) not in cache:
@@ -104,66 +108,83 @@ def _links(fps: np.ndarray, rest: np.ndarray, bits: int, cache: dict) -> list[np
         found, lead = [], (fps >> np.uint64(bits - 4)) & np.uint64(15)
         for value in range(16):
             left = rest - np.bitwise_count(lead ^ np.uint64(value)).astype(np.int64)
-            found += _links(fps[left >= 0], left[left >= 0], bits - 4, cache)
+            some = left >= 0
+            found += _links(fps[some], labels[some], left[some], bits - 4, cache, chain)
         return found
     low = np.uint64((1 << bits) - 1)
     keys, owners = [], []
     for r in radii.tolist():
-        own, mask = fps[rest == r], cache[bits, r]
-        keys.append(((own & low)[:, None] ^ mask[None, :]).ravel())
-        owners.append(np.repeat(own, len(mask)))
+        own, mask = rest == r, cache[bits, r]
+        keys.append(((fps[own] & low)[:, None] ^ mask[None, :]).ravel())
+        owners.append(np.repeat(labels[own], len(mask)))
     key = np.concatenate(keys)
     in_order = np.sort(key)
     twice = np.unique(in_order[1:][in_order[1:] == in_order[:-1]])
     if not len(twice):
         return []
     hit = twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key
-    key, owner = key[hit], np.concatenate(owners)[hit].view(np.int64)
-    order = np.argsort(key, kind="stable")
+    key, owner = key[hit], np.concatenate(owners)[hit]
+    order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    least = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.append(starts, len(key))))
-    pairs = np.stack([owner, least], axis=1)[owner != least]
-    return [np.unique(pairs, axis=0)] if len(pairs) else []
+    first = np.append(True, key[1:] != key[:-1])
+    least = owner[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+    pairs = [np.stack([owner, least], axis=1)[~first]]
+    if chain:
+        pairs.append(np.stack([owner[1:], owner[:-1]], axis=1)[~first[1:]])
+    pairs = np.concatenate(pairs)
+    return [np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)]
 
 
-def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
-    """a, b (b < a): links within the radius that connect the distinct fingerprints ``fp`` of ``nodes``."""
-    half = (radius + 1) // 2
-    lead = leading_bits(nodes.count(), half)
-    shift = BITS - lead
+def _spread(rows: DataFrame, bits: int, lead: int, half: int) -> DataFrame:
+    """Rows (table, fp, label) once for each leading value that variants of fp have."""
     near = F.array(*[F.lit(m) for m in masks(lead, half)])
-    mine = F.shiftrightunsigned("fp", shift)
-    spread = nodes.select("fp", F.explode(near).alias("mask")).select("fp", mine.bitwiseXOR(F.col("mask").cast("long")).cast("long").alias("lead"))
+    mine = F.shiftrightunsigned("fp", bits - lead)
+    many = rows.select("table", "fp", "label", F.explode(near).alias("mask"))
+    return many.select("table", mine.bitwiseXOR(F.col("mask").cast("long")).cast("long").alias("lead"), "fp", "label")
+
+
+def _meetings(rows: DataFrame, bits: int, lead: int, half: int, chain: bool) -> DataFrame:
+    """a, b (b < a): labels of fingerprints that share a variant, as of ``_links``.  Each task takes its groups one by one."""
+    shift = bits - lead
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
 
-        def close(value: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            fps = np.concatenate(parts).view(np.uint64)
-            rest = half - np.bitwise_count((fps >> np.uint64(shift)) ^ np.uint64(value)).astype(np.int64)
-            found = _links(fps, rest, shift, cache)
+        def close(group: tuple[int, int], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            both = np.concatenate(parts, axis=1)
+            fps = both[0].view(np.uint64)
+            rest = half - np.bitwise_count((fps >> np.uint64(shift)) ^ np.uint64(group[1])).astype(np.int64)
+            found = _links(fps, both[1], rest, shift, cache, chain)
             if found:
                 pairs = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         current, parts = None, []
         for batch in batches:
-            leads, fps = batch.column("lead").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False)
-            if not len(leads):
+            table, lead_, fps, labels = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(fps):
                 continue
-            cuts = np.flatnonzero(np.append(True, leads[1:] != leads[:-1])).tolist()
-            for start, end in zip(cuts, [*cuts[1:], len(leads)]):
-                if leads[start] != current:
+            change = (table[1:] != table[:-1]) | (lead_[1:] != lead_[:-1])
+            cuts = np.flatnonzero(np.append(True, change)).tolist()
+            for start, end in zip(cuts, [*cuts[1:], len(fps)]):
+                group = int(table[start]), int(lead_[start])
+                if group != current:
                     if parts:
                         yield from close(current, parts)
-                    current, parts = int(leads[start]), []
-                parts.append(fps[start:end])
+                    current, parts = group, []
+                parts.append(np.stack([fps[start:end], labels[start:end]]))
         if parts:
             yield from close(current, parts)
 
-    groups = spread.repartition("lead").sortWithinPartitions("lead")
-    found = groups.mapInArrow(run, "a long, b long").distinct()
+    groups = _spread(rows, bits, lead, half).repartition("table", "lead").sortWithinPartitions("table", "lead")
+    return groups.mapInArrow(run, "a long, b long").distinct()
+
+
+def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
+    """a, b (b < a): links within the radius that connect the distinct fingerprints ``fp`` of ``nodes``."""
+    half = (radius + 1) // 2
+    rows = nodes.select(F.lit(0).alias("table"), "fp", F.col("fp").alias("label"))
+    found = _meetings(rows, BITS, leading_bits(nodes.count(), half), half, chain=False)
     return found.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
@@ -220,12 +241,81 @@ def report(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(documents: DataFrame, radius: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
-    """The rows of ``documents`` that stay: of each component the one with the smallest doc_id (null last, then by a
-    hash of the text); of repeated rows one."""
-    fps = written(fingerprints(documents, words, seed), "fingerprints")
-    keep = _labelled(fps, radius).groupBy("label").agg(F.min("first").alias("first"))
-    keep = written(keep.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")), "fingerprint-kept")
+# --- groups by similarity of sets of shingles ------------------------------------------------------------------------
+
+#: Independent fingerprints of a text, and their bits.  At a similarity of 0.8 a bit differs with a chance of 0.15, so
+#: one fingerprint lies within 4 bits with a chance of 0.25, and one of twelve with 0.97; at 0.85 with over 0.99.
+TABLES, TABLE_BITS, TABLE_RADIUS = 12, 40, 4
+SALTS = np.array([(0x9E3779B97F4A7C15 * (2 * t + 1)) % 2**64 for t in range(TABLES)], dtype=np.uint64)
+MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def sketch(hashes: np.ndarray) -> list[int]:
+    """The fingerprints of a set of shingle hashes, one per table."""
+    hashes = np.unique(hashes)
+    width = TABLE_BITS // 8
+    ones = np.zeros(TABLES * TABLE_BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # so many single bits still sum up in a byte
+        h = hashes[at : at + 255, None] ^ SALTS
+        h = (h ^ (h >> np.uint64(32))) * MIX
+        h = (h ^ (h >> np.uint64(29))) * MIX
+        raw = (h ^ (h >> np.uint64(32))).astype(">u8").view(np.uint8).reshape(len(h), TABLES, 8)[:, :, :width]
+        ones += np.unpackbits(raw.reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.uint8)
+    packed = np.packbits(2 * ones > len(hashes)).reshape(TABLES, width)
+    return [int.from_bytes(row.tobytes(), "big") for row in packed]
+
+
+def sketches(documents: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
+    """doc_id, text_key, node (a hash of the words, A-Z lower-cased), sketch."""
+    schema = T.StructType([documents.schema["doc_id"], *T._parse_datatype_string("text_key long, node long, sketch array<long>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch.column("text")]
+            nodes = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.encode().lower().split()), seed) for t in texts], dtype=np.uint64).view(np.int64)
+            made = [sketch(shingle_hashes(t, words, seed)) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(nodes), pa.array(made, pa.list_(pa.int64()))], names=schema.names)
+
+    return documents.select("doc_id", _text_key(documents).alias("text_key"), "text").mapInArrow(run, schema)
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of two sketches up to which their texts count as similar: the mean at this Jaccard similarity
+    of sets of one size, and two standard deviations."""
+    n, p = TABLES * TABLE_BITS, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(n * p + 2 * math.sqrt(n * p * (1 - p)))
+
+
+def similar(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """a, b: links of nodes (node, sketch) whose sketches are as near as those of similar texts.
+
+    Fingerprints meet per table by ball hashing, in few groups (64 per table, more for very many nodes).  In a variant
+    that many share, each links to the least and to the one before it, so links grow with the nodes and not with
+    their pairs.  Links are verified by all bits of both sketches.
+    """
+    half = (TABLE_RADIUS + 1) // 2
+    # A group's fingerprints are held at once: 16 bytes each, a third of all with 6 leading bits.
+    lead = min(16, max(6, (nodes.count() // 8_000_000).bit_length() + 6))
+    rows = nodes.select(F.posexplode("sketch").alias("table", "fp"), F.col("node").alias("label"))
+    met = _meetings(rows, TABLE_BITS, lead, half, chain=True)
+    of = [nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"_{c}")) for c in "ab"]
+    differing = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    return met.join(of[0], "a").join(of[1], "b").filter(differing <= most_bits(similarity)).select("a", "b")
+
+
+def deduplicated(documents: DataFrame, similarity: float = 0.8, words: int = 5, seed: int = 42) -> DataFrame:
+    """The rows of ``documents`` that stay: of each group of similar texts the one with the smallest doc_id (null
+    last, then by a hash of the text); of repeated rows one.  Texts without words are one group.
+
+    Only sketches, nodes and links are worked on; texts move once, to meet the table of those that stay.
+    """
+    made = written(sketches(documents, words, seed), "sketches")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    nodes = written(made.groupBy("node").agg(F.min(first).alias("first"), F.first("sketch").alias("sketch")), "sketch-nodes")
+    labels = components(similar(nodes, similarity))
+    labelled = nodes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("first", F.coalesce("label", "node").alias("label"))
+    keep = labelled.groupBy("label").agg(F.min("first").alias("first"))
+    keep = written(keep.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")), "documents-kept")
     keyed = documents.withColumn("_text_key", _text_key(documents))
     stay = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["_id"]) & (keyed["_text_key"] == keep["_key"]), "left_semi")
     return stay.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
