@@ -171,3 +171,24 @@ def corrupt_rejected(spark, sf_dir):
 
 
 SQL["corrupt_rejected"] = "SELECT DISTINCT doc_id // 10 AS img, true AS rejected FROM documents"
+
+
+@query
+def generators_hist(spark, sf_dir):
+    """Records per generator, after a round through the framing."""
+    parsed = bitstream.parse_images(bitstream.pack_images(*_records(spark, sf_dir)))
+    return parsed.groupBy("gen_id").agg(F.count("*").alias("n"))
+
+
+SQL["generators_hist"] = "SELECT (doc_id % 47)::INT AS gen_id, count(*) AS n FROM documents GROUP BY 1"
+
+
+@query
+def looks_like_stream(spark, sf_dir):
+    """Whether framed images, texts and cut-off blobs can be streams."""
+    blobs = bitstream.pack_images(*_records(spark, sf_dir)).select("img", "blob")
+    kinds = F.array(F.col("blob"), F.substring("blob", 1, 8), F.substring("blob", 2, 100))
+    return blobs.select("img", F.posexplode(kinds).alias("kind", "b")).select("img", "kind", bitstream.is_stream(F.col("b")).alias("yes"))
+
+
+SQL["looks_like_stream"] = "SELECT DISTINCT doc_id // 10 AS img, k::INT AS kind, k = 0 AS yes FROM documents, range(3) r(k)"

@@ -281,3 +281,30 @@ def decode_symbols(spark, sf_dir):
     """The same from the steps that the encoder chose."""
     coded = codec.encode(raster.wide(pixels(spark, sf_dir)), CONFIG)
     return codec.decode(coded, by="symbols").groupBy("img", "y").agg(F.count("*").alias("n"), tidy(F.avg("v")).alias("mean"))
+
+
+@query
+def rd_mixed(spark, sf_dir):
+    """The best candidates by a mix of structure and error: the kernel of the search."""
+    config = codec.CodecConfig(tile=SIZE, overlap=OVERLAP, seed=1337, metric="mixed")
+    found = codec.search_tiles(raster.wide(pixels(spark, sf_dir)), config)
+    return found.select("img", "tile_id", "cand_id", tidy(F.col("d")).alias("d"), "bits")
+
+
+@query
+def rd_ssim(spark, sf_dir):
+    found = codec.search_tiles(raster.wide(pixels(spark, sf_dir)), CONFIG)
+    return found.select("img", "tile_id", "cand_id", tidy(F.col("d")).alias("d"), "bits")
+
+
+@query
+def clamp_params(spark, sf_dir):
+    """Pixels of a line as parameters, clamped to bounds that depend on their place."""
+    lines = pixels(spark, sf_dir).filter("x < 3").groupBy("img", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: p["v"]).alias("p"))
+    low, high = (F.array(*[F.lit(v) for v in b]) for b in ((-0.05, -0.1, 0.0), (0.05, 0.1, 0.2)))
+    held = search.clamp(F.col("p"), low, high)
+    return lines.select("img", "y", *[tidy(F.get(held, F.lit(k))).alias(f"p{k}") for k in range(3)])
+
+
+_HELD = [f"max(CASE WHEN x = {k} THEN least(greatest(v, {a}), {b}) END)" for k, (a, b) in enumerate(((-0.05, 0.05), (-0.1, 0.1), (0.0, 0.2)))]
+SQL["clamp_params"] = f"WITH {PIXELS} SELECT img, y, {', '.join(f'{sql_tidy(h)} AS p{k}' for k, h in enumerate(_HELD))} FROM pix GROUP BY img, y"
