@@ -9,6 +9,7 @@ from ..functions.params import at_share, catalogue, coarse
 from ..functions.patterns import PATTERNS
 from ..operators import rendering
 from .common import sql_tidy, tidy
+from .noise_sql import kernel_sql
 
 HEIGHT, WIDTH = 40, 48
 #: Off the middle, so that no pixel lies on the edge of a cell.
@@ -37,7 +38,10 @@ def _kernel(pattern):
 for _p in PATTERNS.values():
     _name = f"gen_{_p.name.lower()}"
     QUERIES[_name] = _kernel(_p) if _p.noise else _formula(_p)
-    if not _p.noise:
+    if _p.noise:
+        if _sql := kernel_sql(_p.name, at_share(_p, SHARE), HEIGHT, WIDTH, SEEDS):
+            SQL[_name] = _sql
+    else:
         _values = ", ".join(f"{float(v)!r}::DOUBLE AS {k}" for k, v in at_share(_p, SHARE).items())
         SQL[_name] = f"""WITH g AS (
   SELECT (i // {WIDTH})::INT AS py, (i % {WIDTH})::INT AS px, -1.0::DOUBLE + 2.0::DOUBLE * (i % {WIDTH}) / {WIDTH - 1} AS x, -1.0::DOUBLE + 2.0::DOUBLE * (i // {WIDTH}) / {HEIGHT - 1} AS y, {_values}
