@@ -17,7 +17,7 @@ Defined results
 * documents of size 0 are taken at their offset like others and count 0 words.
 * repeated rows: equal rows tie in the order; they're interchangeable.
 * empty table: no rows.  Extra columns are carried along by ``mix``; input columns named size, draw, text_key,
-  source_size, target, slope, offset, copies, epoch or position are replaced, part is dropped.
+  source_size, target, slope, offset, copies, epoch or position are replaced.
 """
 
 from __future__ import annotations
@@ -97,18 +97,20 @@ def assign(rows: DataFrame, sizes: DataFrame, rules: MixRules = MixRules()) -> D
     source never meet in one task.
     """
     goal = targets(sizes, rules)
-    part = F.substring("draw", 1, rules.group_digits)
-    per_group = sizes.groupBy("source", part.alias("part")).agg(F.sum("size").alias("group_size"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_group.select(F.col("source").alias("_source"), F.col("part").alias("_part"), F.coalesce(F.sum("group_size").over(before), F.lit(0)).alias("_start"))
-    starts = starts.join(goal, starts["_source"].eqNullSafe(goal["source"])).drop("source", "weight")
-    within = Window.partitionBy("source", "part").orderBy("draw", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.drop("source_size", "target", "slope", "offset", "copies").withColumn("part", part)
-    placed = placed.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(starts, placed["source"].eqNullSafe(starts["_source"]) & (placed["part"] == starts["_part"]))
+    # Keys without nulls: the join then finds the rows where the window has put them.
+    place = {"_source": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull(), "_part": F.substring("draw", 1, rules.group_digits)}
+    keys = list(place)
+    per_group = sizes.withColumns(place).groupBy(*keys).agg(F.sum("size").alias("_size"))
+    before = Window.partitionBy("_source", "_none").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_group.select(*keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    goal = goal.withColumns({k: place[k] for k in keys[:2]}).drop("source", "weight")
+    starts = starts.join(goal, keys[:2])
+    within = Window.partitionBy(*keys).orderBy("draw", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.drop("source_size", "target", "slope", "offset", "copies").withColumns(place)
+    placed = placed.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, keys)
     placed = placed.withColumn("offset", (F.col("_start") + F.col("_before")).cast("long"))
     taken = [((F.col("offset") + e * F.col("source_size")) < F.col("target")).cast("long") for e in range(rules.max_repeats)]
-    return placed.withColumn("copies", sum(taken, F.lit(0).cast("long"))).drop("part", "_source", "_part", "_start", "_before")
+    return placed.withColumn("copies", sum(taken, F.lit(0).cast("long"))).drop(*keys, "_start", "_before")
 
 
 def position(epoch: Column) -> Column:
