@@ -30,7 +30,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
-        root = _OWN_FOLDERS.setdefault(app, "") or _OWN_FOLDERS.update({app: "file://" + tempfile.mkdtemp(prefix="spark-shared-")}) or _OWN_FOLDERS[app]
+        if app not in _OWN_FOLDERS:
+            _OWN_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        root = _OWN_FOLDERS[app]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -95,7 +95,7 @@ def _links(fps: np.ndarray, labels: np.ndarray, rest: np.ndarray, bits: int, cac
     """Links among fingerprints of one group: the variants' leading bits are those of the group, which took them
     ``rest`` short of the half radius; ``bits`` bits follow.
 
-    Rows (label, least label that shares a variant); with ``chain`` also (label, next lower label that does).
+    Rows (label, least label that shares a variant, in how many); with ``chain`` also the next lower label that does.
     """
     radii = np.unique(rest)
     for r in radii.tolist():
@@ -131,8 +131,35 @@ def _links(fps: np.ndarray, labels: np.ndarray, rest: np.ndarray, bits: int, cac
     pairs = [np.stack([owner, least], axis=1)[~first]]
     if chain:
         pairs.append(np.stack([owner[1:], owner[:-1]], axis=1)[~first[1:]])
-    pairs = np.concatenate(pairs)
-    return [np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)]
+    return [_counted(np.concatenate(pairs))]
+
+
+def _counted(pairs: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Rows (a, b, number of times) of the pairs whose sides differ."""
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs = pairs[order]
+    first = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))[: len(pairs)])
+    times = np.diff(np.append(first, len(pairs))) if weights is None else np.add.reduceat(weights[order], first) if len(first) else weights[:0]
+    return np.column_stack([pairs[first], times])
+
+
+def _forest(links_: np.ndarray) -> np.ndarray:
+    """Of links (a, b, times) those that connect what all connect, the nearest first (which share most variants): as
+    many as there are labels at most, however many variants a group shares."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    kept = []
+    for i, (a, b) in enumerate(links_[order := np.argsort(-links_[:, 2], kind="stable"), :2].tolist()):
+        if (x := root(a)) != (y := root(b)):
+            parent[x] = y
+            kept.append(order[i])
+    return links_[kept, :2]
 
 
 def _spread(rows: DataFrame, bits: int, lead: int, half: int) -> DataFrame:
@@ -144,7 +171,8 @@ def _spread(rows: DataFrame, bits: int, lead: int, half: int) -> DataFrame:
 
 
 def _meetings(rows: DataFrame, bits: int, lead: int, half: int, chain: bool) -> DataFrame:
-    """a, b (b < a): labels of fingerprints that share a variant, as of ``_links``.  Each task takes its groups one by one."""
+    """a, b (b < a): labels of fingerprints that share a variant, as of ``_links``; of each group a forest.  Each task
+    takes its groups one by one."""
     shift = bits - lead
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +184,8 @@ def _meetings(rows: DataFrame, bits: int, lead: int, half: int, chain: bool) ->
             rest = half - np.bitwise_count((fps >> np.uint64(shift)) ^ np.uint64(group[1])).astype(np.int64)
             found = _links(fps, both[1], rest, shift, cache, chain)
             if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
+                every = np.concatenate(found)
+                pairs = _forest(_counted(every[:, :2], every[:, 2]))
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         current, parts = None, []
@@ -244,8 +273,8 @@ def report(documents: DataFrame) -> DataFrame:
 # --- groups by similarity of sets of shingles ------------------------------------------------------------------------
 
 #: Independent fingerprints of a text, and their bits.  At a similarity of 0.8 a bit differs with a chance of 0.15, so
-#: one fingerprint lies within 4 bits with a chance of 0.25, and one of twelve with 0.97; at 0.85 with over 0.99.
-TABLES, TABLE_BITS, TABLE_RADIUS = 12, 40, 4
+#: one fingerprint lies within 4 bits with a chance of 0.25, and one of fourteen with 0.98; at 0.85 with over 0.99.
+TABLES, TABLE_BITS, TABLE_RADIUS = 14, 40, 4
 SALTS = np.array([(0x9E3779B97F4A7C15 * (2 * t + 1)) % 2**64 for t in range(TABLES)], dtype=np.uint64)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -280,18 +309,18 @@ def sketches(documents: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
 
 
 def most_bits(similarity: float) -> int:
-    """Differing bits of two sketches up to which their texts count as similar: the mean at this Jaccard similarity
-    of sets of one size, and two standard deviations."""
+    """Differing bits of two sketches up to which their sets are compared: the mean at this Jaccard similarity of sets
+    of one size, and three standard deviations."""
     n, p = TABLES * TABLE_BITS, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(n * p + 2 * math.sqrt(n * p * (1 - p)))
+    return math.floor(n * p + 3 * math.sqrt(n * p * (1 - p)))
 
 
 def similar(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     """a, b: links of nodes (node, sketch) whose sketches are as near as those of similar texts.
 
     Fingerprints meet per table by ball hashing, in few groups (64 per table, more for very many nodes).  In a variant
-    that many share, each links to the least and to the one before it, so links grow with the nodes and not with
-    their pairs.  Links are verified by all bits of both sketches.
+    each links to the least and to the one before it, and each group keeps a forest of its nearest links, so links
+    grow with the nodes and not with their pairs.  Links are verified by all bits of both sketches.
     """
     half = (TABLE_RADIUS + 1) // 2
     # A group's fingerprints are held at once: 16 bytes each, a third of all with 6 leading bits.
@@ -303,19 +332,50 @@ def similar(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     return met.join(of[0], "a").join(of[1], "b").filter(differing <= most_bits(similarity)).select("a", "b")
 
 
+def shingle_sets(rows: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
+    """node, shingles: the set of a text's shingle hashes, from rows (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(shingle_hashes(t.as_py(), words, seed)).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have this Jaccard similarity at least."""
+    of = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab"]
+    common = F.size(F.array_intersect("_a", "_b"))
+    percent = round(100 * similarity)
+    alike = 100 * common >= percent * (F.size("_a") + F.size("_b") - common)
+    return pairs.join(of[0], "a").join(of[1], "b").filter(alike).select("a", "b")
+
+
+def _keys(doc_id: Column, text_key: Column) -> dict[str, Column]:
+    """Keys of a row without nulls: a later step then finds rows where a join has put them."""
+    return {"_id": F.coalesce(doc_id, F.lit(0)), "_none": doc_id.isNull(), "_text": text_key}
+
+
 def deduplicated(documents: DataFrame, similarity: float = 0.8, words: int = 5, seed: int = 42) -> DataFrame:
     """The rows of ``documents`` that stay: of each group of similar texts the one with the smallest doc_id (null
     last, then by a hash of the text); of repeated rows one.  Texts without words are one group.
 
-    Only sketches, nodes and links are worked on; texts move once, to meet the table of those that stay.
+    Sketches find the pairs; the sets of shingles, of texts that are in a pair alone, verify them.  Texts move twice:
+    to meet the table of those whose sets are wanted, and that of those that stay.
     """
     made = written(sketches(documents, words, seed), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     nodes = written(made.groupBy("node").agg(F.min(first).alias("first"), F.first("sketch").alias("sketch")), "sketch-nodes")
-    labels = components(similar(nodes, similarity))
+    pairs = written(similar(nodes, similarity), "sketch-pairs")
+    keyed = documents.withColumns(_keys(F.col("doc_id"), _text_key(documents)))
+    keys = ["_id", "_none", "_text"]
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = nodes.join(wanted, "node").select("node", *[c.alias(k) for k, c in _keys(F.col("first.doc_id"), F.col("first.text_key")).items()])
+    texts = keyed.select("text", *keys).join(written(wanted, "sketch-candidates"), keys)
+    sets = written(shingle_sets(texts, words, seed).dropDuplicates(["node"]), "shingle-sets")
+    labels = components(verified(pairs, sets, similarity))
     labelled = nodes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("first", F.coalesce("label", "node").alias("label"))
     keep = labelled.groupBy("label").agg(F.min("first").alias("first"))
-    keep = written(keep.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")), "documents-kept")
-    keyed = documents.withColumn("_text_key", _text_key(documents))
-    stay = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["_id"]) & (keyed["_text_key"] == keep["_key"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    keep = written(keep.select(*[c.alias(k) for k, c in _keys(F.col("first.doc_id"), F.col("first.text_key")).items()]), "documents-kept")
+    return keyed.join(keep, keys, "left_semi").dropDuplicates(keys).drop(*keys)

@@ -16,10 +16,6 @@ TEXTS = [
 ]
 
 
-def frame(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
-
-
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls in every column, empty and very long texts, ties, repeated rows, columns with clashing names."""
