@@ -135,15 +135,21 @@ def findings(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES)
     return found.select("blob", own.alias("spans")).filter(F.size("spans") > 0)
 
 
-def scan(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, salts: int = 1) -> DataFrame:
     """``versions`` with ``blob`` and ``spans``, after the ledger (a new one by default) has been brought up to date.
 
-    Findings are one row per blob; where they are too large to broadcast, Spark splits the rows of a hot blob.
+    Findings are one row per blob with findings.  With ``salts`` they are repeated so often, and the rows of a hot blob
+    are dealt over so many keys by their other columns.
     """
     ledger = ledger or shared_folder(versions.sparkSession, "secret-ledger")
     update(versions, ledger, rules)
     rows = versions.drop("spans").withColumn("blob", blob_of(versions["text"]))
-    joined = rows.join(findings(versions, ledger, rules), "blob", "left")
+    found, keys = findings(versions, ledger, rules), ["blob"]
+    if salts > 1:
+        others = [c for c in versions.columns if c not in ("text", "spans", "blob")]
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
+        found, keys = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["blob", "_salt"]
+    joined = rows.join(found, keys, "left").drop("_salt")
     return joined.withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
 
 
@@ -167,7 +173,7 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
 def report(documents: DataFrame, ledger: str | None = None) -> DataFrame:
     """One row per document: counts and digests of the base spans, and all spans."""
-    found = scan(documents.select("doc_id", "text"), ledger)
+    found = scan(documents.select("doc_id", "text"), ledger, salts=16)
     base = F.filter("spans", lambda s: s["rule"] < len(BASE_RULES))
     count = lambda n: F.size(F.filter("spans", lambda s: s["rule"] == n)).cast("long")
     return found.select(
