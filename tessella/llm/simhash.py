@@ -37,6 +37,8 @@ from .common import written
 BITS = 64
 #: Variants that a task spells out at a time.
 AT_A_TIME = 4_000_000
+#: Fingerprints that are compared pair by pair.
+AT_ONCE = 4096
 LEAST_LEADING_BITS = 12
 
 
@@ -162,18 +164,40 @@ def _forest(links_: np.ndarray) -> np.ndarray:
     return links_[kept, :2]
 
 
+def _across(fps: np.ndarray, labels: np.ndarray, groups: np.ndarray, rest: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Every pair of labels that share a variant, as of ``_links``, and are of different groups: two fingerprints share
+    one if no more bits differ than both are short of the half radius."""
+    if len(fps) < 2 or (groups == groups[0]).all():
+        return
+    if len(fps) > AT_ONCE and bits > 4:
+        lead = (fps >> np.uint64(bits - 4)) & np.uint64(15)
+        for value in range(16):
+            left = rest - np.bitwise_count(lead ^ np.uint64(value)).astype(np.int64)
+            some = left >= 0
+            yield from _across(fps[some], labels[some], groups[some], left[some], bits - 4)
+        return
+    own, short = fps & np.uint64((1 << bits) - 1), rest.astype(np.int8)
+    for at in range(0, len(fps), 256):
+        to = slice(at, at + 256)
+        near = np.bitwise_count(own[to, None] ^ own[None, :]) <= short[to, None] + short[None, :]
+        a, b = np.nonzero(near & (groups[to, None] != groups[None, :]))
+        a = a[upper := a + at < b] + at
+        if len(a):
+            yield np.stack([labels[a], labels[b[upper]]], axis=1)
+
+
 def _spread(rows: DataFrame, bits: int, lead: int, half: int) -> DataFrame:
-    """Rows (table, fp, label) once for each leading value that variants of fp have."""
+    """Rows (table, fp, label, and component where there is one) once for each leading value that variants of fp have."""
     near = F.array(*[F.lit(m) for m in masks(lead, half)])
     mine = F.shiftrightunsigned("fp", bits - lead)
-    many = rows.select("table", "fp", "label", F.explode(near).alias("mask"))
-    return many.select("table", mine.bitwiseXOR(F.col("mask").cast("long")).cast("long").alias("lead"), "fp", "label")
+    many = rows.select("*", F.explode(near).alias("mask"))
+    return many.select("table", mine.bitwiseXOR(F.col("mask").cast("long")).cast("long").alias("lead"), *[c for c in rows.columns if c != "table"])
 
 
 def _meetings(rows: DataFrame, bits: int, lead: int, half: int, chain: bool) -> DataFrame:
     """a, b (b < a): labels of fingerprints that share a variant, as of ``_links``; of each group a forest.  Each task
-    takes its groups one by one."""
-    shift = bits - lead
+    takes its groups one by one.  If the rows have a component, all pairs of different components, as of ``_across``."""
+    shift, across = bits - lead, "component" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -182,6 +206,10 @@ def _meetings(rows: DataFrame, bits: int, lead: int, half: int, chain: bool) ->
             both = np.concatenate(parts, axis=1)
             fps = both[0].view(np.uint64)
             rest = half - np.bitwise_count((fps >> np.uint64(shift)) ^ np.uint64(group[1])).astype(np.int64)
+            if across:
+                for pairs in _across(fps, both[1], both[2], rest, shift):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], names=["a", "b"])
+                return
             found = _links(fps, both[1], rest, shift, cache, chain)
             if found:
                 every = np.concatenate(found)
@@ -190,18 +218,18 @@ def _meetings(rows: DataFrame, bits: int, lead: int, half: int, chain: bool) ->
 
         current, parts = None, []
         for batch in batches:
-            table, lead_, fps, labels = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(fps):
+            table, lead_, *values = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(table):
                 continue
             change = (table[1:] != table[:-1]) | (lead_[1:] != lead_[:-1])
             cuts = np.flatnonzero(np.append(True, change)).tolist()
-            for start, end in zip(cuts, [*cuts[1:], len(fps)]):
+            for start, end in zip(cuts, [*cuts[1:], len(table)]):
                 group = int(table[start]), int(lead_[start])
                 if group != current:
                     if parts:
                         yield from close(current, parts)
                     current, parts = group, []
-                parts.append(np.stack([fps[start:end], labels[start:end]]))
+                parts.append(np.stack([v[start:end] for v in values]))
         if parts:
             yield from close(current, parts)
 
@@ -315,21 +343,44 @@ def most_bits(similarity: float) -> int:
     return math.floor(n * p + 3 * math.sqrt(n * p * (1 - p)))
 
 
-def similar(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """a, b: links of nodes (node, sketch) whose sketches are as near as those of similar texts.
+def _tables(nodes: DataFrame, *more: str) -> tuple[DataFrame, int]:
+    """Rows (table, fp, label, and the columns ``more``) of nodes (node, sketch), and the leading bits of their groups."""
+    # A group's fingerprints are held at once: 16 bytes each, a third of all with 6 leading bits.
+    lead = min(16, max(6, (nodes.count() // 8_000_000).bit_length() + 6))
+    return nodes.select(F.posexplode("sketch").alias("table", "fp"), F.col("node").alias("label"), *more), lead
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """a, b: links of nodes (node, sketch) of which a fingerprint is near.
 
     Fingerprints meet per table by ball hashing, in few groups (64 per table, more for very many nodes).  In a variant
     each links to the least and to the one before it, and each group keeps a forest of its nearest links, so links
-    grow with the nodes and not with their pairs.  Links are verified by all bits of both sketches.
+    grow with the nodes and not with their pairs.
     """
-    half = (TABLE_RADIUS + 1) // 2
-    # A group's fingerprints are held at once: 16 bytes each, a third of all with 6 leading bits.
-    lead = min(16, max(6, (nodes.count() // 8_000_000).bit_length() + 6))
-    rows = nodes.select(F.posexplode("sketch").alias("table", "fp"), F.col("node").alias("label"))
-    met = _meetings(rows, TABLE_BITS, lead, half, chain=True)
+    rows, lead = _tables(nodes)
+    return _meetings(rows, TABLE_BITS, lead, (TABLE_RADIUS + 1) // 2, chain=True)
+
+
+def meetings_across(nodes: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: every pair of nodes of which a fingerprint is near and whose components (``labels``) differ, but for pairs
+    that were alone where they met, which are in ``met``.
+
+    What a forest leaves out has three nodes at least in its tree, so each end has a link to a node of two or more.
+    """
+    both = met.union(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hubs = both.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("a").alias("hub"))
+    active = both.join(hubs, both["b"] == hubs["hub"]).select("a").union(hubs).distinct().withColumnRenamed("a", "_a")
+    mine = nodes.join(active, F.col("node") == F.col("_a")).join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    mine = written(mine.select("node", "sketch", F.coalesce("label", "node").alias("component")), "sketch-nodes-again")
+    rows, lead = _tables(mine, "component")
+    return _meetings(rows, TABLE_BITS, lead, (TABLE_RADIUS + 1) // 2, chain=False)
+
+
+def near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of which, by all bits of both sketches, no more differ than of similar texts."""
     of = [nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"_{c}")) for c in "ab"]
     differing = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
-    return met.join(of[0], "a").join(of[1], "b").filter(differing <= most_bits(similarity)).select("a", "b")
+    return pairs.join(of[0], "a").join(of[1], "b").filter(differing <= most_bits(similarity)).select("a", "b")
 
 
 def shingle_sets(rows: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
@@ -352,6 +403,38 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(of[0], "a").join(of[1], "b").filter(alike).select("a", "b")
 
 
+def verified_in_blocks(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """As ``verified``, for many pairs of few nodes: nodes are dealt to some 128 each, and a set moves once to each block
+    of pairs that has its node, not once for each pair."""
+    percent, deals = round(100 * similarity), 1 + sets.count() // 128
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, {}
+        for batch in batches:
+            alike = []
+            block, _, a, b, shingles = batch.columns
+            for i, (k, x, y) in enumerate(zip(block.to_pylist(), a.to_pylist(), b.to_pylist())):
+                if k != current:
+                    current, held = k, {}
+                if y is None:
+                    held[x] = shingles[i].values.to_numpy()
+                    continue
+                n, m = len(held[x]), len(held[y])
+                if 100 * min(n, m) >= percent * max(n, m):
+                    common = len(np.intersect1d(held[x], held[y], assume_unique=True))
+                    if 100 * common >= percent * (n + m - common):
+                        alike.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in alike], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    deal = lambda c: F.pmod(c, F.lit(deals))
+    dealt = pairs.select((deal(F.col("a")) * deals + deal(F.col("b"))).alias("block"), "a", "b")
+    wanted = dealt.select("block", F.col("a").alias("node")).union(dealt.select("block", "b")).distinct()
+    none = F.lit(None).cast("array<long>")
+    rows = wanted.join(sets, "node").select("block", F.lit(0).alias("kind"), "node", F.lit(None).cast("long").alias("b"), "shingles")
+    rows = rows.union(dealt.select("block", F.lit(1), "a", "b", none)).repartition("block").sortWithinPartitions("block", "kind")
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def _keys(doc_id: Column, text_key: Column) -> dict[str, Column]:
     """Keys of a row without nulls: a later step then finds rows where a join has put them."""
     return {"_id": F.coalesce(doc_id, F.lit(0)), "_none": doc_id.isNull(), "_text": text_key}
@@ -361,20 +444,30 @@ def deduplicated(documents: DataFrame, similarity: float = 0.8, words: int = 5,
     """The rows of ``documents`` that stay: of each group of similar texts the one with the smallest doc_id (null
     last, then by a hash of the text); of repeated rows one.  Texts without words are one group.
 
-    Sketches find the pairs; the sets of shingles, of texts that are in a pair alone, verify them.  Texts move twice:
-    to meet the table of those whose sets are wanted, and that of those that stay.
+    Sketches find the pairs; the sets of shingles, of texts that are in a pair alone, verify them.  The first pairs are
+    few, and make components; the second are all that meet between these components, so no similar pair is lost to a
+    link that does not hold.  Texts move once to meet the table of those that stay, and once to meet that of those whose
+    sets are wanted, for the first pairs and for the second.
     """
     made = written(sketches(documents, words, seed), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     nodes = written(made.groupBy("node").agg(F.min(first).alias("first"), F.first("sketch").alias("sketch")), "sketch-nodes")
-    pairs = written(similar(nodes, similarity), "sketch-pairs")
     keyed = documents.withColumns(_keys(F.col("doc_id"), _text_key(documents)))
     keys = ["_id", "_none", "_text"]
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(wanted, "node").select("node", *[c.alias(k) for k, c in _keys(F.col("first.doc_id"), F.col("first.text_key")).items()])
-    texts = keyed.select("text", *keys).join(written(wanted, "sketch-candidates"), keys)
-    sets = written(shingle_sets(texts, words, seed).dropDuplicates(["node"]), "shingle-sets")
-    labels = components(verified(pairs, sets, similarity))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = nodes.join(wanted, "node").select("node", *[c.alias(k) for k, c in _keys(F.col("first.doc_id"), F.col("first.text_key")).items()])
+        texts = keyed.select("text", *keys).join(written(wanted, "sketch-candidates"), keys)
+        return written(shingle_sets(texts, words, seed).dropDuplicates(["node"]), "shingle-sets")
+
+    met = written(meetings(nodes), "sketch-meetings")
+    pairs = written(near(met, nodes, similarity), "sketch-pairs")
+    alike = written(verified(pairs, sets_of(pairs), similarity), "similar-pairs")
+    labels = components(alike)
+    more = written(near(meetings_across(nodes, met, labels), nodes, similarity), "sketch-pairs-across")
+    if not more.isEmpty():
+        labels = components(alike.union(verified_in_blocks(more, sets_of(more), similarity)))
     labelled = nodes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("first", F.coalesce("label", "node").alias("label"))
     keep = labelled.groupBy("label").agg(F.min("first").alias("first"))
     keep = written(keep.select(*[c.alias(k) for k, c in _keys(F.col("first.doc_id"), F.col("first.text_key")).items()]), "documents-kept")
