@@ -14,8 +14,8 @@ from tessella.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality.accepted(docs)
+    """Documents that the rules reject go; the others lose the lines that are too frequent on their host."""
+    return quality.cleaned(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

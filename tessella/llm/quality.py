@@ -132,11 +132,12 @@ def removed_lines(documents: DataFrame, host: str = "source", rules: QualityRule
 
 
 def losses(documents: DataFrame, host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
-    """doc_id, host, text_key, removed_lines, depleted: the documents that lose a line."""
+    """doc_id, host, text_key, removed_lines, depleted, positions: the documents that lose a line."""
     lost = removed_lines(documents, host, rules).groupBy("doc_id", "host", "text_key").agg(
-        F.count("*").alias("removed_lines"), F.sum("n_chars").alias("removed"), F.first("line_chars").alias("line_chars")
+        F.count("*").alias("removed_lines"), F.sum("n_chars").alias("removed"), F.first("line_chars").alias("line_chars"),
+        F.collect_list("pos").alias("positions"),
     )
-    return lost.select("doc_id", "host", "text_key", "removed_lines", (100 * F.col("removed") > rules.max_removed_percent * F.col("line_chars")).alias("depleted"))
+    return lost.select("doc_id", "host", "text_key", "removed_lines", (100 * F.col("removed") > rules.max_removed_percent * F.col("line_chars")).alias("depleted"), "positions")
 
 
 def _base_failed(n_words: Column, n_repeat_words: Column, rules: QualityRules) -> Column:
@@ -171,3 +172,32 @@ def accepted(documents: DataFrame, host: str = "source", rules: QualityRules = Q
     sound = counts.filter(~_base_failed(F.col("_c.n_words"), F.col("_c.n_repeat_words"), rules)).drop("_c")
     key = F.xxhash64(F.coalesce(sound["text"], F.lit("")))
     return sound.join(gone, sound["doc_id"].eqNullSafe(gone["_id"]) & sound[host].eqNullSafe(gone["_host"]) & (key == gone["_key"]), "left_anti")
+
+
+def without_lines(text: Column, positions: Column) -> Column:
+    """The text without the lines at these positions among those that have a word; where positions are null, as it is."""
+
+    def rest(lines: Column) -> Column:
+        own = F.filter(F.transform(lines, lambda line, i: F.when(F.btrim(line, F.lit(BLANKS)) != "", i)), lambda i: i.isNotNull())
+        gone = let(own, lambda o: F.transform(positions, lambda p: F.get(o, p)))
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    return F.when(positions.isNull(), text).otherwise(let(F.split(text, "\n", -1), rest))
+
+
+def cleaned(documents: DataFrame, host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
+    """The documents that the rules keep, without the lines that are removed from them; n_chars, where there is such a
+    column, follows.  The verdicts are those on the whole texts, as of ``judge``.
+    """
+    lost = losses(documents, host, rules).select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key"), F.col("depleted").alias("_depleted"), F.col("positions").alias("_positions"))
+    lost = written(lost, "lost-lines")
+    counts = documents.withColumn("_c", text_counts(documents, rules)["w"])
+    sound = counts.filter(~_base_failed(F.col("_c.n_words"), F.col("_c.n_repeat_words"), rules)).drop("_c")
+    key = F.xxhash64(F.coalesce(sound["text"], F.lit("")))
+    joined = sound.join(lost, sound["doc_id"].eqNullSafe(lost["_id"]) & sound[host].eqNullSafe(lost["_host"]) & (key == lost["_key"]), "left")
+    left = joined.filter(~F.coalesce("_depleted", F.lit(False))).withColumn("_text", without_lines(F.col("text"), F.col("_positions")))
+    made = {"text": F.col("_text")}
+    if "n_chars" in documents.columns:
+        made["n_chars"] = F.when(F.col("_positions").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long"))
+    return left.select(*[made.get(c, F.col(c)).alias(c) for c in documents.columns])

@@ -69,6 +69,36 @@ def test_quality_boilerplate(spark):
     check_quality(df, quality.QualityRules())
 
 
+def plain_cleaned(rows, limit):
+    """The rows (doc_id, text) that stay, their frequent lines removed."""
+    normal = lambda x: " ".join(WORD.findall(x)).translate({c: c + 32 for c in range(65, 91)})
+    texts, first = defaultdict(set), {}
+    for i, t, s in rows:
+        for x in map(normal, (t or "").split("\n")):
+            texts[s, x].add(t)
+            if i is not None:
+                first[s, x] = min(i, first.get((s, x), i))
+    stays = lambda i, s, x: not x or len(texts[s, x]) <= limit or (i is not None and first.get((s, x)) == i)
+    kept = [r for r, v in zip(rows, plain_verdicts(rows, limit)) if v[-1]]
+    return [(i, "\n".join(x for x in t.split("\n") if stays(i, s, normal(x)))) for i, t, s in kept]
+
+
+def test_quality_cleaned(spark, odd, documents):
+    """Frequent lines go from the texts that stay, not only from the counts."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(i, f"{words} {i} of its own\n\n Read  ALSO the terms\r\n\t\nend {i}\nread also the terms", "h", 999) for i in range(40)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    for df, limit in ((made, 20), (odd, 1), (documents, 2)):
+        whole = {(r["doc_id"], r["text"]): r["n_chars"] for r in df.collect()}
+        out = quality.cleaned(df, rules=quality.QualityRules(max_documents=limit))
+        assert out.columns == df.columns
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert sorted(got, key=key) == sorted(plain_cleaned([(r["doc_id"], r["text"], r["source"]) for r in df.collect()], limit), key=key)
+        assert all(r["n_chars"] == whole.get((r["doc_id"], r["text"]), len(r["text"])) for r in out.collect())
+    kept = {r["doc_id"]: r["text"] for r in quality.cleaned(made).collect()}
+    assert kept[0].lower().count("also the terms") == 2 and kept[7] == f"{words} 7 of its own\n\n\t\nend 7"
+
+
 def test_quality_empty(none):
     assert quality.judge(none).count() == 0 and quality.accepted(none).count() == 0
 
