@@ -46,8 +46,18 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+#: A key from its BEGIN line to its END line; where END is missing, to the end of the body: runs of 16 and more, and a
+#: last shorter one that is padded or has a line to itself.  A line break may be spelled out, as in JSON.  Loops are
+#: possessive, so Java takes long bodies without recursion.
+PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:[ \t\r\n]{0,8}(?:Proc-Type|DEK-Info):[^\r\n]{0,200}){0,8}+"
+    r"(?:[A-Za-z0-9+/=\\ \t\r\n]*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?:[\\ \t\r\n]{0,8}[A-Za-z0-9+/=]{16,}+)++(?:[\\ \t\r\n]{0,8}[A-Za-z0-9+/]{1,15}={1,2}|[ \t]{0,4}\r?\n[ \t]{0,4}[A-Za-z0-9+/]{1,15}(?=[ \t]*+(?:[\r\n]|\z)))?"
+    r"|)"
+)
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
     Rule("hosting", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
