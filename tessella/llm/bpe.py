@@ -24,15 +24,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: Pieces of up to so many bytes are merged many at a time.
 SHORT = 64
-#: Pieces remembered per worker.
-REMEMBERED = 300_000
+#: Bytes of a generation of remembered pieces in a worker, and those of an entry besides its characters and ids.
+REMEMBERED, OVERHEAD = 24_000_000, 180
+#: Characters above which a piece isn't remembered, and of texts that are encoded together.
+LONG, TOGETHER = 256, 2_000_000
 NONE = np.int64(1) << 62
 
 
@@ -189,45 +192,80 @@ def merge_one(vocabulary: Vocabulary, piece: bytes) -> bytes:
 
 
 class Encoder:
-    """Encodes texts with a vocabulary; remembers pieces."""
+    """Encodes texts with a vocabulary; remembers pieces.
+
+    What is remembered is bounded by bytes: two generations of ``REMEMBERED`` each, the older of which goes when the
+    newer is full.  Pieces longer than ``LONG`` characters aren't remembered.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        short, ranks = [], self.vocabulary.ranks
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+    def _merged(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """Ids of pieces that aren't known."""
+        out, short, ranks = {}, [], self.vocabulary.ranks
         for piece in pieces:
             raw = piece.encode()
             if (whole := ranks.get(raw)) is not None:
-                self.known[piece] = whole.to_bytes(4, "little")
+                out[piece] = whole.to_bytes(4, "little")
             elif len(raw) <= SHORT:
                 short.append((piece, raw))
             else:
-                self.known[piece] = merge_one(self.vocabulary, raw)
+                out[piece] = merge_one(self.vocabulary, raw)
         if short:
-            self.known.update(zip([p for p, _ in short], merge_many(self.vocabulary, [r for _, r in short])))
+            out.update(zip([p for p, _ in short], merge_many(self.vocabulary, [r for _, r in short])))
+        return out
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Has ``known`` hold the new pieces; returns those that are too long for that."""
+        again = new & self.old.keys()
+        found = {p: self.old[p] for p in again} | self._merged(new - again)
+        long = {p: found.pop(p) for p in new if len(p) > LONG}
+        held = sum(OVERHEAD + 2 * len(p) + len(i) for p, i in found.items())
+        if self.held + held > REMEMBERED:
+            self.old, self.known, self.held = self.known, {}, 0
+        self.held += held
+        self.known.update(found)
+        return long
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers.  Texts are taken a few million characters at a time."""
+        """For each text its ids as little-endian unsigned 32-bit integers.  Texts are taken a few million characters at
+        a time, a longer one in stretches."""
         at = 0
         while at < len(texts):
             end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) < 4_000_000):
+            while end < len(texts) and (end == at or chars + len(texts[end]) < TOGETHER):
                 chars += len(texts[end])
                 end += 1
-            pieces = [self.vocabulary.pieces.findall(t) for t in texts[at:end]]
-            new = set().union(*pieces)
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-            self._learn(new - self.known.keys())
-            get = self.known.__getitem__
-            for p in pieces:
-                yield b"".join(map(get, p))
+            if chars > TOGETHER:
+                yield b"".join(self._stretches(texts[at]))
+            else:
+                yield from self._encoded([self.vocabulary.pieces.findall(t) for t in texts[at:end]])
             at = end
 
+    def _encoded(self, pieces: list[list[str]]) -> list[bytes]:
+        every = set().union(*pieces)
+        before = self.known
+        long = self._learn(every - before.keys())
+        if self.known is before and not long:
+            get = self.known.__getitem__
+            return [b"".join(map(get, p)) for p in pieces]
+        # What was known may be the older generation by now.
+        here = {p: before[p] for p in every if p in before} | {p: self.known[p] for p in every if p in self.known} | long
+        return [b"".join(map(here.__getitem__, p)) for p in pieces]
+
+    def _stretches(self, text: str) -> Iterator[bytes]:
+        some = []
+        for m in self.vocabulary.pieces.finditer(text):
+            some.append(m[0])
+            if len(some) == TOGETHER // 8:
+                yield from self._encoded([some])
+                some = []
+        yield from self._encoded([some])
+
 
 def decode(vocabulary: Vocabulary, ids: bytes) -> bytes:
     """The bytes of ids given as little-endian unsigned 32-bit integers."""
@@ -253,7 +291,7 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, "text", 4_000_000):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 rows = list(own.encode(texts))
                 ids = np.frombuffer(b"".join(rows), dtype="<u4").astype(np.int32)
@@ -271,19 +309,6 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     return documents.select(columns).mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about so many bytes of text, so that what is made of a part stays small."""
-    sizes = [0 if s is None else s for s in pc.binary_length(batch.column("text")).to_pylist()]
-    start = total = 0
-    for i, s in enumerate(sizes):
-        if i > start and total + s > chars:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += s
-    if start < len(sizes):
-        yield batch.slice(start)
-
-
 def report(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: n_tokens and the digests of its ids and of what they decode to.
 
@@ -293,13 +318,14 @@ def report(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = [(len(r) // 4, hashlib.sha256(r).hexdigest(), hashlib.sha256(decode(own.vocabulary, r)).hexdigest()) for r in own.encode(texts)]
-            n, ids, decoded = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            for part in slices(batch, "text", 4_000_000):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                found = [(len(r) // 4, hashlib.sha256(r).hexdigest(), hashlib.sha256(decode(own.vocabulary, r)).hexdigest()) for r in own.encode(texts)]
+                n, ids, decoded = zip(*found)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     schema = T.StructType([documents.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return documents.select("doc_id", "text").mapInArrow(run, schema)

@@ -75,6 +75,21 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def slices(batch, column: str, size: int):
+    """An Arrow batch in parts of about ``size`` bytes of a string column, so that what is made of a part stays small; a
+    longer value is a part of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def tasks(df: DataFrame) -> int:
     """The session's number of shuffle partitions: for rows that are few bytes but much work, which Spark would
     otherwise put together in a few tasks."""
