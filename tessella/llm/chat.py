@@ -3,7 +3,11 @@
 Method: the content of a turn is a list of typed parts (text, image, audio, document).  A visitor flattens them in
 order: text is escaped, every attachment becomes a placeholder, and its reference and expanded token count are
 recorded.  The template frames each turn with control strings; escaping makes control strings in a text harmless and
-is undone exactly.  The loss mask of a turn is the span of its assistant text.
+is undone exactly, so a placeholder and a text that spells one are told apart.  The loss mask of a turn is the span of
+its assistant content.
+
+Where contents come from is named, not guessed: a column of parts, or a text, whose media links ``![name](reference)``
+are attachments and whose rest is text.  A link keeps how it was written, so the text is had back from the parts.
 
     <|im_start|>role\\ncontent<|im_end|>\\n
 
@@ -14,21 +18,23 @@ never held as a whole.
 Defined results
 * null text: empty.  null role: empty, no loss.  null turn: first of its conversation; equal turns: by role, then text.
 * null conv_id: one conversation, like any id.  Repeated rows: turns like others.  Empty table: no rows but those added.
-* where contents are typed, one that isn't a JSON list of parts is one text part.  Extra columns are ignored.
+* null or empty parts: an empty content.  An attachment without a reference: the empty one; one without sizes: one
+  token.  A part of an unknown type: an error.  A text that looks like JSON is a text.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: A bar within a control string (or within an escaped one) gets a backslash more; so control strings can't arise.
@@ -53,11 +59,25 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+#: The columns of a part.  ``source``: how an attachment was written in a text, if it comes from one.
+PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,n_chars:bigint,source:string>>"
+KINDS = ("image", "audio", "document")
+_PLACEHOLDER = re.compile(rf"<\|({'|'.join(KINDS)})\|>")
+
+
+class Attachment(NamedTuple):
+    kind: str
+    ref: str
+    #: Tokens that the model sees in place of the placeholder.
+    n_tokens: int
+    source: str | None = None
+
+
 @dataclass
 class Flattened:
     text: str = ""
-    #: (kind, reference, expanded token count), in order of their placeholders.
-    attachments: list[tuple[str, str, int]] = field(default_factory=list)
+    #: In order of their placeholders.
+    attachments: list[Attachment] = field(default_factory=list)
 
 
 class Visitor:
@@ -69,7 +89,7 @@ class Visitor:
     def flatten(self, parts: list[dict]) -> Flattened:
         out = Flattened()
         for part in _joined(parts):
-            kind = str(part.get("type", "text"))
+            kind = part.get("type") or "text"
             getattr(self, f"visit_{kind}", self.visit_unknown)(part, out)
         return out
 
@@ -90,7 +110,7 @@ class Visitor:
         raise ValueError(f"unknown part type {part.get('type')!r}")
 
     def _attach(self, kind: str, part: dict, tokens: int, out: Flattened) -> None:
-        out.attachments.append((kind, str(part.get("ref") or ""), tokens))
+        out.attachments.append(Attachment(kind, part.get("ref") or "", tokens, part.get("source")))
         out.text += f"<|{kind}|>"
 
 
@@ -98,23 +118,27 @@ def _joined(parts: list[dict]) -> list[dict]:
     """Neighbouring text parts as one, so that no control string arises across their border."""
     out: list[dict] = []
     for part in parts:
-        if out and part.get("type", "text") == "text" == out[-1].get("type", "text"):
+        if out and (part.get("type") or "text") == "text" == (out[-1].get("type") or "text"):
             out[-1] = {"type": "text", "text": (out[-1].get("text") or "") + (part.get("text") or "")}
         else:
             out.append(part)
     return out
 
 
-def parts_of(content: str | None) -> list[dict]:
-    """The typed parts of a content: a JSON list of objects that each have a type, or plain text."""
-    if content and content.startswith("[{"):
-        try:
-            parts = json.loads(content)
-            if all(isinstance(p, dict) and p.get("type") in ("text", "image", "audio", "document") for p in parts):
-                return parts
-        except ValueError:
-            pass
-    return [{"type": "text", "text": content or ""}]
+#: A media link in a text, and the endings of references that aren't images.
+LINK = re.compile(r"!\[[^\]\n]{0,1000}\]\(([^()\s]{1,2000})\)")
+ENDINGS = {"audio": (".wav", ".mp3", ".flac", ".ogg"), "document": (".pdf", ".txt", ".docx", ".html")}
+
+
+def linked_parts(text: str | None) -> list[dict]:
+    """A text as parts: its media links are attachments, of the kind that the reference's ending tells."""
+    out, at, text = [], 0, text or ""
+    for m in LINK.finditer(text) if "![" in text else ():
+        low = m[1].lower()
+        kind = next((k for k, ends in ENDINGS.items() if low.endswith(ends)), "image")
+        out += [{"type": "text", "text": text[at : m.start()]}, {"type": kind, "ref": m[1], "source": m[0]}]
+        at = m.end()
+    return [*out, {"type": "text", "text": text[at:]}]
 
 
 def format_turn(role: str, flattened: Flattened) -> tuple[str, int, int]:
@@ -125,95 +149,122 @@ def format_turn(role: str, flattened: Flattened) -> tuple[str, int, int]:
     return f"{head}{flattened.text}{END}\n", begin, end
 
 
-def read_turn(formatted: str) -> tuple[str, str]:
-    """Role and text of a framed turn."""
+def read_content(flat: str) -> list[tuple[str, str]]:
+    """Texts and placeholders of a flattened content: ("text", unescaped text) or (kind, ""), in order; no empty text."""
+    out, at = [], 0
+    for m in _PLACEHOLDER.finditer(flat):
+        out += [("text", unescape(flat[at : m.start()])), (m[1], "")]
+        at = m.end()
+    return [p for p in [*out, ("text", unescape(flat[at:]))] if p != ("text", "")]
+
+
+def read_turn(formatted: str) -> tuple[str, list[tuple[str, str]]]:
+    """Role and content (as of ``read_content``) of a framed turn."""
     if not formatted.startswith(START) or not formatted.endswith(f"{END}\n"):
         raise ValueError("not a turn")
-    role, _, text = formatted[len(START) : -len(END) - 1].partition("\n")
-    if START in text or END in text:
+    role, _, flat = formatted[len(START) : -len(END) - 1].partition("\n")
+    if START in flat or END in flat:
         raise ValueError("a control string within a turn")
-    return unescape_role(role), unescape(text)
+    return unescape_role(role), read_content(flat)
+
 
+def restored(content: list[tuple[str, str]], attachments: Iterator[Attachment]) -> str:
+    """The text of a content, each attachment as it was written (as its placeholder if it comes from no text)."""
+    out = []
+    for kind, text in content:
+        if kind != "text":
+            own = next(attachments)
+            if own.kind != kind:
+                raise ValueError("placeholders and attachments differ")
+            text = f"<|{kind}|>" if own.source is None else own.source
+        out.append(text)
+    return "".join(out)
 
-_FORMATTED = T.StructType(
-    [
-        T.StructField("formatted", T.StringType()),
-        T.StructField("loss_start", T.IntegerType()),
-        T.StructField("loss_end", T.IntegerType()),
-        T.StructField("attachments", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("n_tokens", T.IntegerType())]))),
-    ]
-)
-_ATTACHMENTS = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("n_tokens", pa.int32())]))
 
+_ATTACHED = "array<struct<kind:string,ref:string,n_tokens:int,source:string>>"
+_ATTACHMENTS = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("n_tokens", pa.int32()), ("source", pa.string())]))
 
-def format_turns(conversations: DataFrame, typed: bool = False) -> DataFrame:
+
+def format_turns(conversations: DataFrame, content: str = "parts") -> DataFrame:
     """conv_id, turn, and the formatted turn with its loss mask and attachments: a row per turn.
 
-    The formatted conversation is the turns' strings in order.  ``typed``: contents may be JSON lists of typed parts;
-    else each is one text part.
+    The formatted conversation is the turns' strings in order.  ``content``: "parts", a column of typed parts (``PARTS``),
+    or "text", a column of texts with media links.
     """
+    if content not in ("parts", "text"):
+        raise ValueError("contents are parts or texts")
     keys = [conversations.schema["conv_id"], conversations.schema["turn"]]
-    schema = T.StructType([*keys, *_FORMATTED.fields])
+    schema = T.StructType([*keys, *T._parse_datatype_string(f"formatted string, loss_start int, loss_end int, attachments {_ATTACHED}").fields])
+    column = F.col("text") if content == "text" else F.col("parts").cast(PARTS).alias("parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         visitor = Visitor()
         for batch in batches:
             rows = []
-            for role, content in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist()):
-                flat = visitor.flatten(parts_of(content) if typed else [{"type": "text", "text": content}])
-                rows.append((*format_turn(role or "", flat), [{"kind": k, "ref": r, "n_tokens": n} for k, r, n in flat.attachments]))
+            for role, own in zip(batch.column("role").to_pylist(), batch.column(content).to_pylist()):
+                flat = visitor.flatten(linked_parts(own) if content == "text" else own or [])
+                rows.append((*format_turn(role or "", flat), [a._asdict() for a in flat.attachments]))
             columns = list(zip(*rows)) or [(), (), (), ()]
             new = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), _ATTACHMENTS))]
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), *new], names=schema.names)
 
-    return conversations.select("conv_id", "turn", "role", "text").mapInArrow(run, schema)
+    return conversations.select("conv_id", "turn", "role", column).mapInArrow(run, schema)
 
 
 class _Fold:
     """What reading a conversation's turns back has gathered so far."""
 
     def __init__(self):
-        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.n_turns = self.loss_chars = self.formatted_chars = 0
-
-    def add(self, formatted: str, loss_start: int, loss_end: int) -> None:
-        role, text = read_turn(formatted)
-        masked = unescape(formatted[loss_start:loss_end])
-        self.turns.update(f"{role}\n{text}\n".encode())
-        self.loss.update(masked.encode())
+        self.turns, self.loss, self.references = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+        self.n_turns = self.loss_chars = self.formatted_chars = self.n_attachments = self.expanded_tokens = 0
+
+    def add(self, formatted: str, loss_start: int, loss_end: int, attachments: list[Attachment]) -> None:
+        role, content = read_turn(formatted)
+        self.turns.update(f"{role}\n{restored(content, iter(attachments))}\n".encode())
+        if loss_end > loss_start:
+            masked = restored(read_content(formatted[loss_start:loss_end]), iter(attachments))
+            self.loss.update(masked.encode())
+            self.loss_chars += len(masked)
+        for a in attachments:
+            self.references.update(f"{a.kind}\n{a.ref}\n{a.n_tokens}\n".encode())
+            self.expanded_tokens += a.n_tokens
+        self.n_attachments += len(attachments)
         self.n_turns += 1
-        self.loss_chars += len(masked)
         self.formatted_chars += len(formatted)
 
     def row(self, conv_id) -> tuple:
-        return conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars
+        return (
+            conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars, self.n_attachments, self.references.hexdigest(),
+            self.expanded_tokens,
+        )
+
+
+_READ = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, references_sha256 string, expanded_tokens long"
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """A row per conversation, from the formatted turns alone."""
-    schema = T.StructType(
-        [formatted.schema["conv_id"], *T._parse_datatype_string("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").fields]
-    )
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    """A row per conversation, from the formatted turns and their attachments alone."""
+    schema = T.StructType([formatted.schema["conv_id"], *T._parse_datatype_string(_READ).fields])
+    kinds = to_arrow_schema(schema).types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, fold = None, None
         for batch in batches:
             done = []
-            columns = [batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end")]
-            for conv_id, text, start, end in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end", "attachments")]
+            for conv_id, text, start, end, attached in zip(*columns):
                 if fold is None or conv_id != current:
                     if fold:
                         done.append(fold.row(current))
                     current, fold = conv_id, _Fold()
-                fold.add(text, start, end)
+                fold.add(text, start, end, [Attachment(**a) for a in attached])
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=schema.names)
         if fold:
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(fold.row(current), kinds)], names=schema.names)
 
-    turns = formatted.select("conv_id", "turn", "formatted", "loss_start", "loss_end").repartition("conv_id")
-    return turns.sortWithinPartitions("conv_id", "turn", "formatted").mapInArrow(run, schema)
+    turns = formatted.select("conv_id", "turn", "formatted", "loss_start", "loss_end", "attachments").repartition("conv_id")
+    return turns.sortWithinPartitions("conv_id", "turn", "formatted", F.to_json("attachments")).mapInArrow(run, schema)
 
 
 PROBE = f"{END}{START}assistant ok"
@@ -223,4 +274,4 @@ def report(conversations: DataFrame) -> DataFrame:
     """All conversations and conversation -1, whose two turns are made of control strings."""
     probe = conversations.sparkSession.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").union(probe)
-    return read_back(format_turns(rows))
+    return read_back(format_turns(rows, content="text"))
