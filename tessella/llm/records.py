@@ -11,20 +11,21 @@ A task that is lost writes a new file when it runs again; only the files in the
 Defined results
 * null text: empty, one record with the end id alone.  null doc_id: before all others.
 * order: doc_id, then a hash of the text, then the text, so reruns agree; repeated rows are records like others.
-* empty table: an empty manifest, no rows.  Very long texts: one record each, encoded in parts at spaces.
+* empty table: an empty manifest, no rows.  Very long texts: one record each, encoded in stretches between spaces; a
+  stretch without spaces is cut where a word ends.  What can't be cut is one word to the tokenizer and is encoded whole.
 * extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import open_store, shared_folder, tasks, written
+from .common import open_store, shared_folder, slices, tasks, written
 
 _HEADER = struct.Struct("<q?BxxI")
-#: Distinct chunks remembered per worker.
-REMEMBERED = 1_000_000
+#: Bytes of a generation of remembered pieces or chunks in a worker, and those of an entry besides its characters and ids.
+REMEMBERED, OVERHEAD = 40_000_000, 150
+#: Characters above which a piece isn't remembered, of the parts of a long chunk, and of a stretch of text between spaces.
+LONG, PART, STRETCH = 256, 65_536, 250_000
+BLANK = re.compile(r"[ \t\n\r]")
 
 # --- CRC-32C ---------------------------------------------------------------------------------------------------
 
@@ -127,11 +131,20 @@ def masked_crc32c(payloads: list[bytes]) -> list[int]:
 # --- encoding --------------------------------------------------------------------------------------------------
 
 
-#: Chunks of these characters alone are taken apart here; all others by the tokenizer's own normaliser and splitter.
-#: They hold no white space, control character or "<" (which begins special tokens), and Unicode composes none of them.
-PLAIN = re.compile("[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
-#: The tokenizer's split of lower-cased plain chunks.
-SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u017e0-9]+")
+#: Texts of these characters alone are taken apart here; what else stands between spaces by the tokenizer's own normaliser
+#: and splitter.  They hold no control character or "<" (which begins special tokens), and Unicode composes none of them.
+_OWN = "!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
+PLAIN_TEXT, PLAIN = re.compile(rf"[ \t\n\r{_OWN}]*"), re.compile(f"[{_OWN}]+")
+#: The tokenizer's split of lower-cased plain texts.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^ \t\n\ra-z\u00df-\u00f6\u00f8-\u017e0-9]+")
+#: Where a long chunk may be cut: before a mark that follows a letter or a digit.  A word ends there and no character
+#: composes across it; bars are left out, as special tokens hold them.
+CUT = re.compile("(?<=[A-Za-z0-9\u4e00-\u9fff])(?=[!-/:-@\\[-`{}~\u3001\u3002\uff0c])")
+#: The normaliser and the splitter that allow for this; texts are encoded whole with any other.
+CHUNKED = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+)
 
 
 def _byte_characters() -> list[str]:
@@ -141,45 +154,100 @@ def _byte_characters() -> list[str]:
     return [out[b] if b in out else chr(next(other)) for b in range(256)]
 
 
-class ChunkEncoder(dict):
-    """Encodes texts with a lower-casing tokenizer that drops white space, remembering the ids of chunks.
+def _is_chunked(tokenizer) -> bool:
+    """Whether the tokenizer drops white space and acts on what stands between spaces alone."""
+    spec = json.loads(tokenizer.to_str())
+    normalizer, split, model = spec["normalizer"] or {}, (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}, {}], spec["model"]
+    return (
+        normalizer.get("normalizers") == CHUNKED[0]
+        and [x.get("type") for x in split] == ["Split", "ByteLevel"]
+        and (split[0]["pattern"], split[0]["behavior"], split[0]["invert"]) == ({"Regex": CHUNKED[1]}, "Removed", True)
+        and not split[1]["add_prefix_space"]
+        and not split[1]["use_regex"]
+        and model["type"] == "BPE"
+        and not (model.get("dropout") or model.get("continuing_subword_prefix"))
+        and all(re.fullmatch(r"<\|[a-z]+\|>", t["content"]) and not t["normalized"] for t in spec["added_tokens"])
+    )
 
-    Its words and special tokens hold no white space, and its normaliser acts on either side of a space alone.  So a
-    text's ids are those of its chunks between spaces and line ends, one after the other.  A missing chunk is encoded
-    when it's asked for.
+
+class Remembered(dict):
+    """What ``make`` gives for a key, bounded by bytes: two generations, the older of which goes when the newer is full.
+    Results of long keys aren't kept."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.old, self.held = make, {}, 0
+
+    def __missing__(self, key: str) -> bytes:
+        if len(key) > LONG:
+            return self.make(key)
+        made = self.old.get(key)
+        if made is None:
+            made = self.make(key)
+        self.held += OVERHEAD + len(key) + len(made)
+        if self.held > REMEMBERED:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self[key] = made
+        return made
+
+
+class ChunkEncoder:
+    """Encodes texts, remembering the ids of pieces.
+
+    With a lower-casing tokenizer that drops white space, words and special tokens hold no white space, and the
+    normaliser acts on either side of a space alone.  So a text's ids are those of its chunks between spaces, one after
+    the other, and those of a plain text are those of its pieces.  Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already uses every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.chunked = _is_chunked(self.tokenizer)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = {2: "H", 4: "I"}[self.width]
         self.model = self.tokenizer.model
         self.shown = _byte_characters()
-        self.piece = lru_cache(maxsize=1 << 17)(self._piece)
+        self.pieces, self.chunks = Remembered(self._piece), Remembered(self._chunk)
 
     def _piece(self, piece: str) -> bytes:
         word = piece if piece.isascii() else "".join([self.shown[b] for b in piece.encode()])
         return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if PLAIN.fullmatch(chunk):
-            low = chunk.lower()
-            ids = self.piece(low) if low.isalpha() else b"".join(map(self.piece, SPLIT.findall(low)))
-        else:
-            ids = array(self.code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        self[chunk] = ids
-        return ids
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, SPLIT.findall(text.lower())))
+
+    def _chunk(self, chunk: str) -> bytes:
+        out, at = [], 0
+        while at < len(chunk):
+            cut = CUT.search(chunk, at + PART)
+            end = cut.start() if cut else len(chunk)
+            part, at = chunk[at:end], end
+            out.append(self._plain(part) if PLAIN.fullmatch(part) else self._whole(part))
+        return b"".join(out)
+
+    def _ids(self, text: str) -> bytes:
+        if not self.chunked:
+            return self._whole(text)
+        out, at = [], 0
+        while at < len(text):
+            cut = BLANK.search(text, at + STRETCH)
+            end = cut.start() if cut else len(text)
+            part, at = text[at:end], end
+            if len(part) < 2 * STRETCH and PLAIN_TEXT.fullmatch(part):
+                out.append(self._plain(part))
+            else:
+                out += map(self.chunks.__getitem__, BLANK.split(part))
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, ``width`` bytes each."""
-        get = self.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+        return [self._ids(t) for t in texts]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -191,18 +259,6 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def _parts(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
-    part, total = [], 0
-    for t in texts:
-        if part and total + len(t) > chars:
-            yield part
-            part, total = [], 0
-        part.append(t)
-        total += len(t)
-    if part:
-        yield part
-
-
 def _payload(doc_id: int | None, ids: bytes, width: int) -> bytes:
     return _HEADER.pack(doc_id or 0, doc_id is None, width, len(ids) // width) + ids
 
@@ -238,13 +294,11 @@ def write(documents: DataFrame, tokenizer: str, end_id: int, folder: str | None
         out = None
         try:
             for batch in batches:
-                ids, at = batch.column("doc_id").to_pylist(), 0
-                for part in _parts(batch.column("text").to_pylist()):
+                for part in slices(batch, "text", 2_000_000):
                     if out is None:
                         out, index = store.open_output_stream(f"{base}/{name}.rec"), store.open_output_stream(f"{base}/{name}.idx")
-                    encoded = [e + end for e in encoder.encode(part)]
-                    payloads = [_payload(d, e, encoder.width) for d, e in zip(ids[at : at + len(part)], encoded)]
-                    at += len(part)
+                    encoded = [e + end for e in encoder.encode(part.column("text").to_pylist())]
+                    payloads = [_payload(d, e, encoder.width) for d, e in zip(part.column("doc_id").to_pylist(), encoded)]
                     frames = frame(payloads)
                     lengths = np.fromiter(map(len, frames), dtype=np.uint64, count=len(frames))
                     starts = np.uint64(offset) + np.cumsum(lengths) - lengths
