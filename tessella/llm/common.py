@@ -48,6 +48,36 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _running(values: Column, of_some: Callable[[Column], Column], both: Callable[[Column, Column], Column]) -> Column:
+    """What ``of_some`` gives of the first, the first two, ... values, in two levels, so that n values cost n * sqrt(n)
+    steps: what stands before a chunk is had from the chunks, what stands before a value in its chunk from the chunk."""
+
+    def by_chunks(v: Column) -> Column:
+        wide = F.ceil(F.sqrt(F.size(v))).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), F.size(v) - 1, wide), lambda at: F.slice(v, at + 1, wide))
+        within = lambda c: F.transform(c, lambda _, i: of_some(F.slice(c, F.lit(1), i + 1)))
+
+        def joined(c: Column) -> Column:
+            return let(
+                F.transform(c, of_some),
+                lambda t: F.flatten(F.transform(c, lambda x, k: F.when(k == 0, within(x)).otherwise(let(of_some(F.slice(t, F.lit(1), k)), lambda b: F.transform(within(x), lambda y: both(b, y)))))),
+            )
+
+        return let(chunks, joined)
+
+    return let(values, lambda v: F.when(F.size(v) < 1, v).otherwise(by_chunks(v)))
+
+
+def running_sum(values: Column) -> Column:
+    """The sums of the first, the first two, ... of an array of ints."""
+    return _running(values, lambda some: F.aggregate(some, F.lit(0), lambda a, b: a + b), lambda a, b: a + b)
+
+
+def running_max(values: Column) -> Column:
+    """The largest of the first, the first two, ... of an array."""
+    return _running(values, F.array_max, F.greatest)
+
+
 def text_of(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name].cast("string"), F.lit(""))
 

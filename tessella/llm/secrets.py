@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, shared_folder
+from .common import let, running_max, running_sum, shared_folder
 
 SPANS = "array<struct<start:int,rule:int,end:int>>"
 
@@ -71,17 +71,13 @@ def _spans(text: Column, number: int, rule: Rule) -> Column:
     none = F.array().cast(SPANS)
 
     def place(parts: Column) -> Column:
-        pair = F.arrays_zip(F.slice(parts["between"], 1, F.size(parts["whole"])).alias("between"), parts["whole"].alias("whole"), parts["value"].alias("value"))
-        start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-
-        def step(done: Column, x: Column) -> Column:
-            begin = done["at"] + F.length(x["between"])
-            end = begin + F.length(x["whole"])
-            span = F.array(F.struct(begin.alias("start"), F.lit(number).alias("rule"), end.alias("end")))
-            long_enough = F.length(x["value"]) >= rule.min_length
-            return F.struct(end.alias("at"), F.when(long_enough, F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
-
-        return F.aggregate(pair, start, step, lambda done: done["spans"])
+        long = F.transform(parts["whole"], F.length)
+        steps = F.zip_with(F.slice(parts["between"], F.lit(1), F.size(parts["whole"])), long, lambda x, n: F.length(x) + n)
+        ends = F.zip_with(long, running_sum(steps), lambda n, end: F.struct((end - n).alias("start"), F.lit(number).alias("rule"), end.alias("end")))
+        if rule.min_length:
+            pairs = F.zip_with(ends, parts["value"], lambda s, v: F.when(F.length(v) >= rule.min_length, s))
+            ends = F.filter(pairs, lambda s: s.isNotNull())
+        return ends
 
     parts = F.struct(
         F.split(text, rule.pattern, -1).alias("between"),
@@ -139,28 +135,36 @@ def findings(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES)
     known = _ledger(versions, ledger)
     number = F.array(*[F.lit(r.version) for r in rules])
     to_span = lambda f: F.struct(f["start"].alias("start"), (F.array_position(number, f["version"]) - 1).cast("int").alias("rule"), f["end"].alias("end"))
-    spans = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("findings", to_span)))))
+    # Two runs at a time may have scanned a pair twice; in order, equal spans are neighbours.
+    spans = let(F.sort_array(F.flatten(F.collect_list(F.transform("findings", to_span)))), lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1))))
     own = F.filter(F.col("spans"), lambda s: s["rule"] >= 0)
     found = known.filter(F.size("findings") > 0).groupBy("blob").agg(spans.alias("spans"))
     return found.select("blob", own.alias("spans")).filter(F.size("spans") > 0)
 
 
-def scan(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, salts: int = 1) -> DataFrame:
-    """``versions`` with ``blob`` and ``spans``, after the ledger (a new one by default) has been brought up to date.
+#: The keys over which the rows of a blob with findings are dealt.
+SALTS = 16
+
 
-    Findings are one row per blob with findings.  With ``salts`` they are repeated so often, and the rows of a hot blob
-    are dealt over so many keys by their other columns.
+def attached(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``versions`` with ``blob`` and the ``spans`` that the ledger has for it.
+
+    Findings are one row per blob with findings, repeated ``SALTS`` times; the rows of a hot blob are dealt over so many
+    keys by their other columns.
     """
+    others = [c for c in versions.columns if c not in ("text", "spans", "blob")]
+    rows = versions.drop("spans").select(F.struct(*[c for c in versions.columns if c != "spans"]).alias("_row"), blob_of(versions["text"]).alias("blob"), F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int").alias("_salt"))
+    found = findings(versions, ledger, rules).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = rows.join(found, ["blob", "_salt"], "left")
+    kept = [c for c in versions.columns if c not in ("spans", "blob")]
+    return joined.select(*[F.col("_row")[c].alias(c) for c in kept], "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
+
+def scan(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``versions`` with ``blob`` and ``spans``, after the ledger (a new one by default) has been brought up to date."""
     ledger = ledger or shared_folder(versions.sparkSession, "secret-ledger")
     update(versions, ledger, rules)
-    rows = versions.drop("spans").withColumn("blob", blob_of(versions["text"]))
-    found, keys = findings(versions, ledger, rules), ["blob"]
-    if salts > 1:
-        others = [c for c in versions.columns if c not in ("text", "spans", "blob")]
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
-        found, keys = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["blob", "_salt"]
-    joined = rows.join(found, keys, "left").drop("_salt")
-    return joined.withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    return attached(versions, ledger, rules)
 
 
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -169,21 +173,43 @@ def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kind, s["rule"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Code points of the blocks that a long text is cut into, so that a stretch of it is found without a walk from its start.
+BLOCK = 4096
+
+
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with each stretch that spans cover replaced by ``mark``; a null text stays null."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each stretch that spans (by start) cover replaced by ``mark``; a null text stays null."""
+
+    def stretch(blocks: Column, begin: Column, end: Column) -> Column:
+        first, last = F.floor(begin / BLOCK).cast("int"), F.floor(F.greatest(end - 1, begin) / BLOCK).cast("int")
+        return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), begin - first * BLOCK + 1, end - begin)
 
-    def step(done: Column, s: Column) -> Column:
-        new = F.concat(done["out"], F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.lit(mark))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(s["start"] >= done["at"], new).otherwise(done["out"]).alias("out"))
+    def rest(x: Column) -> Column:
+        # A span that begins before all earlier ones have ended goes on with their stretch.
+        def piece(s: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.get(x["ends"], i - 1))
+            return F.when(s["start"] >= before, F.concat(stretch(x["blocks"], before, s["start"]), F.lit(mark)))
 
-    rest = lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
+        pieces = F.filter(F.transform(spans, piece), lambda p: p.isNotNull())
+        tail = stretch(x["blocks"], F.element_at(x["ends"], -1), F.length(text))
+        return F.concat(F.array_join(pieces, ""), tail)
 
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    found = F.struct(blocks.alias("blocks"), running_max(F.transform(spans, lambda s: s["end"])).alias("ends"))
+    return F.when(F.size(spans) == 0, text).otherwise(let(found, rest))
 
-def report(documents: DataFrame, ledger: str | None = None) -> DataFrame:
-    """One row per document: counts and digests of the base spans, and all spans."""
-    found = scan(documents.select("doc_id", "text"), ledger, salts=16)
+
+def report(documents: DataFrame, ledger: str | None = None, deliveries: int = 2) -> DataFrame:
+    """One row per document: counts and digests of the base spans, and all spans.
+
+    Documents come in ``deliveries`` (by a hash of their id), each of which is a run: it scans the pairs of blob and rule
+    version that the runs before it have not put into the ledger.  The findings of all are then joined to all documents.
+    """
+    documents = documents.select("doc_id", "text")
+    ledger = ledger or shared_folder(documents.sparkSession, "secret-ledger")
+    for n in range(deliveries):
+        update(documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(deliveries)) == n), ledger)
+    found = attached(documents, ledger)
     base = F.filter("spans", lambda s: s["rule"] < len(BASE_RULES))
     count = lambda n: F.size(F.filter("spans", lambda s: s["rule"] == n)).cast("long")
     return found.select(
