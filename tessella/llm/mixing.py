@@ -16,8 +16,8 @@ Defined results
 * null text: size 0.  null source: a source of its own, last in order.  null doc_id: a document like any other.
 * documents of size 0 are taken at their offset like others and count 0 words.
 * repeated rows: equal rows tie in the order; they're interchangeable.
-* empty table: no rows.  Extra columns are carried along by ``mix``; input columns named size, draw, text_key,
-  source_size, target, slope, offset, copies, epoch or position are replaced.
+* empty table: no rows.  Extra columns are carried along by ``mix``, whatever their names, but that input columns named
+  epoch or position are replaced.
 """
 
 from __future__ import annotations
@@ -37,8 +37,9 @@ class MixRules:
     max_repeats: int = 3
     #: The schedule of a source rises or falls linearly by this share over the run, by its place in the order.
     slopes: tuple[float, ...] = (0.0, 0.5, -0.5)
-    #: Documents of a source are summed in 16 ** group_digits groups, by their draw.
-    group_digits: int = 3
+    #: Documents of a source are summed in groups by their draw, in 16 ** 3 at least, and so many that all documents in
+    #: one source would be about this many to a group.
+    group_rows: int = 16_384
     seed: int = 7
 
 
@@ -49,6 +50,11 @@ def with_size(documents: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     return documents.withColumns({"size": word_count(text), "draw": draw, "text_key": F.xxhash64(text)})
 
 
+def group_digits(count: int, rules: MixRules = MixRules()) -> int:
+    """Hex digits of the draw that make the groups of a source."""
+    return next(d for d in range(3, 17) if 16**d * rules.group_rows >= count or d == 16)
+
+
 def sized(documents: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     """``with_size`` without the texts, so that what follows moves few bytes."""
     return with_size(documents.select("doc_id", "source", "text"), rules).drop("text")
@@ -94,11 +100,12 @@ def assign(rows: DataFrame, sizes: DataFrame, rules: MixRules = MixRules()) -> D
     """``rows`` (as of ``with_size``) with source_size, target, slope, offset and copies; ``sizes`` has them without texts.
 
     Offsets are running sums in two steps, over the groups of a source and within a group, so the rows of a hot
-    source never meet in one task.
+    source never meet in one task.  The groups grow in number with the rows; Spark broadcasts their table below its
+    threshold and shuffles it beyond.
     """
     goal = targets(sizes, rules)
     # Keys without nulls: the join then finds the rows where the window has put them.
-    place = {"_source": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull(), "_part": F.substring("draw", 1, rules.group_digits)}
+    place = {"_source": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull(), "_part": F.substring("draw", 1, group_digits(sizes.count(), rules))}
     keys = list(place)
     per_group = sizes.withColumns(place).groupBy(*keys).agg(F.sum("size").alias("_size"))
     before = Window.partitionBy("_source", "_none").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -129,11 +136,13 @@ def training_order(assigned: DataFrame) -> DataFrame:
 def mix(documents: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     """The rows of the mix in training order: the columns of ``documents``, with epoch and position.
 
-    Sizes are written once.  The texts move twice: into the groups of their source, and in the range sort.
+    Sizes are written once.  The texts move twice: into the groups of their source, and in the range sort.  The row
+    travels as a struct, so its columns can't clash with those used here.
     """
     sizes = written(sized(documents, rules), "mix-sizes")
-    ordered = training_order(assign(with_size(documents, rules), sizes, rules))
-    return ordered.select(*[c for c in documents.columns if c not in ("epoch", "position")], "epoch", "position")
+    rows = with_size(documents.select(F.struct(*documents.columns).alias("_row"), "doc_id", "source", "text"), rules).drop("text")
+    ordered = training_order(assign(rows, sizes, rules))
+    return ordered.select(*[F.col("_row")[c].alias(c) for c in documents.columns if c not in ("epoch", "position")], "epoch", "position")
 
 
 def report(documents: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
