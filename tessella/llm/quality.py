@@ -2,13 +2,17 @@
 
 Method: normalised lines are hashed, distinct documents are counted per host and line hash, lines above the
 limit are removed from all documents but the first that has them, and documents left with too little are
-rejected.  Everything is DataFrame functions.
+rejected.  Everything is DataFrame functions.  Lines are hashed once, into a table of their hashes and places, which
+serves for the counts and for the removal.
 
 Defined results
 * null text: no words, no lines; ``base_failed`` is true, as fewer than ``min_words`` words remain.
-* null host: a host of its own.  null doc_id: never the first holder of a line.
-* repeated rows and exact copies: one document for the line counts; each row gets its own (equal) result.
-* empty table: no rows.  Extra columns of the input are ignored; only the named ones are read.
+* null host: a host of its own.  null doc_id: never the first holder of a line; a line that only such documents have
+  stays in none of them.
+* a document is a doc_id and its text: exact copies of other doc_ids are documents like others, repeated rows are one
+  document for the line counts; each row gets its own (equal) result.
+* empty table: no rows.  ``judge`` reads the named columns alone; ``accepted`` and ``cleaned`` carry all columns along,
+  whatever their names.
 * lines and windows are compared by 64-bit hashes (of host and line, of five words).
 """
 
@@ -86,29 +90,32 @@ def _normal(line: Column) -> Column:
     return ascii_lower(F.regexp_replace(F.btrim(line, F.lit(BLANKS)), BLANK_RUN, " "))
 
 
-def _line_chars(lines: Column) -> Column:
-    return F.aggregate(lines, F.lit(0).cast("long"), lambda total, line: total + F.length(line))
+def line_table(documents: DataFrame, host: str = "source") -> DataFrame:
+    """doc_id, host, text_key (a hash of the text), line_chars (of the document), pos, line_key (a hash of host and line),
+    n_chars: the lines that have a word, normalised."""
+    text = F.coalesce(documents["text"], F.lit(""))
+    own = documents[host].alias("host")
 
+    def rows(lines: Column) -> Column:
+        total = F.aggregate(lines, F.lit(0).cast("long"), lambda n, line: n + F.length(line))
+        row = lambda line, i, n: F.struct(n.alias("line_chars"), i.alias("pos"), F.xxhash64(documents[host], line).alias("line_key"), F.length(line).alias("n_chars"))
+        return let(total, lambda n: F.transform(lines, lambda line, i: row(line, i, n)))
 
-def _keyed(documents: DataFrame, host: str) -> DataFrame:
-    """doc_id, host, a hash of the text, and the normalised lines."""
-    text = F.coalesce(documents["text"], F.lit(""))
-    lines = F.transform(_lines(text), _normal)
-    return documents.select(documents["doc_id"], documents[host].alias("host"), F.xxhash64(text).alias("text_key"), lines.alias("lines"))
+    lines = F.explode(let(F.transform(_lines(text), _normal), rows)).alias("l")
+    return documents.select(documents["doc_id"], own, F.xxhash64(text).alias("text_key"), lines).select("doc_id", "host", "text_key", "l.*")
 
 
-def frequent_lines(documents: DataFrame, host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
-    """line_key, n_documents, first_doc: lines in more than ``max_documents`` distinct documents of a host.
+def frequent_lines(lines: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """line_key, n_documents, first_doc: lines in more than ``max_documents`` distinct documents of a host, from ``lines``
+    as of ``line_table``.
 
     Counting is by (line, document) first and by line after that, each with a partial sum before its shuffle,
     so neither a hot host nor a line of a third of the documents meets in one task.
     """
-    rows = _keyed(documents, host).select("doc_id", "host", "text_key", F.explode(F.array_distinct("lines")).alias("line"))
     return (
-        rows.groupBy(F.xxhash64("host", "line").alias("line_key"), "text_key")
-        .agg(F.min("doc_id").alias("first_doc"))
+        lines.select("line_key", "doc_id", "text_key").distinct()
         .groupBy("line_key")
-        .agg(F.count("*").alias("n_documents"), F.min("first_doc").alias("first_doc"))
+        .agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_doc"))
         .filter(F.col("n_documents") > rules.max_documents)
     )
 
@@ -119,13 +126,11 @@ def removed_lines(documents: DataFrame, host: str = "source", rules: QualityRule
     The frequent lines are written first, so their size is known when the join is planned: Spark broadcasts them
     below its threshold and shuffles both sides beyond it.
     """
-    frequent = written(frequent_lines(documents, host, rules), "frequent-lines")
-    rows = _keyed(documents, host).select("doc_id", "host", "text_key", _line_chars(F.col("lines")).alias("line_chars"), F.posexplode("lines").alias("pos", "line"))
-    key = F.xxhash64("host", "line").alias("line_key")
-    rows = rows.select("doc_id", "host", "text_key", "line_chars", "pos", key, F.length("line").alias("n_chars"))
+    lines = written(line_table(documents, host), "line-hashes")
+    frequent = written(frequent_lines(lines, rules), "frequent-lines")
     return (
-        rows.join(frequent, "line_key")
-        .filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+        lines.join(frequent, "line_key")
+        .filter(~F.coalesce(F.col("doc_id") == F.col("first_doc"), F.lit(False)))
         .select("doc_id", "host", "text_key", "line_chars", "pos", "n_chars")
         .dropDuplicates(["doc_id", "host", "text_key", "pos"])
     )
@@ -160,18 +165,25 @@ def judge(documents: DataFrame, host: str = "source", rules: QualityRules = Qual
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
+def _sound(documents: DataFrame, rules: QualityRules) -> DataFrame:
+    """_row (all columns), of the documents whose own counts don't fail."""
+    counted = documents.select(F.struct(*documents.columns).alias("_row"), text_counts(documents, rules)["w"].alias("_c"))
+    return counted.filter(~_base_failed(F.col("_c.n_words"), F.col("_c.n_repeat_words"), rules)).select("_row")
+
+
+def _of_row(lost: DataFrame, host: str) -> Column:
+    row = F.col("_row")
+    return row["doc_id"].eqNullSafe(lost["doc_id"]) & row[host].eqNullSafe(lost["host"]) & (F.xxhash64(F.coalesce(row["text"], F.lit(""))) == lost["text_key"])
+
+
 def accepted(documents: DataFrame, host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that the rules keep, as they are.
 
     The texts are judged where they lie; the depleted documents are a table of known size, and texts move only where
     it is too large to broadcast.
     """
-    gone = losses(documents, host, rules).filter("depleted").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key"))
-    gone = written(gone, "depleted-documents")
-    counts = documents.withColumn("_c", text_counts(documents, rules)["w"])
-    sound = counts.filter(~_base_failed(F.col("_c.n_words"), F.col("_c.n_repeat_words"), rules)).drop("_c")
-    key = F.xxhash64(F.coalesce(sound["text"], F.lit("")))
-    return sound.join(gone, sound["doc_id"].eqNullSafe(gone["_id"]) & sound[host].eqNullSafe(gone["_host"]) & (key == gone["_key"]), "left_anti")
+    gone = written(losses(documents, host, rules).filter("depleted").select("doc_id", "host", "text_key"), "depleted-documents")
+    return _sound(documents, rules).join(gone, _of_row(gone, host), "left_anti").select("_row.*")
 
 
 def without_lines(text: Column, positions: Column) -> Column:
@@ -189,15 +201,12 @@ def without_lines(text: Column, positions: Column) -> Column:
 def cleaned(documents: DataFrame, host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that the rules keep, without the lines that are removed from them; n_chars, where there is such a
     column, follows.  The verdicts are those on the whole texts, as of ``judge``.
+
+    Texts move once, to meet the positions of their lost lines, which are a table that grows with the documents.
     """
-    lost = losses(documents, host, rules).select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key"), F.col("depleted").alias("_depleted"), F.col("positions").alias("_positions"))
-    lost = written(lost, "lost-lines")
-    counts = documents.withColumn("_c", text_counts(documents, rules)["w"])
-    sound = counts.filter(~_base_failed(F.col("_c.n_words"), F.col("_c.n_repeat_words"), rules)).drop("_c")
-    key = F.xxhash64(F.coalesce(sound["text"], F.lit("")))
-    joined = sound.join(lost, sound["doc_id"].eqNullSafe(lost["_id"]) & sound[host].eqNullSafe(lost["_host"]) & (key == lost["_key"]), "left")
-    left = joined.filter(~F.coalesce("_depleted", F.lit(False))).withColumn("_text", without_lines(F.col("text"), F.col("_positions")))
-    made = {"text": F.col("_text")}
-    if "n_chars" in documents.columns:
-        made["n_chars"] = F.when(F.col("_positions").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long"))
-    return left.select(*[made.get(c, F.col(c)).alias(c) for c in documents.columns])
+    lost = losses(documents, host, rules).select("doc_id", "host", "text_key", F.struct("depleted", "positions").alias("_lost"))
+    lost = written(lost, "lost-lines").hint("merge")
+    left = _sound(documents, rules).join(lost, _of_row(lost, host), "left").select("_row", "_lost").filter(~F.coalesce("_lost.depleted", F.lit(False)))
+    left = left.withColumn("_text", without_lines(F.col("_row.text"), F.col("_lost.positions")))
+    made = {"text": F.col("_text"), "n_chars": F.when(F.col("_lost").isNull(), F.col("_row")["n_chars"]).otherwise(F.length("_text").cast("long")) if "n_chars" in documents.columns else None}
+    return left.select(*[(made[c] if c in made else F.col("_row")[c]).alias(c) for c in documents.columns])

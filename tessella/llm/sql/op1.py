@@ -17,11 +17,11 @@ WITH d AS (
          translate(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line
   FROM (SELECT r, doc_id, source, text, unnest(l) AS x FROM w)
 ), freq AS (
-  SELECT source, line, min(doc_id) AS first_doc FROM lines GROUP BY source, line HAVING count(DISTINCT text) > 20
+  SELECT source, line, min(doc_id) AS first_doc FROM lines GROUP BY source, line HAVING count(DISTINCT (doc_id, text)) > 20
 ), lost AS (
   SELECT r, sum(length(lines.line)) AS chars, count(*) AS n
   FROM lines JOIN freq ON lines.line = freq.line AND lines.source IS NOT DISTINCT FROM freq.source
-  WHERE doc_id IS DISTINCT FROM first_doc GROUP BY r
+  WHERE NOT coalesce(doc_id = first_doc, false) GROUP BY r
 ), total AS (
   SELECT r, sum(length(line)) AS chars FROM lines GROUP BY r
 ), c AS (
