@@ -78,6 +78,17 @@ def running_max(values: Column) -> Column:
     return _running(values, F.array_max, F.greatest)
 
 
+#: The keys over which the rows of a hot key are dealt.
+SALTS = 16
+
+
+def join_hot(rows: DataFrame, found: DataFrame, key: str, others: list[Column]) -> DataFrame:
+    """``rows`` left join ``found`` (a row per key) on ``key``, which many rows may share: ``found`` is repeated ``SALTS``
+    times and the rows of a key are dealt over so many tasks by their ``others``."""
+    many = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")).join(many, [key, "_salt"], "left").drop("_salt")
+
+
 def text_of(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name].cast("string"), F.lit(""))
 

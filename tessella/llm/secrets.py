@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, running_max, running_sum, shared_folder
+from .common import join_hot, let, running_max, running_sum, shared_folder
 
 SPANS = "array<struct<start:int,rule:int,end:int>>"
 
@@ -142,21 +142,14 @@ def findings(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES)
     return found.select("blob", own.alias("spans")).filter(F.size("spans") > 0)
 
 
-#: The keys over which the rows of a blob with findings are dealt.
-SALTS = 16
-
-
 def attached(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``versions`` with ``blob`` and the ``spans`` that the ledger has for it.
 
-    Findings are one row per blob with findings, repeated ``SALTS`` times; the rows of a hot blob are dealt over so many
-    keys by their other columns.
+    Findings are one row per blob with findings; the rows of a hot blob are dealt by their other columns.
     """
-    others = [c for c in versions.columns if c not in ("text", "spans", "blob")]
-    rows = versions.drop("spans").select(F.struct(*[c for c in versions.columns if c != "spans"]).alias("_row"), blob_of(versions["text"]).alias("blob"), F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int").alias("_salt"))
-    found = findings(versions, ledger, rules).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = rows.join(found, ["blob", "_salt"], "left")
     kept = [c for c in versions.columns if c not in ("spans", "blob")]
+    rows = versions.select(F.struct(*kept).alias("_row"), blob_of(versions["text"]).alias("blob"))
+    joined = join_hot(rows, findings(versions, ledger, rules), "blob", [F.col("_row")[c] for c in kept if c != "text"])
     return joined.select(*[F.col("_row")[c].alias(c) for c in kept], "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 

@@ -16,7 +16,7 @@ Defined results
   null, in which case all of them are responses.
 * repeated rows: a record each; those with the original's page_id are responses.
 * very long payloads: one record each, of which a task holds one at a time.  Empty table: no records, no rows.
-* extra columns of the input are ignored.
+* page_id: any whole number, a long in all results.  Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, open_store, shared_folder, tasks, written
+from .common import ascii_lower, join_hot, open_store, shared_folder, tasks, written
 
 LEAST_REVISIT = 100
 #: Lines of an index block.
@@ -97,14 +97,13 @@ def read_record(raw: bytes) -> tuple[int | None, int, str, str, int | None, byte
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """key, page_id, file, offset, length: where each page's record lies."""
-    html = F.coalesce(pages["html"].cast("string"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"), url_key(pages["url"]).alias("key"))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    html = pages["html"]
+    rows = pages.select("page_id", "url", "html", F.sha2(html, 256).alias("digest"), url_key(pages["url"]).alias("key"))
     digests = pages.select("page_id", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n")).filter(F.col("n") >= LEAST_REVISIT)
     repeated = digests.groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    repeated = written(repeated, "warc-originals").withColumnRenamed("digest", "_digest")
-    joined = rows.join(repeated, rows["digest"] == repeated["_digest"], "left").drop("_digest")
-    fields = [T.StructField("key", T.StringType()), pages.schema["page_id"], *T._parse_datatype_string("file string, offset long, length int").fields]
-    schema = T.StructType(fields)
+    joined = join_hot(rows, written(repeated, "warc-originals"), "digest", [F.col("page_id"), F.col("url")])
+    schema = T._parse_datatype_string("key string, page_id long, file string, offset long, length int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)
@@ -289,5 +288,5 @@ def report(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Archives every page, indexes the captures, looks every page up and reads its record back."""
     folder = folder or shared_folder(pages.sparkSession, "warc")
     shards = write_index(write_archives(pages, folder), folder)
-    requests = pages.select(url_key(pages["url"]).alias("key"), "page_id")
+    requests = pages.select(url_key(pages["url"]).alias("key"), pages["page_id"].cast("long").alias("page_id"))
     return fetch(look_up(requests, folder, shards), folder)

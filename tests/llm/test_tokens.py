@@ -279,3 +279,5 @@ def test_warc(spark, small, monkeypatch):
         want = plain_pages([(r["page_id"], r["url"], r["html"]) for r in df.collect()])
         assert sorted((tuple(r) for r in warc.report(df).collect()), key=key) == sorted(want, key=key)
     assert warc.report(odd.limit(0)).count() == 0
+    narrow = odd.selectExpr("cast(page_id as int) page_id", "url", "html")
+    assert sorted(map(str, warc.report(narrow).collect())) == sorted(map(str, warc.report(odd).collect()))
