@@ -293,6 +293,10 @@ def test_urls(spark, small):
         want = [(r["page_id"], *plain_url(r["url"])) for r in df.collect()]
         assert sorted(got, key=key) == sorted(want, key=key)
     assert urlfilter.report(odd.limit(0)).count() == 0
+    clash = odd.selectExpr("*", "'a' _row", "'b' _salt", "'c' _url", "'d' token", "'e' prefix_rule")
+    judged = urlfilter.judge(clash)
+    assert sorted(map(str, judged.select("page_id", "host", "path", "rule", "verdict").collect())) == sorted(map(str, urlfilter.report(odd).select("page_id", "host", "path", "rule", "verdict").collect()))
+    assert {tuple(r) for r in judged.select("_row", "_salt", "_url", "token", "prefix_rule").collect()} == {tuple("abcde")}
 
 
 def test_rules_are_filed_under_their_rarest_token(spark):
