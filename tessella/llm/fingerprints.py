@@ -11,7 +11,8 @@ Defined results
 * equal texts have equal fingerprints; repeated rows get equal results.
 * next document: by descending doc_id, null last, ties by a hash of the text; after the last comes the first, so a
   single document is its own next.  Empty table: no rows.
-* very long texts are voted on in parts of bounded size.  Extra columns of the input are ignored.
+* very long texts are voted on in parts of bounded size.  doc_id has the type of the input's.  Extra columns of the input
+  are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import written
 
@@ -108,7 +110,7 @@ def compare_with_next(documents: DataFrame) -> DataFrame:
     ranged = ordered.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     fields = T._parse_datatype_string(_RESULT).fields
     schema = T.StructType([documents.schema["doc_id"], *fields, T.StructField("task", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])
-    types = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("task", pa.int32()), ("kind", pa.string()), ("text", pa.string())])
+    types = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -134,7 +136,10 @@ def compare_with_next(documents: DataFrame) -> DataFrame:
     circle = tasks.select("task", F.coalesce(F.lead("task").over(Window.orderBy("task")), F.min("task").over(Window.partitionBy())).alias("following"))
     first = found.filter("kind = 'first'").select(F.col("task").alias("following"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
     last = found.filter("kind = 'last'").select("doc_id", "task", "text", "fingerprint")
-    pairs = last.join(circle, "task").join(first, "following").select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint")
+    # The circle has two numbers a task; the texts meet by a shuffle, and of the next one only what the edit takes goes on.
+    pairs = last.join(F.broadcast(circle), "task").hint("merge").join(first.hint("merge"), "following")
+    needed = F.expr("substring(next_text, 1, length(text) div 2)").alias("next_text")
+    pairs = pairs.select("doc_id", "text", "fingerprint", needed, "next_fingerprint")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
