@@ -154,7 +154,7 @@ def pack_old(width: int, height: int, tile: int, overlap: int, records: list[Rec
 
 
 def unpack_old(blob: bytes) -> tuple[dict, list[Record]]:
-    _need(len(blob) >= OLD_FOOTER.size + 24, "too short")
+    _need(len(blob) >= OLD_HEADER.size + 4 + OLD_FOOTER.size, "too short")
     count, _, checksum = OLD_FOOTER.unpack_from(blob, len(blob) - OLD_FOOTER.size)
     body = blob[: -OLD_FOOTER.size]
     _need(zlib.crc32(body) == checksum, "the checksum is wrong")

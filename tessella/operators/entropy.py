@@ -6,14 +6,16 @@ payload and parallel across payloads.
 
 from __future__ import annotations
 
+import json
 import math
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,6 +132,45 @@ def table_from(spec: dict) -> Table:
     return normalised(counts, int(precision))
 
 
+#: The environment's folders of tables, in the order in which they are asked: own tables, then those of models.
+TABLE_FOLDERS = (("TESSELLA_RANS_TABLES", ""), ("TESSELLA_MODELS_DIR", "/rans"))
+#: Tables that come with the package, by id.
+OWN_TABLES = {"v15_default": {"kind": "byte_256_uniform"}}
+
+
+def table_roots(environment: dict | None = None) -> list[str]:
+    environment = os.environ if environment is None else environment
+    return [environment[name].rstrip("/") + below for name, below in TABLE_FOLDERS if environment.get(name)]
+
+
+def table_specs(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """rank, id, spec: the JSON files of the folders (missing ones are passed over) and the own tables, a row each."""
+    own = spark.createDataFrame([(len(roots), name, json.dumps(spec)) for name, spec in OWN_TABLES.items()], "rank int, id string, spec string")
+    for rank, root in enumerate(roots):
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(root)
+            name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
+            own = own.union(files.select(F.lit(rank), name, F.col("value")))
+    return own
+
+
+def available_tables(spark: SparkSession, roots: list[str] | None = None) -> DataFrame:
+    """id, rank: every table once, with the first root that has it; by id."""
+    roots = table_roots() if roots is None else roots
+    return table_specs(spark, roots).groupBy("id").agg(F.min("rank").alias("rank")).orderBy("id")
+
+
+def load_tables(spark: SparkSession, ids: list[str], roots: list[str] | None = None) -> dict[str, Table]:
+    """The tables of these ids, each from the first root that has it; a table is a row of at most 256 numbers."""
+    roots = table_roots() if roots is None else roots
+    first = table_specs(spark, roots).filter(F.col("id").isin(ids)).groupBy("id").agg(F.min_by("spec", "rank").alias("spec"))
+    found = {r["id"]: table_from(json.loads(r["spec"])) for r in first.collect()}
+    if missing := [i for i in ids if i not in found]:
+        raise FileNotFoundError(f"no table {missing} below {roots} or in the package")
+    return found
+
+
 def bits_of(symbols: Column, counts: Column, total: Column) -> Column:
     """Sum of -log2(count / total) over an array of symbols; a missing count is taken as 1."""
     return F.aggregate(symbols, F.lit(0.0), lambda bits, s: bits - F.log2(F.greatest(F.get(counts, s), F.lit(1)) / total))
@@ -173,40 +214,115 @@ def unpack_symbols(symbols: Column) -> Column:
 
 # --- the coder ----------------------------------------------------------------------------------------------------
 
+#: Payloads that are coded side by side at least; the last longer ones go on alone.
+SIDE_BY_SIDE = 24
+
+
+def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order from the longest on, and how many are longer than 0, 1, 2, ... until few are."""
+    order = np.argsort(-lengths, kind="stable")
+    least = int(lengths[order[SIDE_BY_SIDE - 1]]) if len(lengths) >= SIDE_BY_SIDE else 0
+    longer = np.cumsum(np.bincount(lengths, minlength=1)[::-1])[::-1]  # of n or more
+    return order, longer[1 : least + 1]
+
+
+def encode_many(payloads: list[bytes], table: Table) -> list[bytes]:
+    """Streams of the payloads: number of symbols and final state, then what the state shed, 16 bits at a time.
+
+    All payloads take a step at a time, from their ends on, so a step is a few array operations.  A state sheds at most
+    once in a step, as it is below 2 ** 32 and a frequency is 1 at least.
+    """
+    precision = table.precision
+    freqs, cdf = np.array(table.freqs, dtype=np.int64), np.array(table.cdf, dtype=np.int64)
+    lengths = np.fromiter(map(len, payloads), dtype=np.int64, count=len(payloads))
+    raw = np.frombuffer(b"".join(payloads), dtype=np.uint8)
+    if (bad := np.flatnonzero(freqs[raw] == 0)).size:
+        raise ValueError(f"symbol {raw[bad[0]]} has no frequency")
+    order, active = _by_length(lengths)
+    last = (np.cumsum(lengths) - 1)[order]
+    state = np.full(len(payloads), FIRST_STATE, dtype=np.int64)
+    shed, n_shed = np.zeros(len(raw), dtype="<u2"), np.zeros(len(payloads), dtype=np.int64)
+    first = (np.cumsum(lengths) - lengths)[order]
+    for step, n in enumerate(active.tolist()):
+        s = raw[last[:n] - step]
+        f, x = freqs[s], state[:n]
+        over = np.flatnonzero(x >= f << (32 - precision))
+        shed[first[over] + n_shed[over]] = x[over] & 0xFFFF
+        n_shed[over] += 1
+        x[over] >>= 16
+        whole, part = np.divmod(x, f)
+        state[:n] = (whole << precision) + part + cdf[s]
+    out: list[bytes] = [b""] * len(payloads)
+    for i, at in enumerate(order.tolist()):
+        x, own = int(state[i]), bytearray(shed[first[i] : first[i] + n_shed[i]].tobytes())
+        for s in payloads[at][: max(0, int(lengths[at]) - len(active))][::-1]:
+            f = table.freqs[s]
+            while x >= f << (32 - precision):
+                own += (x & 0xFFFF).to_bytes(2, "little")
+                x >>= 16
+            whole, part = divmod(x, f)
+            x = (whole << precision) + part + int(cdf[s])
+        out[at] = struct.pack("<II", int(lengths[at]), x) + bytes(own)
+    return out
+
+
+def decode_many(streams: list[bytes], table: Table) -> list[bytes | None]:
+    """The payloads of streams; None for one that ends early."""
+    precision, low = table.precision, (1 << table.precision) - 1
+    freqs, cdf = np.array(table.freqs, dtype=np.int64), np.array(table.cdf, dtype=np.int64)
+    owner = np.repeat(np.arange(SYMBOLS, dtype=np.uint8), freqs)
+    sound = np.array([len(s) >= 8 and len(s) % 2 == 0 for s in streams], dtype=bool)
+    heads = [struct.unpack_from("<II", s) if good else (0, 0) for s, good in zip(streams, sound)]
+    # A symbol costs at most ``precision`` bits and a little, so a count far above that is damage.
+    lengths = np.array([h[0] for h in heads], dtype=np.int64)
+    state = np.array([h[1] for h in heads], dtype=np.int64)
+    words = np.frombuffer(b"".join([s[8:] if good else b"" for s, good in zip(streams, sound)]), dtype="<u2")
+    counts = np.array([(len(s) - 8) // 2 if good else 0 for s, good in zip(streams, sound)], dtype=np.int64)
+    begin = np.cumsum(counts) - counts
+    order, active = _by_length(lengths)
+    state, left, base = state[order], counts[order].copy(), begin[order]
+    ended = np.zeros(len(streams), dtype=bool)
+    steps = len(active)
+    out = np.zeros((steps, int(active[0]) if steps else 0), dtype=np.uint8)
+    for step, n in enumerate(active.tolist()):
+        x = state[:n]
+        slot = x & low
+        s = owner[slot]
+        out[step, :n] = s
+        x = freqs[s] * (x >> precision) + slot - cdf[s]
+        under = np.flatnonzero(x < FIRST_STATE)
+        ended[under] |= left[under] <= 0
+        under = under[left[under] > 0]
+        left[under] -= 1
+        x[under] = (x[under] << 16) | words[base[under] + left[under]]
+        state[:n] = x
+    result: list[bytes | None] = [None] * len(streams)
+    for i, at in enumerate(order.tolist()):
+        n = int(lengths[at])
+        own = bytearray(out[: min(n, steps), i].tobytes() if i < out.shape[1] else b"")
+        x, k, bad = int(state[i]), int(left[i]), bool(ended[i]) or not sound[at]
+        while len(own) < n and not bad:
+            slot = x & low
+            s = int(owner[slot])
+            own.append(s)
+            x = int(freqs[s]) * (x >> precision) + slot - int(cdf[s])
+            while x < FIRST_STATE and not bad:
+                k -= 1
+                bad = k < 0
+                x = x << 16 | int(words[base[i] + k]) if not bad else x
+        result[at] = None if bad else bytes(own)
+    return result
+
 
 def encode_bytes(symbols: bytes, table: Table) -> bytes:
-    """Number of symbols and final state, then what the state shed, 16 bits at a time."""
-    precision, freqs, cdf = table.precision, table.freqs, table.cdf
-    state, shed = FIRST_STATE, bytearray()
-    for s in reversed(symbols):
-        f = freqs[s]
-        if not f:
-            raise ValueError(f"symbol {s} has no frequency")
-        while state >= f << (32 - precision):
-            shed += (state & 0xFFFF).to_bytes(2, "little")
-            state >>= 16
-        whole, part = divmod(state, f)
-        state = (whole << precision) + part + cdf[s]
-    return struct.pack("<II", len(symbols), state) + bytes(shed)
+    return encode_many([symbols], table)[0]
 
 
 def decode_bytes(stream: bytes, table: Table) -> bytes:
-    precision, freqs, cdf = table.precision, table.freqs, table.cdf
-    low = (1 << precision) - 1
-    owner = [s for s in range(SYMBOLS) for _ in range(freqs[s])]
-    n, state = struct.unpack_from("<II", stream)
-    at, out = len(stream), bytearray()
-    for _ in range(n):
-        slot = state & low
-        s = owner[slot]
-        out.append(s)
-        state = freqs[s] * (state >> precision) + slot - cdf[s]
-        while state < FIRST_STATE:
-            if at < 10:
-                raise ValueError("the stream ends early")
-            at -= 2
-            state = (state << 16) | int.from_bytes(stream[at : at + 2], "little")
-    return bytes(out)
+    (out,) = decode_many([stream], table)
+    if out is None:
+        raise ValueError("the stream ends early")
+    return out
 
 
 def frame_stream(stream: bytes, table_id: str) -> bytes:
@@ -222,28 +338,72 @@ def unframe_stream(raw: bytes) -> tuple[str, bytes]:
     return raw[5 : 5 + raw[4]].decode("ascii"), raw[5 + raw[4] :]
 
 
-def encode_column(rows: DataFrame, table: Table, table_id: str, column: str, out: str) -> DataFrame:
-    """``rows`` with ``out``: the framed stream of a binary column's bytes (null stays null)."""
-    return _coded(rows, column, out, lambda raw: frame_stream(encode_bytes(raw, table), table_id))
-
+#: Bytes of payloads that are coded together.
+TOGETHER = 4_000_000
 
-def decode_column(rows: DataFrame, tables: dict[str, Table], column: str, out: str) -> DataFrame:
-    """The inverse; ``tables`` by the ids that streams name."""
 
-    def one(raw: bytes) -> bytes:
-        name, stream = unframe_stream(raw)
-        return decode_bytes(stream, tables[name])
+def _parts(values: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    part, size = [], 0
+    for v in values:
+        if part and size + len(v or b"") > TOGETHER:
+            yield part
+            part, size = [], 0
+        part.append(v)
+        size += len(v or b"")
+    if part:
+        yield part
 
-    return _coded(rows, column, out, one)
 
+def encode_column(rows: DataFrame, table: Table, table_id: str, column: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: the framed stream of a binary column's bytes (null stays null)."""
 
-def _coded(rows: DataFrame, column: str, out: str, one) -> DataFrame:
-    schema = T.StructType([*[f for f in rows.schema.fields if f.name != out], T.StructField(out, T.BinaryType())])
-    kept = [f.name for f in schema.fields[:-1]]
+    def many(values: list[bytes | None]) -> list[tuple]:
+        coded = iter(encode_many([v for v in values if v is not None], table))
+        return [(None,) if v is None else (frame_stream(next(coded), table_id),) for v in values]
+
+    return _coded(rows, column, [(out, T.BinaryType())], many)
+
+
+def decode_column(rows: DataFrame, tables: dict[str, Table], column: str, out: str, error: str | None = None) -> DataFrame:
+    """The inverse; ``tables`` by the ids that streams name.  A stream that can't be decoded gives its message in the column
+    ``error``, or fails the job if there is none."""
+
+    def many(values: list[bytes | None]) -> list[tuple]:
+        found: list[tuple] = [(None, None)] * len(values)
+        by_table: dict[str, list[tuple[int, bytes]]] = {}
+        for i, v in enumerate(values):
+            if v is not None:
+                try:
+                    name, stream = unframe_stream(v)
+                    tables[name]
+                    by_table.setdefault(name, []).append((i, stream))
+                except (ValueError, KeyError) as problem:
+                    found[i] = (None, str(problem) if isinstance(problem, ValueError) else f"no table {problem}")
+        for name, some in by_table.items():
+            for (i, _), raw in zip(some, decode_many([stream for _, stream in some], tables[name])):
+                found[i] = (raw, "the stream ends early" if raw is None else None)
+        if error is None:
+            if bad := next((m for _, m in found if m), None):
+                raise ValueError(bad)
+            return [f[:1] for f in found]
+        return found
+
+    return _coded(rows, column, [(out, T.BinaryType()), *([(error, T.StringType())] if error else [])], many)
+
+
+def _coded(rows: DataFrame, column: str, added: list[tuple[str, T.DataType]], many) -> DataFrame:
+    names = dict(added)
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name not in names], *[T.StructField(n, t) for n, t in added]])
+    kept = [f.name for f in schema.fields[: -len(added)]]
+    kinds = [pa.binary() if t == T.BinaryType() else pa.string() for _, t in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [one(v) if v is not None else None for v in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(values, pa.binary())], names=schema.names)
+            start = 0
+            for part in _parts(batch.column(column).to_pylist()):
+                columns = list(zip(*many(part)))
+                some = batch.slice(start, len(part))
+                start += len(part)
+                yield pa.RecordBatch.from_arrays([*[some.column(c) for c in kept], *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=schema.names)
 
     return rows.mapInArrow(run, schema)

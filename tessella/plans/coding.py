@@ -41,6 +41,13 @@ def cdf(spark, sf_dir):
     return entropy.cumulative(entropy.floor_shares(entropy.byte_counts(_documents(spark, sf_dir)), PRECISION))
 
 
+@query
+def table_ids(spark, sf_dir):
+    """The frequency tables that can be named."""
+    return entropy.available_tables(spark, []).select("id")
+
+
+SQL["table_ids"] = "SELECT 'v15_default' AS id"
 SQL["byte_histogram"] = f"WITH {_BYTES} SELECT sym, n FROM hist"
 SQL["freq_floor"] = f"WITH {_BYTES} SELECT sym, n, share FROM shares"
 SQL["cdf"] = f"WITH {_BYTES} SELECT sym, share, coalesce(sum(share) OVER (ORDER BY sym ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS below FROM shares"
@@ -54,6 +61,19 @@ def rans_table(spark, sf_dir):
     return spark.createDataFrame(rows, "sym int, freq int, below int")
 
 
+#: Shares cut off; what is over is taken from the smallest remainders, what is missing goes to the largest.
+SQL["rans_table"] = f"""WITH {_BYTES}, exact AS (
+  SELECT sym, n, share, n * 4096.0::DOUBLE / (SELECT sum(n) FROM hist) - share AS rest, sum(share) OVER () - 4096 AS over FROM shares
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY share > 1 ORDER BY rest, n, sym) AS low, row_number() OVER (ORDER BY rest DESC, n DESC, sym) AS high FROM exact
+), spent AS (
+  SELECT sym, share - (share > 1 AND low <= over)::BIGINT + (high <= -over)::BIGINT AS freq FROM ranked
+), every AS (
+  SELECT r.s::INT AS sym, coalesce(freq, 0)::INT AS freq FROM range(256) r(s) LEFT JOIN spent ON spent.sym = r.s
+)
+SELECT sym, freq, coalesce(sum(freq) OVER (ORDER BY sym ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS below FROM every"""
+
+
 @query
 def bits_estimate(spark, sf_dir):
     """Bits of each document by the shares of all bytes, cut off."""
@@ -111,11 +131,11 @@ def rans_sizes(spark, sf_dir):
 
 
 def _records(spark, sf_dir):
-    """Documents as records: ten to an image, the text's first bytes as payload."""
+    """Documents as records: ten to an image, the whole text as payload."""
     d = F.col("doc_id")
     rows = _documents(spark, sf_dir).select(
         F.expr("doc_id div 10").alias("img"), (d % 10).alias("tile_id"), (d % 47).alias("gen_id"), (d % 9).alias("qv_id"), (d * 7919 % 4294967296).alias("seed"), (d % 2).alias("rec_flags"),
-        F.lit(bitstream.RAW).alias("payload_fmt"), F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, 40).alias("payload"),
+        F.lit(bitstream.RAW).alias("payload_fmt"), F.coalesce("text", F.lit("")).cast("binary").alias("payload"),
     )
     header = F.concat(F.lit('{"width":'), (F.col("img") + 1).cast("string"), F.lit(',"height":64,"tile":32,"overlap":8}'))
     return rows, rows.select("img").distinct().withColumn("header", header)
@@ -129,7 +149,7 @@ def stream_roundtrip(spark, sf_dir):
 
 
 SQL["stream_roundtrip"] = """SELECT doc_id // 10 AS img, (doc_id // 10 + 1)::INT AS width, doc_id % 10 AS tile_id, (doc_id % 47)::INT AS gen_id, (doc_id % 9)::INT AS qv_id, doc_id * 7919 % 4294967296 AS seed, (doc_id % 2)::INT AS rec_flags,
-  substr(hex(encode(coalesce(text, ''))), 1, 80) AS payload, NULL::VARCHAR AS error FROM documents"""
+  hex(encode(coalesce(text, ''))) AS payload, NULL::VARCHAR AS error FROM documents"""
 
 
 @query
@@ -139,6 +159,23 @@ def crc32_records(spark, sf_dir):
     return rows.select("img", "tile_id", F.octet_length(packed).alias("bytes"), F.crc32(packed).alias("crc32"))
 
 
+_LE = lambda value, width: " || ".join(f"printf('%02X', (({value}) >> {8 * k}) & 255)" for k in range(width))
+#: A checksum in SQL: byte by byte over the hex digits, eight shifts for a byte.
+SQL["crc32_records"] = f"""WITH r AS (
+  SELECT doc_id // 10 AS img, doc_id % 10 AS tile_id, hex(encode(coalesce(text, ''))) AS p, {_LE('doc_id % 10', 4)} || {_LE('doc_id % 47', 2)} || {_LE('doc_id % 9', 2)} || {_LE('doc_id * 7919 % 4294967296', 4)} || {_LE('doc_id % 2', 2)} || '01' AS head
+  FROM documents
+), b AS (
+  SELECT img, tile_id, head || {_LE('length(p) // 2', 4)} || p AS h FROM r
+), c AS (
+  SELECT img, tile_id, length(h) // 2 + 4 AS bytes, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS l FROM b
+), d AS (
+  SELECT img, tile_id, bytes, xor(list_reduce(list_prepend(4294967295::BIGINT, l), lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))), 4294967295) AS body FROM c
+), e AS (
+  SELECT img, tile_id, bytes, body, [body & 255, (body >> 8) & 255, (body >> 16) & 255, (body >> 24) & 255] AS l FROM d
+)
+SELECT img, tile_id, bytes::INT AS bytes, xor(list_reduce(list_prepend(xor(body, 4294967295), l), lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))), 4294967295) AS crc32 FROM e"""
+
+
 def _old_blobs(spark, sf_dir):
     rows, _ = _records(spark, sf_dir)
 
