@@ -25,6 +25,8 @@ class CodecConfig:
     metric: str = "ssim"
     seed: int = 1234
     payload: str = "coded"
+    #: The rate of a candidate: "table", the sum of -log2 of its symbols' shares, or "exact", the bits of its payload.
+    bits: str = "exact"
     table_id: str = "v15_default"
     table: entropy.Table = entropy.UNIFORM
 
@@ -33,8 +35,8 @@ class CodecConfig:
             raise ValueError("0 <= overlap < tile")
         if not (self.rate_weight >= 0 and 0 <= self.mix <= 1):
             raise ValueError("the rate's weight is at least 0, the mix is 0 to 1")
-        if self.metric not in ("ssim", "mse", "mixed") or self.payload not in ("coded", "raw"):
-            raise ValueError("unknown metric or payload")
+        if self.metric not in ("ssim", "mse", "mixed") or self.payload not in ("coded", "raw") or self.bits not in ("table", "exact"):
+            raise ValueError("unknown metric, payload or rate")
 
 
 def distortion(tile: np.ndarray, made: np.ndarray, metric: str, mix: float) -> np.ndarray:
@@ -72,6 +74,8 @@ def search_tiles(images: DataFrame, config: CodecConfig) -> DataFrame:
     names = ["img", "tile_id", "seed", "cand_id", "steps", "d", "bits", "payload"]
     tries = search.candidates()
 
+    cost = entropy.symbol_bits(config.table)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
@@ -82,10 +86,17 @@ def search_tiles(images: DataFrame, config: CodecConfig) -> DataFrame:
                     made[shape] = np.stack([draw(*shape, c["freq"], c["ang"], c["phase"]) for c in tries])
                 d = distortion(np.array(r["data"]).reshape(shape), made[shape], config.metric, config.mix)
                 steps = [[c["i_f"], c["i_a"], c["i_p"]] for c in tries]
-                coded = [entropy.frame_stream(entropy.encode_bytes(symbols(r["seed"], s), config.table), config.table_id) for s in steps]
-                bits = np.array([8.0 * len(c) for c in coded])
+                plain = [symbols(r["seed"], s) for s in steps]
+                if config.bits == "exact":
+                    bits = np.array([8.0 * len(entropy.frame_stream(c, config.table_id)) for c in entropy.encode_many(plain, config.table)])
+                else:
+                    bits = cost[np.frombuffer(b"".join(plain), dtype=np.uint8).reshape(len(plain), -1)].sum(axis=1)
                 best = int(np.argmin(d + config.rate_weight * bits))
-                rows.append((r["img"], r["tile_id"], r["seed"], best, steps[best], float(d[best]), float(bits[best]), coded[best]))
+                rows.append((r["img"], r["tile_id"], r["seed"], best, steps[best], float(d[best]), float(bits[best]), plain[best]))
+            payloads = [entropy.frame_stream(c, config.table_id) for c in entropy.encode_many([r[-1] for r in rows], config.table)]
+            rows = [(*r[:-1], c) for r, c in zip(rows, payloads)]
+            if not rows:
+                continue
             columns = list(zip(*rows)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
@@ -109,32 +120,62 @@ def encode(images: DataFrame, config: CodecConfig = CodecConfig()) -> DataFrame:
     return blobs.join(counts, "img").select("img", "blob", "tiles", bpp.alias("bpp"))
 
 
-def decode(blobs: DataFrame, by: str = "seed", tables: dict[str, entropy.Table] | None = None) -> DataFrame:
-    """img, y, x, v of the images of blobs (img, blob).
+def checked_records(blobs: DataFrame, by: str = "seed", tables: dict[str, entropy.Table] | None = None) -> DataFrame:
+    """The records of blobs (img, blob) with symbols and error: what keeps a blob or a record from being decoded, or null.
+
+    Payloads are decoded whatever tiles are drawn from, so a damaged one is noticed.  A RAW payload holds no steps: it is
+    an error where tiles are drawn from them.
+    """
+    if by not in ("seed", "symbols"):
+        raise ValueError("tiles are drawn by seed or by symbols")
+    parsed = bitstream.parse_images(blobs).withColumn("_coded", F.when(F.col("payload_fmt") == bitstream.CODED, F.col("payload")))
+    decoded = entropy.decode_column(parsed, tables or {"v15_default": entropy.UNIFORM}, "_coded", "symbols", "_problem").drop("_coded")
+    byte = lambda k: F.conv(F.hex(F.substring("symbols", k + 1, 1)), 16, 10).cast("int")
+    size = F.octet_length("symbols")
+    whole = (size >= 11) & (byte(0) == entropy.TAG) & (size >= 11 + byte(10))
+    fits = (F.col("tile") > 0) & (F.col("overlap") >= 0) & (F.col("overlap") < F.col("tile")) & (F.col("width") > 0) & (F.col("height") > 0)
+    problem = (
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(~F.coalesce(fits, F.lit(False)), F.lit("the header has no sound sizes"))
+        .when(F.col("_problem").isNotNull(), F.col("_problem"))
+        .when((F.col("payload_fmt") == bitstream.CODED) & ~F.coalesce(whole, F.lit(False)), F.lit("not the symbols of a tile"))
+        .when((F.col("payload_fmt") == bitstream.RAW) & F.lit(by == "symbols"), F.lit("a RAW tile holds no steps"))
+        .when(~F.coalesce(F.col("payload_fmt").isin(bitstream.CODED, bitstream.RAW), F.lit(True)), F.lit("an unknown payload format"))
+    )
+    return decoded.withColumn("error", problem).drop("_problem")
+
+
+def problems(blobs: DataFrame, by: str = "seed", tables: dict[str, entropy.Table] | None = None) -> DataFrame:
+    """img, error: the first problem of each blob that can't be decoded."""
+    bad = checked_records(blobs, by, tables).filter(F.col("error").isNotNull())
+    return bad.groupBy("img").agg(F.min_by("error", F.coalesce("tile_id", F.lit(-1))).alias("error"))
+
+
+def decode(blobs: DataFrame, by: str = "seed", tables: dict[str, entropy.Table] | None = None, lenient: bool = False) -> DataFrame:
+    """img, y, x, v of the images of blobs (img, blob), each by the sizes of its own header.
 
     ``by`` "seed": a tile is drawn from the seed of its record, as the format's decoder does.  "symbols": from the
-    steps that the encoder chose.  Blobs that don't parse give no pixels.
+    steps that the encoder chose.  A blob that can't be decoded fails the job; with ``lenient`` its records are left
+    out, and ``problems`` tells them.
     """
-    records = bitstream.parse_images(blobs).filter("error is null and tile_id is not null")
+    records = checked_records(blobs, by, tables).filter("error is not null or tile_id is not null")
+    if lenient:
+        records = records.filter("error is null")
+    else:
+        named = F.concat(F.lit("image "), F.col("img").cast("string"), F.lit(": "), F.col("error"))
+        records = records.filter(F.when(F.col("error").isNull(), True).otherwise(F.raise_error(named).cast("boolean")))
     if by == "seed":
         drawn = records.select("*", *[c.alias(n) for n, c in search.seed_stripes(F.col("seed")).items()])
     else:
-        decoded = entropy.decode_column(records.filter(F.col("payload_fmt") == bitstream.CODED), tables or {"v15_default": entropy.UNIFORM}, "payload", "symbols")
         step = lambda k: F.conv(F.hex(F.substring("symbols", 12 + k, 1)), 16, 10).cast("int") - 128
         pick = lambda values, k: F.get(F.array(*[F.lit(v) for v in values]), step(k))
-        drawn = decoded.select("*", pick(search.FREQUENCIES, 0).alias("freq"), pick(search.ANGLES, 1).alias("ang"), pick(search.PHASES, 2).alias("phase"))
-    # The grid is that of the decoder; its tiles are as many as the records, in their order, and of one size.
-    first = drawn.select(F.first("tile").alias("t"), F.first("overlap").alias("o"), F.countDistinct("tile", "overlap").alias("n")).first()
-    if first is None or not first["n"]:
-        return blobs.sparkSession.createDataFrame([], "img long, y int, x int, v double")
-    if first["n"] > 1:
-        raise ValueError("decode blobs of one tile size at a time")
-    size, overlap = first["t"], first["o"]
-    dims = drawn.select("img", F.col("height").alias("h"), F.col("width").alias("w")).distinct()
-    grid = tiling.tiles(dims, size, overlap, clipped=False)
-    joined = grid.join(drawn.select("img", "tile_id", "freq", "ang", "phase"), ["img", "tile_id"])
-    at = joined.select("*", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y")).select("*", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"))
+        drawn = records.select("*", pick(search.FREQUENCIES, 0).alias("freq"), pick(search.ANGLES, 1).alias("ang"), pick(search.PHASES, 2).alias("phase"))
+    # The grid is that of the decoder; its tiles are as many as the records, in their order.  A record has its header's
+    # sizes, so it finds its own place.
+    drawn = drawn.select("img", F.col("tile_id").alias("_tile"), F.col("height").alias("h"), F.col("width").alias("w"), F.col("tile").alias("size"), "overlap", "freq", "ang", "phase")
+    grid = tiling.tiles(drawn, F.col("size"), F.col("overlap"), clipped=False).filter(F.col("tile_id") == F.col("_tile"))
+    at = grid.select("*", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y")).select("*", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"))
     at = at.withColumns({"ty": F.col("y") - F.col("y0"), "tx": F.col("x") - F.col("x0")})
-    unit = lambda c: search.unit(F.col(c), F.lit(size))
+    unit = lambda c: search.unit(F.col(c), F.col("size"))
     values = at.withColumn("v", search.stripes(unit("tx"), unit("ty"), F.col("freq"), F.col("ang"), F.col("phase")))
-    return tiling.blend(values, size, overlap)
+    return tiling.blend(values, F.col("size"), F.col("overlap"))

@@ -176,9 +176,14 @@ def bits_of(symbols: Column, counts: Column, total: Column) -> Column:
     return F.aggregate(symbols, F.lit(0.0), lambda bits, s: bits - F.log2(F.greatest(F.get(counts, s), F.lit(1)) / total))
 
 
+def symbol_bits(table: Table) -> np.ndarray:
+    """-log2 of each symbol's share; a missing one is taken as 1."""
+    return -np.log2(np.maximum(np.array(table.freqs, dtype=float), 1) / (1 << table.precision))
+
+
 def estimated_bits(rows: DataFrame, table: Table, key: str = "doc_id", column: str = "text") -> DataFrame:
     """key, bits: the rate of each row's bytes under a table, from the row's histogram."""
-    cost = -np.log2(np.maximum(np.array(table.freqs, dtype=float), 1) / (1 << table.precision))
+    cost = symbol_bits(table)
     schema = T.StructType([rows.schema[key], T.StructField("bits", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

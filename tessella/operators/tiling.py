@@ -9,22 +9,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def starts(length: Column, size: int, overlap: int, clipped: bool) -> Column:
-    """Starts of tiles on an axis, in order.
+def _number(value: Column | int) -> Column:
+    return F.lit(value) if isinstance(value, int) else value
+
+
+def starts(length: Column, size: Column | int, overlap: Column | int, clipped: bool) -> Column:
+    """Starts of tiles on an axis, in order; size and overlap are numbers or columns.
 
     ``clipped``: the grid of the encoder, whose last tile is cut at the border.  Else the grid of the decoder, whose
     last tile is moved back to end at the border.
     """
-    if not 0 <= overlap < size:
+    if isinstance(size, int) and isinstance(overlap, int) and not 0 <= overlap < size:
         raise ValueError("0 <= overlap < size")
+    size, overlap = _number(size), _number(overlap)
     stride = size - overlap
     if clipped:
-        return F.sequence(F.lit(0), F.greatest(length - overlap, F.lit(1)) - 1, F.lit(stride))
+        return F.sequence(F.lit(0), F.greatest(length - overlap, F.lit(1)) - 1, stride)
     last = F.greatest(length - size, F.lit(0))
-    return F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last)))
+    return F.array_distinct(F.concat(F.sequence(F.lit(0), last, stride), F.array(last)))
 
 
-def tiles(dims: DataFrame, size: int, overlap: int, clipped: bool = False) -> DataFrame:
+def tiles(dims: DataFrame, size: Column | int, overlap: Column | int, clipped: bool = False) -> DataFrame:
     """The columns of ``dims`` (h and w among them) with tile_id, y0, x0, y1, x1; rows first."""
     grid = dims.withColumns({"_ys": starts(F.col("h"), size, overlap, clipped), "_xs": starts(F.col("w"), size, overlap, clipped)})
     grid = grid.select("*", F.posexplode("_ys").alias("_iy", "y0")).select("*", F.posexplode("_xs").alias("_ix", "x0"))
@@ -55,26 +60,22 @@ def tile_pixels(pixels: DataFrame, dims: DataFrame, size: int, overlap: int, cli
 # --- windows and masks ------------------------------------------------------------------------------------------
 
 
-def hann(i: Column, n: int, overlap: int) -> Column:
+def hann(i: Column, n: Column | int, overlap: Column | int) -> Column:
     """A ramp of half a cosine over ``overlap`` (at most half) places at both ends, 1 between."""
-    ramp = min(overlap, n // 2)
-    if ramp <= 0:
-        return F.lit(1.0)
-    edge = F.least(i, n - 1 - i)
-    rise = 0.5 * (1 - F.cos(F.lit(3.141592653589793) * edge / max(ramp - 1, 1))) if ramp > 1 else F.lit(0.0)
+    n = _number(n)
+    ramp, edge = F.least(_number(overlap), F.floor(n / 2).cast("int")), F.least(i, n - 1 - i)
+    rise = F.when(ramp > 1, 0.5 * (1 - F.cos(F.lit(3.141592653589793) * edge / F.greatest(ramp - 1, F.lit(1))))).otherwise(0.0)
     return F.when(edge < ramp, rise).otherwise(1.0)
 
 
-def tukey(i: Column, n: int, alpha: float) -> Column:
+def tukey(i: Column, n: Column | int, alpha: Column | float) -> Column:
     """Tapered cosine; ``alpha`` is the tapered share."""
-    if alpha <= 0 or n == 1:
-        return F.lit(1.0)
-    alpha = min(alpha, 1.0)
+    n = _number(n)
+    alpha = F.least(F.lit(float(alpha)) if isinstance(alpha, (int, float)) else alpha, F.lit(1.0))
     # Both ends alike, by the distance from the nearer one.
-    t = F.least(i, n - 1 - i) / (n - 1)
-    return F.when(t < alpha / 2, 0.5 * (1 + F.cos(F.lit(3.141592653589793) * (2 * t / alpha - 1)))).otherwise(1.0)
-
-
+    t = F.least(i, n - 1 - i) / F.greatest(n - 1, F.lit(1))
+    tapered = (alpha > 0) & (n > 1) & (t < alpha / 2)
+    return F.when(tapered, 0.5 * (1 + F.cos(F.lit(3.141592653589793) * (2 * t / F.greatest(alpha, F.lit(1e-12)) - 1)))).otherwise(1.0)
 
 
 def kaiser_table(spark, n: int, beta: float = 6.5) -> DataFrame:
@@ -89,12 +90,12 @@ def kaiser_table(spark, n: int, beta: float = 6.5) -> DataFrame:
     return places.select("i", (series(z) / series(F.lit(float(beta)))).alias("w"))
 
 
-def window(kind: str, dy: Column, dx: Column, size: int, overlap: int) -> Column:
+def window(kind: str, dy: Column, dx: Column, size: Column | int, overlap: Column | int) -> Column:
     """The separable weight of a pixel of a tile: hann, or tukey whose share is that of the overlap."""
     if kind == "hann":
         return hann(dy, size, overlap) * hann(dx, size, overlap)
     if kind == "tukey":
-        alpha = min(max(2 * overlap / size, 0.0), 1.0)
+        alpha = F.least(F.greatest(2 * _number(overlap) / _number(size), F.lit(0.0)), F.lit(1.0))
         return tukey(dy, size, alpha) * tukey(dx, size, alpha)
     raise ValueError(f"unknown window {kind!r}")
 
@@ -116,7 +117,7 @@ def border_mask(y: Column, x: Column, height: Column | int, width: Column | int,
     return F.when(_edge(y, x, height, width) < border, 1.0).otherwise(0.0)
 
 
-def blend(tile_values: DataFrame, size: int, overlap: int, kind: str = "hann") -> DataFrame:
+def blend(tile_values: DataFrame, size: Column | int, overlap: Column | int, kind: str = "hann") -> DataFrame:
     """img, y, x, v from the pixels of tiles (img, ty, tx, y, x, v): the weighted mean of the tiles over a pixel."""
     w = window(kind, F.col("ty"), F.col("tx"), size, overlap)
     sums = tile_values.withColumn("_w", w).groupBy("img", "y", "x").agg(F.sum(F.col("_w") * F.col("v")).alias("_s"), F.sum("_w").alias("_w"))

@@ -86,6 +86,76 @@ def test_encode_decode(spark):
     assert bitstream.unpack_stream(bytes(raw["blob"]))[1][0].payload == b"raw"
 
 
+def test_decode_by_each_header(spark):
+    """Images of several tile sizes are decoded together; each as alone."""
+    images = raster.wide(image(spark, codec.draw(40, 48, 4, 30, 180)))
+    coded = [codec.encode(images.withColumn("img", F.lit(n).cast("long")), codec.CodecConfig(tile=t, overlap=o, seed=5)) for n, (t, o) in enumerate(((48, 0), (16, 4), (24, 8)))]
+    together = coded[0].union(coded[1]).union(coded[2])
+    for by in ("seed", "symbols"):
+        found = {(r["img"], r["y"], r["x"]): r["v"] for r in codec.decode(together, by).collect()}
+        alone = {(r["img"], r["y"], r["x"]): r["v"] for one in coded for r in codec.decode(one, by).collect()}
+        assert len(found) == 3 * 40 * 48 and found == pytest.approx(alone)
+
+
+def test_decode_tells_what_it_cannot(spark):
+    images = raster.wide(image(spark, codec.draw(16, 16, 4, 30, 180)))
+    good = bytes(codec.encode(images, codec.CodecConfig(tile=16, overlap=0)).first()["blob"])
+    raw = bytes(codec.encode(images, codec.CodecConfig(tile=16, overlap=0, payload="raw")).first()["blob"])
+    header, (record,) = bitstream.unpack_stream(good)
+    framed = lambda payload, h=header: bitstream.pack_header(h) + bitstream.pack_records([record._replace(payload=payload)])
+    table, stream = entropy.unframe_stream(record.payload)
+    other = entropy.frame_stream(entropy.encode_bytes(b"\1" + b"\0" * 20, entropy.UNIFORM), table)
+    cases = {
+        0: good, 1: raw, 2: b"nothing", 3: framed(b"ANS"), 4: framed(entropy.frame_stream(stream, "missing")), 5: framed(entropy.frame_stream(stream[:-2], table)), 6: framed(other), 7: framed(record.payload, header | {"tile": 0}), 8: None,
+    }
+    blobs = spark.createDataFrame([(k, v) for k, v in cases.items()], "img long, blob binary")
+    by_seed = {r["img"]: r["error"] for r in codec.problems(blobs).collect()}
+    assert by_seed.keys() == {2, 3, 4, 5, 6, 7, 8} and "missing" in by_seed[4] and "early" in by_seed[5] and "symbols" in by_seed[6] and "sizes" in by_seed[7]
+    by_symbols = {r["img"]: r["error"] for r in codec.problems(blobs, by="symbols").collect()}
+    assert by_symbols.keys() == {*by_seed, 1} and "RAW" in by_symbols[1]
+    assert {r["img"] for r in codec.decode(blobs, lenient=True).collect()} == {0, 1}
+    assert {r["img"] for r in codec.decode(blobs, by="symbols", lenient=True).collect()} == {0}
+    with pytest.raises(Exception, match="image 1: a RAW tile holds no steps"):
+        codec.decode(blobs.filter("img < 2"), by="symbols").collect()
+
+
+def test_rates_of_candidates(spark):
+    """Under the uniform table a symbol costs 8 bits; exact bits are those of the framed payload."""
+    images = raster.wide(image(spark, codec.draw(16, 16, 4, 30, 180)))
+    found = {b: codec.search_tiles(images, codec.CodecConfig(tile=16, overlap=0, bits=b)).first() for b in ("table", "exact")}
+    assert found["table"]["bits"] == 8 * 14 and found["exact"]["bits"] == 8 * 38
+    assert found["table"]["cand_id"] == found["exact"]["cand_id"] and found["table"]["payload"] == found["exact"]["payload"]
+
+
+def test_tables_by_id(spark, tmp_path):
+    own, models = tmp_path / "own", tmp_path / "models"
+    (models / "rans").mkdir(parents=True)
+    own.mkdir()
+    (own / "a.json").write_text(json.dumps({"counts": [1, 1], "precision_bits": 4}))
+    (models / "rans" / "a.json").write_text(json.dumps({"counts": [3, 1], "precision_bits": 4}))
+    (models / "rans" / "b.json").write_text(json.dumps({"freqs": [16] + [0] * 255, "precision": 4}))
+    roots = entropy.table_roots({"TESSELLA_RANS_TABLES": str(own), "TESSELLA_MODELS_DIR": str(models)})
+    assert [tuple(r) for r in entropy.available_tables(spark, roots).collect()] == [("a", 0), ("b", 1), ("v15_default", 2)]
+    found = entropy.load_tables(spark, ["a", "b", "v15_default"], roots)
+    assert found["a"].freqs[:2] == (8, 8) and found["b"].freqs[0] == 16 and found["v15_default"] == entropy.UNIFORM
+    assert entropy.load_tables(spark, ["a"], roots[1:])["a"].freqs[:2] == (12, 4)
+    with pytest.raises(FileNotFoundError):
+        entropy.load_tables(spark, ["c"], [*roots, str(tmp_path / "no such folder")])
+
+
+def test_many_payloads_side_by_side():
+    draw = random.Random(7)
+    payloads = [bytes(draw.choices(b"abcdef", weights=(9, 7, 5, 3, 2, 1), k=draw.choice((0, 1, 2, 30, 31, 400, 5000)))) for _ in range(90)]
+    counts = [sum(p.count(s) for p in payloads) for s in range(256)]
+    made = entropy.normalised(counts, 12)
+    coded = entropy.encode_many(payloads, made)
+    assert coded == [entropy.encode_bytes(p, made) for p in payloads] and entropy.decode_many(coded, made) == payloads
+    cut = [c[:-2] if i % 3 == 0 and len(c) > 8 else c for i, c in enumerate(coded)]
+    for p, c, w, back in zip(payloads, cut, coded, entropy.decode_many(cut, made)):
+        assert back == p if c == w else back is None or back != p
+    assert entropy.decode_many([b"", b"1234567", coded[0]], made)[:2] == [None, None]
+
+
 def test_table_normalisation():
     draw = random.Random(3)
     for precision, present in itertools.product((8, 9, 12, 15), (1, 2, 17, 200, 256)):
