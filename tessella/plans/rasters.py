@@ -299,12 +299,58 @@ def rd_ssim(spark, sf_dir):
 
 @query
 def clamp_params(spark, sf_dir):
-    """Pixels of a line as parameters, clamped to bounds that depend on their place."""
-    lines = pixels(spark, sf_dir).filter("x < 3").groupBy("img", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: p["v"]).alias("p"))
-    low, high = (F.array(*[F.lit(v) for v in b]) for b in ((-0.05, -0.1, 0.0), (0.05, 0.1, 0.2)))
-    held = search.clamp(F.col("p"), low, high)
-    return lines.select("img", "y", *[tidy(F.get(held, F.lit(k))).alias(f"p{k}") for k in range(3)])
-
-
-_HELD = [f"max(CASE WHEN x = {k} THEN least(greatest(v, {a}), {b}) END)" for k, (a, b) in enumerate(((-0.05, 0.05), (-0.1, 0.1), (0.0, 0.2)))]
-SQL["clamp_params"] = f"WITH {PIXELS} SELECT img, y, {', '.join(f'{sql_tidy(h)} AS p{k}' for k, h in enumerate(_HELD))} FROM pix GROUP BY img, y"
+    """The pixels of a line as parameters, clamped to bounds that depend on their place."""
+    lines = pixels(spark, sf_dir).groupBy("img", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: p["v"]).alias("p"))
+    low = F.transform("p", lambda _, k: -0.05 * (1 + k % 3))
+    high = F.transform("p", lambda _, k: 0.05 * (1 + k % 4))
+    return lines.select("img", "y", F.posexplode(search.clamp(F.col("p"), low, high)).alias("x", "v")).select("img", "y", "x", tidy(F.col("v")).alias("v"))
+
+
+SQL["clamp_params"] = f"WITH {PIXELS}, held AS (SELECT img, y, x, least(greatest(v, -0.05 * (1 + x % 3)), 0.05 * (1 + x % 4)) AS v FROM pix) SELECT img, y, x, {sql_tidy('v')} AS v FROM held"
+
+
+#: The structural similarity of each candidate: tiles as images of their own, blurred by both axes.
+_SSIM_TILES = f"""{_scored(0.0).partition(', s AS (')[0].replace('SELECT t.img, tile_id, v, ', 'SELECT t.img, tile_id, y - y0 AS ty, x - x0 AS tx, v, ').replace('SELECT img, tile_id, cand_id, freq, ang, phase, m, pow(', 'SELECT img, tile_id, ty, tx, cand_id, v AS a, least(greatest(CAST_B, -1), 1) AS b, pow(')}"""
+
+
+def _by_ssim(mix: float) -> str:
+    wave = "cos(2 * pi() * freq * (ux * cos(radians(ang)) + uy * sin(radians(ang))) + radians(phase))"
+    start = _SSIM_TILES.replace("CAST_B", wave)
+    like = "(2 * r.a * r.b + 1e-4) * (2 * (r.ab - r.a * r.b) + 9e-4) / ((r.a * r.a + r.b * r.b + 1e-4) * (r.aa - r.a * r.a + r.bb - r.b * r.b + 9e-4))"
+    key = "img, tile_id, cand_id"
+    return f"""{start}, {_TAPS}, p AS (SELECT *, a * a AS aa, b * b AS bb, a * b AS ab FROM e
+), q AS (SELECT {key}, ty, tx - k AS tx, {_BLUR} FROM p, taps GROUP BY {key}, ty, tx - k
+), r AS (SELECT {key}, ty - k AS ty, tx, {_BLUR} FROM q, taps GROUP BY {key}, ty - k, tx
+), d AS (
+  SELECT {key}, {mix} * (1 - avg(least(greatest({like}, 0), 1))) + {1 - mix} * avg(pow(p.a - p.b, 2)) AS d FROM r JOIN p USING (img, tile_id, cand_id, ty, tx) GROUP BY {key}
+), w AS (SELECT *, row_number() OVER (PARTITION BY img, tile_id ORDER BY round(d, 9), cand_id) AS rank FROM d)
+SELECT img, tile_id, cand_id, {sql_tidy('d')} AS d, 304.0::DOUBLE AS bits FROM w WHERE rank = 1"""
+
+
+SQL["rd_ssim"] = _by_ssim(1.0)
+SQL["rd_mixed"] = _by_ssim(0.7)
+
+
+def _drawn(choice: str) -> str:
+    """Tiles drawn and blended again: the lines of each image.  ``choice``: tables that end in c (img, tile_id, freq, ang, phase)."""
+    unit = lambda c: f"(-1.0 + 2.0 * {c} / {SIZE - 1})"
+    return f"""{choice}, dec AS ({_grid(False).partition('starts AS (')[2].partition('), tiles')[0].replace('SELECT img, h, w,', 'SELECT img, h, w,')}
+), dtiles AS (
+  SELECT img, ((iy - 1) * len(xs) + ix - 1)::INT AS tile_id, ys[iy]::INT AS y0, xs[ix]::INT AS x0, least(ys[iy] + {SIZE}, h)::INT AS y1, least(xs[ix] + {SIZE}, w)::INT AS x1
+  FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS ix FROM (SELECT *, unnest(range(1, len(ys) + 1)) AS iy FROM dec))
+), px AS (
+  SELECT t.img, y0 + ty AS y, x0 + tx AS x, {_HANN.format('ty')} * {_HANN.format('tx')} AS wgt,
+         cos(2 * pi() * freq * ({unit('tx')} * cos(radians(ang)) + {unit('ty')} * sin(radians(ang))) + radians(phase)) AS v
+  FROM dtiles t JOIN c USING (img, tile_id), range({SIZE}) a(ty), range({SIZE}) b(tx) WHERE y0 + ty < y1 AND x0 + tx < x1
+), bl AS (SELECT img, y, x, sum(wgt * v) / (sum(wgt) + 1e-8) AS v FROM px GROUP BY img, y, x)
+SELECT img, y::INT AS y, count(*) AS n, {sql_tidy('avg(v)')} AS mean FROM bl GROUP BY img, y"""
+
+
+_SEEDED = f"""WITH {PIXELS}{_grid(True)}, sa AS (
+  SELECT img, tile_id, xor(1337::HUGEINT, {0x9E3779B1} * tile_id::HUGEINT) AS x FROM tiles
+), sb AS (SELECT img, tile_id, (xor(x, x >> 16) * 2246822507) & 4294967295::HUGEINT AS x FROM sa
+), sc AS (SELECT img, tile_id, (xor(x, x >> 13) * 3266489909) & 4294967295::HUGEINT AS x FROM sb
+), sd AS (SELECT img, tile_id, xor(x, x >> 16)::BIGINT AS seed FROM sc
+), c AS (SELECT img, tile_id, 3 + seed % 9 AS freq, (seed // 7) % 180 AS ang, (seed >> 8) % 360 AS phase FROM sd)"""
+SQL["decode_images"] = _drawn(_SEEDED)
+SQL["decode_symbols"] = _drawn(f"{_by_ssim(1.0).rpartition('SELECT img, tile_id, cand_id')[0]}, c AS (SELECT w.img, w.tile_id, freq, ang, phase FROM w JOIN cand USING (cand_id) WHERE rank = 1)")
