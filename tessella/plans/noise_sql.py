@@ -73,6 +73,10 @@ def _square(shift: float) -> str:
     return f"((a + j1 - {shift}) * (a + j1 - {shift}) + (b + j2 - {shift}) * (b + j2 - {shift}))"
 
 
+#: Distances of a pixel from a site.
+_apart = {"euclidean": f"sqrt({_square(0.0)})", "manhattan": "abs(a + j1) + abs(b + j2)", "chebyshev": "greatest(abs(a + j1), abs(b + j2))"}
+
+
 def _displaced(p: dict, dx: int, dy: int, other: int, value: str) -> str:
     return (
         _gradient("nx", "x", "y", repr(p["dist_scale"]))
@@ -110,7 +114,7 @@ def kernel_sql(name: str, p: dict, height: int, width: int, seeds: tuple[int, ..
         "PEBBLES": lambda: _sites(p["scale"]) + _per_pixel(f"exp(-min({_square(0.5)}) / pow({p['smooth']!r}, 2))"),
         "VORONOI_CELLS": lambda: _sites(p["scale"]) + _per_pixel(f"exp(-{p['contrast']!r} * sqrt(min({_square(0.0)})))"),
         "VORONOI_EDGES": lambda: _sites(p["scale"]) + _per_pixel(f"1 - exp(-{p['sharp']!r} * (list_sort(list({_square(0.0)}))[2] - min({_square(0.0)})))"),
-        "WORLEY": lambda: _sites(p["scale"]) + _per_pixel(_clamp(f"min(sqrt({_square(0.0)})) / 1.5", "0")),
+        "WORLEY": lambda: _sites(p["scale"]) + _per_pixel(f"{'1 - ' if p['invert'] else ''}{_clamp(f'min({_apart[p["metric"]]}) / 1.5', '0')}"),
         "STARFIELD": lambda: _sites(p["cells"]) + _per_pixel(f"max(CASE WHEN j1 < {p['density']!r} THEN exp(-{_square(0.5)} / (2 * pow({p['sigma']!r}, 2))) ELSE -1.0 END)"),
         "GAUSSIAN_SPOTS": lambda: _sites(p["cells"]) + f""", e AS (SELECT s, py, px, sum(CASE WHEN j1 < {p['density']!r} THEN exp(-0.5 * {_square(0.0)} / pow({p['sigma']!r}, 2)) ELSE 0 END) AS e FROM w GROUP BY s, py, px
 ), t AS (SELECT s, py, px, e / greatest(max(e) OVER (PARTITION BY s), 1e-6) AS v FROM e)""",

@@ -2,33 +2,49 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import noise
-from ..functions.params import at_share, catalogue, coarse
+from ..functions.params import at_share, catalogue
 from ..functions.patterns import PATTERNS
 from ..operators import rendering
 from .common import sql_tidy, tidy
+from .formula_sql import formula_sql
 from .noise_sql import kernel_sql
 
 HEIGHT, WIDTH = 40, 48
 #: Off the middle, so that no pixel lies on the edge of a cell.
-SHARE = 0.37
+SHARES = (0.37, 0.61)
 SEEDS = (42, -7)
 QUERIES, SQL = {}, {}
 
 
+def _points(pattern) -> list[dict]:
+    """Two points of the parameters; where there are choices, each with either truth value."""
+    points = [at_share(pattern, share) for share in SHARES]
+    for p in pattern.params:
+        if p.type in ("enum", "bool"):
+            points = [q | {p.name: v} for q in points[:1] if p.type == "enum" for v in p.choices] or [q | {p.name: v} for q in points for v in (False, True)]
+    return points
+
+
 def _formula(pattern):
     def run(spark, sf_dir):
-        drawn = rendering.render_formula(pattern, at_share(pattern, SHARE), spark.range(1).select(), HEIGHT, WIDTH)
-        return drawn.select("py", "px", tidy(F.col("v")).alias("v"))
+        drawn = None
+        for n, values in enumerate(_points(pattern)):
+            one = rendering.render_formula(pattern, values, spark.range(1).select(F.lit(n).alias("sample_id")), HEIGHT, WIDTH)
+            drawn = one if drawn is None else drawn.union(one)
+        return drawn.select("sample_id", "py", "px", tidy(F.col("v")).alias("v"))
 
     return run
 
 
 def _kernel(pattern):
     def run(spark, sf_dir):
-        jobs = rendering.jobs(spark, pattern.name, [at_share(pattern, SHARE)] * len(SEEDS), list(SEEDS))
+        samples = [(p, s) for p in _points(pattern) for s in SEEDS]
+        jobs = rendering.jobs(spark, pattern.name, *map(list, zip(*samples)))
         drawn = rendering.narrow(rendering.render_images(jobs, HEIGHT, WIDTH), WIDTH)
         return drawn.select("sample_id", "py", "px", tidy(F.col("v")).alias("v"))
 
@@ -38,15 +54,10 @@ def _kernel(pattern):
 for _p in PATTERNS.values():
     _name = f"gen_{_p.name.lower()}"
     QUERIES[_name] = _kernel(_p) if _p.noise else _formula(_p)
-    if _p.noise:
-        if _sql := kernel_sql(_p.name, at_share(_p, SHARE), HEIGHT, WIDTH, SEEDS):
-            SQL[_name] = _sql
-    else:
-        _values = ", ".join(f"{float(v)!r}::DOUBLE AS {k}" for k, v in at_share(_p, SHARE).items())
-        SQL[_name] = f"""WITH g AS (
-  SELECT (i // {WIDTH})::INT AS py, (i % {WIDTH})::INT AS px, -1.0::DOUBLE + 2.0::DOUBLE * (i % {WIDTH}) / {WIDTH - 1} AS x, -1.0::DOUBLE + 2.0::DOUBLE * (i // {WIDTH}) / {HEIGHT - 1} AS y, {_values}
-  FROM (SELECT unnest(range({HEIGHT * WIDTH})) AS i)
-), r AS (SELECT py, px, ({_p.formula})::DOUBLE AS v FROM g) SELECT py, px, {sql_tidy('v')} AS v FROM r"""
+    if not _p.noise:
+        SQL[_name] = formula_sql(_p.name, _points(_p), HEIGHT, WIDTH)
+    elif kernel_sql(_p.name, at_share(_p, SHARES[0]), HEIGHT, WIDTH, SEEDS):
+        SQL[_name] = " UNION ALL ".join(f"SELECT sample_id + {n * len(SEEDS)} AS sample_id, py, px, v FROM ({kernel_sql(_p.name, q, HEIGHT, WIDTH, SEEDS)})" for n, q in enumerate(_points(_p)))
 
 
 def gen_catalog(spark, sf_dir):
@@ -55,14 +66,44 @@ def gen_catalog(spark, sf_dir):
     return rows.groupBy("name", "noise").agg(F.count("*").alias("params"), F.sort_array(F.collect_list("param")).cast("string").alias("names"))
 
 
+#: The audit's images: 64 x 64, the middle of each range, sixteen seeds.
+AUDIT, AUDIT_SEEDS = 64, tuple(range(16))
+
+
+def _audited(spark):
+    """name, sample_id, data: the images of every pattern."""
+    parts = []
+    for pattern in PATTERNS.values():
+        values = at_share(pattern, 0.5)
+        if pattern.noise:
+            jobs = rendering.jobs(spark, pattern.name, [values] * len(AUDIT_SEEDS), list(AUDIT_SEEDS))
+            parts.append(("kernel", jobs))
+        else:
+            # A formula has no seed: its image is drawn once, and stands for all.
+            drawn = rendering.render_formula(pattern, values, spark.range(1).select(F.lit(pattern.name).alias("name")), AUDIT, AUDIT)
+            line = F.transform(F.array_sort(F.collect_list(F.struct("py", "px", "v"))), lambda x: x["v"]).alias("data")
+            parts.append(("formula", drawn.groupBy("name").agg(line).select("name", F.explode(F.array(*map(F.lit, AUDIT_SEEDS))).alias("sample_id"), "data")))
+    kernels = reduce(DataFrame.union, [p for kind, p in parts if kind == "kernel"]).repartition(16)
+    images = rendering.render_images(kernels, AUDIT, AUDIT).select("name", "sample_id", "data")
+    return reduce(DataFrame.union, [p for kind, p in parts if kind == "formula"], images)
+
+
 def gen_audit(spark, sf_dir):
-    """Every kernel at the middle and the low end of its parameters: range and soundness."""
-    jobs = None
-    for name in sorted(noise.KERNELS):
-        some = rendering.jobs(spark, name, coarse(PATTERNS[name]), list(SEEDS))
-        jobs = some if jobs is None else jobs.union(some)
-    found = rendering.audit(rendering.render_images(jobs.repartition(8), HEIGHT, WIDTH))
-    return found.select("name", "images", tidy(F.col("low")).alias("low"), tidy(F.col("high")).alias("high"), tidy(F.col("mean")).alias("mean"), "sound")
+    """Every pattern in the middle of its ranges, sixteen images each: range, soundness, and whether a rerun is equal."""
+    found = rendering.audit(_audited(spark))
+    digest = lambda c: _audited(spark).groupBy("name").agg(F.sum(F.crc32(F.to_json("data").cast("binary")) * (F.col("sample_id") + 1)).alias(c))
+    same = digest("one").join(digest("two"), "name").select("name", (F.col("one") == F.col("two")).alias("repeats"))
+    return found.join(same, "name").select("name", "images", tidy(F.col("low")).alias("low"), tidy(F.col("high")).alias("high"), tidy(F.col("mean")).alias("mean"), "sound", "repeats")
 
 
 QUERIES |= {"gen_catalog": gen_catalog, "gen_audit": gen_audit}
+#: The catalogue stated anew: each pattern's parameters, and whether it needs noise.
+CATALOGUE = """ANGLE_GRADIENT angle_start_deg angle_end_deg; BRICK rows cols mortar; BRICK_NOISE* rows cols mortar contrast; CHECKER_DISTORTED* cells dist_scale dist_amp; CHECKER cells angle_deg;
+COMPOSITE* base_id warp_id mask_id pal_id base_q warp_q mask_q pal_q; CONCENTRIC_SQUARES freq phase; DIAMOND_GRID cells thick; DOTS cells radius; FBM_RIDGED* scale octaves gain; GABOR freq angle_deg sigma phase;
+GABOR_BANK freq sigma bands; GABOR_NOISE* freq sigma dist_scale dist_amp; GAUSSIAN_SPOTS* cells sigma density; GRADIENT_LINEAR angle_deg bias scale; GRADIENT_RADIAL cx cy scale; HERRINGBONE cells thick; HEX_GRID cells thick;
+ISOBANDS* scale levels; KALEIDOSCOPE sectors freq; LATTICE cells thick; MARBLE* freq noise_scale noise_amp angle_deg; MOIRE f1 f2 delta_deg; PEBBLES* scale smooth; PERLIN* scale octaves persistence; PLAID fx fy amp phase;
+POLAR_CHECKER radial angular; RINGS freq cx cy phase; RIPPLE freq decay phase; SPIRAL turns tight; SPIRAL_SQUARE turns tight; STARFIELD* cells density sigma; STRIPES freq angle_deg phase;
+STRIPES_MULTISCALE f1 f2 angle1_deg angle2_deg; SUNBURST rays gamma; SWIRL k freq; TRI_TILING cells line; TURBULENCE* scale octaves gain; VALUE_NOISE* scale octaves persistence; VORONOI_CELLS* scale contrast;
+VORONOI_EDGES* scale sharp; WAVES_BEND freq bend bend_freq; WAVES_CIRC freq amp phase; WAVES_DIR freq angle_deg amp phase; WEAVE cells thick contrast; WOOD* rings noise_scale noise_amp; WORLEY* scale metric invert"""
+_ROWS = ", ".join(f"('{n.rstrip('*')}', {n.endswith('*')}, {len(ps)}, '[{', '.join(sorted(ps))}]')" for n, *ps in (x.split() for x in CATALOGUE.split(";")))
+SQL["gen_catalog"] = f"SELECT name, noise, params::BIGINT AS params, names FROM (VALUES {_ROWS}) c(name, noise, params, names)"
