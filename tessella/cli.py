@@ -21,7 +21,17 @@ def _images(spark: SparkSession, folder: str) -> DataFrame:
     return planes.select(F.xxhash64("path").alias("img"), workflow.stem(F.col("path")).alias("id"), "h", "w", "data")
 
 
+def _files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """name, length of the files of a suffix below a folder, which needn't be there; contents aren't read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "name string, length long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", "true").load(folder)
+    return files.select(workflow.stem(F.col("path")).alias("name"), "length")
+
+
 def encode(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Codes what has no output yet; the manifest tells every item's state.  1 if an item failed, 2 if there is none."""
     given = json.loads(Path(args.config).read_text()) if args.config else {}
     given |= {k: v for k, v in (("tile", args.tile), ("overlap", args.overlap), ("lambda", args.rate_weight), ("alpha", args.mix)) if v is not None}
     run = workflow.RunConfig.merged(given)
@@ -33,28 +43,69 @@ def encode(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.only_plan:
         manifest.write.mode("overwrite").json(f"{args.out}/manifest")
         return 0
-    images = _images(spark, args.folder)
     streams.register(spark)
     config = codec.CodecConfig(tile=run.tile, overlap=run.overlap, rate_weight=run.rate_weight, mix=run.mix, seed=args.seed)
+    done = _files(spark, args.out, "img").select("name")
+    images = _images(spark, args.folder).join(done, F.col("id") == F.col("name"), "left_anti")
     coded = codec.encode(images.select("img", "h", "w", "data"), config).join(images.select("img", F.col("id").alias("name")), "img")
     coded.select("name", "blob").write.format("tiled_images").mode("append").save(args.out)
-    return 0
+    # An item without an output is one whose file holds no image that can be read.
+    written = _files(spark, args.out, "img")
+    state = manifest.drop("state").join(written, manifest["id"] == written["name"], "left").select(
+        "id", "in", "out", F.when(F.col("name").isNull(), "error").otherwise("done").alias("state"), F.col("length").alias("size"), F.when(F.col("name").isNull(), "the file isn't an image that can be read").alias("error"),
+    )
+    state.write.mode("overwrite").json(f"{args.out}/manifest")
+    (counts,) = workflow.summary(read_manifest(spark, args.out)).collect()
+    print(json.dumps(counts.asDict()))
+    return 1 if counts["errors"] else 0
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest below a folder: id, in, out, state, and size and error where a run has written them."""
+    return spark.read.schema("id string, `in` string, out string, state string, size long, error string").json(f"{folder}/manifest")
 
 
 def decode(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Draws every coded file by its own header, as a PNG file or as pixels; 1 if a file can't be decoded."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.img").option("recursiveFileLookup", "true").load(args.folder)
     blobs = files.select(F.xxhash64("path").alias("img"), workflow.stem(F.col("path")).alias("name"), F.col("content").alias("blob"))
-    pixels = codec.decode(blobs.select("img", "blob"), by=args.by).withColumn("u8", raster.to_u8(F.col("v")))
-    pixels.join(blobs.select("img", "name"), "img").select("name", "y", "x", "v", "u8").write.mode("overwrite").parquet(args.out)
-    return 0
+    both = blobs.select("img", "blob")
+    bad = codec.problems(both, by=args.by).join(blobs.select("img", "name"), "img").select("name", "error").orderBy("name")
+    failed = 0
+    for row in bad.toLocalIterator():
+        failed += 1
+        print(f"{row['name']}: {row['error']}", file=sys.stderr)
+    sound = both.join(codec.problems(both, by=args.by).select("img"), "img", "left_anti") if failed else both
+    pixels = codec.decode(sound, by=args.by).withColumn("u8", raster.to_u8(F.col("v"))).join(blobs.select("img", "name"), "img")
+    if args.format == "parquet":
+        pixels.select("name", "y", "x", "v", "u8").write.mode("overwrite").parquet(args.out)
+    else:
+        streams.register(spark)
+        line = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "u8"))), lambda p: p["u8"])
+        wide = pixels.groupBy("name").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), line.alias("u8"))
+        raster.as_png(wide).write.format("tiled_images").option("suffix", ".png").mode("append").save(args.out)
+    return 1 if failed else 0
+
+
+def _values(spark: SparkSession, path: str, images: bool) -> DataFrame:
+    """img (the name), y, x, v of a folder of images or a table of pixels (name, y, x, v)."""
+    if not images:
+        return spark.read.parquet(path).select(F.col("name").alias("img"), "y", "x", "v")
+    flat = _images(spark, path).select("id", "w", F.posexplode("data").alias("at", "v"))
+    return flat.select(F.col("id").alias("img"), F.floor(F.col("at") / F.col("w")).cast("int").alias("y"), (F.col("at") % F.col("w")).cast("int").alias("x"), "v")
 
 
 def measure(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Pixels of two tables (name, y, x, v) compared by name."""
-    a, b = (spark.read.parquet(p) for p in (args.reference, args.made))
-    pairs = a.select(F.col("name").alias("img"), "y", "x", F.col("v").alias("a")).join(b.select(F.col("name").alias("img"), "y", "x", F.col("v").alias("b")), ["img", "y", "x"])
+    """Images of two folders, or pixels of two tables, compared by name; the rate is that of the coded files, if named."""
+    a, b = (_values(spark, p, args.images) for p in (args.reference, args.made))
+    pairs = a.withColumnRenamed("v", "a").join(b.withColumnRenamed("v", "b"), ["img", "y", "x"])
     both = metrics.psnr(pairs).join(metrics.ssim(pairs), "img")
-    rows = both.select(F.col("img").alias("ref"), F.col("img").alias("hat"), "psnr", "ssim", F.lit(None).cast("double").alias("bpp"))
+    if args.coded:
+        sizes = pairs.groupBy("img").agg(F.count("*").alias("n")).join(_files(spark, args.coded, "img"), F.col("img") == F.col("name"), "left")
+        both = both.join(sizes.select("img", (8.0 * F.col("length") / F.col("n")).alias("bpp")), "img")
+    else:
+        both = both.withColumn("bpp", F.lit(None).cast("double"))
+    rows = both.select(F.col("img").alias("ref"), F.col("img").alias("hat"), "psnr", "ssim", "bpp")
     workflow.metrics_rows(rows).write.mode("overwrite").option("header", True).csv(args.out)
     return 0
 
@@ -83,11 +134,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("folder")
     p.add_argument("out")
     p.add_argument("--by", choices=("seed", "symbols"), default="seed")
+    p.add_argument("--format", choices=("png", "parquet"), default="png")
     p.set_defaults(run=decode)
     p = commands.add_parser("metrics")
     p.add_argument("reference")
     p.add_argument("made")
     p.add_argument("out")
+    p.add_argument("--images", action="store_true")
+    p.add_argument("--coded")
     p.set_defaults(run=measure)
     p = commands.add_parser("audit")
     p.add_argument("out")

@@ -8,6 +8,8 @@ are kernels in ``noise``.
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -204,6 +206,30 @@ def register(pattern: Pattern) -> None:
     PATTERNS[pattern.name] = pattern
 
 
+def names() -> list[str]:
+    return sorted(PATTERNS)
+
+
+def discover(package: str) -> list[str]:
+    """Registers what the modules of a package name ``PATTERN`` (and ``KERNEL``, where it isn't a formula); their names.
+
+    The package must be importable on executors too (ship it with the job) if it holds kernels.
+    """
+    from .noise import KERNELS
+
+    found = []
+    home = importlib.import_module(package)
+    for info in pkgutil.iter_modules(home.__path__):
+        module = importlib.import_module(f"{package}.{info.name}")
+        pattern = getattr(module, "PATTERN", None)
+        if isinstance(pattern, Pattern):
+            register(pattern)
+            if pattern.noise:
+                KERNELS[pattern.name] = module.KERNEL
+            found.append(pattern.name)
+    return sorted(found)
+
+
 def rendered(pattern: Pattern) -> Column:
     """The value of a pattern, from the columns x, y and its parameters."""
     if pattern.formula is None:

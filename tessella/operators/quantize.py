@@ -1,24 +1,29 @@
 """Vector quantisation.
 
-The codebook is a parameter of some hundred codes at most, so it travels as a literal; vectors stay where they lie.
-Training moves sums per code and dimension, never vectors.
+Vectors stay where they lie and the codebook goes to them: a small one as a literal, within the generated code's reach,
+a larger one with the task, which compares blocks of vectors and codes by matrix products.  A codebook is a parameter,
+held by the driver.  Training moves sums per code, never vectors.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Codebook = list[list[float]]
-#: Codes beyond this don't fit a literal that is sent with each task.
-MOST_CODES = 4096
+#: Codes up to which a codebook is a literal.
+LITERAL = 64
+#: Distances that a task computes at a time.
+AT_ONCE = 4_000_000
 
 
 def literal(codebook: Codebook) -> Column:
-    if not 0 < len(codebook) <= MOST_CODES:
-        raise ValueError(f"a codebook has 1 to {MOST_CODES} codes")
     return F.array(*[F.array(*[F.lit(float(x)) for x in code]) for code in codebook])
 
 
@@ -28,49 +33,122 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def assign(vectors: DataFrame, codebook: Codebook, column: str = "embedding") -> DataFrame:
     """``vectors`` with code_id and d2 of the nearest code; of equals the first."""
+    if not codebook:
+        raise ValueError("a codebook has a code at least")
+    if len(codebook) > LITERAL:
+        return _assign_many(vectors, codebook, column)
     vector = F.col(column).cast("array<double>")
     near = F.array_min(F.transform(literal(codebook), lambda code, i: F.struct(squared_distance(vector, code).alias("d2"), i.alias("code_id"))))
     return vectors.withColumn("_near", near).select(*vectors.columns, "_near.code_id", "_near.d2")
 
 
+def _assign_many(vectors: DataFrame, codebook: Codebook, column: str) -> DataFrame:
+    """``assign`` for codebooks of any size: |v - c|^2 = |v|^2 - 2 v c + |c|^2, block by block; the distance of the code
+    found is computed anew, so rounding in the expansion decides near ties at most."""
+    codes = np.array(codebook)
+    schema = T.StructType([*vectors.schema.fields, T.StructField("code_id", T.IntegerType()), T.StructField("d2", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norms, rows = (codes**2).sum(axis=1), max(1, AT_ONCE // len(codes))
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                own = part.column(column)
+                v = np.array(own.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(own), codes.shape[1])
+                near = np.argmin(norms - 2 * (v @ codes.T), axis=1)
+                d2 = ((v - codes[near]) ** 2).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near.astype(np.int32)), pa.array(d2)], names=schema.names)
+
+    return vectors.mapInArrow(run, schema)
+
+
 def lloyd_step(assigned: DataFrame, column: str = "embedding") -> DataFrame:
     """code_id, dim, centre, n: means of the vectors of each code."""
     flat = assigned.select("code_id", F.posexplode(F.col(column).cast("array<double>")).alias("dim", "x"))
     return flat.groupBy("code_id", "dim").agg(F.avg("x").alias("centre"), F.count("*").alias("n"))
 
 
-def spread_start(vectors: DataFrame, k: int, seed: int, column: str = "embedding", key: str = "vec_id") -> Codebook:
-    """k starting codes, each drawn with a chance in proportion to the squared distance from those before it.
+def _draw(seed: int, number: int, key: str) -> Column:
+    """A number in 0..1 from a hash of the key."""
+    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(number), key), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+
+
+def _drawn_vector(vectors: DataFrame, seed: int, number: int, column: str, key: str) -> list[float]:
+    row = vectors.agg(F.max_by(column, F.struct(_draw(seed, number, key), F.col(key)))).first()
+    return [float(x) for x in row[0]]
+
 
-    A draw is a maximum over all rows (of u ** (1 / weight), with u from a hash of the key), so nothing is gathered.
+def spread_start(vectors: DataFrame, k: int, seed: int, column: str = "embedding", key: str = "vec_id", rounds: int = 4) -> Codebook:
+    """k starting codes far from each other, by oversampling: in each of a few passes every vector is drawn with a chance
+    of 2 k times its share of the squared distances, some 2 k a pass; the candidates, weighed by the vectors that are
+    nearest to them, are then thinned to k on the driver, each with a chance in proportion to weight and squared distance.
     """
-    book: Codebook = []
-    for n in range(k):
-        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(n), key), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
-        weighed = assign(vectors, book, column).withColumn("_w", F.col("d2")) if book else vectors.withColumn("_w", F.lit(1.0))
-        draw = F.when(F.col("_w") > 0, F.log(u) / F.col("_w")).otherwise(F.lit(float("-inf")))
-        row = weighed.agg(F.max_by(column, F.struct(draw, F.col(key)))).first()
-        book.append([float(x) for x in row[0]])
+    found = [_drawn_vector(vectors, seed, 0, column, key)]
+    for n in range(1, rounds + 1):
+        apart = assign(vectors, found, column)
+        total = apart.agg(F.sum("d2")).first()[0]
+        if not total:
+            break
+        drawn = apart.filter(_draw(seed, n, key) < 2.0 * k * F.col("d2") / total).select(key, column).orderBy(key)
+        found += [[float(x) for x in r[column]] for r in drawn.toLocalIterator()]
+    weight = np.zeros(len(found))
+    for r in assign(vectors, found, column).groupBy("code_id").agg(F.count("*").alias("n")).collect():
+        weight[r["code_id"]] = r["n"]
+    points, random, book = np.array(found), np.random.default_rng(seed), []
+    chance = weight.copy()
+    for _ in range(k):
+        if not chance.sum() > 0:  # fewer different vectors than codes
+            chance = weight.copy()
+        chosen = points[random.choice(len(points), p=chance / chance.sum())]
+        book.append(chosen.tolist())
+        chance = weight * np.min([((points - np.array(c)) ** 2).sum(axis=1) for c in book], axis=0)
     return book
 
 
-def train(vectors: DataFrame, k: int, iterations: int = 20, seed: int = 1234, tolerance: float = 1e-6, column: str = "embedding", start: Codebook | None = None) -> Codebook:
-    """Lloyd's iterations; an empty code keeps its place.  What returns to the driver is the codebook, k rows."""
-    book, before = start or spread_start(vectors, k, seed, column), None
-    for _ in range(iterations):
-        assigned = assign(vectors, book, column)
-        inertia = assigned.agg(F.sum("d2")).first()[0]
-        if inertia is None:
+def train(vectors: DataFrame, k: int, iterations: int = 20, seed: int = 1234, tolerance: float = 1e-6, column: str = "embedding", start: Codebook | None = None, key: str = "vec_id") -> Codebook:
+    """Lloyd's iterations, a job each: counts, sums and squared distances per code.  An empty code becomes a drawn vector.
+    What returns to the driver is the codebook, k rows."""
+    book, before = start or spread_start(vectors, k, seed, column, key), None
+    for n in range(iterations):
+        value = F.col(column).cast("array<double>")
+        means = [F.avg(F.get(value, F.lit(d))).alias(f"m{d}") for d in range(len(book[0]))]
+        rows = assign(vectors, book, column).groupBy("code_id").agg(F.sum("d2").alias("_d2"), *means).collect()
+        if not rows:
             return book
-        means = lloyd_step(assigned, column).groupBy("code_id").agg(F.array_sort(F.collect_list(F.struct("dim", "centre"))).alias("c"))
-        for row in means.collect():
-            book[row["code_id"]] = [x["centre"] for x in row["c"]]
+        inertia = sum(r["_d2"] for r in rows)
+        for r in rows:
+            book[r["code_id"]] = [r[f"m{d}"] for d in range(len(book[0]))]
+        for code in set(range(len(book))) - {r["code_id"] for r in rows}:
+            book[code] = _drawn_vector(vectors, seed, 1000 + n * len(book) + code, column, key)
         if before is not None and abs(before - inertia) <= tolerance * max(before, 1e-12):
             break
         before = inertia
     return book
 
 
+# --- several codebooks ----------------------------------------------------------------------------------------------------
+
+
+def quantize_by_table(vectors: DataFrame, tables: DataFrame, column: str = "embedding") -> DataFrame:
+    """``vectors`` (table_id among their columns) with code_id and the offsets (vector - code) / scale, by the codebook of
+    their table: ``tables`` has table_id, code_id, centre, scale.  A table is a row of the join, so it's bounded by what a
+    row may hold; a vector of a missing table gets nulls."""
+    rows = tables.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("code_id", F.col("centre").cast("array<double>").alias("centre"), F.col("scale").cast("array<double>").alias("scale")))).alias("_codes"))
+    value = F.col(column).cast("array<double>")
+    near = F.array_min(F.transform("_codes", lambda c: F.struct(squared_distance(value, c["centre"]).alias("d2"), c["code_id"].alias("code_id"), c["centre"].alias("centre"), c["scale"].alias("scale"))))
+    joined = vectors.join(rows, "table_id", "left").withColumn("_near", near)
+    offset = F.zip_with(residual(value, F.col("_near.centre")), F.col("_near.scale"), lambda d, s: d / s)
+    return joined.select(*vectors.columns, F.col("_near.code_id").alias("code_id"), offset.alias("offsets"))
+
+
+def dequantize_by_table(coded: DataFrame, tables: DataFrame) -> DataFrame:
+    """``coded`` (table_id, code_id, offsets) with ``restored``: code + offsets * scale."""
+    rows = tables.select("table_id", "code_id", F.col("centre").cast("array<double>").alias("_centre"), F.col("scale").cast("array<double>").alias("_scale"))
+    joined = coded.join(rows, ["table_id", "code_id"], "left")
+    value = F.zip_with("_centre", F.zip_with("offsets", "_scale", lambda o, s: o * s), lambda c, d: c + d)
+    return joined.select(*coded.columns, value.alias("restored"))
+
+
 def offsets(vector: Column, code: Column, scale: Column) -> Column:
     """Whole steps from the code, half to even, within -128..127; a scale of 0 counts as 1."""
     step = F.transform(scale, lambda s: F.when(s == 0, 1.0).otherwise(s))

@@ -51,6 +51,16 @@ def render_images(frame: DataFrame, height: int, width: int) -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
+def render_tiles(tiles: DataFrame, name: str, samples: list[dict], seeds: list[int], height: int, width: int) -> DataFrame:
+    """Every row of ``tiles`` with every sample of a kernel pattern: their columns, and those of ``render_images``.
+
+    The samples are a literal that each tile explodes into; what a tile shows plays no part.
+    """
+    pattern = get(name)
+    each = F.array(*[F.struct(F.lit(n).alias("sample_id"), F.lit(name).alias("name"), F.array(*map(F.lit, to_vector(pattern, p))).cast("array<double>").alias("params"), F.lit(s).cast("long").alias("seed")) for n, (p, s) in enumerate(zip(samples, seeds, strict=True))])
+    return render_images(tiles.select("*", F.inline(each)), height, width)
+
+
 def narrow(images: DataFrame, width: int) -> DataFrame:
     """A row per pixel of images: their columns without data, py, px, v."""
     keep = [c for c in images.columns if c != "data"]

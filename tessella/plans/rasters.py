@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.seeds import tile_seed
+from ..functions.seeds import derived_column, tile_seed
 from ..operators import codec, metrics, search, tiling
 from ..sources import raster
 from .common import PAIRS, PIXELS, dims, pairs, pixels, sql_tidy, tidy
@@ -259,6 +259,43 @@ SQL["tile_seeds"] = f"""WITH {PIXELS}{_grid(False)}, a AS (
 SELECT img, tile_id, xor(x, x >> 16)::BIGINT AS seed FROM c""".replace("2654435769", str(0x9E3779B1))
 
 
+@query
+def derived_seeds(spark, sf_dir):
+    """A 64-bit seed of each tile, derived from image and tile."""
+    tiles = tiling.tiles(dims(spark, sf_dir), SIZE, OVERLAP)
+    return tiles.select("img", "tile_id", derived_column(F.col("img"), F.col("tile_id")).alias("seed"))
+
+
+def _sql_mix(x: str, n: int) -> str:
+    """CTE columns z{n}a.. of a 64-bit mix, unsigned, by products with the halves of its factors."""
+    word = 1 << 64
+    times = lambda v, f: f"(((({v}) * {f >> 32}) % {1 << 32}) * {1 << 32} + ({v}) * {f & 0xFFFFFFFF}) % {word}"
+    z = f"z{n}"
+    return f"""(({x}) + {0x9E3779B97F4A7C15}) % {word} AS {z}a, {times(f'xor({z}a, {z}a >> 30)', 0xBF58476D1CE4E5B9)} AS {z}b, {times(f'xor({z}b, {z}b >> 27)', 0x94D049BB133111EB)} AS {z}c, xor({z}c, {z}c >> 31) AS {z}"""
+
+
+SQL["derived_seeds"] = f"""WITH {PIXELS}{_grid(False)}, a AS (
+  SELECT img, tile_id, {_sql_mix(f'xor({0x1234ABCD9876EF01}::HUGEINT, img::HUGEINT)', 1)}, {_sql_mix('xor(z1, tile_id::HUGEINT)', 2)} FROM tiles
+) SELECT img, tile_id, CASE WHEN z2 >= {1 << 63} THEN z2 - {1 << 64} ELSE z2 END::BIGINT AS seed FROM a"""
+
+
+@query
+def rd_bits(spark, sf_dir):
+    """The best candidate of each tile where rates are known in part: bits, or a payload's length, or neither."""
+    scored = _scores(spark, sf_dir)
+    c = F.col("cand_id")
+    bits = F.when(c % 3 == 0, 200.0 + c)
+    payload = F.when(c % 3 == 1, F.repeat(F.lit("x"), (c + 20).cast("int")).cast("binary"))
+    best = search.best(scored, search.rate(bits, payload), 0.001)
+    return best.select("img", "tile_id", "cand_id", tidy(F.col("rd")).alias("rd"), tidy(F.col("d")).alias("d"))
+
+
+SQL["rd_bits"] = f"""{_scored(0.0)}, w AS (
+  SELECT img, tile_id, cand_id, d, round(d + 0.001 * CASE cand_id % 3 WHEN 0 THEN 200 + cand_id WHEN 1 THEN 8 * (cand_id + 20) ELSE 1 END, 9) AS rd FROM s
+), x AS (SELECT *, row_number() OVER (PARTITION BY img, tile_id ORDER BY rd, cand_id) AS place FROM w)
+SELECT img, tile_id, cand_id, {sql_tidy('rd')} AS rd, {sql_tidy('d')} AS d FROM x WHERE place = 1"""
+
+
 CONFIG = codec.CodecConfig(tile=SIZE, overlap=OVERLAP, seed=1337)
 
 

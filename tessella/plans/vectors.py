@@ -95,3 +95,44 @@ def vq_train(spark, sf_dir):
     book = quantize.train(vectors, CODES, iterations=6, seed=123)
     sizes = quantize.assign(vectors, book).groupBy("code_id").agg(F.count("*").alias("n"), tidy(F.avg("d2"), 4).alias("d2"))
     return sizes
+
+
+def _tables(vectors):
+    """Two codebooks: the first vectors, and those after them."""
+    own = vectors.filter(F.col("vec_id") < 2 * CODES)
+    step = F.when(F.col("vec_id") < CODES, 0.01).otherwise(0.02)
+    return own.select(F.expr(f"cast(vec_id div {CODES} as int)").alias("table_id"), (F.col("vec_id") % CODES).cast("int").alias("code_id"), F.col("embedding").alias("centre"), F.transform("embedding", lambda x: step).alias("scale"))
+
+
+@query
+def vq_tables(spark, sf_dir):
+    """Vectors of two tables: the code of each, its offsets summed, and the error of what is restored from them."""
+    vectors = _vectors(spark, sf_dir)
+    tables = _tables(vectors)
+    back = quantize.dequantize_by_table(quantize.quantize_by_table(vectors.withColumn("table_id", (F.col("vec_id") % 2).cast("int")), tables), tables)
+    error = quantize.squared_distance(F.col("embedding").cast("array<double>"), F.col("restored"))
+    total = F.aggregate("offsets", F.lit(0.0), lambda s, o: s + o)
+    return back.select("vec_id", "table_id", "code_id", tidy(total, 4).alias("offsets"), tidy(error).alias("error"))
+
+
+SQL["vq_tables"] = f"""WITH t AS (
+  SELECT (vec_id // {CODES})::INT AS table_id, (vec_id % {CODES})::INT AS code_id, embedding::DOUBLE[] AS c, CASE WHEN vec_id < {CODES} THEN 0.01 ELSE 0.02 END::DOUBLE AS s FROM embeddings WHERE vec_id < {2 * CODES}
+), n AS (
+  SELECT vec_id, t.table_id, code_id, e, c, s, list_sum(list_transform(range(1, len(e) + 1), lambda i: (e[i] - c[i]) * (e[i] - c[i]))) AS d2
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v JOIN t ON v.vec_id % 2 = t.table_id
+), b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d2, code_id) = 1)
+SELECT vec_id, table_id, code_id, {sql_tidy("list_sum(list_transform(range(1, len(e) + 1), lambda i: (e[i] - c[i]) / s))", 4)} AS offsets, 0.0::DOUBLE AS error FROM b"""
+
+
+def _large_book(vectors) -> quantize.Codebook:
+    return [[float(x) for x in r["embedding"]] for r in vectors.filter(F.col("vec_id") < 128).orderBy("vec_id").collect()]
+
+
+@query
+def vq_assign_many(spark, sf_dir):
+    """The nearest of 128 codes, by matrix products."""
+    vectors = _vectors(spark, sf_dir)
+    return quantize.assign(vectors, _large_book(vectors)).select("vec_id", "code_id", tidy(F.col("d2")).alias("d2"))
+
+
+SQL["vq_assign_many"] = SQL["vq_assign"].replace(f"WHERE vec_id < {CODES}", "WHERE vec_id < 128")

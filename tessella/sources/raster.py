@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +55,29 @@ def load_luma(spark: SparkSession, folder: str) -> DataFrame:
     return image.select(F.col("origin").alias("path"), F.col("height").alias("h"), F.col("width").alias("w"), F.when(F.col("nChannels") == 1, grey).otherwise(colour).alias("data"))
 
 
+def png(height: int, width: int, grey: bytes) -> bytes:
+    """A grey image of 8 bits as a PNG file."""
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    lines = b"".join(b"\0" + grey[y * width : (y + 1) * width] for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def as_png(images: DataFrame) -> DataFrame:
+    """name, blob (a PNG file) of wide images (name, h, w, u8: an array of 0..255)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, w = batch.column("h").to_pylist(), batch.column("w").to_pylist()
+            for i in range(batch.num_rows):
+                grey = batch.column("u8")[i].values.to_numpy().astype("uint8").tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("name").slice(i, 1), pa.array([png(h[i], w[i], grey)], pa.binary())], names=["name", "blob"])
+
+    return images.select("name", "h", "w", "u8").mapInArrow(run, "name string, blob binary")
+
+
 def to_u8(v: Column) -> Column:
     """A value in -1..1 as 0..255, cut off."""
     return F.floor((F.least(F.greatest(v, F.lit(-1.0)), F.lit(1.0)) + 1) * 127.5).cast("int")

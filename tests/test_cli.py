@@ -22,13 +22,39 @@ def test_commands(spark, tmp_path):
     png(source / "b.png", lambda y, x: 255 * ((x + y) % 2))
     assert cli.main(["encode", str(source), str(tmp_path / "plan"), "--only-plan"], spark) == 0
     assert {r["id"] for r in spark.read.json(str(tmp_path / "plan/manifest")).collect()} == {"a", "b"}
+    assert {r["state"] for r in cli.read_manifest(spark, str(tmp_path / "plan")).collect()} == {"todo"}
     assert cli.main(["encode", str(source), str(coded), "--tile", "16", "--overlap", "0"], spark) == 0
-    assert sorted(p.name for p in coded.iterdir()) == ["a.img", "b.img"]
+    assert sorted(p.name for p in coded.glob("*.img")) == ["a.img", "b.img"]
     for by in ("seed", "symbols"):
-        assert cli.main(["decode", str(coded), str(made), "--by", by], spark) == 0
+        assert cli.main(["decode", str(coded), str(made), "--by", by, "--format", "parquet"], spark) == 0
         assert spark.read.parquet(str(made)).groupBy("name").count().collect() and spark.read.parquet(str(made)).count() == 512
     assert cli.main(["metrics", str(made), str(made), str(tmp_path / "csv")], spark) == 0
     rows = spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()
     assert {(r["ref"], r["psnr"], r["ssim"]) for r in rows} == {("a", "120.000", "1.00000"), ("b", "120.000", "1.00000")}
     for kind in ("csv", "json"):
         assert cli.main(["audit", str(tmp_path / kind), "--format", kind], spark) == 0
+
+
+def test_a_bad_image_and_a_second_run(spark, tmp_path, capsys):
+    """A file that can't be read is an error in the manifest; a second run codes only what has no output."""
+    source, coded, drawn = tmp_path / "in", tmp_path / "coded", tmp_path / "drawn"
+    source.mkdir()
+    png(source / "a.png", lambda y, x: 16 * x)
+    (source / "broken.png").write_bytes(b"no image")
+    assert cli.main(["encode", str(source), str(coded), "--tile", "16", "--overlap", "0"], spark) == 1
+    state = {r["id"]: (r["state"], r["size"] is not None, r["error"] is not None) for r in cli.read_manifest(spark, str(coded)).collect()}
+    assert state == {"a": ("done", True, False), "broken": ("error", False, True)}
+    first = (coded / "a.img").stat().st_mtime_ns
+    png(source / "broken.png", lambda y, x: 8 * y)
+    assert cli.main(["encode", str(source), str(coded), "--tile", "8", "--overlap", "0"], spark) == 0
+    assert (coded / "a.img").stat().st_mtime_ns == first and (coded / "broken.img").exists()
+    assert {r["state"] for r in cli.read_manifest(spark, str(coded)).collect()} == {"done"}
+    # Two tile sizes, and a damaged file: the others are drawn, the exit code tells.
+    (coded / "bad.img").write_bytes((coded / "a.img").read_bytes()[:-3])
+    assert cli.main(["decode", str(coded), str(drawn)], spark) == 1
+    assert "bad:" in capsys.readouterr().err and sorted(p.name for p in drawn.glob("*.png")) == ["a.png", "broken.png"]
+    (coded / "bad.img").unlink()
+    assert cli.main(["decode", str(coded), str(drawn)], spark) == 0
+    assert cli.main(["metrics", str(source), str(drawn), str(tmp_path / "csv"), "--images", "--coded", str(coded)], spark) == 0
+    rows = {r["ref"]: r for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()}
+    assert rows.keys() == {"a", "broken"} and float(rows["a"]["bpp"]) == round(8 * (coded / "a.img").stat().st_size / 256, 4)

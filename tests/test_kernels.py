@@ -1,12 +1,15 @@
 """Pattern kernels, seeds and parameters against plain scalar versions; invariants of all patterns."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import composite, noise, params, seeds
+from tessella.functions import composite, noise, params, patterns, seeds
+from tessella.functions.noise import KERNELS
+from tessella.functions.params import at_share
 from tessella.functions.patterns import PATTERNS, InvalidParamsError, Param, Pattern, UnknownPatternError, get, register
 from tessella.operators import rendering
 
@@ -155,3 +158,44 @@ def test_own_pattern(spark):
         assert [r["v"] for r in drawn] == [-0.5, 0.0, 0.5]
     finally:
         del PATTERNS["MINE"]
+
+
+def test_seed_columns_equal_the_scalars(spark):
+    draw = random.Random(5)
+    rows = [(draw.getrandbits(63) - draw.getrandbits(63), draw.getrandbits(40), draw.getrandbits(32)) for _ in range(300)] + [(0, 0, 0), (-1, -1, 2**32 - 1), (2**63 - 1, -(2**63), 1)]
+    df = spark.createDataFrame(rows, "a long, b long, t long")
+    found = df.select("a", "b", "t", seeds.split_mix_column(F.col("a")).alias("mix"), seeds.derived_column(F.col("a"), F.col("b")).alias("two"), seeds.wide_tile_seed_column(F.col("b"), F.col("t")).alias("wide"), seeds.seed_array(F.col("a"), 3).alias("some"))
+    for r in found.collect():
+        assert r["mix"] == seeds.signed(seeds.split_mix(r["a"] & seeds.LOW_64))
+        assert r["two"] == seeds.signed(seeds.derived(r["a"], r["b"]))
+        assert r["wide"] == seeds.wide_tile_seed(r["b"] & seeds.LOW_64, r["t"])
+        assert r["some"] == [seeds.signed(seeds.derived(r["a"], k)) for k in range(3)]
+
+
+def test_patterns_are_found_in_a_package(tmp_path, monkeypatch):
+    package = tmp_path / "found_patterns"
+    package.mkdir()
+    (package / "__init__.py").write_text("")
+    (package / "plain.py").write_text("from tessella.functions.patterns import Param, Pattern\nPATTERN = Pattern('HALVES', (Param('at', 'float', -1.0, 1.0),), 'CASE WHEN x < at THEN -1.0 ELSE 1.0 END')\n")
+    (package / "kernel.py").write_text("import numpy as np\nfrom tessella.functions.patterns import Pattern\nPATTERN = Pattern('FLAT', ())\ndef KERNEL(x, y, p, seed):\n    return np.zeros(x.shape)\n")
+    (package / "other.py").write_text("PATTERN = 'not one'\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    before = set(PATTERNS)
+    try:
+        assert patterns.discover("found_patterns") == ["FLAT", "HALVES"]
+        assert set(PATTERNS) - before == {"FLAT", "HALVES"} and "FLAT" in KERNELS
+        assert "HALVES" in patterns.names() and patterns.discover("tessella.streaming") == []
+    finally:
+        for n in ("FLAT", "HALVES"):
+            PATTERNS.pop(n, None)
+            KERNELS.pop(n, None)
+
+
+def test_every_tile_with_every_sample(spark):
+    tiles = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "img long, tile_id int")
+    pattern = patterns.get("PERLIN")
+    samples = [at_share(pattern, s) for s in (0.2, 0.3)]
+    rows = rendering.render_tiles(tiles, "PERLIN", samples, [5, 6], 6, 8).collect()
+    assert len(rows) == 6 and {(r["img"], r["tile_id"], r["sample_id"]) for r in rows} == {(i, t, n) for i, t in ((1, 0), (1, 1), (2, 0)) for n in (0, 1)}
+    alone = {r["sample_id"]: r["data"] for r in rendering.render_images(rendering.jobs(spark, "PERLIN", samples, [5, 6]), 6, 8).collect()}
+    assert all(r["data"] == alone[r["sample_id"]] for r in rows)
