@@ -133,16 +133,25 @@ def training_order(assigned: DataFrame) -> DataFrame:
     return copies.withColumn("position", position(F.col("epoch"))).orderBy("position", "draw", "epoch", "text_key")
 
 
-def mix(documents: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
-    """The rows of the mix in training order: the columns of ``documents``, with epoch and position.
+def _ordered(documents: DataFrame, rules: MixRules) -> DataFrame:
+    """_row (all columns), epoch, position: the rows of the mix in training order.
 
     Sizes are written once.  The texts move twice: into the groups of their source, and in the range sort.  The row
     travels as a struct, so its columns can't clash with those used here.
     """
     sizes = written(sized(documents, rules), "mix-sizes")
     rows = with_size(documents.select(F.struct(*documents.columns).alias("_row"), "doc_id", "source", "text"), rules).drop("text")
-    ordered = training_order(assign(rows, sizes, rules))
-    return ordered.select(*[F.col("_row")[c].alias(c) for c in documents.columns if c not in ("epoch", "position")], "epoch", "position")
+    return training_order(assign(rows, sizes, rules)).select("_row", "epoch", "position")
+
+
+def mix(documents: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
+    """The rows of the mix in training order: the columns of ``documents``, with epoch and position."""
+    return _ordered(documents, rules).select(*[F.col("_row")[c].alias(c) for c in documents.columns if c not in ("epoch", "position")], "epoch", "position")
+
+
+def mixed(documents: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
+    """The rows of the mix in training order, with the columns of ``documents`` alone, whatever their names."""
+    return _ordered(documents, rules).select("_row.*")
 
 
 def report(documents: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
