@@ -30,7 +30,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are taken to their targets, in training order; a document taken again is a row again."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mixed(docs)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("byte-level BPE", encode_bytes),
 ]
 
-#: SimHash and byte-level BPE have no SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
+#: SimHash and byte-level BPE have no SQL; tests/llm/test_corpus.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
