@@ -2,8 +2,9 @@
 
 Method: two fingerprints within the radius R share a variant within R // 2 (rounded up on one side) of each.  Every
 distinct fingerprint emits its variants within half the radius; variants meet by a shuffle; the fingerprints that
-meet are linked to the least of them, which the triangle inequality puts within R, and links are deduplicated and
-verified.  Components of the links come from alternating large-star and small-star steps.
+meet are linked to the least of them, which the triangle inequality puts within R (for an odd R, to the least of those
+that needed less than the half radius rounded up), and links are deduplicated and verified.  Components of the links
+come from alternating large-star and small-star steps.
 
 What moves: a variant is addressed by its leading bits.  The shuffle carries a fingerprint once to each leading
 value that its variants have (79 for 12 bits and half radius 2), and the receiving task spells out the other bits
@@ -24,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import slices, written
 
 BITS = 64
 #: Variants that a task spells out at a time.
 AT_A_TIME = 4_000_000
-#: Fingerprints that are compared pair by pair.
-AT_ONCE = 4096
+#: Fingerprints of which all pairs that share a variant are links.
+FEW = 8
 LEAST_LEADING_BITS = 12
 
 
@@ -93,32 +95,36 @@ def leading_bits(count: int, radius: int) -> int:
     return min(32, max(LEAST_LEADING_BITS, (variants // AT_A_TIME).bit_length()))
 
 
-def _links(fps: np.ndarray, labels: np.ndarray, rest: np.ndarray, bits: int, cache: dict, chain: bool = False) -> list[np.ndarray]:
+def _links(fps: np.ndarray, labels: np.ndarray, rest: np.ndarray, bits: int, cache: dict, odd: bool = False, few: int = 0, at_a_time: int = AT_A_TIME) -> list[np.ndarray]:
     """Links among fingerprints of one group: the variants' leading bits are those of the group, which took them
     ``rest`` short of the half radius; ``bits`` bits follow.
 
-    Rows (label, least label that shares a variant, in how many); with ``chain`` also the next lower label that does.
+    Rows (label, least label that shares a variant, in how many).  ``odd``: of the labels that share a variant only
+    those that are still short of the half radius are linked to, so all links are within twice that radius less one.
+    ``few``: variants of so many labels or fewer give all pairs, others also the next lower label that shares it.
     """
+    if len(fps) < 2:
+        return []
     radii = np.unique(rest)
     for r in radii.tolist():
         if (bits, r) not in cache:
             cache[bits, r] = np.array(masks(bits, r), dtype=np.uint64)
     total = sum(len(cache[bits, r]) * int((rest == r).sum()) for r in radii.tolist())
-    if len(fps) < 2:
-        return []
-    if total > AT_A_TIME and bits > 4:
+    if total > at_a_time and bits > 4:
         found, lead = [], (fps >> np.uint64(bits - 4)) & np.uint64(15)
         for value in range(16):
             left = rest - np.bitwise_count(lead ^ np.uint64(value)).astype(np.int64)
             some = left >= 0
-            found += _links(fps[some], labels[some], left[some], bits - 4, cache, chain)
+            found += _links(fps[some], labels[some], left[some], bits - 4, cache, odd, few, at_a_time)
         return found
     low = np.uint64((1 << bits) - 1)
-    keys, owners = [], []
+    keys, owners, far = [], [], []
     for r in radii.tolist():
         own, mask = rest == r, cache[bits, r]
         keys.append(((fps[own] & low)[:, None] ^ mask[None, :]).ravel())
         owners.append(np.repeat(labels[own], len(mask)))
+        if odd:
+            far.append(np.tile(np.bitwise_count(mask) == r, int(own.sum())))
     key = np.concatenate(keys)
     in_order = np.sort(key)
     twice = np.unique(in_order[1:][in_order[1:] == in_order[:-1]])
@@ -126,13 +132,18 @@ def _links(fps: np.ndarray, labels: np.ndarray, rest: np.ndarray, bits: int, cac
         return []
     hit = twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key
     key, owner = key[hit], np.concatenate(owners)[hit]
-    order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
+    outer = np.concatenate(far)[hit] if odd else np.zeros(len(key), dtype=bool)
+    order = np.lexsort((owner, outer, key))
+    key, owner, outer = key[order], owner[order], outer[order]
     first = np.append(True, key[1:] != key[:-1])
-    least = owner[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-    pairs = [np.stack([owner, least], axis=1)[~first]]
-    if chain:
-        pairs.append(np.stack([owner[1:], owner[:-1]], axis=1)[~first[1:]])
+    start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+    pairs = [np.stack([owner, owner[start]], axis=1)[~first & ~outer[start]]]
+    if few:
+        place = np.arange(len(key)) - start
+        number = np.repeat(np.diff(np.append(np.flatnonzero(first), len(key))), np.diff(np.append(np.flatnonzero(first), len(key))))
+        for k in range(1, few - 1):  # from the second of a group on: pairs with the first are there
+            some = np.flatnonzero((place > k) & ((number <= few) | (k == 1)))
+            pairs.append(np.stack([owner[some], owner[some - k]], axis=1))
     return [_counted(np.concatenate(pairs))]
 
 
@@ -146,58 +157,44 @@ def _counted(pairs: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray
     return np.column_stack([pairs[first], times])
 
 
-def _forest(links_: np.ndarray) -> np.ndarray:
+def _forest(links_: np.ndarray, few: int) -> np.ndarray:
     """Of links (a, b, times) those that connect what all connect, the nearest first (which share most variants): as
-    many as there are labels at most, however many variants a group shares."""
+    many as there are labels at most, however many variants a group shares.  Where no more than ``few`` labels are
+    connected, all links.  Rows (a, b, whether some were left out)."""
     parent: dict[int, int] = {}
+    size: dict[int, int] = {}
 
     def root(x: int) -> int:
         while (up := parent.setdefault(x, x)) != x:
             parent[x] = x = parent[up]
         return x
 
-    kept = []
-    for i, (a, b) in enumerate(links_[order := np.argsort(-links_[:, 2], kind="stable"), :2].tolist()):
-        if (x := root(a)) != (y := root(b)):
+    order = np.argsort(-links_[:, 2], kind="stable")
+    ends = links_[order, :2].tolist()
+    tree = []
+    for a, b in ends:
+        x, y = root(a), root(b)
+        tree.append(x != y)
+        if x != y:
             parent[x] = y
-            kept.append(order[i])
-    return links_[kept, :2]
-
-
-def _across(fps: np.ndarray, labels: np.ndarray, groups: np.ndarray, rest: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Every pair of labels that share a variant, as of ``_links``, and are of different groups: two fingerprints share
-    one if no more bits differ than both are short of the half radius."""
-    if len(fps) < 2 or (groups == groups[0]).all():
-        return
-    if len(fps) > AT_ONCE and bits > 4:
-        lead = (fps >> np.uint64(bits - 4)) & np.uint64(15)
-        for value in range(16):
-            left = rest - np.bitwise_count(lead ^ np.uint64(value)).astype(np.int64)
-            some = left >= 0
-            yield from _across(fps[some], labels[some], groups[some], left[some], bits - 4)
-        return
-    own, short = fps & np.uint64((1 << bits) - 1), rest.astype(np.int8)
-    for at in range(0, len(fps), 256):
-        to = slice(at, at + 256)
-        near = np.bitwise_count(own[to, None] ^ own[None, :]) <= short[to, None] + short[None, :]
-        a, b = np.nonzero(near & (groups[to, None] != groups[None, :]))
-        a = a[upper := a + at < b] + at
-        if len(a):
-            yield np.stack([labels[a], labels[b[upper]]], axis=1)
+            size[y] = size.get(x, 1) + size.get(y, 1)
+    large = np.array([size[root(a)] > few for a, _ in ends], dtype=bool)
+    kept = np.array(tree, dtype=bool) | ~large
+    return np.column_stack([links_[order, :2], large])[kept]
 
 
 def _spread(rows: DataFrame, bits: int, lead: int, half: int) -> DataFrame:
-    """Rows (table, fp, label, and component where there is one) once for each leading value that variants of fp have."""
+    """Rows (table, fp, label) once for each leading value that variants of fp have."""
     near = F.array(*[F.lit(m) for m in masks(lead, half)])
     mine = F.shiftrightunsigned("fp", bits - lead)
     many = rows.select("*", F.explode(near).alias("mask"))
     return many.select("table", mine.bitwiseXOR(F.col("mask").cast("long")).cast("long").alias("lead"), *[c for c in rows.columns if c != "table"])
 
 
-def _meetings(rows: DataFrame, bits: int, lead: int, half: int, chain: bool) -> DataFrame:
-    """a, b (b < a): labels of fingerprints that share a variant, as of ``_links``; of each group a forest.  Each task
-    takes its groups one by one.  If the rows have a component, all pairs of different components, as of ``_across``."""
-    shift, across = bits - lead, "component" in rows.columns
+def _meetings(rows: DataFrame, bits: int, lead: int, radius: int, few: int = 0, at_a_time: int = AT_A_TIME) -> DataFrame:
+    """a, b (b < a), large: labels of fingerprints that share a variant, as of ``_links``; of each group what ``_forest``
+    keeps.  Each task takes its groups one by one."""
+    half, shift = (radius + 1) // 2, bits - lead
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -206,15 +203,12 @@ def _meetings(rows: DataFrame, bits: int, lead: int, half: int, chain: bool) ->
             both = np.concatenate(parts, axis=1)
             fps = both[0].view(np.uint64)
             rest = half - np.bitwise_count((fps >> np.uint64(shift)) ^ np.uint64(group[1])).astype(np.int64)
-            if across:
-                for pairs in _across(fps, both[1], both[2], rest, shift):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], names=["a", "b"])
-                return
-            found = _links(fps, both[1], rest, shift, cache, chain)
+            found = _links(fps, both[1], rest, shift, cache, bool(radius % 2), few, at_a_time)
             if found:
                 every = np.concatenate(found)
-                pairs = _forest(_counted(every[:, :2], every[:, 2]))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                kept = _forest(_counted(every[:, :2], every[:, 2]), few)
+                columns = [kept[:, :2].max(axis=1), kept[:, :2].min(axis=1), kept[:, 2].astype(bool)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "large"])
 
         current, parts = None, []
         for batch in batches:
@@ -234,15 +228,14 @@ def _meetings(rows: DataFrame, bits: int, lead: int, half: int, chain: bool) ->
             yield from close(current, parts)
 
     groups = _spread(rows, bits, lead, half).repartition("table", "lead").sortWithinPartitions("table", "lead")
-    return groups.mapInArrow(run, "a long, b long").distinct()
+    return groups.mapInArrow(run, "a long, b long, large boolean").groupBy("a", "b").agg(F.bool_or("large").alias("large"))
 
 
-def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 4, at_a_time: int = AT_A_TIME) -> DataFrame:
     """a, b (b < a): links within the radius that connect the distinct fingerprints ``fp`` of ``nodes``."""
-    half = (radius + 1) // 2
     rows = nodes.select(F.lit(0).alias("table"), "fp", F.col("fp").alias("label"))
-    found = _meetings(rows, BITS, leading_bits(nodes.count(), half), half, chain=False)
-    return found.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    found = _meetings(rows, BITS, leading_bits(nodes.count(), (radius + 1) // 2), radius, at_a_time=at_a_time)
+    return found.select("a", "b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -300,87 +293,92 @@ def report(documents: DataFrame) -> DataFrame:
 
 # --- groups by similarity of sets of shingles ------------------------------------------------------------------------
 
-#: Independent fingerprints of a text, and their bits.  At a similarity of 0.8 a bit differs with a chance of 0.15, so
-#: one fingerprint lies within 4 bits with a chance of 0.25, and one of fourteen with 0.98; at 0.85 with over 0.99.
-TABLES, TABLE_BITS, TABLE_RADIUS = 14, 40, 4
-SALTS = np.array([(0x9E3779B97F4A7C15 * (2 * t + 1)) % 2**64 for t in range(TABLES)], dtype=np.uint64)
+#: Bits of a fingerprint for up to four million texts, and the radius within which fingerprints meet.
+TABLE_BITS, TABLE_RADIUS = 40, 4
+#: The chance with which a pair at the limit of similarity meets in some table.
+MEETS = 0.98
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def sketch(hashes: np.ndarray) -> list[int]:
-    """The fingerprints of a set of shingle hashes, one per table."""
+class Shape(NamedTuple):
+    tables: int
+    bits: int
+
+
+def differing(similarity: float) -> float:
+    """The chance that a bit of two fingerprints differs, for sets of one size and this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def shape_for(count: int, similarity: float = 0.8) -> Shape:
+    """Independent fingerprints of a text, and their bits.
+
+    So many bits that a text meets others by chance in few cases, however many texts there are: 18 more than tell the
+    texts apart, whole bytes.  So many tables that a pair at the limit meets with a chance of ``MEETS``: fourteen for 40
+    bits, where one fingerprint lies within 4 bits with a chance of 0.25.
+    """
+    bits = min(64, max(TABLE_BITS, 8 * -(-(max(count - 1, 1).bit_length() + 18) // 8)))
+    p = differing(similarity)
+    near = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(TABLE_RADIUS + 1))
+    return Shape(math.ceil(math.log(1 - MEETS) / math.log(1 - near)), bits)
+
+
+def sketch(hashes: np.ndarray, shape: Shape) -> list[int]:
+    """The fingerprints of a set of shingle hashes, one per table, as signed longs."""
     hashes = np.unique(hashes)
-    width = TABLE_BITS // 8
-    ones = np.zeros(TABLES * TABLE_BITS, dtype=np.int64)
+    tables, width = shape.tables, shape.bits // 8
+    salts = np.arange(1, 2 * tables, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(tables * shape.bits, dtype=np.int64)
     for at in range(0, len(hashes), 255):  # so many single bits still sum up in a byte
-        h = hashes[at : at + 255, None] ^ SALTS
+        h = hashes[at : at + 255, None] ^ salts
         h = (h ^ (h >> np.uint64(32))) * MIX
         h = (h ^ (h >> np.uint64(29))) * MIX
-        raw = (h ^ (h >> np.uint64(32))).astype(">u8").view(np.uint8).reshape(len(h), TABLES, 8)[:, :, :width]
+        raw = (h ^ (h >> np.uint64(32))).astype(">u8").view(np.uint8).reshape(len(h), tables, 8)[:, :, :width]
         ones += np.unpackbits(raw.reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.uint8)
-    packed = np.packbits(2 * ones > len(hashes)).reshape(TABLES, width)
-    return [int.from_bytes(row.tobytes(), "big") for row in packed]
+    packed = np.packbits(2 * ones > len(hashes)).reshape(tables, width)
+    return [int.from_bytes(row.tobytes(), "big", signed=width == 8) for row in packed]
 
 
-def sketches(documents: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
+def sketches(documents: DataFrame, shape: Shape, words: int = 5, seed: int = 42) -> DataFrame:
     """doc_id, text_key, node (a hash of the words, A-Z lower-cased), sketch."""
     schema = T.StructType([documents.schema["doc_id"], *T._parse_datatype_string("text_key long, node long, sketch array<long>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column("text")]
-            nodes = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.encode().lower().split()), seed) for t in texts], dtype=np.uint64).view(np.int64)
-            made = [sketch(shingle_hashes(t, words, seed)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(nodes), pa.array(made, pa.list_(pa.int64()))], names=schema.names)
+            for part in slices(batch, "text", 4_000_000):
+                texts = [t.as_py() or "" for t in part.column("text")]
+                nodes = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.encode().lower().split()), seed) for t in texts], dtype=np.uint64).view(np.int64)
+                made = [sketch(shingle_hashes(t, words, seed), shape) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(nodes), pa.array(made, pa.list_(pa.int64()))], names=schema.names)
 
     return documents.select("doc_id", _text_key(documents).alias("text_key"), "text").mapInArrow(run, schema)
 
 
-def most_bits(similarity: float) -> int:
+def most_bits(similarity: float, shape: Shape) -> int:
     """Differing bits of two sketches up to which their sets are compared: the mean at this Jaccard similarity of sets
     of one size, and three standard deviations."""
-    n, p = TABLES * TABLE_BITS, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n, p = shape.tables * shape.bits, differing(similarity)
     return math.floor(n * p + 3 * math.sqrt(n * p * (1 - p)))
 
 
-def _tables(nodes: DataFrame, *more: str) -> tuple[DataFrame, int]:
-    """Rows (table, fp, label, and the columns ``more``) of nodes (node, sketch), and the leading bits of their groups."""
-    # A group's fingerprints are held at once: 16 bytes each, a third of all with 6 leading bits.
-    lead = min(16, max(6, (nodes.count() // 8_000_000).bit_length() + 6))
-    return nodes.select(F.posexplode("sketch").alias("table", "fp"), F.col("node").alias("label"), *more), lead
-
-
-def meetings(nodes: DataFrame) -> DataFrame:
-    """a, b: links of nodes (node, sketch) of which a fingerprint is near.
-
-    Fingerprints meet per table by ball hashing, in few groups (64 per table, more for very many nodes).  In a variant
-    each links to the least and to the one before it, and each group keeps a forest of its nearest links, so links
-    grow with the nodes and not with their pairs.
-    """
-    rows, lead = _tables(nodes)
-    return _meetings(rows, TABLE_BITS, lead, (TABLE_RADIUS + 1) // 2, chain=True)
-
-
-def meetings_across(nodes: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b: every pair of nodes of which a fingerprint is near and whose components (``labels``) differ, but for pairs
-    that were alone where they met, which are in ``met``.
+def meetings(nodes: DataFrame, shape: Shape) -> DataFrame:
+    """a, b, large: links of nodes (node, sketch) of which a fingerprint is near.
 
-    What a forest leaves out has three nodes at least in its tree, so each end has a link to a node of two or more.
+    Fingerprints meet per table by ball hashing, in few groups (64 per table, more for very many nodes).  Where few meet
+    all pairs are links.  Where many do (``large``), each links to the least in a variant and to the one before it, and
+    a forest of the nearest links stays, so links grow with the nodes and not with their pairs.
     """
-    both = met.union(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hubs = both.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("a").alias("hub"))
-    active = both.join(hubs, both["b"] == hubs["hub"]).select("a").union(hubs).distinct().withColumnRenamed("a", "_a")
-    mine = nodes.join(active, F.col("node") == F.col("_a")).join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    mine = written(mine.select("node", "sketch", F.coalesce("label", "node").alias("component")), "sketch-nodes-again")
-    rows, lead = _tables(mine, "component")
-    return _meetings(rows, TABLE_BITS, lead, (TABLE_RADIUS + 1) // 2, chain=False)
+    # A group's fingerprints are held at once: 16 bytes each, a third of all with 6 leading bits.
+    lead = min(shape.bits - 8, max(6, (nodes.count() // 8_000_000).bit_length() + 6))
+    rows = nodes.select(F.posexplode("sketch").alias("table", "fp"), F.col("node").alias("label"))
+    return _meetings(rows, shape.bits, lead, TABLE_RADIUS, FEW)
 
 
-def near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def near(pairs: DataFrame, nodes: DataFrame, similarity: float, shape: Shape) -> DataFrame:
     """The pairs (a, b) of which, by all bits of both sketches, no more differ than of similar texts."""
     of = [nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"_{c}")) for c in "ab"]
-    differing = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
-    return pairs.join(of[0], "a").join(of[1], "b").filter(differing <= most_bits(similarity)).select("a", "b")
+    apart = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    return pairs.join(of[0], "a").join(of[1], "b").filter(apart <= most_bits(similarity, shape)).select("a", "b")
 
 
 def shingle_sets(rows: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
@@ -403,36 +401,76 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(of[0], "a").join(of[1], "b").filter(alike).select("a", "b")
 
 
-def verified_in_blocks(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """As ``verified``, for many pairs of few nodes: nodes are dealt to some 128 each, and a set moves once to each block
-    of pairs that has its node, not once for each pair."""
-    percent, deals = round(100 * similarity), 1 + sets.count() // 128
+#: Nodes and shingles of a chunk of a family, on the average.
+CHUNK, CHUNK_SHINGLES = 128, 500_000
+
+
+def _block(similarity: float, most: int, one: list[tuple], two: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Similar pairs of rows (node, component, sketch, shingles), one of each list, that meet and are of different
+    components."""
+    percent = round(100 * similarity)
+    near = np.zeros((len(one), len(two)), dtype=bool)
+    apart = np.zeros((len(one), len(two)), dtype=np.int64)
+    for table in range(len(one[0][2])):
+        differ = np.bitwise_count(np.array([r[2][table] for r in one], dtype=np.int64).view(np.uint64)[:, None] ^ np.array([r[2][table] for r in two], dtype=np.int64).view(np.uint64))
+        near |= differ <= TABLE_RADIUS
+        apart += differ
+    near &= (apart <= most) & (np.array([r[1] for r in one])[:, None] != np.array([r[1] for r in two]))
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+        (x, _, _, a), (y, _, _, b) = one[i], two[j]
+        if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * common >= percent * (len(a) + len(b) - common):
+                yield x, y
+
+
+def verified_across(rows: DataFrame, similarity: float, shape: Shape) -> DataFrame:
+    """a, b: the similar pairs of one family and different components, from rows (family, component, node, sketch,
+    shingles); every pair that meets is compared.
+
+    A family is dealt into chunks, and each two chunks meet in a block, which compares their nodes in its task: a node
+    moves once to each chunk of its family, and pairs that aren't alike are no rows.
+    """
+    sizes = rows.groupBy("family").agg(
+        F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(F.size("shingles")) / CHUNK_SHINGLES)).cast("int").alias("chunks"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    open_ = rows.join(sizes.filter("low < high").select("family", "chunks"), "family").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component", "sketch", "shingles")
+    most = most_bits(similarity, shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, {}
+        current, held, later = None, [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                same = current is not None and current[1] == current[2]
+                found = list(_block(similarity, most, held, held if same else later)) if same or later else []
+                yield pa.RecordBatch.from_arrays([pa.array([f(p) for p in found], pa.int64()) for f in (max, min)], names=["a", "b"])
+
         for batch in batches:
-            alike = []
-            block, _, a, b, shingles = batch.columns
-            for i, (k, x, y) in enumerate(zip(block.to_pylist(), a.to_pylist(), b.to_pylist())):
-                if k != current:
-                    current, held = k, {}
-                if y is None:
-                    held[x] = shingles[i].values.to_numpy()
-                    continue
-                n, m = len(held[x]), len(held[y])
-                if 100 * min(n, m) >= percent * max(n, m):
-                    common = len(np.intersect1d(held[x], held[y], assume_unique=True))
-                    if 100 * common >= percent * (n + m - common):
-                        alike.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in alike], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    deal = lambda c: F.pmod(c, F.lit(deals))
-    dealt = pairs.select((deal(F.col("a")) * deals + deal(F.col("b"))).alias("block"), "a", "b")
-    wanted = dealt.select("block", F.col("a").alias("node")).union(dealt.select("block", "b")).distinct()
-    none = F.lit(None).cast("array<long>")
-    rows = wanted.join(sets, "node").select("block", F.lit(0).alias("kind"), "node", F.lit(None).cast("long").alias("b"), "shingles")
-    rows = rows.union(dealt.select("block", F.lit(1), "a", "b", none)).repartition("block").sortWithinPartitions("block", "kind")
-    return rows.mapInArrow(run, "a long, b long")
+            family, i, j, chunk, node, component, sketch_, shingles = batch.columns
+            for n, key in enumerate(zip(family.to_pylist(), i.to_pylist(), j.to_pylist())):
+                if key != current:
+                    yield from close()
+                    current, held, later = key, [], []
+                row = node[n].as_py(), component[n].as_py(), sketch_[n].values.to_numpy(), shingles[n].values.to_numpy()
+                (held if chunk[n].as_py() == key[1] else later).append(row)
+        yield from close()
+
+    return dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def _families(links_: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, component, family: the ends of links, their components (``labels``), and what the links between different
+    components connect; nodes of which no link leaves the component have no row."""
+    known = labels.withColumnRenamed("label", "_label")
+    of = lambda c: F.coalesce("_label", c).alias(f"_{c}")
+    ends = links_.join(known, F.col("a") == F.col("node"), "left").select("a", "b", of("a")).join(known, F.col("b") == F.col("node"), "left").select("a", "b", "_a", of("b"))
+    ends = written(ends, "links-of-components")
+    family = components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("node").alias("component"), F.col("label").alias("family"))
+    rows = ends.select(F.col("a").alias("node"), F.col("_a").alias("component")).union(ends.select("b", "_b")).distinct()
+    return written(rows.join(family, "component").select("node", "component", "family"), "families")
 
 
 def _keys(doc_id: Column, text_key: Column) -> dict[str, Column]:
@@ -444,31 +482,35 @@ def deduplicated(documents: DataFrame, similarity: float = 0.8, words: int = 5,
     """The rows of ``documents`` that stay: of each group of similar texts the one with the smallest doc_id (null
     last, then by a hash of the text); of repeated rows one.  Texts without words are one group.
 
-    Sketches find the pairs; the sets of shingles, of texts that are in a pair alone, verify them.  The first pairs are
-    few, and make components; the second are all that meet between these components, so no similar pair is lost to a
-    link that does not hold.  Texts move once to meet the table of those that stay, and once to meet that of those whose
-    sets are wanted, for the first pairs and for the second.
+    Sketches find the pairs; the sets of shingles, of texts that are in a pair alone, verify them, and the pairs that
+    hold make components.  Where many texts meet, these pairs are a forest of nearest links.  So then all texts of such
+    a family that meet and are still of different components are compared, in blocks: no similar pair is lost to a link
+    that does not hold.  Texts move once to meet the table of those that stay, and twice to meet that of those whose sets
+    are wanted.  The row travels as a struct, so its columns can't clash with those used here.
     """
-    made = written(sketches(documents, words, seed), "sketches")
+    shape = shape_for(documents.count(), similarity)
+    made = written(sketches(documents, shape, words, seed), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     nodes = written(made.groupBy("node").agg(F.min(first).alias("first"), F.first("sketch").alias("sketch")), "sketch-nodes")
-    keyed = documents.withColumns(_keys(F.col("doc_id"), _text_key(documents)))
+    keyed = documents.select(F.struct(*documents.columns).alias("_row"), *[c.alias(k) for k, c in _keys(F.col("doc_id"), _text_key(documents)).items()])
     keys = ["_id", "_none", "_text"]
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = nodes.join(wanted, "node").select("node", *[c.alias(k) for k, c in _keys(F.col("first.doc_id"), F.col("first.text_key")).items()])
-        texts = keyed.select("text", *keys).join(written(wanted, "sketch-candidates"), keys)
+        texts = keyed.select(F.col("_row.text").alias("text"), *keys).join(written(wanted, "sketch-candidates"), keys)
         return written(shingle_sets(texts, words, seed).dropDuplicates(["node"]), "shingle-sets")
 
-    met = written(meetings(nodes), "sketch-meetings")
-    pairs = written(near(met, nodes, similarity), "sketch-pairs")
+    met = written(meetings(nodes, shape), "sketch-meetings")
+    pairs = written(near(met, nodes, similarity, shape), "sketch-pairs")
     alike = written(verified(pairs, sets_of(pairs), similarity), "similar-pairs")
     labels = components(alike)
-    more = written(near(meetings_across(nodes, met, labels), nodes, similarity), "sketch-pairs-across")
-    if not more.isEmpty():
-        labels = components(alike.union(verified_in_blocks(more, sets_of(more), similarity)))
+    families = _families(met.filter("large"), labels)
+    if not families.isEmpty():
+        sets = sets_of(families.select(F.col("node").alias("a"), F.col("node").alias("b")))
+        more = verified_across(families.join(nodes.select("node", "sketch"), "node").join(sets, "node"), similarity, shape)
+        labels = components(alike.union(written(more, "similar-pairs-across")))
     labelled = nodes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("first", F.coalesce("label", "node").alias("label"))
     keep = labelled.groupBy("label").agg(F.min("first").alias("first"))
     keep = written(keep.select(*[c.alias(k) for k, c in _keys(F.col("first.doc_id"), F.col("first.text_key")).items()]), "documents-kept")
-    return keyed.join(keep, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    return keyed.join(keep, keys, "left_semi").dropDuplicates(keys).select(*[F.col("_row")[c].alias(c) for c in documents.columns])

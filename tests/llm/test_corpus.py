@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessella.llm import fingerprints, mixing, simhash
+from tessella.llm.common import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -78,36 +79,52 @@ def test_simhash(spark, odd, documents, none):
     assert simhash.report(none).count() == 0
 
 
-def test_links_of_dense_and_random_fingerprints(spark, monkeypatch):
-    """Components of links equal those of all pairs, also where groups must be split by further bits."""
+def chained_fingerprints(bits=64, count=400):
     draw = random.Random(2)
-    fps = [draw.getrandbits(64) for _ in range(100)]
-    for _ in range(400):  # chains within the radius, and neighbours just beyond it
+    fps = [draw.getrandbits(bits) for _ in range(100)]
+    for _ in range(count):  # chains within the radius, and neighbours just beyond it
         f = draw.choice(fps)
-        for b in draw.sample(range(64), draw.choice((1, 2, 3, 4, 5, 6))):
+        for b in draw.sample(range(bits), draw.choice((1, 2, 3, 4, 5, 6))):
             f ^= 1 << b
         fps.append(f)
-    dense = draw.getrandbits(64)
-    fps += [dense ^ m for m in simhash.masks(8, 8)]
-    fps = sorted(set(fps))
+    dense = draw.getrandbits(bits)
+    return sorted({*fps, *(dense ^ m for m in simhash.masks(8, 8))})
+
+
+def grouped(labels):
+    groups = defaultdict(set)
+    for f, label in labels.items():
+        groups[label].add(f)
+    return sorted(map(sorted, groups.values()))
+
+
+@pytest.mark.parametrize(("radius", "at_a_time"), [(4, simhash.AT_A_TIME), (4, 3000), (3, simhash.AT_A_TIME), (3, 3000), (2, 3000), (5, simhash.AT_A_TIME), (1, 300), (0, 300)])
+def test_links_of_dense_and_random_fingerprints(spark, radius, at_a_time):
+    """Components of links equal those of all pairs, for even and odd radii, also where tasks must split groups."""
+    fps = chained_fingerprints(count=100 if radius == 5 else 400)
     nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    want = plain_components(fps)
-    for limit in (simhash.AT_A_TIME, 3000):
-        found = simhash.links(nodes, 4).collect()
-        assert all(((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= 4 for r in found)
-        labels = {r["node"] & (1 << 64) - 1: r["label"] for r in simhash.components(simhash.links(nodes, 4)).collect()}
-        groups, plain = defaultdict(set), defaultdict(set)
-        for f in fps:
-            groups[labels.get(f, f"alone{f}")].add(f)
-            plain[want[f]].add(f)
-        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, plain.values()))
+    found = simhash.links(nodes, radius, at_a_time)
+    assert all(((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= radius for r in found.collect())
+    labels = {f: f"alone{f}" for f in fps} | {r["node"] & (1 << 64) - 1: r["label"] for r in simhash.components(found).collect()}
+    assert grouped(labels) == grouped(plain_components(fps, radius))
+
+
+def test_meetings_of_split_groups():
+    """Where groups are split the links are the same; where few meet all pairs are links."""
+    fps = chained_fingerprints()
     rows = np.array(fps, dtype=np.uint64)
+    labels, rest = rows.view(np.int64), np.full(len(rows), 2)
     found = []
     for limit in (simhash.AT_A_TIME, 20_000):
-        monkeypatch.setattr(simhash, "AT_A_TIME", limit)
-        every = np.concatenate(simhash._links(rows, rows.view(np.int64), np.full(len(rows), 2), 64, {}, True))
+        every = np.concatenate(simhash._links(rows, labels, rest, 64, {}, False, simhash.FEW, limit))
         found.append(simhash._counted(every[:, :2], every[:, 2]))
-    assert (found[0] == found[1]).all() and len(simhash._forest(found[0])) < len(rows)
+    assert (found[0] == found[1]).all()
+    pairs = {(max(a, b), min(a, b)) for i, a in enumerate(labels.tolist()) for b in labels[:i].tolist() if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+    kept = simhash._forest(found[0], simhash.FEW)
+    some = {(max(a, b), min(a, b)): large for a, b, large in kept.tolist()}
+    assert some.keys() <= pairs
+    ends = {x for p, large in some.items() if large for x in p}
+    assert pairs - some.keys() == {p for p in pairs - some.keys() if p[0] in ends and p[1] in ends} and pairs - some.keys()
 
 
 def test_components_of_long_paths(spark):
@@ -155,6 +172,9 @@ def test_deduplicated(spark, odd, documents, none):
             if (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") not in ids:
                 assert any(jaccard(own, other) >= 0.8 for s, other in zip(rows, sets) if s is not r)
     assert {r["doc_id"] for r in kept} >= set(range(1000, 1060))
+    clash = edited_groups(spark).select("*", *[F.lit(n).alias(n) for n in ("_id", "_none", "_text", "_row", "node", "label")])
+    again = simhash.deduplicated(clash)
+    assert again.columns == clash.columns and {r["doc_id"] for r in again.collect()} == {r["doc_id"] for r in kept}
     assert simhash.deduplicated(none).count() == 0
 
 
@@ -177,28 +197,51 @@ def test_deduplicated_in_a_large_family(spark):
     assert stay >= set(range(2400)) and len(lost) <= 1, len(lost)
 
 
-def test_sketches_tell_similarity():
-    draw = random.Random(9)
+@pytest.mark.parametrize("count", [1000, 10**7])
+def test_sketches_tell_similarity(count):
+    draw, shape = random.Random(9), simhash.shape_for(count)
+    assert shape == ((14, 40) if count == 1000 else (29, 48))
     for similarity, low, high in ((0.85, 0.98, 1.0), (0.8, 0.92, 1.0), (0.6, 0.0, 0.15), (0.0, 0.0, 0.0)):
         hit = 0
         for _ in range(200):
             n = 400
             common = round(2 * n * similarity / (1 + similarity))
             both = np.array([draw.getrandbits(64) for _ in range(2 * n - common)], dtype=np.uint64)
-            a, b = simhash.sketch(both[:n]), simhash.sketch(np.concatenate([both[:common], both[n:]]))
+            a, b = simhash.sketch(both[:n], shape), simhash.sketch(np.concatenate([both[:common], both[n:]]), shape)
             near = any((x ^ y).bit_count() <= simhash.TABLE_RADIUS for x, y in zip(a, b))
-            hit += near and sum((x ^ y).bit_count() for x, y in zip(a, b)) <= simhash.most_bits(0.8)
+            hit += near and sum((x ^ y).bit_count() for x, y in zip(a, b)) <= simhash.most_bits(0.8, shape)
         assert low <= hit / 200 <= high
 
 
+def plain_votes(text):
+    """The fingerprint by its definition: terms of five words, weighed by 1 + floor(log2 n), vote bit by bit."""
+    full, words = (1 << 64) - 1, WORD.findall(text.translate(LOWER))
+
+    def mixed(h, factor):
+        h = (h ^ h >> 32) * factor & full
+        h = (h ^ h >> 29) * factor & full
+        return h ^ h >> 32
+
+    odd = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
+    counts = Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else {}
+    votes = [0] * 128
+    for term, n in counts.items():
+        h = (len(term) + sum(mixed(xxhash.xxh3_64_intdigest(w.encode()), f) for w, f in zip(term, odd))) & full
+        bits = mixed(h, 0xD6E8FEB86659FD93) << 64 | mixed(h, 0xA0761D6478BD642F)
+        for b in range(128):
+            votes[b] += n.bit_length() if bits >> 127 - b & 1 else -n.bit_length()
+    return sum(1 << 127 - b for b in range(128) if votes[b] > 0)
+
+
 def plain_next(rows):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
     out = []
+    like = lambda a, b: 1 - (a ^ b).bit_count() / 128
     for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
         half = len(t) // 2
         changed = t[: len(t) - half] + n[:half]
-        own = fingerprints.fingerprint(t)
-        out.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), own.hex(), fingerprints.likeness(own, fingerprints.fingerprint(changed)), fingerprints.likeness(own, fingerprints.fingerprint(n))))
+        own, other = plain_votes(t), plain_votes(changed)
+        out.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), f"{own:032x}", f"{other:032x}", like(own, other), like(own, plain_votes(n))))
     return out
 
 
@@ -207,13 +250,21 @@ def test_fingerprints(spark, odd, documents, none):
     for df in (distinct_ids, documents, documents.limit(1)):
         rows = [(r["doc_id"], r["text"] or "") for r in df.collect()]
         found = fingerprints.report(df).collect()
-        got = [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["near_edited"], r["near_next"]) for r in found]
+        got = [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in found]
         assert sorted(got, key=key) == sorted(plain_next(rows), key=key)
         values = [int(r["fingerprint"], 16) for r in found]
         for r in found:
             near = sum((int(r["fingerprint"], 16) ^ v).bit_count() <= 6 for v in values)
             assert r["n_near"] == (near if r["doc_id"] is not None and r["doc_id"] % 50 == 0 else None)
-    assert fingerprints.report(none).count() == 0 and fingerprints.report(odd).count() == odd.count()
+    assert fingerprints.report(none).count() == 0
+    # Equal ids: some order by text, which reruns keep; each row has the fingerprint of its text.
+    again = odd.union(odd.filter("doc_id = 8"))
+    got = [tuple(r) for r in fingerprints.report(again).collect()]
+    assert sorted(got, key=key) == sorted((tuple(r) for r in fingerprints.report(again.repartition(5)).collect()), key=key)
+    want = Counter((r["doc_id"], f"{plain_votes(r['text'] or ''):032x}") for r in again.collect())
+    assert Counter((r[0], r[3]) for r in got) == want
+    narrow = documents.select(F.col("doc_id").cast("int").alias("doc_id"), "text").limit(50)
+    assert fingerprints.report(narrow).schema["doc_id"].dataType.typeName() == "integer" and fingerprints.report(narrow).count() == 50
 
 
 def test_edits_are_nearer_than_others(documents):
@@ -282,6 +333,20 @@ def test_mixing(odd, documents, none):
     assert mixing.report(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_mixing_clashing_columns(odd):
+    names = ["_source", "_none", "_part", "_start", "_before", "_row", "_size", "draw", "offset", "copies", "target", "slope", "text_key", "source_size", "weight"]
+    df = odd.select("*", *[F.lit(n).alias(n) for n in names])
+    out = mixing.mix(df)
+    assert out.columns == [*df.columns, "epoch", "position"]
+    rows = out.collect()
+    assert {tuple(r[n] for n in names) for r in rows} == {tuple(names)} and {r["size"] for r in rows} <= {r["size"] for r in odd.collect()}
+    assert sorted(map(str, out.select(*odd.columns, "epoch", "position").collect())) == sorted(map(str, mixing.mix(odd).collect()))
+
+
+def test_mixing_groups_grow():
+    assert [mixing.group_digits(n) for n in (0, 10**6, 67_108_864, 67_108_865, 10**10, 5 * 10**10)] == [3, 3, 3, 4, 5, 6]
+
+
 def test_schedule_inverts(spark):
     for slope in (-0.9, -0.5, 0.0, 0.5, 0.9):
         df = spark.range(11).select((F.col("id") / 10).alias("t")).withColumn("slope", F.lit(slope))
@@ -325,3 +390,20 @@ def test_pipeline(spark, documents, small):
     texts = {r["doc_id"]: r["text"] for r in mixed.collect()}
     assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in ids.collect())
     assert corpus_pipeline.run(spark, small).count() == mixed.count()
+
+
+def test_pipeline_of_odd_tables(spark, odd, none, small):
+    """Nulls, empty and long texts, repeated rows, no rows, and columns of the operators' own names."""
+    clash = odd.select("*", *[F.lit(n).alias(n) for n in ("_id", "_none", "_text", "_row", "_c", "_lost", "_source", "_part", "_salt", "blob", "node", "label", "text_key", "draw", "position")])
+    kept = {}
+    for name, df in (("odd", odd), ("none", none), ("clash", clash)):
+        docs = df
+        for title, stage in corpus_pipeline.STAGES[:-1]:
+            docs = written(stage(spark, docs, small), "odd-stage")
+            assert docs.columns == df.columns, title
+        ids = corpus_pipeline.STAGES[-1][1](spark, docs, small)
+        assert ids.count() == docs.count()
+        kept[name] = sorted((str(r["doc_id"]), r["decoded_sha256"]) for r in ids.collect())
+        if name == "clash":
+            assert {tuple(r[c] for c in ("_id", "_row", "_source", "node", "position")) for r in docs.collect()} == {("_id", "_row", "_source", "node", "position")}
+    assert kept["none"] == [] and kept["odd"] == kept["clash"] and kept["odd"]
