@@ -201,11 +201,11 @@ SQL["mse"] = f"WITH {PAIRS} SELECT img, {sql_tidy('avg(pow(a - b, 2))', 9)} AS m
 SQL["psnr"] = f"WITH {PAIRS} SELECT img, {sql_tidy('10 * log10(1 / greatest(avg(pow(a - b, 2)), 1e-12))')} AS psnr FROM pairs GROUP BY img"
 _TAPS = "taps AS (SELECT k - 5 AS k, exp(-pow(k - 5, 2) / 4.5) / sum(exp(-pow(k - 5, 2) / 4.5)) OVER () AS g FROM range(11) r(k))"
 _BLUR = ", ".join(f"sum(g * {c}) AS {c}" for c in ("a", "b", "aa", "bb", "ab"))
-SQL["ssim_window"] = f"""WITH {PAIRS}, {_TAPS}, p AS (SELECT *, a * a AS aa, b * b AS bb, a * b AS ab FROM pairs
+SSIM_VALUE = "avg(least(greatest((2 * r.a * r.b + 1e-4) * (2 * (ab - r.a * r.b) + 9e-4) / ((r.a * r.a + r.b * r.b + 1e-4) * (aa - r.a * r.a + bb - r.b * r.b + 9e-4)), 0), 1))"
+SSIM_START = f"""WITH {PAIRS}, {_TAPS}, p AS (SELECT *, a * a AS aa, b * b AS bb, a * b AS ab FROM pairs
 ), q AS (SELECT img, y, x - k AS x, {_BLUR} FROM p, taps GROUP BY img, y, x - k
-), r AS (SELECT img, y - k AS y, x, {_BLUR} FROM q, taps GROUP BY img, y - k, x)
-SELECT img, {sql_tidy('avg(least(greatest((2 * r.a * r.b + 1e-4) * (2 * (ab - r.a * r.b) + 9e-4) / ((r.a * r.a + r.b * r.b + 1e-4) * (aa - r.a * r.a + bb - r.b * r.b + 9e-4)), 0), 1))')} AS ssim
-FROM r JOIN pairs USING (img, y, x) GROUP BY img"""
+), r AS (SELECT img, y - k AS y, x, {_BLUR} FROM q, taps GROUP BY img, y - k, x)"""
+SQL["ssim_window"] = f"{SSIM_START} SELECT img, {sql_tidy(SSIM_VALUE)} AS ssim FROM r JOIN pairs USING (img, y, x) GROUP BY img"
 
 
 def _tile_waves(spark, sf_dir, kind: str):

@@ -76,7 +76,7 @@ def rd_csv(spark, sf_dir):
     total = rate.groupBy("img").agg(F.sum("n").alias("total"))
     bits = rate.join(total, "img").groupBy("img").agg((-F.sum(F.col("n") * F.log2(F.col("n") / F.col("total"))) / F.max("total")).alias("bpp"))
     rows = metrics.psnr(both).join(metrics.ssim(both), "img").join(bits, "img")
-    named = rows.select(F.format_string("%d.png", "img").alias("ref"), F.format_string("%d_recon.png", "img").alias("hat"), tidy(F.col("psnr")).alias("psnr"), tidy(F.col("ssim")).alias("ssim"), tidy(F.col("bpp")).alias("bpp"))
+    named = rows.select(F.format_string("%d.png", "img").alias("ref"), F.format_string("%d_recon.png", "img").alias("hat"), "psnr", "ssim", "bpp")
     return workflow.metrics_rows(named)
 
 
@@ -87,9 +87,8 @@ SQL["run_items"] = """SELECT 'page_' || page_id AS id, CASE WHEN page_id % 10 =
   CASE WHEN page_id % 10 <> 7 THEN round(8.0 * octet_length(encode(coalesce(html, ''))) / 4096, 6)::DOUBLE END AS bpp, CASE WHEN page_id % 10 = 7 THEN 'ValueError: this item fails' END AS error FROM pages"""
 SQL["run_summary"] = "SELECT count(*) AS total, count(*) FILTER (WHERE page_id % 10 <> 7) AS done, count(*) FILTER (WHERE page_id % 10 = 7) AS errors FROM pages"
 SQL["output_names"] = "SELECT page_id, 'pages_' || page_id || '_stripes__v15__q' || (page_id % 5) || '__' || printf('%.3f', page_id / 8.0) || '__s' || (page_id * 3) || '.img' AS name FROM pages"
-_SSIM = rasters.SQL["ssim_window"]
-SQL["rd_csv"] = f"""{_SSIM.rpartition('SELECT img,')[0]}, ss AS (SELECT img,{_SSIM.rpartition('SELECT img,')[2]}
-), ps AS (SELECT img, round(10 * log10(1 / greatest(avg(pow(a - b, 2)), 1e-12)), 6) AS psnr FROM pairs GROUP BY img
+SQL["rd_csv"] = f"""{rasters.SSIM_START}, ss AS (SELECT img, {rasters.SSIM_VALUE} AS ssim FROM r JOIN pairs USING (img, y, x) GROUP BY img
+), ps AS (SELECT img, 10 * log10(1 / greatest(avg(pow(a - b, 2)), 1e-12)) AS psnr FROM pairs GROUP BY img
 ), cnt AS (SELECT img, b, count(*) AS n, sum(count(*)) OVER (PARTITION BY img) AS total FROM pairs GROUP BY img, b
-), rt AS (SELECT img, round(-sum(n * log2(n / total)) / max(total), 6) AS bpp FROM cnt GROUP BY img)
+), rt AS (SELECT img, -sum(n * log2(n / total)) / max(total) AS bpp FROM cnt GROUP BY img)
 SELECT img || '.png' AS ref, img || '_recon.png' AS hat, printf('%.3f', psnr) AS psnr, printf('%.5f', ssim) AS ssim, printf('%.4f', bpp) AS bpp FROM ss JOIN ps USING (img) JOIN rt USING (img)"""
