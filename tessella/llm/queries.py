@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, fingerprints, mixing, quality, records, secrets, simhash, urlfilter, warc
+from . import bpe, chat, divergence, fingerprints, mixing, quality, records, secrets, simhash, urlfilter, warc
 from .common import table
-from .sql import op1, op2, op7, op8
+from .sql import op1, op2, op7, op8, op12
 
 QUERIES = {}
 SQL = {}
@@ -77,3 +77,11 @@ SQL["op8_url_filters"] = op8.SQL
 @query
 def op10_document_fingerprints(spark, sf_dir):
     return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_source_divergence(spark, sf_dir):
+    return divergence.report(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_source_divergence"] = op12.SQL
