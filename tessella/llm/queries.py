@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, divergence, fingerprints, mixing, quality, records, secrets, simhash, urlfilter, warc
+from . import bpe, chat, divergence, fingerprints, mixing, quality, records, secrets, simhash, topk, urlfilter, warc
 from .common import table
-from .sql import op1, op2, op7, op8, op12
+from .sql import op1, op2, op7, op8, op12, op13
 
 QUERIES = {}
 SQL = {}
@@ -85,3 +85,11 @@ def op12_source_divergence(spark, sf_dir):
 
 
 SQL["op12_source_divergence"] = op12.SQL
+
+
+@query
+def op13_exact_topk(spark, sf_dir):
+    return topk.report(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op13_exact_topk"] = op13.SQL
