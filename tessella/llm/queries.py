@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, divergence, fingerprints, mixing, quality, records, secrets, simhash, topk, urlfilter, warc
+from . import alignment, bpe, chat, divergence, fingerprints, mixing, quality, records, secrets, simhash, topk, urlfilter, warc
 from .common import table
 from .sql import op1, op2, op7, op8, op12, op13
 
@@ -93,3 +93,9 @@ def op13_exact_topk(spark, sf_dir):
 
 
 SQL["op13_exact_topk"] = op13.SQL
+
+
+@query
+def op11_cross_tokenizer_alignment(spark, sf_dir):
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.report(table(spark, sf_dir, "documents"), *paths, public_tokenizers.PATTERN)
