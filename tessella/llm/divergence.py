@@ -43,7 +43,7 @@ TOP = 50
 #: Counts that a task holds before it gives them away.
 HELD = 400_000
 #: Terms of a shard and sources of a block, on the average.
-SHARD, BLOCK = 32_768, 32
+SHARD, BLOCK = 4_096, 32
 
 #: Bytes of terms as they are, A-Z in lower case; every other byte is a blank.
 _TERM_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
