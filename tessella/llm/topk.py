@@ -8,7 +8,8 @@ left, reading stops and the final scores of these few are resolved.
 
 Spark deals the vectors into blocks by their row numbers, so repeated vectors don't meet in one block.  Each query first
 asks one block, the queries being dealt over the blocks; its k-th score there is a lower bound from real candidates, with
-which it then asks the other blocks, where most lists need be read little more than half.  A task holds one block and
+which it then asks the other blocks, so reading stops before the ends of the lists (after some four fifths for vectors
+without a common direction).  A task holds one block and
 streams the queries through it, however many they are, so only queries are repeated, once for each block; the k best of
 all blocks are the answer.
 
