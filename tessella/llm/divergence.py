@@ -105,10 +105,11 @@ def tallies(kept: DataFrame, groups: DataFrame, shard: int = SHARD, block: int =
     """
     blocks = F.ceil(F.count("*") / block).cast("int").alias("blocks")
     shape = groups.groupBy("lang").agg(blocks, F.greatest(F.lit(1), F.ceil(F.max("vocabulary") / shard)).cast("int").alias("shards"))
-    cells = kept.select("lang", "source", "term", "n").union(groups.select("lang", "source", F.lit(None).cast("string"), F.lit(0).cast("long")))
+    cells = kept.select("lang", "source", "term", "n").join(shape, "lang").withColumn("shard", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int"))
+    # A source has a row in each shard, so a shard of which it has no term counts zeros for it.
+    every = groups.select("lang", "source", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n")).join(shape, "lang")
     dealt = (
-        cells.join(shape, "lang")
-        .withColumn("shard", F.when(F.col("term").isNull(), 0).otherwise(F.pmod(F.xxhash64("term"), F.col("shards"))).cast("int"))
+        cells.unionByName(every.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))))
         .withColumn("block", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("lang", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "shard", "block", "source", "term", "n")
