@@ -23,7 +23,7 @@ Defined results
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from typing import NamedTuple
 
@@ -95,13 +95,16 @@ def leading_bits(count: int, radius: int) -> int:
     return min(32, max(LEAST_LEADING_BITS, (variants // AT_A_TIME).bit_length()))
 
 
-def _links(fps: np.ndarray, labels: np.ndarray, rest: np.ndarray, bits: int, cache: dict, odd: bool = False, few: int = 0, at_a_time: int = AT_A_TIME) -> list[np.ndarray]:
+def _links(
+    fps: np.ndarray, labels: np.ndarray, rest: np.ndarray, bits: int, cache: dict, odd: bool = False, few: int = 0, at_a_time: int = AT_A_TIME, alike: Callable[[np.ndarray], np.ndarray] | None = None
+) -> list[np.ndarray]:
     """Links among fingerprints of one group: the variants' leading bits are those of the group, which took them
     ``rest`` short of the half radius; ``bits`` bits follow.
 
     Rows (label, least label that shares a variant, in how many).  ``odd``: of the labels that share a variant only
     those that are still short of the half radius are linked to, so all links are within twice that radius less one.
-    ``few``: variants of so many labels or fewer give all pairs, others also the next lower label that shares it.
+    ``few``: variants of so many labels or fewer give all pairs, of which those stay that are ``alike``; others also link
+    to the next lower label that shares it.
     """
     if len(fps) < 2:
         return []
@@ -115,7 +118,7 @@ def _links(fps: np.ndarray, labels: np.ndarray, rest: np.ndarray, bits: int, cac
         for value in range(16):
             left = rest - np.bitwise_count(lead ^ np.uint64(value)).astype(np.int64)
             some = left >= 0
-            found += _links(fps[some], labels[some], left[some], bits - 4, cache, odd, few, at_a_time)
+            found += _links(fps[some], labels[some], left[some], bits - 4, cache, odd, few, at_a_time, alike)
         return found
     low = np.uint64((1 << bits) - 1)
     keys, owners, far = [], [], []
@@ -137,13 +140,17 @@ def _links(fps: np.ndarray, labels: np.ndarray, rest: np.ndarray, bits: int, cac
     key, owner, outer = key[order], owner[order], outer[order]
     first = np.append(True, key[1:] != key[:-1])
     start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-    pairs = [np.stack([owner, owner[start]], axis=1)[~first & ~outer[start]]]
-    if few:
-        place = np.arange(len(key)) - start
-        number = np.repeat(np.diff(np.append(np.flatnonzero(first), len(key))), np.diff(np.append(np.flatnonzero(first), len(key))))
-        for k in range(1, few - 1):  # from the second of a group on: pairs with the first are there
-            some = np.flatnonzero((place > k) & ((number <= few) | (k == 1)))
-            pairs.append(np.stack([owner[some], owner[some - k]], axis=1))
+    heads = np.flatnonzero(first)
+    sizes = np.diff(np.append(heads, len(key)))
+    number = np.repeat(sizes, sizes)
+    place = np.arange(len(key)) - start
+    pairs = []
+    for k in range(1, few) if few else (1,):  # with the first of a group (k = 1), and with the k - 1 rows before
+        some = np.flatnonzero(~first & ~outer[start]) if k == 1 else np.flatnonzero((place >= k) & ((number <= few) | (k == 2)))
+        both = np.stack([owner[some], owner[start[some] if k == 1 else some - (k - 1)]], axis=1)
+        if alike is not None:
+            both = both[(number[some] > few) | alike(both)]
+        pairs.append(both)
     return [_counted(np.concatenate(pairs))]
 
 
@@ -191,9 +198,10 @@ def _spread(rows: DataFrame, bits: int, lead: int, half: int) -> DataFrame:
     return many.select("table", mine.bitwiseXOR(F.col("mask").cast("long")).cast("long").alias("lead"), *[c for c in rows.columns if c != "table"])
 
 
-def _meetings(rows: DataFrame, bits: int, lead: int, radius: int, few: int = 0, at_a_time: int = AT_A_TIME) -> DataFrame:
+def _meetings(rows: DataFrame, bits: int, lead: int, radius: int, few: int = 0, at_a_time: int = AT_A_TIME, most: int | None = None) -> DataFrame:
     """a, b (b < a), large: labels of fingerprints that share a variant, as of ``_links``; of each group what ``_forest``
-    keeps.  Each task takes its groups one by one."""
+    keeps.  Each task takes its groups one by one.  ``most``: pairs are alike if no more than so many bits of the columns
+    of ``rows`` beyond (table, fp, label) differ."""
     half, shift = (radius + 1) // 2, bits - lead
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +211,15 @@ def _meetings(rows: DataFrame, bits: int, lead: int, radius: int, few: int = 0,
             both = np.concatenate(parts, axis=1)
             fps = both[0].view(np.uint64)
             rest = half - np.bitwise_count((fps >> np.uint64(shift)) ^ np.uint64(group[1])).astype(np.int64)
-            found = _links(fps, both[1], rest, shift, cache, bool(radius % 2), few, at_a_time)
+            labels, alike = both[1], None
+            if most is not None:
+                order = np.argsort(labels)
+
+                def alike(pairs: np.ndarray) -> np.ndarray:
+                    a, b = (order[np.searchsorted(labels, pairs[:, i], sorter=order)] for i in (0, 1))
+                    return sum(np.bitwise_count((c[a] ^ c[b]).view(np.uint64)).astype(np.int64) for c in both[2:]) <= most
+
+            found = _links(fps, labels, rest, shift, cache, bool(radius % 2), few, at_a_time, alike)
             if found:
                 every = np.concatenate(found)
                 kept = _forest(_counted(every[:, :2], every[:, 2]), few)
@@ -293,16 +309,25 @@ def report(documents: DataFrame) -> DataFrame:
 
 # --- groups by similarity of sets of shingles ------------------------------------------------------------------------
 
-#: Bits of a fingerprint for up to four million texts, and the radius within which fingerprints meet.
-TABLE_BITS, TABLE_RADIUS = 40, 4
+#: Bits of a fingerprint that may differ, and in how many of them, where fingerprints meet.
+BALL_BITS, TABLE_RADIUS = 32, 4
+#: Texts of a table that meet in a group, at most on the average.  A variant then has a quarter of a text.
+GROUP = 2_000_000
 #: The chance with which a pair at the limit of similarity meets in some table.
 MEETS = 0.98
+#: Bits by which pairs are checked where they meet, and standard deviations above the mean at the limit.
+CHECK_BITS, CHECK_DEVIATIONS = 128, 4
+#: Groups of a table, as a power of two, that its fingerprints are dealt over however few there are.
+LEAST_GROUPS = 3
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Shape(NamedTuple):
+    """Fingerprints of a text, their bits, and how many leading bits must agree."""
+
     tables: int
     bits: int
+    agree: int = 0
 
 
 def differing(similarity: float) -> float:
@@ -313,22 +338,47 @@ def differing(similarity: float) -> float:
 def shape_for(count: int, similarity: float = 0.8) -> Shape:
     """Independent fingerprints of a text, and their bits.
 
-    So many bits that a text meets others by chance in few cases, however many texts there are: 18 more than tell the
-    texts apart, whole bytes.  So many tables that a pair at the limit meets with a chance of ``MEETS``: fourteen for 40
-    bits, where one fingerprint lies within 4 bits with a chance of 0.25.
+    So many leading bits must agree that ``GROUP`` texts have them in common; of the 32 bits that follow, four may differ.
+    So a text has a row per table, and no more texts meet by chance the more there are.  So many tables that a pair at the
+    limit meets with a chance of ``MEETS``: seven for two million texts, where one fingerprint is near with a chance of
+    0.46.
     """
-    bits = min(64, max(TABLE_BITS, 8 * -(-(max(count - 1, 1).bit_length() + 18) // 8)))
+    agree = max(0, math.ceil(math.log2(max(1, count) / GROUP)))
+    p = differing(similarity)
+    near = (1 - p) ** agree * sum(math.comb(BALL_BITS, k) * p**k * (1 - p) ** (BALL_BITS - k) for k in range(TABLE_RADIUS + 1))
+    return Shape(max(5, math.ceil(math.log(1 - MEETS) / math.log(1 - near))), agree + BALL_BITS, agree)
+
+
+def most_checked(similarity: float) -> int:
+    """Differing bits of the check up to which a pair that meets is a pair."""
     p = differing(similarity)
-    near = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(TABLE_RADIUS + 1))
-    return Shape(math.ceil(math.log(1 - MEETS) / math.log(1 - near)), bits)
+    return math.floor(CHECK_BITS * p + CHECK_DEVIATIONS * math.sqrt(CHECK_BITS * p * (1 - p)))
+
+
+def chance_partners(count: int, similarity: float = 0.8) -> float:
+    """Texts that a text has as pairs in a table though they have no shingle in common."""
+    shape = shape_for(count, similarity)
+    ball = sum(math.comb(BALL_BITS, k) for k in range(TABLE_RADIUS + 1)) / 2**shape.bits
+    check = sum(math.comb(CHECK_BITS, k) for k in range(most_checked(similarity) + 1)) / 2**CHECK_BITS
+    return count * ball * check
+
+
+def _lead(shape: Shape) -> int:
+    return max(0, LEAST_GROUPS - shape.agree)
+
+
+def rows_of_a_text(count: int, similarity: float = 0.8) -> int:
+    """Rows that a text has where its fingerprints meet."""
+    shape = shape_for(count, similarity)
+    return shape.tables * len(masks(_lead(shape), (TABLE_RADIUS + 1) // 2))
 
 
 def sketch(hashes: np.ndarray, shape: Shape) -> list[int]:
     """The fingerprints of a set of shingle hashes, one per table, as signed longs."""
     hashes = np.unique(hashes)
-    tables, width = shape.tables, shape.bits // 8
+    tables, width = shape.tables, -(-shape.bits // 8)
     salts = np.arange(1, 2 * tables, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    ones = np.zeros(tables * shape.bits, dtype=np.int64)
+    ones = np.zeros(tables * width * 8, dtype=np.int64)
     for at in range(0, len(hashes), 255):  # so many single bits still sum up in a byte
         h = hashes[at : at + 255, None] ^ salts
         h = (h ^ (h >> np.uint64(32))) * MIX
@@ -336,7 +386,7 @@ def sketch(hashes: np.ndarray, shape: Shape) -> list[int]:
         raw = (h ^ (h >> np.uint64(32))).astype(">u8").view(np.uint8).reshape(len(h), tables, 8)[:, :, :width]
         ones += np.unpackbits(raw.reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.uint8)
     packed = np.packbits(2 * ones > len(hashes)).reshape(tables, width)
-    return [int.from_bytes(row.tobytes(), "big", signed=width == 8) for row in packed]
+    return [int.from_bytes(row.tobytes(), "big") >> (8 * width - shape.bits) for row in packed]
 
 
 def sketches(documents: DataFrame, shape: Shape, words: int = 5, seed: int = 42) -> DataFrame:
@@ -361,17 +411,22 @@ def most_bits(similarity: float, shape: Shape) -> int:
     return math.floor(n * p + 3 * math.sqrt(n * p * (1 - p)))
 
 
-def meetings(nodes: DataFrame, shape: Shape) -> DataFrame:
+def meetings(nodes: DataFrame, shape: Shape, similarity: float = 0.8) -> DataFrame:
     """a, b, large: links of nodes (node, sketch) of which a fingerprint is near.
 
-    Fingerprints meet per table by ball hashing, in few groups (64 per table, more for very many nodes).  Where few meet
-    all pairs are links.  Where many do (``large``), each links to the least in a variant and to the one before it, and
-    a forest of the nearest links stays, so links grow with the nodes and not with their pairs.
+    Fingerprints whose leading bits agree meet per table by ball hashing over the other bits.  Each brings bits of the
+    four tables that follow its own, by which pairs are checked where they meet, before they are rows.  Where few meet all
+    pairs are links.  Where many do (``large``), each links to the least in a variant and to the one before it, and a
+    forest of the nearest links stays, so links grow with the nodes and not with their pairs.
     """
-    # A group's fingerprints are held at once: 16 bytes each, a third of all with 6 leading bits.
-    lead = min(shape.bits - 8, max(6, (nodes.count() // 8_000_000).bit_length() + 6))
-    rows = nodes.select(F.posexplode("sketch").alias("table", "fp"), F.col("node").alias("label"))
-    return _meetings(rows, shape.bits, lead, TABLE_RADIUS, FEW)
+    ball = shape.bits - shape.agree
+    at = lambda k: F.get("sketch", F.pmod(F.col("table") + k, F.lit(shape.tables)).cast("int"))
+    both = lambda k: at(k).bitwiseAND(F.lit((1 << ball) - 1)).bitwiseXOR(F.shiftleft(at(k + 1), ball))
+    rows = nodes.select("node", "sketch", F.posexplode("sketch").alias("table", "whole")).select(
+        (F.col("table").cast("long") * (1 << shape.agree) + F.shiftrightunsigned("whole", ball)).alias("table"),
+        F.col("whole").bitwiseAND(F.lit((1 << ball) - 1)).alias("fp"), F.col("node").alias("label"), both(1).alias("check_1"), both(3).alias("check_2"),
+    )
+    return _meetings(rows, ball, _lead(shape), TABLE_RADIUS, FEW, most=most_checked(similarity))
 
 
 def near(pairs: DataFrame, nodes: DataFrame, similarity: float, shape: Shape) -> DataFrame:
@@ -501,7 +556,7 @@ def deduplicated(documents: DataFrame, similarity: float = 0.8, words: int = 5,
         texts = keyed.select(F.col("_row.text").alias("text"), *keys).join(written(wanted, "sketch-candidates"), keys)
         return written(shingle_sets(texts, words, seed).dropDuplicates(["node"]), "shingle-sets")
 
-    met = written(meetings(nodes, shape), "sketch-meetings")
+    met = written(meetings(nodes, shape, similarity), "sketch-meetings")
     pairs = written(near(met, nodes, similarity, shape), "sketch-pairs")
     alike = written(verified(pairs, sets_of(pairs), similarity), "similar-pairs")
     labels = components(alike)

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -197,10 +198,33 @@ def test_deduplicated_in_a_large_family(spark):
     assert stay >= set(range(2400)) and len(lost) <= 1, len(lost)
 
 
-@pytest.mark.parametrize("count", [1000, 10**7])
+def test_rows_and_chance_partners_of_a_text_are_bounded():
+    """Neither grows much with the number of texts: 10^4 to 10^11 of them."""
+    found = {n: (simhash.shape_for(10**n), simhash.rows_of_a_text(10**n), simhash.chance_partners(10**n)) for n in range(4, 12)}
+    assert [rows for _, rows, _ in found.values()] == [49, 49, 49, 13, 22, 36, 71, 118]
+    assert all(chance <= 1e-5 for _, _, chance in found.values())
+    for n, (shape, _, _) in found.items():
+        group = 10**n / 2**shape.agree
+        variants = len(simhash.masks(simhash.BALL_BITS, simhash.TABLE_RADIUS // 2))
+        assert group <= simhash.GROUP and group * variants / 2**simhash.BALL_BITS <= 0.25  # texts of a variant
+
+
+def test_random_sketches_make_no_family(spark):
+    """As many unlike texts in a variant as the largest corpus has: none is a pair, so none is in a family."""
+    draw, shape = np.random.default_rng(4), simhash.Shape(5, simhash.BALL_BITS)
+    rows = 300_000
+    sketch = draw.integers(0, 2**simhash.BALL_BITS, size=(rows, shape.tables))
+    # 29 bits alone are random in the first table: a variant there has as many texts as in a group of 2.4 million.
+    sketch[:, 0] &= (1 << 29) - 1
+    nodes = spark.createDataFrame(pd.DataFrame({"node": np.arange(rows), "sketch": list(sketch)}), "node long, sketch array<long>").repartition(4)
+    found = simhash.meetings(nodes, shape)
+    assert found.count() == 0
+
+
+@pytest.mark.parametrize("count", [1000, 10**9])
 def test_sketches_tell_similarity(count):
     draw, shape = random.Random(9), simhash.shape_for(count)
-    assert shape == ((14, 40) if count == 1000 else (29, 48))
+    assert shape == ((7, 32, 0) if count == 1000 else (36, 41, 9))
     for similarity, low, high in ((0.85, 0.98, 1.0), (0.8, 0.92, 1.0), (0.6, 0.0, 0.15), (0.0, 0.0, 0.0)):
         hit = 0
         for _ in range(200):
@@ -208,7 +232,7 @@ def test_sketches_tell_similarity(count):
             common = round(2 * n * similarity / (1 + similarity))
             both = np.array([draw.getrandbits(64) for _ in range(2 * n - common)], dtype=np.uint64)
             a, b = simhash.sketch(both[:n], shape), simhash.sketch(np.concatenate([both[:common], both[n:]]), shape)
-            near = any((x ^ y).bit_count() <= simhash.TABLE_RADIUS for x, y in zip(a, b))
+            near = any((x ^ y) >> simhash.BALL_BITS == 0 and (x ^ y).bit_count() <= simhash.TABLE_RADIUS for x, y in zip(a, b))
             hit += near and sum((x ^ y).bit_count() for x, y in zip(a, b)) <= simhash.most_bits(0.8, shape)
         assert low <= hit / 200 <= high
 
