@@ -10,8 +10,8 @@ Defined results
 * repeated rows and equal texts: one blob, scanned once; each row gets the findings.
 * empty table: no rows, and an empty addition to the ledger.
 * spans are code points, end exclusive, leftmost and non-overlapping per rule; rules may overlap each other.
-* extra columns of the input are carried along by ``scan``; ``blob`` and ``spans`` are its own names, and input
-  columns of these names are replaced.
+* extra columns of the input, of any type, are carried along by ``scan``; ``blob`` and ``spans`` are its own names, and
+  input columns of these names are replaced.  A column ``text`` is all that it needs.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, let, running_max, running_sum, shared_folder
+from .common import let, running_max, running_sum, shared_folder, written
 
 SPANS = "array<struct<start:int,rule:int,end:int>>"
 
@@ -46,14 +46,15 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
-#: A key from its BEGIN line to its END line; where END is missing, to the end of the body: runs of 16 and more, and a
-#: last shorter one that is padded or has a line to itself.  A line break may be spelled out, as in JSON.  Loops are
-#: possessive, so Java takes long bodies without recursion.
+#: A key from its BEGIN line to its END line, whatever stands between (quote marks, comments, headers, markup) but five
+#: dashes.  Where END is missing, to the end of the body: runs of 16 and more between breaks, quote marks and comment signs,
+#: and a last shorter one that is padded or has a line to itself.  A line break may be spelled out, as in JSON.  Loops are
+#: possessive and the one over dashes is bounded, so Java takes long bodies without recursion.
 PEM = (
-    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
-    r"(?:[ \t\r\n]{0,8}(?:Proc-Type|DEK-Info):[^\r\n]{0,200}){0,8}+"
-    r"(?:[A-Za-z0-9+/=\\ \t\r\n]*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
-    r"|(?:[\\ \t\r\n]{0,8}[A-Za-z0-9+/=]{16,}+)++(?:[\\ \t\r\n]{0,8}[A-Za-z0-9+/]{1,15}={1,2}|[ \t]{0,4}\r?\n[ \t]{0,4}[A-Za-z0-9+/]{1,15}(?=[ \t]*+(?:[\r\n]|\z)))?"
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:[^-]*+(?:-{1,4}+[^-]++){0,200}+-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:[ \t\r\n>#*|;]{0,8}[A-Z][A-Za-z-]{2,20}:[^\r\n]{0,200}){0,8}+"
+    r"(?:(?:[\\ \t\r\n>#*|;]|<br ?/?>){0,12}+[A-Za-z0-9+/=]{16,}+)++(?:[\\ \t\r\n]{0,8}[A-Za-z0-9+/]{1,15}={1,2}|[ \t]{0,4}\r?\n[ \t]{0,4}[A-Za-z0-9+/]{1,15}(?=[ \t]*+(?:[\r\n]|\z)))?"
     r"|)"
 )
 MORE_RULES = (
@@ -145,11 +146,12 @@ def findings(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES)
 def attached(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``versions`` with ``blob`` and the ``spans`` that the ledger has for it.
 
-    Findings are one row per blob with findings; the rows of a hot blob are dealt by their other columns.
+    Findings are one row per blob with findings, in a table of known size: below Spark's threshold it is broadcast and no
+    text moves, beyond it the rows of a hot blob are split where they are joined.
     """
     kept = [c for c in versions.columns if c not in ("spans", "blob")]
     rows = versions.select(F.struct(*kept).alias("_row"), blob_of(versions["text"]).alias("blob"))
-    joined = join_hot(rows, findings(versions, ledger, rules), "blob", [F.col("_row")[c] for c in kept if c != "text"])
+    joined = rows.join(written(findings(versions, ledger, rules), "secret-findings"), "blob", "left")
     return joined.select(*[F.col("_row")[c].alias(c) for c in kept], "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 

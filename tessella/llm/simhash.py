@@ -319,15 +319,19 @@ MEETS = 0.98
 CHECK_BITS, CHECK_DEVIATIONS = 128, 4
 #: Groups of a table, as a power of two, that its fingerprints are dealt over however few there are.
 LEAST_GROUPS = 3
+#: Fingerprints of a sketch, at least.
+WIDTH = 14
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Shape(NamedTuple):
-    """Fingerprints of a text, their bits, and how many leading bits must agree."""
+    """Tables in which a text has a fingerprint, the bits of one, how many leading bits must agree, and the fingerprints of
+    a sketch, which tell by all their bits how much two texts that meet have in common."""
 
     tables: int
     bits: int
     agree: int = 0
+    width: int = 0
 
 
 def differing(similarity: float) -> float:
@@ -346,7 +350,8 @@ def shape_for(count: int, similarity: float = 0.8) -> Shape:
     agree = max(0, math.ceil(math.log2(max(1, count) / GROUP)))
     p = differing(similarity)
     near = (1 - p) ** agree * sum(math.comb(BALL_BITS, k) * p**k * (1 - p) ** (BALL_BITS - k) for k in range(TABLE_RADIUS + 1))
-    return Shape(max(5, math.ceil(math.log(1 - MEETS) / math.log(1 - near))), agree + BALL_BITS, agree)
+    tables = max(5, math.ceil(math.log(1 - MEETS) / math.log(1 - near)))
+    return Shape(tables, agree + BALL_BITS, agree, max(WIDTH, tables))
 
 
 def most_checked(similarity: float) -> int:
@@ -374,9 +379,9 @@ def rows_of_a_text(count: int, similarity: float = 0.8) -> int:
 
 
 def sketch(hashes: np.ndarray, shape: Shape) -> list[int]:
-    """The fingerprints of a set of shingle hashes, one per table, as signed longs."""
+    """The fingerprints of a set of shingle hashes, those of the tables first."""
     hashes = np.unique(hashes)
-    tables, width = shape.tables, -(-shape.bits // 8)
+    tables, width = max(shape.width, shape.tables), -(-shape.bits // 8)
     salts = np.arange(1, 2 * tables, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     ones = np.zeros(tables * width * 8, dtype=np.int64)
     for at in range(0, len(hashes), 255):  # so many single bits still sum up in a byte
@@ -407,7 +412,7 @@ def sketches(documents: DataFrame, shape: Shape, words: int = 5, seed: int = 42)
 def most_bits(similarity: float, shape: Shape) -> int:
     """Differing bits of two sketches up to which their sets are compared: the mean at this Jaccard similarity of sets
     of one size, and three standard deviations."""
-    n, p = shape.tables * shape.bits, differing(similarity)
+    n, p = max(shape.width, shape.tables) * shape.bits, differing(similarity)
     return math.floor(n * p + 3 * math.sqrt(n * p * (1 - p)))
 
 
@@ -422,7 +427,7 @@ def meetings(nodes: DataFrame, shape: Shape, similarity: float = 0.8) -> DataFra
     ball = shape.bits - shape.agree
     at = lambda k: F.get("sketch", F.pmod(F.col("table") + k, F.lit(shape.tables)).cast("int"))
     both = lambda k: at(k).bitwiseAND(F.lit((1 << ball) - 1)).bitwiseXOR(F.shiftleft(at(k + 1), ball))
-    rows = nodes.select("node", "sketch", F.posexplode("sketch").alias("table", "whole")).select(
+    rows = nodes.select("node", "sketch", F.posexplode(F.slice("sketch", 1, shape.tables)).alias("table", "whole")).select(
         (F.col("table").cast("long") * (1 << shape.agree) + F.shiftrightunsigned("whole", ball)).alias("table"),
         F.col("whole").bitwiseAND(F.lit((1 << ball) - 1)).alias("fp"), F.col("node").alias("label"), both(1).alias("check_1"), both(3).alias("check_2"),
     )

@@ -1,9 +1,10 @@
 #: A private key with its END line, or else its body; what the rule takes of a short last line without padding needs to
 #: look ahead, which this SQL can't.
-_INFO = r"(?:[ \t\r\n]{0,8}(?:Proc-Type|DEK-Info):[^\r\n]{0,200})?" * 8
+_INFO = r"(?:[ \t\r\n>#*|;]{0,8}[A-Z][A-Za-z-]{2,20}:[^\r\n]{0,200})?" * 8
 PEM = (
-    rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----{_INFO}"
-    r"(?:[A-Za-z0-9+/=\\ \t\r\n]*-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:[\\ \t\r\n]{0,8}[A-Za-z0-9+/=]{16,})+(?:[\\ \t\r\n]{0,8}[A-Za-z0-9+/]{1,15}={1,2})?|)"
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:[^-]*(?:-{1,4}[^-]+){0,200}-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    rf"|{_INFO}(?:(?:[\\ \t\r\n>#*|;]|<br ?/?>){{0,12}}[A-Za-z0-9+/=]{{16,}})+(?:[\\ \t\r\n]{{0,8}}[A-Za-z0-9+/]{{1,15}}={{1,2}})?|)"
 )
 RULES = [
     ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
