@@ -1,12 +1,14 @@
 """Vector quantisation.
 
 Vectors stay where they lie and the codebook goes to them: a small one as a literal, within the generated code's reach,
-a larger one with the task, which compares blocks of vectors and codes by matrix products.  A codebook is a parameter,
-held by the driver.  Training moves sums per code, never vectors.
+a larger one with the task, which compares blocks of vectors and codes by matrix products.  Such a codebook is a
+parameter, held by the driver; one that is a table meets the vectors in ``assign_to_table``.  Training moves sums per
+code, never vectors.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -16,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import nearest
+
 Codebook = list[list[float]]
 #: Codes up to which a codebook is a literal.
 LITERAL = 64
-#: Distances that a task computes at a time.
-AT_ONCE = 4_000_000
 
 
 def literal(codebook: Codebook) -> Column:
@@ -32,36 +34,45 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def assign(vectors: DataFrame, codebook: Codebook, column: str = "embedding") -> DataFrame:
-    """``vectors`` with code_id and d2 of the nearest code; of equals the first."""
+    """``vectors`` with code_id and d2 of the nearest code, by the rule of ``nearest``: of equals the first, null for
+    vectors that are null, of another length or not finite; codes that aren't finite are never taken."""
     if not codebook:
         raise ValueError("a codebook has a code at least")
+    sound = [(n, [float(x) for x in code]) for n, code in enumerate(codebook) if all(math.isfinite(x) for x in code)]
     if len(codebook) > LITERAL:
-        return _assign_many(vectors, codebook, column)
+        return _assign_many(vectors, sound, column)
     vector = F.col(column).cast("array<double>")
-    near = F.array_min(F.transform(literal(codebook), lambda code, i: F.struct(squared_distance(vector, code).alias("d2"), i.alias("code_id"))))
-    return vectors.withColumn("_near", near).select(*vectors.columns, "_near.code_id", "_near.d2")
+    codes = F.array(*[F.struct(F.lit(n).alias("code_id"), F.array(*map(F.lit, code)).alias("code")) for n, code in sound])
+    compared = lambda c: F.when(F.size(vector) == F.size(c["code"]), F.struct(squared_distance(vector, c["code"]).alias("d2"), c["code_id"].alias("code_id")))
+    near = F.array_min(F.transform(codes, compared)) if sound else F.lit(None).cast("struct<d2:double,code_id:int>")
+    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x))
+    return vectors.withColumn("_near", F.when(finite, near)).select(*vectors.columns, "_near.code_id", "_near.d2")
 
 
-def _assign_many(vectors: DataFrame, codebook: Codebook, column: str) -> DataFrame:
-    """``assign`` for codebooks of any size: |v - c|^2 = |v|^2 - 2 v c + |c|^2, block by block; the distance of the code
-    found is computed anew, so rounding in the expansion decides near ties at most."""
-    codes = np.array(codebook)
+def _assign_many(vectors: DataFrame, codebook: list[tuple[int, list[float]]], column: str) -> DataFrame:
+    """``assign`` for codebooks of any size that the driver holds, of codes with their numbers."""
     schema = T.StructType([*vectors.schema.fields, T.StructField("code_id", T.IntegerType()), T.StructField("d2", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norms, rows = (codes**2).sum(axis=1), max(1, AT_ONCE // len(codes))
+        codes = nearest.Codes(pa.array([n for n, _ in codebook], pa.int64()), pa.array([c for _, c in codebook], pa.list_(pa.float64())))
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                own = part.column(column)
-                v = np.array(own.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(own), codes.shape[1])
-                near = np.argmin(norms - 2 * (v @ codes.T), axis=1)
-                d2 = ((v - codes[near]) ** 2).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near.astype(np.int32)), pa.array(d2)], names=schema.names)
+            ids, d2 = codes.find(batch.column(column))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids.cast(pa.int32()), d2], names=schema.names)
 
     return vectors.mapInArrow(run, schema)
 
 
+def assign_to_table(vectors: DataFrame, codes: DataFrame, column: str = "embedding", chunk: int = nearest.CHUNK) -> DataFrame:
+    """``assign`` for a codebook that is a table (code_id, centre) of any size: a blocked nearest-neighbour join."""
+    return nearest.join(vectors, codes.select("code_id", F.col("centre").alias("value")), column, chunk=chunk)
+
+
+def with_residuals(assigned: DataFrame, codes: DataFrame, column: str = "embedding") -> DataFrame:
+    """``assigned`` with ``residual``: what the vector is apart from its code, null where it has none."""
+    of = codes.select("code_id", F.col("centre").cast("array<double>").alias("_centre"))
+    return assigned.join(of, "code_id", "left").select(*assigned.columns, residual(F.col(column).cast("array<double>"), F.col("_centre")).alias("residual"))
+
+
 def lloyd_step(assigned: DataFrame, column: str = "embedding") -> DataFrame:
     """code_id, dim, centre, n: means of the vectors of each code."""
     flat = assigned.select("code_id", F.posexplode(F.col(column).cast("array<double>")).alias("dim", "x"))

@@ -136,3 +136,22 @@ def vq_assign_many(spark, sf_dir):
 
 
 SQL["vq_assign_many"] = SQL["vq_assign"].replace(f"WHERE vec_id < {CODES}", "WHERE vec_id < 128")
+
+
+def _some_null(vectors):
+    return vectors.withColumn("embedding", F.when(F.col("vec_id") % 17 != 0, F.col("embedding")))
+
+
+@query
+def vq_assign_table(spark, sf_dir):
+    """The nearest of the codes of a table in several chunks, for vectors of which some are null; and what is left."""
+    vectors = _vectors(spark, sf_dir)
+    codes = vectors.filter(F.col("vec_id") < 200).select(F.col("vec_id").cast("int").alias("code_id"), F.col("embedding").alias("centre"))
+    found = quantize.with_residuals(quantize.assign_to_table(_some_null(vectors), codes, chunk=64), codes)
+    left = F.aggregate("residual", F.lit(0.0), lambda s, x: s + x)
+    return found.select("vec_id", "code_id", tidy(F.col("d2")).alias("d2"), tidy(left, 4).alias("residual"))
+
+
+SQL["vq_assign_table"] = f"""WITH {_ASSIGNED.replace(f'WHERE vec_id < {CODES}', 'WHERE vec_id < 200')}
+SELECT vec_id, CASE WHEN vec_id % 17 <> 0 THEN code_id END::BIGINT AS code_id, CASE WHEN vec_id % 17 <> 0 THEN {sql_tidy('d2')} END AS d2,
+       CASE WHEN vec_id % 17 <> 0 THEN {sql_tidy("list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i] - c[i]))", 4)} END AS residual FROM assigned"""
