@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import composite as _composite  # noqa: F401  registers its kernel
 from ..functions.noise import KERNELS, grid
 from ..functions.params import from_vector, to_vector, validate
-from ..functions.patterns import Pattern, get, pixels, rendered
+from ..functions.patterns import PATTERNS, Pattern, get, pixels, rendered
 
 
 def jobs(spark: SparkSession, name: str, samples: list[dict], seeds: list[int]) -> DataFrame:
@@ -51,14 +51,34 @@ def render_images(frame: DataFrame, height: int, width: int) -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
+def render_formulas(frame: DataFrame, height: int, width: int) -> DataFrame:
+    """``frame`` (as of ``jobs``) with data, for patterns that are formulas: each row explodes into its pixels, which take
+    the formula of the row's pattern, and comes together again."""
+    formulas = [p for p in PATTERNS.values() if not p.noise]
+    names = sorted({q.name for p in formulas for q in p.params})
+    of = lambda name: F.coalesce(*[F.when(F.col("_name") == p.name, F.get("_params", F.lit(n))) for p in formulas for n, q in enumerate(p.params) if q.name == name])
+    rows = frame.select(F.struct(*frame.columns).alias("_row"), F.col("name").alias("_name"), F.col("params").alias("_params"), F.monotonically_increasing_id().alias("_id"))
+    grown = pixels(rows.withColumns({name: of(name) for name in names}), height, width)
+    value = F.coalesce(*[F.when(F.col("_name") == p.name, rendered(p)) for p in formulas])
+    line = F.transform(F.array_sort(F.collect_list(F.struct("py", "px", "v"))), lambda p: p["v"])
+    drawn = grown.select("_id", "_row", "py", "px", value.alias("v")).groupBy("_id").agg(F.first("_row").alias("_row"), line.alias("data"))
+    return drawn.select(*[F.col("_row")[c].alias(c) for c in frame.columns], "data")
+
+
+def render(frame: DataFrame, height: int, width: int) -> DataFrame:
+    """``frame`` (name, params, seed and what else there is) with data: the images of patterns of either kind."""
+    formula = F.col("name").isin([p.name for p in PATTERNS.values() if not p.noise])
+    return render_formulas(frame.filter(formula), height, width).unionByName(render_images(frame.filter(~formula), height, width))
+
+
 def render_tiles(tiles: DataFrame, name: str, samples: list[dict], seeds: list[int], height: int, width: int) -> DataFrame:
-    """Every row of ``tiles`` with every sample of a kernel pattern: their columns, and those of ``render_images``.
+    """Every row of ``tiles`` with every sample of a pattern: their columns, and those of ``jobs`` with data.
 
     The samples are a literal that each tile explodes into; what a tile shows plays no part.
     """
     pattern = get(name)
     each = F.array(*[F.struct(F.lit(n).alias("sample_id"), F.lit(name).alias("name"), F.array(*map(F.lit, to_vector(pattern, p))).cast("array<double>").alias("params"), F.lit(s).cast("long").alias("seed")) for n, (p, s) in enumerate(zip(samples, seeds, strict=True))])
-    return render_images(tiles.select("*", F.inline(each)), height, width)
+    return render(tiles.select("*", F.inline(each)), height, width)
 
 
 def narrow(images: DataFrame, width: int) -> DataFrame:

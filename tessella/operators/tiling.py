@@ -57,6 +57,13 @@ def tile_pixels(pixels: DataFrame, dims: DataFrame, size: int, overlap: int, cli
     )
 
 
+def tile_data(images: DataFrame, size: int, overlap: int, clipped: bool = False) -> DataFrame:
+    """img, tile_id, th, tw, data: the values of each tile of wide images (img, h, w, data), row by row."""
+    rect = tiles(images.select("img", "h", "w", "data"), size, overlap, clipped)
+    rows = F.transform(F.sequence(F.col("y0"), F.col("y1") - 1), lambda y: F.slice("data", y * F.col("w") + F.col("x0") + 1, F.col("x1") - F.col("x0")))
+    return rect.select("img", "tile_id", (F.col("y1") - F.col("y0")).alias("th"), (F.col("x1") - F.col("x0")).alias("tw"), F.flatten(rows).alias("data"))
+
+
 # --- windows and masks ------------------------------------------------------------------------------------------
 
 

@@ -78,7 +78,7 @@ FORMULAS = {
 }
 
 
-def formula_sql(name: str, samples: list[dict], height: int, width: int) -> str:
+def formula_sql(name: str, samples: list[dict], height: int, width: int, digits: int = 6) -> str:
     """SQL for sample_id, py, px, v of a pattern at several points of its parameters."""
     values = lambda p: ", ".join(f"{float(v)!r}::DOUBLE AS {k}" for k, v in p.items())
     rows = " UNION ALL ".join(f"SELECT {n} AS sample_id, {values(p)}" for n, p in enumerate(samples))
@@ -86,4 +86,4 @@ def formula_sql(name: str, samples: list[dict], height: int, width: int) -> str:
   SELECT (i // {width})::INT AS py, (i % {width})::INT AS px, 2.0::DOUBLE * (i % {width}) / {width - 1} - 1 AS x, 2.0::DOUBLE * (i // {width}) / {height - 1} - 1 AS y FROM range({height * width}) r(i)
 ), a AS (SELECT *, sqrt(x * x + y * y) AS r, greatest(abs(x), abs(y)) AS q, atan2(y, x) AS t FROM g
 ), o AS (SELECT sample_id, py, px, ({FORMULAS[name]})::DOUBLE AS v FROM a, p)
-SELECT sample_id::INT AS sample_id, py, px, {sql_tidy('v')} AS v FROM o"""
+SELECT sample_id::INT AS sample_id, py, px, {sql_tidy('v', digits)} AS v FROM o"""

@@ -97,7 +97,7 @@ def _brick(p: dict) -> str:
 ), t AS (SELECT s, py, px, CASE WHEN abs(fx - col - 0.5) <= {p['mortar']!r} OR abs(fy - row - 0.5) <= {p['mortar']!r} THEN -1.0 ELSE 2 * {_clamp(f"(j1 - 0.5) * {p['contrast']!r} + 0.5", '0')} - 1 END AS v FROM w)"""
 
 
-def kernel_sql(name: str, p: dict, height: int, width: int, seeds: tuple[int, ...]) -> str | None:
+def kernel_sql(name: str, p: dict, height: int, width: int, seeds: tuple[int, ...], digits: int = 6) -> str | None:
     """SQL for sample_id, py, px, v of a kernel pattern; None for the composite."""
     turn = "2 * pi()"
     lists = {
@@ -126,4 +126,4 @@ def kernel_sql(name: str, p: dict, height: int, width: int, seeds: tuple[int, ..
     return f"""WITH g AS (
   SELECT s, seed, (i // {width})::INT AS py, (i % {width})::INT AS px, -1.0::DOUBLE + 2.0::DOUBLE * (i % {width}) / {width - 1} AS x, -1.0::DOUBLE + 2.0::DOUBLE * (i // {width}) / {height - 1} AS y
   FROM range({height * width}) r(i), (VALUES {rows}) k(s, seed)
-), {lists[name]()} SELECT s::INT AS sample_id, py, px, {sql_tidy(f"({ending.get(name, 'v')})::DOUBLE")} AS v FROM t"""
+), {lists[name]()} SELECT s::INT AS sample_id, py, px, {sql_tidy(f"({ending.get(name, 'v')})::DOUBLE", digits)} AS v FROM t"""

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.params import at_share, catalogue
+from ..functions.params import at_share, catalogue, to_vector
 from ..functions.patterns import PATTERNS
-from ..operators import rendering
-from .common import sql_tidy, tidy
+from ..operators import rendering, search, tiling
+from ..sources import raster
+from .common import PIXELS, pixels, sql_tidy, tidy
 from .formula_sql import formula_sql
 from .noise_sql import kernel_sql
 
@@ -96,6 +97,48 @@ def gen_audit(spark, sf_dir):
     return found.join(again, "name").select("name", "images", tidy(F.col("low")).alias("low"), tidy(F.col("high")).alias("high"), tidy(F.col("mean")).alias("mean"), "sound", same.alias("repeats"))
 
 
+#: Candidates of the search over the catalogue: every pattern but the composite, which SQL can't draw, at two points.
+TILE, OVERLAP, SEED = 32, 8, 42
+CANDIDATES = [(name, at_share(PATTERNS[name], share)) for name in sorted(PATTERNS) if name != "COMPOSITE" for share in SHARES]
+
+
+def candidates(spark):
+    """cand_id, name and data: the candidates' images."""
+    rows = [(n, name, to_vector(PATTERNS[name], values), SEED) for n, (name, values) in enumerate(CANDIDATES)]
+    return rendering.render(spark.createDataFrame(rows, "cand_id int, name string, params array<double>, seed long"), TILE, TILE)
+
+
+def rd_catalogue(spark, sf_dir):
+    """The pattern of the catalogue of least error for each tile, and how many had to be compared in full."""
+    tiles = tiling.tile_data(raster.wide(pixels(spark, sf_dir)), TILE, OVERLAP)
+    found = search.best_patterns(tiles, candidates(spark), TILE, TILE)
+    return found.select("img", "tile_id", "cand_id", tidy(F.col("d")).alias("d"), "tried", F.lit(len(CANDIDATES)).alias("candidates"))
+
+
+def _drawn(n: int, name: str, values: dict) -> str:
+    sql = kernel_sql(name, values, TILE, TILE, (SEED,), 12) if PATTERNS[name].noise else formula_sql(name, [values], TILE, TILE, 12)
+    return f"SELECT {n} AS cand_id, py, px, v FROM ({sql})"
+
+
+STARTS = f"list_sort(list_distinct(list_concat(range(0, greatest({{0}} - {TILE}, 0) + 1, {TILE - OVERLAP}), [greatest({{0}} - {TILE}, 0)])))"
+#: All candidates compared with all tiles, and for each its bound by the means of blocks of four by four.
+SQL["rd_catalogue"] = f"""WITH {PIXELS}, starts AS (
+  SELECT img, h, w, {STARTS.format('h')} AS ys, {STARTS.format('w')} AS xs FROM dims
+), tiles AS (
+  SELECT img, ((iy - 1) * len(xs) + ix - 1)::INT AS tile_id, ys[iy]::INT AS y0, xs[ix]::INT AS x0 FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS ix FROM (SELECT *, unnest(range(1, len(ys) + 1)) AS iy FROM starts))
+), c AS ({' UNION ALL '.join(_drawn(n, *c) for n, c in enumerate(CANDIDATES))}
+), t AS (SELECT t.img, tile_id, y - y0 AS py, x - x0 AS px, v FROM tiles t JOIN pix ON pix.img = t.img AND y >= y0 AND y < y0 + {TILE} AND x >= x0 AND x < x0 + {TILE}
+), cm AS (SELECT cand_id, py // 4 AS gy, px // 4 AS gx, avg(v) AS m, sum(v * v) AS q FROM c GROUP BY ALL
+), tm AS (SELECT img, tile_id, py // 4 AS gy, px // 4 AS gx, avg(v) AS m, sum(v * v) AS q FROM t GROUP BY ALL
+), cw AS (SELECT cand_id, sqrt(greatest(sum(q - 16 * m * m), 0)) AS w FROM cm GROUP BY ALL), tw AS (SELECT img, tile_id, sqrt(greatest(sum(q - 16 * m * m), 0)) AS w FROM tm GROUP BY ALL
+), bounds AS (
+  SELECT img, tile_id, cand_id, (16 * sum(pow(tm.m - cm.m, 2)) + pow(any_value(tw.w) - any_value(cw.w), 2)) / {TILE * TILE} AS bound
+  FROM tm JOIN cm USING (gy, gx) JOIN tw USING (img, tile_id) JOIN cw USING (cand_id) GROUP BY ALL
+), e AS (SELECT img, tile_id, cand_id, round(avg(pow(t.v - c.v, 2)), 9) AS d FROM t JOIN c USING (py, px) GROUP BY ALL
+), b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY img, tile_id ORDER BY d, cand_id) = 1)
+SELECT img, tile_id, b.cand_id::BIGINT AS cand_id, {sql_tidy('d')} AS d, count(*) FILTER (WHERE bound <= d + 1e-9) AS tried, {len(CANDIDATES)} AS candidates
+FROM b JOIN (SELECT img, tile_id, bound FROM bounds) USING (img, tile_id) GROUP BY ALL"""
+QUERIES["rd_catalogue"] = rd_catalogue
 QUERIES |= {"gen_catalog": gen_catalog, "gen_audit": gen_audit}
 #: The catalogue stated anew: each pattern's parameters, and whether it needs noise.
 CATALOGUE = """ANGLE_GRADIENT angle_start_deg angle_end_deg; BRICK rows cols mortar; BRICK_NOISE* rows cols mortar contrast; CHECKER_DISTORTED* cells dist_scale dist_amp; CHECKER cells angle_deg;

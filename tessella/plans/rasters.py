@@ -391,3 +391,40 @@ _SEEDED = f"""WITH {PIXELS}{_grid(True)}, sa AS (
 ), c AS (SELECT img, tile_id, 3 + seed % 9 AS freq, (seed // 7) % 180 AS ang, (seed >> 8) % 360 AS phase FROM sd)"""
 SQL["decode_images"] = _drawn(_SEEDED)
 SQL["decode_symbols"] = _drawn(f"{_by_ssim(1.0).rpartition('SELECT img, tile_id, cand_id')[0]}, c AS (SELECT w.img, w.tile_id, freq, ang, phase FROM w JOIN cand USING (cand_id) WHERE rank = 1)")
+
+
+#: The first grid of the search from coarse to fine: bounds, steps, and how far the first round goes around a point.
+BOUNDS = {"freq": (2.0, 14.0), "ang": (0.0, 150.0), "phase": (0.0, 270.0)}
+STEPS, DELTAS, ROUNDS, BEAM = {"freq": 4, "ang": 6, "phase": 4}, {"freq": 2.0, "ang": 15.0, "phase": 45.0}, 2, 2
+
+
+@query
+def rd_refine(spark, sf_dir):
+    """The stripes of least error for each tile, from a coarse grid to finer ones around the best."""
+    cut = tiling.tile_data(raster.wide(pixels(spark, sf_dir)), SIZE, OVERLAP, clipped=True)
+    found = search.refine_tiles(cut, search.Refinement(BOUNDS, STEPS, DELTAS, beam=BEAM, rounds=ROUNDS))
+    return found.select("img", "tile_id", *[tidy(F.col(c)).alias(c) for c in ("coarse", "freq", "ang", "phase", "d")], "rounds")
+
+
+def _refined() -> str:
+    key, point = "img, tile_id", "freq, ang, phase"
+    line = lambda n: f"range({STEPS[n]}) {n}_(k_{n})"
+    at = lambda n: f"({BOUNDS[n][0]} + {BOUNDS[n][1] - BOUNDS[n][0]} * k_{n} / {STEPS[n] - 1})::DOUBLE AS {n}"
+    errors = lambda points: f"SELECT {key}, {point}, round(avg(pow(v - cos(2 * pi() * freq * (ux * cos(radians(ang)) + uy * sin(radians(ang))) + radians(phase)), 2)), 9) AS d FROM u JOIN {points} USING ({key}) GROUP BY ALL"
+    best = lambda rows: f"SELECT {key}, {point}, d FROM {rows} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY d, {point}) <= {BEAM}"
+    sql = f"""{_scored(0.0).partition(', e AS (')[0]}, q0 AS (SELECT {key}, {', '.join(map(at, STEPS))} FROM tiles, {', '.join(map(line, STEPS))}
+), s0 AS ({errors('q0')}), b0 AS ({best('s0')}), g0 AS (SELECT {key}, 0 AS rounds, 1.0::DOUBLE AS wide FROM tiles)"""
+    for n in range(ROUNDS):
+        around = [f"least(greatest({p} - {d} / wide + 2 * {d} / wide * k_{p} / 2, {BOUNDS[p][0]}), {BOUNDS[p][1]})::DOUBLE AS {p}" for p, d in DELTAS.items()]
+        sql += f""", q{n + 1} AS (
+  SELECT DISTINCT {key}, {', '.join(around)} FROM (SELECT b{n}.*, wide FROM b{n} JOIN g{n} USING ({key})), range(3) f_(k_freq), range(3) a_(k_ang), range(3) p_(k_phase)
+), s{n + 1} AS ({errors(f'q{n + 1}')}), b{n + 1} AS ({best(f'(SELECT * FROM s{n + 1} UNION SELECT * FROM b{n})')}
+), g{n + 1} AS (
+  SELECT {key}, g{n}.rounds + (c.n IS NOT NULL)::INT AS rounds, CASE WHEN c.n IS NULL THEN 2 * wide ELSE wide END AS wide
+  FROM g{n} LEFT JOIN (SELECT {key}, count(*) AS n FROM (SELECT * FROM b{n + 1} EXCEPT SELECT * FROM b{n}) GROUP BY ALL) c USING ({key})
+)"""
+    return f"""{sql} SELECT {key}, {sql_tidy('c.d')} AS coarse, {', '.join(f'{sql_tidy(p)} AS {p}' for p in DELTAS)}, {sql_tidy('b.d')} AS d, rounds FROM (SELECT * FROM b{ROUNDS} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY d, {point}) = 1) b
+JOIN (SELECT {key}, min(d) AS d FROM s0 GROUP BY ALL) c USING ({key}) JOIN g{ROUNDS} USING ({key})"""
+
+
+SQL["rd_refine"] = _refined()
