@@ -172,8 +172,8 @@ def decode(blobs: DataFrame, by: str = "seed", tables: dict[str, entropy.Table]
         drawn = records.select("*", pick(search.FREQUENCIES, 0).alias("freq"), pick(search.ANGLES, 1).alias("ang"), pick(search.PHASES, 2).alias("phase"))
     # The grid is that of the decoder; its tiles are as many as the records, in their order.  A record has its header's
     # sizes, so it finds its own place.
-    drawn = drawn.select("img", F.col("tile_id").alias("_tile"), F.col("height").alias("h"), F.col("width").alias("w"), F.col("tile").alias("size"), "overlap", "freq", "ang", "phase")
-    grid = tiling.tiles(drawn, F.col("size"), F.col("overlap"), clipped=False).filter(F.col("tile_id") == F.col("_tile"))
+    drawn = drawn.select("img", "tile_id", F.col("height").alias("h"), F.col("width").alias("w"), F.col("tile").alias("size"), "overlap", "freq", "ang", "phase")
+    grid = tiling.own_tile(drawn, F.col("size"), F.col("overlap"))
     at = grid.select("*", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y")).select("*", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"))
     at = at.withColumns({"ty": F.col("y") - F.col("y0"), "tx": F.col("x") - F.col("x0")})
     unit = lambda c: search.unit(F.col(c), F.col("size"))

@@ -271,29 +271,50 @@ def encode_many(payloads: list[bytes], table: Table) -> list[bytes]:
     return out
 
 
+#: Symbols that a stream may stand for if they cost nothing, as one symbol has the whole table.
+MOST_FREE = 1 << 28
+
+
+def most_symbols(words: np.ndarray, table: Table) -> np.ndarray:
+    """More symbols than so many words of a stream, and its state, can't stand for.
+
+    A symbol of frequency f takes the state x to x - (2^p - f) (x >> p) or less, and x >> p is a part c of x / 2^p at
+    least; so 16 bits last for 16 ln 2 / (c (1 - f / 2^p)) symbols at most, however frequent they are.
+    """
+    whole = 1 << table.precision
+    most = max(table.freqs)
+    if most >= whole:
+        return np.full(len(words), MOST_FREE, dtype=np.int64)
+    part = max(0.5, 1 - whole / FIRST_STATE)
+    each = math.ceil(16 * math.log(2) / (part * (1 - most / whole))) + 1
+    return (words + 2) * each
+
+
 def decode_many(streams: list[bytes], table: Table) -> list[bytes | None]:
-    """The payloads of streams; None for one that ends early."""
+    """The payloads of streams; None for one that ends early, or whose count of symbols is more than it can hold."""
     precision, low = table.precision, (1 << table.precision) - 1
     freqs, cdf = np.array(table.freqs, dtype=np.int64), np.array(table.cdf, dtype=np.int64)
     owner = np.repeat(np.arange(SYMBOLS, dtype=np.uint8), freqs)
     sound = np.array([len(s) >= 8 and len(s) % 2 == 0 for s in streams], dtype=bool)
     heads = [struct.unpack_from("<II", s) if good else (0, 0) for s, good in zip(streams, sound)]
-    # A symbol costs at most ``precision`` bits and a little, so a count far above that is damage.
+    counts = np.array([(len(s) - 8) // 2 if good else 0 for s, good in zip(streams, sound)], dtype=np.int64)
     lengths = np.array([h[0] for h in heads], dtype=np.int64)
+    sound &= lengths <= most_symbols(counts, table)
+    lengths[~sound] = 0
     state = np.array([h[1] for h in heads], dtype=np.int64)
-    words = np.frombuffer(b"".join([s[8:] if good else b"" for s, good in zip(streams, sound)]), dtype="<u2")
-    counts = np.array([(len(s) - 8) // 2 if good else 0 for s, good in zip(streams, sound)], dtype=np.int64)
+    words = np.frombuffer(b"".join([s[8 : 8 + 2 * n] for s, n in zip(streams, counts.tolist())]), dtype="<u2")
     begin = np.cumsum(counts) - counts
     order, active = _by_length(lengths)
     state, left, base = state[order], counts[order].copy(), begin[order]
     ended = np.zeros(len(streams), dtype=bool)
     steps = len(active)
-    out = np.zeros((steps, int(active[0]) if steps else 0), dtype=np.uint8)
+    side = np.minimum(lengths, steps)  # symbols that are decoded side by side, payload after payload
+    out, place = np.zeros(int(side.sum()), dtype=np.uint8), (np.cumsum(side) - side)[order]
     for step, n in enumerate(active.tolist()):
         x = state[:n]
         slot = x & low
         s = owner[slot]
-        out[step, :n] = s
+        out[place[:n] + step] = s
         x = freqs[s] * (x >> precision) + slot - cdf[s]
         under = np.flatnonzero(x < FIRST_STATE)
         ended[under] |= left[under] <= 0
@@ -304,7 +325,7 @@ def decode_many(streams: list[bytes], table: Table) -> list[bytes | None]:
     result: list[bytes | None] = [None] * len(streams)
     for i, at in enumerate(order.tolist()):
         n = int(lengths[at])
-        own = bytearray(out[: min(n, steps), i].tobytes() if i < out.shape[1] else b"")
+        own = bytearray(out[place[i] : place[i] + side[at]].tobytes())
         x, k, bad = int(state[i]), int(left[i]), bool(ended[i]) or not sound[at]
         while len(own) < n and not bad:
             slot = x & low

@@ -38,6 +38,15 @@ def tiles(dims: DataFrame, size: Column | int, overlap: Column | int, clipped: b
     )
 
 
+def own_tile(rows: DataFrame, size: Column | int, overlap: Column | int, clipped: bool = False) -> DataFrame:
+    """``rows`` (h, w, tile_id and what else there is) with y0, x0, y1, x1 of their own tile, from its place in the grid;
+    a tile that the grid doesn't have leaves no row."""
+    grid = rows.withColumns({"_ys": starts(F.col("h"), size, overlap, clipped), "_xs": starts(F.col("w"), size, overlap, clipped)})
+    line = F.expr("tile_id div size(_xs)").cast("int")
+    place = grid.withColumns({"y0": F.get("_ys", line), "x0": F.get("_xs", F.pmod("tile_id", F.size("_xs")).cast("int"))}).filter((F.col("tile_id") >= 0) & F.col("y0").isNotNull())
+    return place.select(*rows.columns, "y0", "x0", F.least(F.col("y0") + size, F.col("h")).alias("y1"), F.least(F.col("x0") + size, F.col("w")).alias("x1"))
+
+
 def tile_pixels(pixels: DataFrame, dims: DataFrame, size: int, overlap: int, clipped: bool = False) -> DataFrame:
     """img, tile_id, ty, tx, th, tw, y, x, v: each pixel once per tile that it lies in.
 

@@ -109,6 +109,9 @@ SELECT doc_id, array_to_string([240, g & 255, g >> 8, q & 255, q >> 8, f, s & 25
 def _coded(spark, sf_dir):
     documents = _documents(spark, sf_dir)
     made = entropy.build_table(entropy.byte_counts(documents), PRECISION)
+    if documents.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        # Coding takes far longer than moving: a table of few row groups is dealt over all cores.
+        documents = documents.repartition(spark.sparkContext.defaultParallelism)
     raw = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     return entropy.encode_column(raw, made, "documents", "raw", "coded"), made
 

@@ -156,6 +156,48 @@ def test_many_payloads_side_by_side():
     assert entropy.decode_many([b"", b"1234567", coded[0]], made)[:2] == [None, None]
 
 
+@pytest.mark.parametrize(("freqs", "precision"), [([4095, 1], 12), ([2048, 2048], 12), ([65535, 1], 16), ([15, 1], 4), ([4096], 12), ([1] * 256, 8)])
+def test_counts_that_a_stream_cannot_hold(freqs, precision):
+    """Whatever an encoder makes is decoded; counts beyond what a stream can hold are told apart before anything is made."""
+    made = entropy.Table(precision, tuple(freqs + [0] * (256 - len(freqs))))
+    payloads = [bytes(n) for n in (0, 1, 1000, 60_000)] + [bytes([len(freqs) - 1]) * 50]
+    coded = entropy.encode_many(payloads, made)
+    assert entropy.decode_many(coded, made) == payloads
+    hostile = [(0xFFFFFFFF).to_bytes(4, "little") + c[4:] for c in coded]
+    assert entropy.decode_many(hostile, made) == [None] * len(coded)
+    assert entropy.decode_many([hostile[0], *coded], made) == [None, *payloads]
+
+
+def test_hostile_counts_in_columns_and_images(spark):
+    images = raster.wide(image(spark, codec.draw(16, 16, 4, 30, 180)))
+    good = bytes(codec.encode(images, codec.CodecConfig(tile=16, overlap=0)).first()["blob"])
+    header, (record,) = bitstream.unpack_stream(good)
+    table, stream = entropy.unframe_stream(record.payload)
+    payload = entropy.frame_stream(b"\xff" * 4 + stream[4:], table)
+    bad = bitstream.pack_header(header) + bitstream.pack_records([record._replace(payload=payload)])  # its checksum is right
+    blobs = spark.createDataFrame([(0, good), (1, bad)], "img long, blob binary")
+    assert {r["img"]: r["error"] for r in codec.problems(blobs).collect()}.keys() == {1} and "early" in codec.problems(blobs).first()["error"]
+    assert {r["img"] for r in codec.decode(blobs, lenient=True).collect()} == {0}
+    column = spark.createDataFrame([(0, payload), (1, record.payload)], "k long, c binary")
+    found = {r["k"]: (r["back"], r["error"]) for r in entropy.decode_column(column, {table: entropy.UNIFORM}, "c", "back", "error").collect()}
+    assert found[0] == (None, "the stream ends early") and found[1][1] is None
+
+
+def test_a_few_long_payloads_among_many_short_ones():
+    """Memory goes with the bytes, not with the longest payload times their number."""
+    import tracemalloc
+
+    draw = random.Random(1)
+    payloads = [bytes(draw.choices(b"abcdef", k=75_000)) for _ in range(24)] + [b"abcabcdefa" * 20] * 9_976
+    made = entropy.normalised([sum(p.count(s) for p in payloads) for s in range(256)], 12)
+    coded = entropy.encode_many(payloads, made)
+    tracemalloc.start()
+    assert entropy.decode_many(coded, made) == payloads
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+
+
 def test_table_normalisation():
     draw = random.Random(3)
     for precision, present in itertools.product((8, 9, 12, 15), (1, 2, 17, 200, 256)):
