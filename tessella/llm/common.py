@@ -84,7 +84,8 @@ SALTS = 16
 
 def join_hot(rows: DataFrame, found: DataFrame, key: str, others: list[Column]) -> DataFrame:
     """``rows`` left join ``found`` (a row per key) on ``key``, which many rows may share: ``found`` is repeated ``SALTS``
-    times and the rows of a key are dealt over so many tasks by their ``others`` (of any types; maps have no hash)."""
+    times and the rows of a key are dealt over so many tasks by their ``others`` (of any types; maps have no hash, and rows
+    without other columns are dealt by their places)."""
     hashed = [f"_{i}" for i, f in enumerate(rows.select(*[c.alias(f"_{i}") for i, c in enumerate(others)]).schema) if "map<" not in f.dataType.simpleString()]
     others = [others[int(name[1:])] for name in hashed] or [F.monotonically_increasing_id()]
     many = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
