@@ -183,26 +183,27 @@ def unpack_old(blob: bytes) -> tuple[dict, list[Record]]:
 RECORD_FIELDS = "width int, height int, tile int, overlap int, tile_id long, gen_id int, qv_id int, seed long, rec_flags int, payload_fmt int, payload binary, error string"
 
 
+def rows_of_blob(blob: bytes | None, old: bool = False) -> list[tuple]:
+    """Rows of ``RECORD_FIELDS``: a record each; for a bad blob one with its error."""
+    try:
+        _need(blob is not None, "no blob")
+        header, records = (unpack_old if old else unpack_stream)(blob)
+    except (FormatError, ValueError, struct.error) as error:
+        return [(None,) * 11 + (str(error),)]
+    sizes = tuple(header.get(k) for k in ("width", "height", "tile", "overlap"))
+    return [(*sizes, *r, None) for r in records] or [(*sizes, *(None,) * 8)]
+
+
 def parse_images(blobs: DataFrame, key: str = "img", column: str = "blob", old: bool = False) -> DataFrame:
     """key, header fields and a record: a row per record; for a bad blob one row with its error."""
     added = T._parse_datatype_string(RECORD_FIELDS).fields
     schema = T.StructType([blobs.schema[key], *added])
     kinds = [pa.int32()] * 4 + [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
-    parse = unpack_old if old else unpack_stream
-
-    def rows_of(blob: bytes | None) -> list[tuple]:
-        try:
-            _need(blob is not None, "no blob")
-            header, records = parse(blob)
-        except (FormatError, ValueError, struct.error) as error:
-            return [(None,) * 11 + (str(error),)]
-        sizes = tuple(header.get(k) for k in ("width", "height", "tile", "overlap"))
-        return [(*sizes, *r, None) for r in records] or [(*sizes, *(None,) * 8)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, blob in enumerate(batch.column(column).to_pylist()):
-                rows = rows_of(blob)
+                rows = rows_of_blob(blob, old)
                 keys = batch.column(key).take(pa.array([i] * len(rows)))
                 yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names=schema.names)
 

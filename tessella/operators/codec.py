@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seeds import tile_seed
-from . import bitstream, entropy, search, tiling
-from .metrics import ssim_of
+from . import bitstream, entropy, metrics, search, tiling
 
 
 @dataclass(frozen=True)
@@ -35,17 +34,17 @@ class CodecConfig:
             raise ValueError("0 <= overlap < tile")
         if not (self.rate_weight >= 0 and 0 <= self.mix <= 1):
             raise ValueError("the rate's weight is at least 0, the mix is 0 to 1")
-        if self.metric not in ("ssim", "mse", "mixed") or self.payload not in ("coded", "raw") or self.bits not in ("table", "exact"):
-            raise ValueError("unknown metric, payload or rate")
+        if self.metric != "mixed":
+            metrics.get(self.metric)
+        if self.payload not in ("coded", "raw") or self.bits not in ("table", "exact"):
+            raise ValueError("unknown payload or rate")
 
 
-def distortion(tile: np.ndarray, made: np.ndarray, metric: str, mix: float) -> np.ndarray:
-    """Of each image of ``made`` from the tile."""
-    error = ((tile - made) ** 2).mean(axis=(-1, -2))
-    if metric == "mse":
-        return error
-    unlike = 1 - ssim_of(np.broadcast_to(tile, made.shape), made)
-    return unlike if metric == "ssim" else mix * unlike + (1 - mix) * error
+def distortion(tile: np.ndarray, made: np.ndarray, metric: str | metrics.Metric, mix: float) -> np.ndarray:
+    """Of each image of ``made`` from the tile, by a metric or ``mixed``: structure and error."""
+    if metric == "mixed":
+        return mix * distortion(tile, made, "ssim", mix) + (1 - mix) * distortion(tile, made, "mse", mix)
+    return (metrics.get(metric) if isinstance(metric, str) else metric).distance(tile, made)
 
 
 def draw(height: int, width: int, freq: int, ang: int, phase: int) -> np.ndarray:
@@ -75,6 +74,7 @@ def search_tiles(images: DataFrame, config: CodecConfig) -> DataFrame:
     tries = search.candidates()
 
     cost = entropy.symbol_bits(config.table)
+    metric = config.metric if config.metric == "mixed" else metrics.get(config.metric)  # goes with the task, wherever it was registered
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[tuple[int, int], np.ndarray] = {}
@@ -84,7 +84,7 @@ def search_tiles(images: DataFrame, config: CodecConfig) -> DataFrame:
                 shape = r["th"], r["tw"]
                 if shape not in made:
                     made[shape] = np.stack([draw(*shape, c["freq"], c["ang"], c["phase"]) for c in tries])
-                d = distortion(np.array(r["data"]).reshape(shape), made[shape], config.metric, config.mix)
+                d = distortion(np.array(r["data"]).reshape(shape), made[shape], metric, config.mix)
                 steps = [[c["i_f"], c["i_a"], c["i_p"]] for c in tries]
                 plain = [symbols(r["seed"], s) for s in steps]
                 if config.bits == "exact":

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +83,93 @@ def ssim_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     va, vb, cov = blur(a * a) - m * m, blur(b * b) - n * n, blur(a * b) - m * n
     value = ((2 * m * n + C1) * (2 * cov + C2)) / ((m * m + n * n + C1) * (va + vb + C2))
     return np.clip(value, 0, 1).mean(axis=(-1, -2))
+
+
+# --- metrics by name ------------------------------------------------------------------------------------------------------
+
+
+class UnknownMetricError(KeyError):
+    """No metric has this name."""
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A measure of two images, by one form or both.
+
+    ``aggregate`` makes an aggregate of the columns of both images' values: it is summed in part where the pixels lie.
+    ``arrays`` takes arrays whose last two axes are images and gives a number for each: it needs an image in one task.
+    ``alike``: 1 stands for equal images, so that the distortion is 1 less the value; ``rising``: more is better without a
+    bound, so it is the value's negative; else the value is the distortion.
+    """
+
+    name: str
+    aggregate: Callable[[Column, Column], Column] | None = None
+    arrays: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+    alike: bool = False
+    rising: bool = False
+
+    def __post_init__(self):
+        if self.aggregate is None and self.arrays is None:
+            raise ValueError("a metric has a form")
+
+    def distance(self, one: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """The distortion of each image of ``many`` from ``one``."""
+        if self.arrays is None:
+            raise ValueError(f"{self.name} has no form for arrays")
+        return self._distortion(self.arrays(np.broadcast_to(one, many.shape), many))
+
+    def _distortion(self, value):
+        return 1 - value if self.alike else -value if self.rising else value
+
+    def distortion(self, a: Column, b: Column) -> Column:
+        """The distortion of two columns as an aggregate."""
+        if self.aggregate is None:
+            raise ValueError(f"{self.name} has no form for columns")
+        return self._distortion(self.aggregate(a, b))
+
+
+_last_two = (-1, -2)
+METRICS = {
+    m.name: m
+    for m in (
+        Metric("mse", lambda a, b: F.avg((a - b) ** 2), lambda a, b: ((a - b) ** 2).mean(axis=_last_two)),
+        Metric("mae", lambda a, b: F.avg(F.abs(a - b)), lambda a, b: np.abs(a - b).mean(axis=_last_two)),
+        Metric("worst", lambda a, b: F.max(F.abs(a - b)), lambda a, b: np.abs(a - b).max(axis=_last_two)),
+        Metric("psnr", lambda a, b: psnr_of(F.avg((a - b) ** 2)), lambda a, b: 10 * np.log10(1 / np.maximum(((a - b) ** 2).mean(axis=_last_two), LEAST_MSE)), rising=True),
+        Metric("ssim", arrays=ssim_of, alike=True),
+    )
+}
+
+
+def register(metric: Metric) -> None:
+    """Adds a metric, or replaces the one of its name; the measures and searches take it by name."""
+    METRICS[metric.name] = metric
+
+
+def get(name: str) -> Metric:
+    if name not in METRICS:
+        raise UnknownMetricError(name)
+    return METRICS[name]
+
+
+def measure(pairs: DataFrame, names: list[str]) -> DataFrame:
+    """img and a column for each metric, of pairs of images.
+
+    Metrics of columns are one hash aggregate; the others take an image's pixels together, in one pass for all of them.
+    """
+    chosen = [get(n) for n in names]
+    columns, arrays = [m for m in chosen if m.aggregate], [m for m in chosen if not m.aggregate]
+    found = pairs.groupBy("img").agg(*[m.aggregate(F.col("a"), F.col("b")).alias(m.name) for m in columns]) if columns else None
+    if arrays:
+
+        def grouped(group: pa.Table) -> pa.Table:
+            y, x, a, b = (group.column(c).to_numpy() for c in ("y", "x", "a", "b"))
+            images = np.zeros((2, int(y.max()) + 1, int(x.max()) + 1))
+            images[0, y, x], images[1, y, x] = a, b
+            values = [pa.array([float(m.arrays(images[0], images[1]))]) for m in arrays]
+            return pa.Table.from_arrays([group.column("img").slice(0, 1), *values], names=["img", *[m.name for m in arrays]])
+
+        schema = f"img {pairs.schema['img'].dataType.simpleString()}, " + ", ".join(f"`{m.name}` double" for m in arrays)
+        by_image = pairs.select("img", "y", "x", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")).groupBy("img").applyInArrow(grouped, schema)
+        found = by_image if found is None else found.join(by_image, "img")
+    return found.select("img", *names)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import nearest
+from . import metrics, nearest
 from .tiling import seam_mask
 
 # The stripes that the encoder tries, in the order frequency, angle, phase.
@@ -55,13 +55,16 @@ def unit(at: Column, length: Column) -> Column:
     return F.when(length > 1, -1.0 + 2.0 * at / F.greatest(length - 1, F.lit(1))).otherwise(-1.0)
 
 
-def scores(tile_rows: DataFrame, seam: float = 0.0, size: int = 0, overlap: int = 0) -> DataFrame:
-    """img, tile_id, candidate, d: mean squared error of each candidate over a tile, plus, weighted by ``seam``, the
-    mean over all its pixels of the error at its edge.  ``tile_rows`` as of ``tile_pixels``."""
-    c = with_candidates(tile_rows.select("img", "tile_id", "v", unit(F.col("tx"), F.col("tw")).alias("ux"), unit(F.col("ty"), F.col("th")).alias("uy"), seam_mask(F.col("ty"), F.col("tx"), size, overlap).alias("m") if seam else F.lit(0.0).alias("m")))
-    error = (F.col("v") - stripes(F.col("ux"), F.col("uy"), F.col("freq"), F.col("ang"), F.col("phase"))) ** 2
-    scored = c.withColumn("e", error).groupBy("img", "tile_id", "cand_id", "freq", "ang", "phase")
-    return scored.agg((F.avg("e") + seam * F.avg(F.col("e") * F.col("m"))).alias("d"))
+def scores(tile_rows: DataFrame, seam: float = 0.0, size: int = 0, overlap: int = 0, metric: str = "mse") -> DataFrame:
+    """img, tile_id, candidate, d: the distortion of each candidate over a tile by a metric of columns, plus, weighted by
+    ``seam``, the mean over all its pixels of the squared error at its edge.  ``tile_rows`` as of ``tile_pixels``."""
+    mask = seam_mask(F.col("ty"), F.col("tx"), size, overlap) if seam else F.lit(0.0)
+    c = with_candidates(tile_rows.select("img", "tile_id", "v", unit(F.col("tx"), F.col("tw")).alias("ux"), unit(F.col("ty"), F.col("th")).alias("uy"), mask.alias("m")))
+    made = c.withColumn("s", stripes(F.col("ux"), F.col("uy"), F.col("freq"), F.col("ang"), F.col("phase")))
+    d = metrics.get(metric).distortion(F.col("v"), F.col("s"))
+    if seam:
+        d = d + seam * F.avg((F.col("v") - F.col("s")) ** 2 * F.col("m"))
+    return made.groupBy("img", "tile_id", "cand_id", "freq", "ang", "phase").agg(d.alias("d"))
 
 
 def best(scored: DataFrame, rate: Column, weight: float) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import table_functions
 from ..operators import bitstream, entropy
 from .common import sql_tidy, table, tidy
 
@@ -232,3 +233,17 @@ def looks_like_stream(spark, sf_dir):
 
 
 SQL["looks_like_stream"] = "SELECT DISTINCT doc_id // 10 AS img, k::INT AS kind, k = 0 AS yes FROM documents, range(3) r(k)"
+
+
+@query
+def sql_unpack_records(spark, sf_dir):
+    """Framed images taken apart by a table function, in SQL."""
+    table_functions.register(spark)
+    blobs = bitstream.pack_images(*_records(spark, sf_dir))
+    return spark.sql(
+        """SELECT b.img, r.width, r.tile_id, r.gen_id, r.qv_id, r.seed, r.rec_flags, hex(r.payload) AS payload, r.error
+           FROM {blobs} b, LATERAL unpack_records(b.blob) r""", blobs=blobs,
+    )
+
+
+SQL["sql_unpack_records"] = SQL["stream_roundtrip"]

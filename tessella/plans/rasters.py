@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import table_functions
 from ..functions.seeds import derived_column, tile_seed
 from ..operators import codec, metrics, search, tiling
 from ..sources import raster
@@ -428,3 +429,38 @@ JOIN (SELECT {key}, min(d) AS d FROM s0 GROUP BY ALL) c USING ({key}) JOIN g{ROU
 
 
 SQL["rd_refine"] = _refined()
+
+
+@query
+def sql_tile_rects(spark, sf_dir):
+    """The tiles of both grids by a table function, in SQL."""
+    table_functions.register(spark)
+    return spark.sql(
+        f"""SELECT d.img, true AS clipped, t.* FROM {{dims}} d, LATERAL tile_rects(d.h, d.w, {SIZE}, {OVERLAP}, true) t
+            UNION ALL SELECT d.img, false, t.* FROM {{dims}} d, LATERAL tile_rects(d.h, d.w, {SIZE}, {OVERLAP}) t""", dims=dims(spark, sf_dir),
+    )
+
+
+SQL["sql_tile_rects"] = " UNION ALL ".join(f"SELECT img, {str(c).lower()} AS clipped, tile_id, y0, x0, y1, x1 FROM (WITH {PIXELS}{_grid(c)} SELECT * FROM tiles)" for c in (True, False))
+
+
+@query
+def metric_values(spark, sf_dir):
+    """Metrics by name: those of columns in one aggregate, and the structural similarity by arrays."""
+    names = ["mse", "mae", "worst", "psnr", "ssim"]
+    return metrics.measure(pairs(spark, sf_dir), names).select("img", *[tidy(F.col(n)).alias(n) for n in names])
+
+
+SQL["metric_values"] = f"""SELECT p.img, {sql_tidy('avg(pow(a - b, 2))')} AS mse, {sql_tidy('avg(abs(a - b))')} AS mae, {sql_tidy('max(abs(a - b))')} AS worst, {sql_tidy('10 * log10(1 / greatest(avg(pow(a - b, 2)), 1e-12))')} AS psnr, any_value(s.ssim) AS ssim
+FROM (WITH {PAIRS} SELECT * FROM pairs) p JOIN ({SQL['ssim_window']}) s USING (img) GROUP BY p.img"""
+
+
+@query
+def rd_search_mae(spark, sf_dir):
+    """The stripes of least mean absolute error for each tile: the search by another metric."""
+    rows = tiling.tile_pixels(pixels(spark, sf_dir), dims(spark, sf_dir), SIZE, OVERLAP, clipped=True)
+    best = search.best(search.scores(rows, metric="mae"), F.lit(0.0), 0.0)
+    return best.select("img", "tile_id", "cand_id", tidy(F.col("d")).alias("d"))
+
+
+SQL["rd_search_mae"] = SQL["rd_seam"].replace("avg(e) + 0.5 * avg(e * m) AS d", "avg(sqrt(e)) AS d")
