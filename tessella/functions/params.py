@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .patterns import PATTERNS, InvalidParamsError, Pattern
+from .patterns import PATTERNS, InvalidParamsError, Param, Pattern
 
 
 def validate(pattern: Pattern, values: dict) -> None:
@@ -53,6 +54,21 @@ def at_share(pattern: Pattern, share: float) -> dict:
     return out
 
 
+def at_shares(name: Column, shares: Column) -> Column:
+    """Parameters of the pattern of this name, in their order, at shares of their ranges (an array; 0..1): integers
+    rounded, choices by their place, truth from one half on.  Null for a name that isn't a pattern's."""
+
+    def value(p: Param, n: int) -> Column:
+        share = F.coalesce(F.get(shares, F.lit(n)), F.lit(0.5))
+        if p.type == "bool":
+            return (share >= 0.5).cast("double")
+        low, high = (0.0, len(p.choices) - 1.0) if p.type == "enum" else (p.low, p.high)
+        number = F.lit(low) + F.lit(high - low) * share
+        return number if p.type == "float" else F.rint(number)
+
+    return F.coalesce(*[F.when(name == p.name, F.array(*[value(q, n) for n, q in enumerate(p.params)])) for p in PATTERNS.values()])
+
+
 def coarse(pattern: Pattern) -> list[dict]:
     """Two points to try: the middle of each range, and its lower end."""
     low = {p.name: p.low if p.type == "float" else int(p.low) for p in pattern.params if p.type in ("float", "int")}

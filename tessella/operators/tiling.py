@@ -5,6 +5,7 @@ A tile is an explode of an image's row, so tiling needs no shuffle; the blend is
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,13 +107,22 @@ def kaiser_table(spark, n: int, beta: float = 6.5) -> DataFrame:
     return places.select("i", (series(z) / series(F.lit(float(beta)))).alias("w"))
 
 
+def kaiser(i: Column, n: int, beta: float = 6.5) -> Column:
+    """The window of Bessel functions: its n values are a literal."""
+    return F.get(F.array(*[F.lit(float(w)) for w in np.kaiser(n, beta)]), i)
+
+
 def window(kind: str, dy: Column, dx: Column, size: Column | int, overlap: Column | int) -> Column:
-    """The separable weight of a pixel of a tile: hann, or tukey whose share is that of the overlap."""
+    """The separable weight of a pixel of a tile: hann, tukey whose share is that of the overlap, or kaiser."""
     if kind == "hann":
         return hann(dy, size, overlap) * hann(dx, size, overlap)
     if kind == "tukey":
         alpha = F.least(F.greatest(2 * _number(overlap) / _number(size), F.lit(0.0)), F.lit(1.0))
         return tukey(dy, size, alpha) * tukey(dx, size, alpha)
+    if kind == "kaiser":
+        if not isinstance(size, int):
+            raise ValueError("a kaiser window needs a size that is a number")
+        return kaiser(dy, size) * kaiser(dx, size)
     raise ValueError(f"unknown window {kind!r}")
 
 

@@ -44,11 +44,13 @@ def cdf(spark, sf_dir):
 
 @query
 def table_ids(spark, sf_dir):
-    """The frequency tables that can be named."""
-    return entropy.available_tables(spark, []).select("id")
+    """The frequency table for each language of the documents: the one of its name, or else the default."""
+    langs = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    known = entropy.available_tables(spark, []).select("id")
+    return langs.join(known, langs["lang"] == known["id"], "left").select("lang", "n", F.coalesce("id", F.lit("v15_default")).alias("id"))
 
 
-SQL["table_ids"] = "SELECT 'v15_default' AS id"
+SQL["table_ids"] = "SELECT lang, count(*) AS n, 'v15_default' AS id FROM documents GROUP BY lang"
 SQL["byte_histogram"] = f"WITH {_BYTES} SELECT sym, n FROM hist"
 SQL["freq_floor"] = f"WITH {_BYTES} SELECT sym, n, share FROM shares"
 SQL["cdf"] = f"WITH {_BYTES} SELECT sym, share, coalesce(sum(share) OVER (ORDER BY sym ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS below FROM shares"

@@ -1,23 +1,21 @@
-"""Queries on procedural patterns: each pattern drawn over a grid, the catalogue, an audit of all."""
+"""Queries on procedural patterns: each pattern held against the images of ``embeddings``, the catalogue, an audit of all."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.params import at_share, catalogue, to_vector
+from ..functions.params import at_share, at_shares, catalogue, to_vector
 from ..functions.patterns import PATTERNS
 from ..operators import rendering, search, tiling
 from ..sources import raster
-from .common import PIXELS, pixels, sql_tidy, tidy
+from .common import PIXELS, pixels, sql_tidy, table, tidy
 from .formula_sql import formula_sql
 from .noise_sql import kernel_sql
 
-HEIGHT, WIDTH = 40, 48
+#: The size of the images, and two lines more: so no pixel of a square lies on the edge of a cell by both its coordinates.
+HEIGHT, WIDTH = 66, 64
 #: Off the middle, so that no pixel lies on the edge of a cell.
-SHARES = (0.37, 0.61)
+SHARES = (0.2186, 0.588)
 SEEDS = (42, -7)
 QUERIES, SQL = {}, {}
 
@@ -37,17 +35,28 @@ def _formula(pattern):
         for n, values in enumerate(_points(pattern)):
             one = rendering.render_formula(pattern, values, spark.range(1).select(F.lit(n).alias("sample_id")), HEIGHT, WIDTH)
             drawn = one if drawn is None else drawn.union(one)
-        return drawn.select("sample_id", "py", "px", tidy(F.col("v")).alias("v"))
+        return _against(spark, sf_dir, drawn)
 
     return run
 
 
+def _against(spark, sf_dir, drawn):
+    """How far each image of the table is from a pattern's samples."""
+    of = drawn.select("sample_id", F.col("py").alias("y"), F.col("px").alias("x"), F.col("v").alias("p"))
+    met = pixels(spark, sf_dir).join(of, ["y", "x"]).groupBy("img", "sample_id")
+    return met.agg(F.count("*").alias("n"), tidy(F.avg((F.col("v") - F.col("p")) ** 2)).alias("error"))
+
+
+def _against_sql(drawn: str) -> str:
+    return f"WITH {PIXELS}, d AS ({drawn}) SELECT img, sample_id, count(*) AS n, {sql_tidy('avg(pow(pix.v - d.v, 2))')} AS error FROM pix JOIN d ON y = py AND x = px GROUP BY ALL"
+
+
 def _kernel(pattern):
     def run(spark, sf_dir):
         samples = [(p, s) for p in _points(pattern) for s in SEEDS]
         jobs = rendering.jobs(spark, pattern.name, *map(list, zip(*samples)))
         drawn = rendering.narrow(rendering.render_images(jobs, HEIGHT, WIDTH), WIDTH)
-        return drawn.select("sample_id", "py", "px", tidy(F.col("v")).alias("v"))
+        return _against(spark, sf_dir, drawn)
 
     return run
 
@@ -56,45 +65,38 @@ for _p in PATTERNS.values():
     _name = f"gen_{_p.name.lower()}"
     QUERIES[_name] = _kernel(_p) if _p.noise else _formula(_p)
     if not _p.noise:
-        SQL[_name] = formula_sql(_p.name, _points(_p), HEIGHT, WIDTH)
+        SQL[_name] = _against_sql(formula_sql(_p.name, _points(_p), HEIGHT, WIDTH, 12))
     elif kernel_sql(_p.name, at_share(_p, SHARES[0]), HEIGHT, WIDTH, SEEDS):
-        SQL[_name] = " UNION ALL ".join(f"SELECT sample_id + {n * len(SEEDS)} AS sample_id, py, px, v FROM ({kernel_sql(_p.name, q, HEIGHT, WIDTH, SEEDS)})" for n, q in enumerate(_points(_p)))
+        SQL[_name] = _against_sql(" UNION ALL ".join(f"SELECT sample_id + {n * len(SEEDS)} AS sample_id, py, px, v FROM ({kernel_sql(_p.name, q, HEIGHT, WIDTH, SEEDS, 12)})" for n, q in enumerate(_points(_p))))
 
 
-def gen_catalog(spark, sf_dir):
-    """Patterns and their numbers of parameters."""
-    rows = catalogue(spark)
-    return rows.groupBy("name", "noise").agg(F.count("*").alias("params"), F.sort_array(F.collect_list("param")).cast("string").alias("names"))
+def _dealt(spark, sf_dir):
+    """sample_id, name, params, seed: each vector as parameters of a pattern, the patterns in turn; a number of the vector
+    is a share of a parameter's range."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), "embedding")
+    names = F.array(*map(F.lit, sorted(PATTERNS)))
+    rows = own.select("sample_id", F.get(names, F.pmod("sample_id", F.lit(len(PATTERNS))).cast("int")).alias("name"), F.transform("embedding", lambda x: F.least(F.greatest(x.cast("double") + 0.5, F.lit(0.0)), F.lit(1.0))).alias("shares"))
+    return rows.select("sample_id", "name", at_shares(F.col("name"), F.col("shares")).alias("params"), F.col("sample_id").alias("seed"))
 
 
-#: The audit's images: 64 x 64, the middle of each range, sixteen seeds.
-AUDIT, AUDIT_SEEDS = 64, tuple(range(16))
+def gen_catalog(spark, sf_dir):
+    """Patterns, their parameters, and how many vectors are dealt to each."""
+    names = F.sort_array(F.collect_list("param")).cast("string").alias("names")
+    rows = catalogue(spark).groupBy("name", "noise").agg(F.count("*").alias("params"), names)
+    dealt = _dealt(spark, sf_dir).groupBy("name").agg(F.count("*").alias("vectors"))
+    return rows.join(dealt, "name", "left").select("name", "noise", "params", "names", F.coalesce("vectors", F.lit(0)).alias("vectors"))
 
 
-def _audited(spark):
-    """name, sample_id, data: the images of every pattern."""
-    parts = []
-    for pattern in PATTERNS.values():
-        values = at_share(pattern, 0.5)
-        if pattern.noise:
-            jobs = rendering.jobs(spark, pattern.name, [values] * len(AUDIT_SEEDS), list(AUDIT_SEEDS))
-            parts.append(("kernel", jobs))
-        else:
-            # A formula has no seed: its image is drawn once, and stands for all.
-            drawn = rendering.render_formula(pattern, values, spark.range(1).select(F.lit(pattern.name).alias("name")), AUDIT, AUDIT)
-            line = F.transform(F.array_sort(F.collect_list(F.struct("py", "px", "v"))), lambda x: x["v"]).alias("data")
-            parts.append(("formula", drawn.groupBy("name").agg(line).select("name", F.explode(F.array(*map(F.lit, AUDIT_SEEDS))).alias("sample_id"), "data")))
-    kernels = reduce(DataFrame.union, [p for kind, p in parts if kind == "kernel"]).repartition(16)
-    images = rendering.render_images(kernels, AUDIT, AUDIT).select("name", "sample_id", "data")
-    return reduce(DataFrame.union, [p for kind, p in parts if kind == "formula"], images)
+#: Height and width of the audit's images.
+AUDIT = 64
 
 
 def gen_audit(spark, sf_dir):
-    """Every pattern in the middle of its ranges, sixteen images each: range, soundness, and whether a rerun is equal."""
-    found = rendering.audit(_audited(spark))
-    again = _audited(spark).groupBy("name").agg(F.bit_xor(F.xxhash64("sample_id", "data")).alias("again"))
+    """Every pattern with the parameters and seeds of its vectors: range, soundness, and whether a rerun is equal."""
+    drawn = lambda: rendering.render(_dealt(spark, sf_dir), AUDIT, AUDIT)
+    again = drawn().groupBy("name").agg(F.bit_xor(F.xxhash64("sample_id", "data")).alias("again"))
     same = F.col("digest") == F.col("again")
-    return found.join(again, "name").select("name", "images", tidy(F.col("low")).alias("low"), tidy(F.col("high")).alias("high"), tidy(F.col("mean")).alias("mean"), "sound", same.alias("repeats"))
+    return rendering.audit(drawn()).join(again, "name").select("name", "images", tidy(F.col("low")).alias("low"), tidy(F.col("high")).alias("high"), tidy(F.col("mean")).alias("mean"), "sound", same.alias("repeats"))
 
 
 #: Candidates of the search over the catalogue: every pattern but the composite, which SQL can't draw, at two points.
@@ -149,4 +151,5 @@ POLAR_CHECKER radial angular; RINGS freq cx cy phase; RIPPLE freq decay phase; S
 STRIPES_MULTISCALE f1 f2 angle1_deg angle2_deg; SUNBURST rays gamma; SWIRL k freq; TRI_TILING cells line; TURBULENCE* scale octaves gain; VALUE_NOISE* scale octaves persistence; VORONOI_CELLS* scale contrast;
 VORONOI_EDGES* scale sharp; WAVES_BEND freq bend bend_freq; WAVES_CIRC freq amp phase; WAVES_DIR freq angle_deg amp phase; WEAVE cells thick contrast; WOOD* rings noise_scale noise_amp; WORLEY* scale metric invert"""
 _ROWS = ", ".join(f"('{n.rstrip('*')}', {n.endswith('*')}, {len(ps)}, '[{', '.join(sorted(ps))}]')" for n, *ps in (x.split() for x in CATALOGUE.split(";")))
-SQL["gen_catalog"] = f"SELECT name, noise, params::BIGINT AS params, names FROM (VALUES {_ROWS}) c(name, noise, params, names)"
+SQL["gen_catalog"] = f"""SELECT name, noise, params::BIGINT AS params, names, count(vec_id) AS vectors FROM (VALUES {_ROWS}) c(name, noise, params, names)
+LEFT JOIN embeddings ON (SELECT list_sort(list(n)) FROM (VALUES {_ROWS}) d(n, a, b, e))[vec_id % {len(PATTERNS)} + 1] = name GROUP BY ALL"""

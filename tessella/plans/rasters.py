@@ -62,86 +62,100 @@ SQL["tile_pixels"] = f"""WITH {PIXELS}{_grid(False)}
 SELECT t.img, tile_id, count(*) AS n, {sql_tidy('avg(v)')} AS mean, max(y - y0) AS last_y, max(x - x0) AS last_x FROM tiles t {_IN_TILE} GROUP BY ALL"""
 
 
-def _square(spark, n: int):
-    return spark.range(n * n).select(F.expr(f"cast(id div {n} as int)").alias("y"), F.expr(f"cast(id % {n} as int)").alias("x"))
+def _weighed(spark, sf_dir, weight):
+    """The tiles of the decoder's grid: the sum of a weight over their pixels, and of the weighed values."""
+    rows = tiling.tile_pixels(pixels(spark, sf_dir), dims(spark, sf_dir), SIZE, OVERLAP).withColumn("w", weight)
+    return rows.groupBy("img", "tile_id").agg(tidy(F.sum("w")).alias("w"), tidy(F.sum(F.col("w") * F.col("v"))).alias("wv"))
+
+
+def _weighed_sql(weight: str) -> str:
+    return f"""WITH {PIXELS}{_grid(False)}, t AS (SELECT t.img, tile_id, (pix.y - y0)::INT AS y, (pix.x - x0)::INT AS x, v FROM tiles t {_IN_TILE}), u AS (SELECT img, tile_id, v, {weight} AS w FROM t)
+SELECT img, tile_id, {sql_tidy('sum(w)')} AS w, {sql_tidy('sum(w * v)')} AS wv FROM u GROUP BY ALL"""
 
 
-_SQUARE = f"sq AS (SELECT (i // {SIZE})::INT AS y, (i % {SIZE})::INT AS x FROM (SELECT unnest(range({SIZE * SIZE})) AS i))"
 _EDGE = f"least(y, x, {SIZE - 1} - y, {SIZE - 1} - x)"
 
 
 @query
 def border_mask(spark, sf_dir):
-    return _square(spark, SIZE).select("y", "x", tiling.border_mask(F.col("y"), F.col("x"), SIZE, SIZE, 8).alias("m"))
+    return _weighed(spark, sf_dir, tiling.border_mask(F.col("ty"), F.col("tx"), SIZE, SIZE, 8))
 
 
 @query
 def seam_mask(spark, sf_dir):
-    return _square(spark, SIZE).select("y", "x", tidy(tiling.seam_mask(F.col("y"), F.col("x"), SIZE, OVERLAP, 1.5)).alias("m"))
+    return _weighed(spark, sf_dir, tiling.seam_mask(F.col("ty"), F.col("tx"), SIZE, OVERLAP, 1.5))
 
 
 @query
 def window_hann(spark, sf_dir):
-    return _square(spark, SIZE).select("y", "x", tidy(tiling.window("hann", F.col("y"), F.col("x"), SIZE, OVERLAP)).alias("w"))
+    return _weighed(spark, sf_dir, tiling.window("hann", F.col("ty"), F.col("tx"), SIZE, OVERLAP))
 
 
 @query
 def window_tukey(spark, sf_dir):
-    return _square(spark, SIZE).select("y", "x", tidy(tiling.window("tukey", F.col("y"), F.col("x"), SIZE, OVERLAP)).alias("w"))
+    return _weighed(spark, sf_dir, tiling.window("tukey", F.col("ty"), F.col("tx"), SIZE, OVERLAP))
 
 
 @query
 def window_kaiser(spark, sf_dir):
-    line = tiling.kaiser_table(spark, SIZE)
-    other = line.select(F.col("i").alias("x"), F.col("w").alias("wx"))
-    return line.select(F.col("i").alias("y"), F.col("w").alias("wy")).join(F.broadcast(other)).select("y", "x", tidy(F.col("wy") * F.col("wx")).alias("w"))
+    return _weighed(spark, sf_dir, tiling.window("kaiser", F.col("ty"), F.col("tx"), SIZE, OVERLAP))
 
 
 _HANN = f"(CASE WHEN {{0}} < {OVERLAP} THEN 0.5 * (1 - cos(pi() * {{0}} / {OVERLAP - 1})) WHEN {{0}} > {SIZE - 1 - OVERLAP} THEN 0.5 * (1 - cos(pi() * ({SIZE - 1} - {{0}}) / {OVERLAP - 1})) ELSE 1.0 END)"
 _ALPHA = 2 * OVERLAP / SIZE
 _TUKEY = f"(CASE WHEN {{0}} / {SIZE - 1}.0 < {_ALPHA / 2} THEN 0.5 * (1 + cos(pi() * (2 * ({{0}} / {SIZE - 1}.0) / {_ALPHA} - 1))) WHEN {{0}} / {SIZE - 1}.0 > {1 - _ALPHA / 2} THEN 0.5 * (1 + cos(pi() * (2 * ({{0}} / {SIZE - 1}.0) / {_ALPHA} - 2 / {_ALPHA} + 1))) ELSE 1.0 END)"
-SQL["border_mask"] = f"WITH {_SQUARE} SELECT y, x, CASE WHEN {_EDGE} < 8 THEN 1.0 ELSE 0.0 END::DOUBLE AS m FROM sq"
-SQL["seam_mask"] = f"WITH {_SQUARE} SELECT y, x, {sql_tidy(f'pow(greatest(1 - {_EDGE} / {OVERLAP}.0, 0), 1.5)')} AS m FROM sq"
-SQL["window_hann"] = f"WITH {_SQUARE} SELECT y, x, {sql_tidy(_HANN.format('y') + ' * ' + _HANN.format('x'))} AS w FROM sq"
-SQL["window_tukey"] = f"WITH {_SQUARE} SELECT y, x, {sql_tidy(_TUKEY.format('y') + ' * ' + _TUKEY.format('x'))} AS w FROM sq"
-SQL["window_kaiser"] = f"""WITH {_SQUARE}, line AS (
-  SELECT i, sum(pow(6.5 * sqrt(greatest(1 - (2 * i / {SIZE - 1}.0 - 1) * (2 * i / {SIZE - 1}.0 - 1), 0)) / 2, 2 * k) / pow(gamma(k + 1), 2)) AS z FROM range({SIZE}) a(i), range(40) b(k) GROUP BY i
-), top AS (SELECT sum(pow(3.25, 2 * k) / pow(gamma(k + 1), 2)) AS z FROM range(40) b(k))
-SELECT y, x, {sql_tidy('(a.z / top.z) * (b.z / top.z)')} AS w FROM sq JOIN line a ON a.i = y JOIN line b ON b.i = x, top"""
+#: The series of the Bessel function, for each place of a line.
+_KAISER = "list_sum(list_transform(range(40), lambda k: pow(6.5 * sqrt(greatest(1 - pow(2 * {0} / %s.0 - 1, 2), 0)) / 2, 2 * k) / pow(gamma(k + 1), 2))) / list_sum(list_transform(range(40), lambda k: pow(3.25, 2 * k) / pow(gamma(k + 1), 2)))" % (SIZE - 1)
+SQL["border_mask"] = _weighed_sql(f"CASE WHEN {_EDGE} < 8 THEN 1.0 ELSE 0.0 END::DOUBLE")
+SQL["seam_mask"] = _weighed_sql(f"pow(greatest(1 - {_EDGE} / {OVERLAP}.0, 0), 1.5)")
+SQL["window_hann"] = _weighed_sql(_HANN.format("y") + " * " + _HANN.format("x"))
+SQL["window_tukey"] = _weighed_sql(_TUKEY.format("y") + " * " + _TUKEY.format("x"))
+SQL["window_kaiser"] = _weighed_sql(f"({_KAISER.format('y')}) * ({_KAISER.format('x')})")
 
 _CAND = "cand AS (SELECT (f * 24 + a * 4 + p)::INT AS cand_id, f::INT AS i_f, a::INT AS i_a, p::INT AS i_p, [4, 7, 10][f + 1]::INT AS freq, (a * 30)::INT AS ang, (p * 90)::INT AS phase FROM range(3) r(f), range(6) s(a), range(4) t(p))"
 
 
 @query
 def candidate_grid(spark, sf_dir):
-    return spark.createDataFrame(search.candidates(), "cand_id int, i_f int, i_a int, i_p int, freq int, ang int, phase int")
+    """Each image with its candidates."""
+    return search.with_candidates(dims(spark, sf_dir).select("img"))
 
 
-SQL["candidate_grid"] = f"WITH {_CAND} SELECT * FROM cand"
+SQL["candidate_grid"] = f"WITH {PIXELS}, {_CAND} SELECT img, cand.* FROM dims, cand"
 
 
 @query
 def grid_linspace(spark, sf_dir):
-    grid = search.parameter_grid(spark.range(1), {"a": (-1.0, 1.0), "b": (0.0, 10.0)}, {"a": 9, "b": 5})
-    return grid.select(tidy(F.col("a")).alias("a"), tidy(F.col("b")).alias("b"))
+    """A grid over the range of each image's values."""
+    ranges = pixels(spark, sf_dir).groupBy("img").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    grid = search.parameter_grid(ranges, {"a": (0.0, 1.0), "b": (0.0, 10.0)}, {"a": 9, "b": 5})
+    return grid.select("img", tidy(F.col("low") + (F.col("high") - F.col("low")) * F.col("a")).alias("a"), tidy(F.col("b")).alias("b"))
+
+
+def _means():
+    """Two numbers of an image to look for: the means of its left and right columns, four times as large."""
+    return [(4 * F.avg(F.when(at, F.col("v")))).alias(n) for n, at in (("to_a", F.col("x") < 32), ("to_b", F.col("x") >= 32))]
 
 
 @query
 def local_refine(spark, sf_dir):
-    """The point of a coarse grid nearest to a target, and the best of a finer grid around it."""
-    distance = lambda a, b: F.sqrt((F.col(a) - 0.3) ** 2 + (F.col(b) + 0.2) ** 2)
-    coarse = search.parameter_grid(spark.range(1), {"a": (-1.0, 1.0), "b": (-1.0, 1.0)}, {"a": 9, "b": 9})
-    nearest = coarse.agg(F.min(F.struct(distance("a", "b").alias("d"), "a", "b")).alias("n")).select("n.*")
+    """For each image the point of a coarse grid nearest to its numbers, and the best of a finer grid around it."""
+    targets = pixels(spark, sf_dir).groupBy("img").agg(*_means())
+    distance = lambda a, b: F.sqrt((F.col(a) - F.col("to_a")) ** 2 + (F.col(b) - F.col("to_b")) ** 2)
+    coarse = search.parameter_grid(targets, {"a": (-1.0, 1.0), "b": (-1.0, 1.0)}, {"a": 9, "b": 9})
+    nearest = coarse.groupBy("img", "to_a", "to_b").agg(F.min(F.struct(distance("a", "b").alias("d"), "a", "b")).alias("n")).select("img", "to_a", "to_b", "n.*")
     fine = search.refine(nearest, {"a": 0.3, "b": 0.3}, 7).withColumn("fine_d", distance("fine_a", "fine_b"))
-    best = fine.groupBy("d").agg(F.min("fine_d").alias("fine_d"))
-    return best.select(tidy(F.col("d")).alias("coarse"), tidy(F.col("fine_d")).alias("fine"))
+    best = fine.groupBy("img", "d").agg(F.min("fine_d").alias("fine_d"))
+    return best.select("img", tidy(F.col("d")).alias("coarse"), tidy(F.col("fine_d")).alias("fine"))
 
 
-SQL["grid_linspace"] = f"SELECT {sql_tidy('-1 + a / 4.0')} AS a, {sql_tidy('b * 2.5')} AS b FROM range(9) r(a), range(5) s(b)"
-SQL["local_refine"] = f"""WITH c AS (
-  SELECT -1 + a / 4.0 AS a, -1 + b / 4.0 AS b FROM range(9) r(a), range(9) s(b)
-), n AS (SELECT a, b, sqrt(pow(a - 0.3, 2) + pow(b + 0.2, 2)) AS d FROM c ORDER BY d, a, b LIMIT 1)
-SELECT {sql_tidy('any_value(d)')} AS coarse, {sql_tidy('min(sqrt(pow(a - 0.3 + i * 0.1 - 0.3, 2) + pow(b - 0.3 + j * 0.1 + 0.2, 2)))')} AS fine FROM n, range(7) r(i), range(7) s(j)"""
+SQL["grid_linspace"] = f"""WITH {PIXELS}, r AS (SELECT img, min(v) AS low, max(v) AS high FROM pix GROUP BY img)
+SELECT img, {sql_tidy('low + (high - low) * a / 8.0')} AS a, {sql_tidy('b * 2.5')} AS b FROM r, range(9) s(a), range(5) t(b)"""
+SQL["local_refine"] = f"""WITH {PIXELS}, g AS (SELECT img, 4 * avg(CASE WHEN x < 32 THEN v END) AS ta, 4 * avg(CASE WHEN x >= 32 THEN v END) AS tb FROM pix GROUP BY img
+), c AS (
+  SELECT img, ta, tb, -1 + a / 4.0 AS a, -1 + b / 4.0 AS b FROM g, range(9) r(a), range(9) s(b)
+), n AS (SELECT *, sqrt(pow(a - ta, 2) + pow(b - tb, 2)) AS d FROM c QUALIFY row_number() OVER (PARTITION BY img ORDER BY d, a, b) = 1)
+SELECT img, {sql_tidy('any_value(d)')} AS coarse, {sql_tidy('min(sqrt(pow(a - 0.3 + i * 0.1 - ta, 2) + pow(b - 0.3 + j * 0.1 - tb, 2)))')} AS fine FROM n, range(7) r(i), range(7) s(j) GROUP BY img"""
 
 
 def _scores(spark, sf_dir, seam: float = 0.0):
@@ -225,7 +239,12 @@ def blend_tukey(spark, sf_dir):
     return _tile_waves(spark, sf_dir, "tukey")
 
 
-for _name, _window in (("blend_hann", _HANN), ("blend_tukey", _TUKEY)):
+@query
+def blend_kaiser(spark, sf_dir):
+    return _tile_waves(spark, sf_dir, "kaiser")
+
+
+for _name, _window in (("blend_hann", _HANN), ("blend_tukey", _TUKEY), ("blend_kaiser", f"({_KAISER})")):
     SQL[_name] = f"""WITH {PIXELS}{_grid(False)}, t AS (
   SELECT t.img, pix.y, pix.x, v + tile_id / 100.0 AS v, {_window.format('(pix.y - y0)')} * {_window.format('(pix.x - x0)')} AS w FROM tiles t {_IN_TILE}
 ) SELECT img, y, x, {sql_tidy('sum(w * v) / (sum(w) + 1e-8)')} AS v FROM t GROUP BY img, y, x"""

@@ -35,3 +35,12 @@ def test_search_sums_before_its_shuffle(spark, small):
     rows = tiling.tile_pixels(pixels(spark, small), dims(spark, small), 32, 8, clipped=True)
     plan = plan_of(search.scores(rows))
     assert "partial_avg" in plan
+
+
+#: Queries that read their table before they return a frame of what they found.
+READ_BEFORE = {"rans_table"}
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES.keys() - READ_BEFORE))
+def test_every_query_reads_a_given_table(spark, small, name):
+    assert any(small in f for f in registry.QUERIES[name](spark, small).inputFiles())
