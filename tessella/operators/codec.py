@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,65 +60,84 @@ def symbols(seed: int, steps: list[int]) -> bytes:
 
 
 def search_tiles(images: DataFrame, config: CodecConfig) -> DataFrame:
-    """img, tile_id, seed, cand_id, steps, d, bits, payload: the best candidate of each tile of wide images.
+    """img, tile_id, seed, cand_id, steps, d, bits, payload, error, seconds: the best candidate of each tile of wide images.
 
     An image explodes into its tiles, which carry their own values, so tiles spread over tasks.  All candidates of a
-    tile are scored in one array.
+    tile are scored in one array.  A tile that can't be coded has an error and nothing else.
     """
     rect = tiling.tiles(images.select("img", "h", "w", "data"), config.tile, config.overlap, clipped=True)
     rows = F.transform(F.sequence(F.col("y0"), F.col("y1") - 1), lambda y: F.slice("data", y * F.col("w") + F.col("x0") + 1, F.col("x1") - F.col("x0")))
     cut = rect.select("img", "tile_id", tile_seed(F.lit(config.seed), F.col("tile_id")).alias("seed"), (F.col("y1") - F.col("y0")).alias("th"), (F.col("x1") - F.col("x0")).alias("tw"), F.flatten(rows).alias("data"))
     cut = cut.repartition("img", "tile_id")
-    schema = "img long, tile_id int, seed long, cand_id int, steps array<int>, d double, bits double, payload binary"
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.binary()]
-    names = ["img", "tile_id", "seed", "cand_id", "steps", "d", "bits", "payload"]
+    schema = "img long, tile_id int, seed long, cand_id int, steps array<int>, d double, bits double, payload binary, error string, seconds double"
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.binary(), pa.string(), pa.float64()]
+    names = ["img", "tile_id", "seed", "cand_id", "steps", "d", "bits", "payload", "error", "seconds"]
     tries = search.candidates()
 
     cost = entropy.symbol_bits(config.table)
     metric = config.metric if config.metric == "mixed" else metrics.get(config.metric)  # goes with the task, wherever it was registered
 
+    steps = [[c["i_f"], c["i_a"], c["i_p"]] for c in tries]
+
+    def best_of(row: dict, made: dict[tuple[int, int], np.ndarray]) -> tuple:
+        """cand_id, steps, d, bits and the symbols of the best candidate."""
+        shape = row["th"], row["tw"]
+        if shape not in made:
+            made[shape] = np.stack([draw(*shape, c["freq"], c["ang"], c["phase"]) for c in tries])
+        d = distortion(np.array(row["data"]).reshape(shape), made[shape], metric, config.mix)
+        plain = [symbols(row["seed"], s) for s in steps]
+        if config.bits == "exact":
+            bits = np.array([8.0 * len(entropy.frame_stream(c, config.table_id)) for c in entropy.encode_many(plain, config.table)])
+        else:
+            bits = cost[np.frombuffer(b"".join(plain), dtype=np.uint8).reshape(len(plain), -1)].sum(axis=1)
+        score = d + config.rate_weight * bits
+        if not np.isfinite(score).all():
+            raise ValueError("a score isn't finite")
+        best = int(np.argmin(score))
+        return best, steps[best], float(d[best]), float(bits[best]), plain[best]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                shape = r["th"], r["tw"]
-                if shape not in made:
-                    made[shape] = np.stack([draw(*shape, c["freq"], c["ang"], c["phase"]) for c in tries])
-                d = distortion(np.array(r["data"]).reshape(shape), made[shape], metric, config.mix)
-                steps = [[c["i_f"], c["i_a"], c["i_p"]] for c in tries]
-                plain = [symbols(r["seed"], s) for s in steps]
-                if config.bits == "exact":
-                    bits = np.array([8.0 * len(entropy.frame_stream(c, config.table_id)) for c in entropy.encode_many(plain, config.table)])
-                else:
-                    bits = cost[np.frombuffer(b"".join(plain), dtype=np.uint8).reshape(len(plain), -1)].sum(axis=1)
-                best = int(np.argmin(d + config.rate_weight * bits))
-                rows.append((r["img"], r["tile_id"], r["seed"], best, steps[best], float(d[best]), float(bits[best]), plain[best]))
-            payloads = [entropy.frame_stream(c, config.table_id) for c in entropy.encode_many([r[-1] for r in rows], config.table)]
-            rows = [(*r[:-1], c) for r, c in zip(rows, payloads)]
-            if not rows:
-                continue
-            columns = list(zip(*rows)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                began = time.perf_counter()
+                try:
+                    found = (*best_of(r, made), None)
+                except Exception as error:  # the tile's failure is its result
+                    found = (None, None, None, None, None, f"tile {r['tile_id']}: {type(error).__name__}: {error}")
+                rows.append((r["img"], r["tile_id"], r["seed"], *found, time.perf_counter() - began))
+            coded = iter(entropy.encode_many([r[7] for r in rows if r[8] is None], config.table))
+            rows = [(*r[:7], entropy.frame_stream(next(coded), config.table_id) if r[8] is None else None, *r[8:]) for r in rows]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return cut.mapInArrow(run, schema)
 
 
-def encode(images: DataFrame, config: CodecConfig = CodecConfig()) -> DataFrame:
-    """img, blob, tiles, bpp of wide images (img, h, w, data)."""
-    found = search_tiles(images, config)
+def encode_items(images: DataFrame, config: CodecConfig = CodecConfig()) -> DataFrame:
+    """img, blob, tiles, bpp, seconds, error of wide images (img, h, w, data), each tile coded once.  An image of which a
+    tile can't be coded has an error and no blob; ``seconds`` are those of its tiles, in whatever tasks."""
     raw = config.payload == "raw"
-    records = found.select(
-        "img", "tile_id", F.lit(0).alias("gen_id"), F.lit(0).alias("qv_id"), "seed", F.lit(0).alias("rec_flags"), F.lit(bitstream.RAW if raw else bitstream.CODED).alias("payload_fmt"),
-        (F.lit(b"raw") if raw else F.col("payload")).alias("payload"),
-    )
+    payload = F.lit(b"raw") if raw else F.col("payload")
+    fields = (F.col("tile_id"), F.lit(0), F.lit(0), F.col("seed"), F.lit(0), F.lit(bitstream.RAW if raw else bitstream.CODED), payload)
+    records = search_tiles(images, config).select("img", "tile_id", F.when(F.col("error").isNull(), F.hex(bitstream.packed_record(*fields))).alias("raw"), "error", "seconds")
+    ordered = F.array_sort(F.collect_list(F.struct("tile_id", "raw")))
+    body = records.groupBy("img").agg(ordered.alias("r"), F.count("*").alias("tiles"), F.sum("seconds").alias("seconds"), F.min_by("error", F.struct(F.col("error").isNull(), "tile_id")).alias("error"))
     fixed = json.dumps({"tile": config.tile, "overlap": config.overlap, "flags": 0, "meta": {"seed": config.seed, "cfg": {"lambda": config.rate_weight, "alpha": config.mix, "table_id": config.table_id}}}, separators=(",", ":"))
     header = F.concat(F.lit('{"width":'), F.col("w").cast("string"), F.lit(',"height":'), F.col("h").cast("string"), F.lit("," + fixed[1:]))
-    headers = images.select("img", "h", "w", header.alias("header"))
-    blobs = bitstream.pack_images(records, headers.select("img", "header")).join(headers.select("img", "h", "w"), "img")
-    counts = records.groupBy("img").agg(F.count("*").alias("tiles"))
+    joined = body.join(images.select("img", "h", "w", bitstream.packed_header(header).alias("header")), "img")
+    blob = F.concat("header", bitstream.little(F.size("r"), 4), F.unhex(F.array_join(F.transform("r", lambda x: x["raw"]), "")))
+    coded = joined.withColumn("blob", F.when(F.col("error").isNull(), blob))
     bpp = 8.0 * F.octet_length("blob") / F.greatest(F.col("h") * F.col("w"), F.lit(1))
-    return blobs.join(counts, "img").select("img", "blob", "tiles", bpp.alias("bpp"))
+    return coded.select("img", "blob", "tiles", bpp.alias("bpp"), "seconds", "error")
+
+
+def encode(images: DataFrame, config: CodecConfig = CodecConfig()) -> DataFrame:
+    """img, blob, tiles, bpp of wide images (img, h, w, data); an image that can't be coded fails the job."""
+    named = F.concat(F.lit("image "), F.col("img").cast("string"), F.lit(": "), F.col("error"))
+    good = F.when(F.col("error").isNull(), True).otherwise(F.raise_error(named).cast("boolean"))
+    return encode_items(images, config).filter(good).select("img", "blob", "tiles", "bpp")
 
 
 def checked_records(blobs: DataFrame, by: str = "seed", tables: dict[str, entropy.Table] | None = None) -> DataFrame:

@@ -40,10 +40,19 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
 
 
+def with_ids(files: DataFrame) -> DataFrame:
+    """``files`` (path) with id: the name without its suffix, and where files share it also a digest of the path."""
+    shared = files.groupBy(stem(F.col("path")).alias("_stem")).agg(F.count("*").alias("_files"))
+    named = files.withColumn("_stem", stem(F.col("path"))).join(shared, "_stem")
+    path = F.regexp_replace("path", "^file:/+", "/")  # Spark's readers write a local path in two ways
+    own = F.when(F.col("_files") == 1, F.col("_stem")).otherwise(F.concat("_stem", F.lit("-"), F.substring(F.sha2(path, 256), 1, 8)))
+    return named.select(*files.columns, own.alias("id"))
+
+
 def plan(files: DataFrame, out_folder: str, suffix: str = "img") -> DataFrame:
-    """id, in, out, state: one item per file, all to do."""
-    out = F.concat(F.lit(out_folder.rstrip("/") + "/"), stem(F.col("path")), F.lit(f".{suffix}"))
-    return files.select(stem(F.col("path")).alias("id"), F.col("path").alias("in"), out.alias("out"), F.lit("todo").alias("state"))
+    """id, in, out, state: one item per file, all to do; no two items have one output."""
+    out = F.concat(F.lit(out_folder.rstrip("/") + "/"), F.col("id"), F.lit(f".{suffix}"))
+    return with_ids(files).select("id", F.col("path").alias("in"), out.alias("out"), F.lit("todo").alias("state"))
 
 
 def left_to_do(manifest: DataFrame, written: DataFrame) -> DataFrame:

@@ -67,11 +67,19 @@ class _Writer(DataSourceWriter):
         store, base = _store(self.folder)
         store.create_dir(base, recursive=True)
         names = []
-        for row in rows:
-            at = f"{base}/.{uuid.uuid4().hex}"
-            with store.open_output_stream(at) as out:
-                out.write(bytes(row["blob"]))
-            names.append((at, f"{base}/{row['name']}{self.suffix}"))
+        try:
+            for row in rows:
+                at = f"{base}/.{uuid.uuid4().hex}"
+                names.append((at, f"{base}/{row['name']}{self.suffix}"))
+                with store.open_output_stream(at) as out:
+                    out.write(bytes(row["blob"]))
+        except BaseException:  # a task that fails takes its files with it
+            from pyarrow import fs
+
+            for at, _ in names:
+                if store.get_file_info(at).type != fs.FileType.NotFound:
+                    store.delete_file(at)
+            raise
         return _Done(names)
 
     def commit(self, messages: list) -> None:
