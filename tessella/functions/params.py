@@ -83,3 +83,69 @@ def catalogue(spark: SparkSession) -> DataFrame:
         for n, q in enumerate(p.params)
     ]
     return spark.createDataFrame(rows, "name string, ord int, param string, type string, low double, high double, choices array<string>, noise boolean")
+
+
+# --- parameters as rows -----------------------------------------------------------------------------------------------------
+
+TRUTH = ("true", "false", "1", "0")
+
+
+def violations(rows: DataFrame) -> DataFrame:
+    """id, name, param, problem: everything that is wrong with parameters, of rows (id, name, params: map of texts).
+
+    A row with nothing wrong leaves no row.  The catalogue is a table of some 150 rows, whatever there is to check.
+    """
+    known = catalogue(rows.sparkSession)
+    names = known.select("name").distinct()
+    given = rows.select("id", "name", F.explode("params").alias("param", "value"))
+    number = F.expr("try_cast(value AS double)")
+    problem = (
+        F.when(F.col("type").isNull(), "unknown parameter")
+        .when(F.col("value").isNull(), "no value")
+        .when(F.col("type").isin("float", "int") & (number.isNull() | F.isnan(number)), "not a number")
+        .when(F.col("type").isin("float", "int") & ~number.between(F.col("low"), F.col("high")), "out of range")
+        .when((F.col("type") == "enum") & ~F.array_contains("choices", F.col("value")), "no such choice")
+        .when((F.col("type") == "bool") & ~F.lower("value").isin(*TRUTH), "neither true nor false")
+    )
+    wrong = given.join(names, "name", "left_semi").join(known, ["name", "param"], "left").select("id", "name", "param", problem.alias("problem")).filter("problem is not null")
+    wanted = rows.join(known, "name").filter(F.col("params").isNull() | ~F.coalesce(F.map_contains_key("params", F.col("param")), F.lit(False)))
+    missing = wanted.select("id", "name", "param", F.lit("missing").alias("problem"))
+    nameless = rows.join(names, "name", "left_anti").select("id", "name", F.lit(None).cast("string").alias("param"), F.lit("unknown pattern").alias("problem"))
+    return wrong.union(missing).union(nameless)
+
+
+def _by_name(spark: SparkSession) -> DataFrame:
+    """name, _of: a pattern's parameters in their order."""
+    fields = F.struct("ord", "param", "type", "low", "high", "choices")
+    return catalogue(spark).groupBy("name").agg(F.array_sort(F.collect_list(fields)).alias("_of"))
+
+
+def encoded(rows: DataFrame) -> DataFrame:
+    """``rows`` (name, params: map of texts, without violations) with ``codes``: the numbers of ``to_vector``, in the order
+    of the pattern's parameters; null for a pattern that isn't known."""
+
+    def number(p: Column) -> Column:
+        text = F.col("params")[p["param"]]
+        value = text.try_cast("double")
+        return (
+            F.when(p["type"] == "bool", F.lower(text).isin("true", "1").cast("double"))
+            .when(p["type"] == "enum", (F.array_position(p["choices"], text) - 1).cast("double"))
+            .when(p["type"] == "int", F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast("double"))
+            .otherwise(value)
+        )
+
+    return rows.join(_by_name(rows.sparkSession), "name", "left").select(*rows.columns, F.transform("_of", number).alias("codes"))
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """``rows`` (name, codes) with ``values``, an array of (param, number, choice): the inverse, as ``from_vector`` has it;
+    a choice is its text, truth is 0 or 1."""
+
+    def value(p: Column) -> Column:
+        code = F.get("codes", p["ord"])
+        place = F.least(F.greatest(F.rint(code), F.lit(0.0)), F.size(p["choices"]) - 1.0)
+        number = F.when(p["type"] == "int", F.rint(code)).when(p["type"] == "bool", (code >= 0.5).cast("double")).when(p["type"] == "enum", place).otherwise(code)
+        choice = F.when(p["type"] == "enum", F.get(p["choices"], place.cast("int")))
+        return F.struct(p["param"].alias("param"), number.alias("number"), choice.alias("choice"))
+
+    return rows.join(_by_name(rows.sparkSession), "name", "left").select(*rows.columns, F.transform("_of", value).alias("values"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.params import at_share, at_shares, catalogue, to_vector
+from ..functions.params import at_share, at_shares, catalogue, decoded, encoded, to_vector, violations
 from ..functions.patterns import PATTERNS
 from ..operators import rendering, search, tiling
 from ..sources import raster
@@ -141,6 +141,57 @@ SQL["rd_catalogue"] = f"""WITH {PIXELS}, starts AS (
 SELECT img, tile_id, b.cand_id::BIGINT AS cand_id, {sql_tidy('d')} AS d, count(*) FILTER (WHERE bound <= d + 1e-9) AS tried, {len(CANDIDATES)} AS candidates
 FROM b JOIN (SELECT img, tile_id, bound FROM bounds) USING (img, tile_id) GROUP BY ALL"""
 QUERIES["rd_catalogue"] = rd_catalogue
+def _given(spark, sf_dir):
+    """id, name, params: each vector as the texts of a pattern's parameters.  Some leave their range, and some vectors name
+    no pattern, leave a parameter out or add one."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    named = own.withColumn("name", F.get(F.array(*map(F.lit, sorted(PATTERNS))), F.pmod("id", F.lit(len(PATTERNS))).cast("int")))
+    each = named.join(catalogue(spark), "name").filter((F.col("id") % 5 != 0) | (F.col("ord") > 0))
+    number = F.round(F.col("low") + (F.col("high") - F.col("low")) * (0.5 + 1.5 * F.get("embedding", F.col("ord")).cast("double")), 3).cast("decimal(18,3)").cast("string")
+    choice = F.coalesce(F.get("choices", F.pmod(F.floor(F.col("id") / len(PATTERNS)), F.lit(4)).cast("int")), F.lit("none"))
+    value = F.when(F.col("type") == "enum", choice).when(F.col("type") == "bool", F.when(F.col("id") % 2 == 0, "true").otherwise("maybe")).otherwise(number)
+    texts = each.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("param", value.alias("value")))).alias("own"))
+    params = F.coalesce("own", F.create_map().cast("map<string,string>"))
+    more = F.when(F.col("id") % 7 == 0, F.create_map(F.lit("zzz"), F.lit("1"))).otherwise(F.create_map().cast("map<string,string>"))
+    return named.join(texts, "id", "left").select("id", F.when(F.col("id") % 11 == 0, "NOTHING").otherwise(F.col("name")).alias("name"), F.map_concat(params, more).alias("params"))
+
+
+def params_violations(spark, sf_dir):
+    """What is wrong with the parameters of each vector."""
+    return violations(_given(spark, sf_dir))
+
+
+def params_codes(spark, sf_dir):
+    """The parameters of the vectors with nothing wrong, as numbers and back."""
+    rows = _given(spark, sf_dir)
+    good = rows.join(violations(rows).select("id").distinct(), "id", "left_anti")
+    back = decoded(encoded(good)).select("id", F.posexplode("values").alias("ord", "v"), "codes")
+    return back.select("id", "ord", "v.param", tidy(F.get("codes", F.col("ord"))).alias("code"), tidy(F.col("v.number")).alias("number"), "v.choice")
+
+
+_PARAMS = ", ".join(f"('{p.name}', {n}, '{q.name}', '{q.type}', {q.low or 0.0}::DOUBLE, {q.high or 0.0}::DOUBLE, [{', '.join(repr(c) for c in q.choices)}]::VARCHAR[])" for p in PATTERNS.values() for n, q in enumerate(p.params))
+_GIVEN = f"""cat AS (SELECT * FROM (VALUES {_PARAMS}) c(name, ord, param, type, low, high, choices)
+), named AS (SELECT vec_id AS id, embedding AS e, (SELECT list_sort(list(DISTINCT name)) FROM cat)[vec_id % {len(PATTERNS)} + 1] AS own FROM embeddings
+), own AS (
+  SELECT id, own, param, CASE type WHEN 'enum' THEN coalesce(choices[(id // {len(PATTERNS)}) % 4 + 1], 'none') WHEN 'bool' THEN CASE WHEN id % 2 = 0 THEN 'true' ELSE 'maybe' END
+    ELSE round(low + (high - low) * (0.5 + 1.5 * e[ord + 1]::DOUBLE), 3)::DECIMAL(18, 3)::VARCHAR END AS value
+  FROM named JOIN cat ON cat.name = own WHERE id % 5 <> 0 OR ord > 0
+  UNION ALL SELECT id, own, 'zzz', '1' FROM named WHERE id % 7 = 0
+), given AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'NOTHING' ELSE own END AS name, param, value FROM own
+), rows AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'NOTHING' ELSE own END AS name FROM named
+), bad AS (
+  SELECT id, g.name, g.param, CASE WHEN type IS NULL THEN 'unknown parameter' WHEN type IN ('float', 'int') AND NOT value::DOUBLE BETWEEN low AND high THEN 'out of range'
+    WHEN type = 'enum' AND NOT list_contains(choices, value) THEN 'no such choice' WHEN type = 'bool' AND value = 'maybe' THEN 'neither true nor false' END AS problem
+  FROM given g LEFT JOIN cat ON cat.name = g.name AND cat.param = g.param WHERE g.name <> 'NOTHING'
+  UNION ALL SELECT id, r.name, cat.param, 'missing' FROM rows r JOIN cat ON cat.name = r.name WHERE NOT EXISTS (SELECT 1 FROM given g WHERE g.id = r.id AND g.param = cat.param)
+  UNION ALL SELECT id, name, NULL, 'unknown pattern' FROM rows WHERE name = 'NOTHING'
+)"""
+SQL["params_violations"] = f"WITH {_GIVEN} SELECT id, name, param, problem FROM bad WHERE problem IS NOT NULL"
+SQL["params_codes"] = f"""WITH {_GIVEN}, codes AS (
+  SELECT id, ord, g.param, type, choices, CASE type WHEN 'bool' THEN (value = 'true')::INT WHEN 'enum' THEN list_position(choices, value) - 1 WHEN 'int' THEN trunc(value::DOUBLE) ELSE value::DOUBLE END::DOUBLE AS code
+  FROM given g JOIN cat ON cat.name = g.name AND cat.param = g.param WHERE id NOT IN (SELECT id FROM bad WHERE problem IS NOT NULL)
+) SELECT id, ord::INT AS ord, param, {sql_tidy('code')} AS code, {sql_tidy('code')} AS number, CASE WHEN type = 'enum' THEN choices[code::INT + 1] END AS choice FROM codes"""
+QUERIES |= {"params_violations": params_violations, "params_codes": params_codes}
 QUERIES |= {"gen_catalog": gen_catalog, "gen_audit": gen_audit}
 #: The catalogue stated anew: each pattern's parameters, and whether it needs noise.
 CATALOGUE = """ANGLE_GRADIENT angle_start_deg angle_end_deg; BRICK rows cols mortar; BRICK_NOISE* rows cols mortar contrast; CHECKER_DISTORTED* cells dist_scale dist_amp; CHECKER cells angle_deg;
