@@ -150,6 +150,26 @@ def blend(tile_values: DataFrame, size: Column | int, overlap: Column | int, kin
     return sums.select("img", "y", "x", (F.col("_s") / (F.col("_w") + 1e-8)).alias("v"))
 
 
+def resample(pixels: DataFrame, places: DataFrame) -> DataFrame:
+    """img, y, x, v: the pixels of ``places`` (img, h, w, y, x, and gy, gx in -1..1), each a bilinear mix of the four
+    pixels (img, y, x, v) around its place in the image; -1 and 1 are the middles of the outer pixels, what lies beyond is
+    held at the border.
+
+    A place explodes into its neighbours, which meet the pixels by an equal join, and their weighted sum is an aggregate.
+    Neighbours without weight are left out; those that the image lacks don't count.
+    """
+
+    def axis(g: str, n: str) -> Column:
+        at = F.least(F.greatest((F.col(g) + 1) / 2 * (F.col(n) - 1), F.lit(0.0)), (F.col(n) - 1).cast("double"))
+        low = F.floor(at).cast("int")
+        return F.array(F.struct(low.alias("at"), (1 - (at - low)).alias("w")), F.struct((low + 1).alias("at"), (at - low).alias("w")))
+
+    ways = places.select("img", F.col("y").alias("_y"), F.col("x").alias("_x"), F.explode(axis("gy", "h")).alias("v"), axis("gx", "w").alias("hs")).select("img", "_y", "_x", "v", F.explode("hs").alias("h"))
+    ways = ways.select("img", "_y", "_x", F.col("v.at").alias("y"), F.col("h.at").alias("x"), (F.col("v.w") * F.col("h.w")).alias("_w")).filter("_w > 0")
+    met = ways.join(pixels.select("img", "y", "x", "v"), ["img", "y", "x"]).filter("v is not null")
+    return met.groupBy("img", "_y", "_x").agg((F.sum(F.col("_w") * F.col("v")) / F.sum("_w")).alias("v")).select("img", F.col("_y").alias("y"), F.col("_x").alias("x"), "v")
+
+
 def montage(pixels: DataFrame, height: int, width: int, columns: int) -> DataFrame:
     """y, x, v: images pasted in a grid, row by row, by img."""
     at = lambda c: F.expr(f"img div {columns}") if c == "y" else F.col("img") % columns

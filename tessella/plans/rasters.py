@@ -483,3 +483,24 @@ def rd_search_mae(spark, sf_dir):
 
 
 SQL["rd_search_mae"] = SQL["rd_seam"].replace("avg(e) + 0.5 * avg(e * m) AS d", "avg(sqrt(e)) AS d")
+
+
+@query
+def warp_images(spark, sf_dir):
+    """Every image twisted around its middle, more from image to image."""
+    all_ = pixels(spark, sf_dir)
+    places = all_.select("img", "y", "x").join(dims(spark, sf_dir), "img").withColumns({"ux": search.unit(F.col("x"), F.col("w")), "uy": search.unit(F.col("y"), F.col("h"))})
+    turn = 0.1 * (F.col("img") % 10 + 1) * (1.5 - F.sqrt(F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy")))
+    gx, gy = F.col("ux") * F.cos(turn) - F.col("uy") * F.sin(turn), F.col("ux") * F.sin(turn) + F.col("uy") * F.cos(turn)
+    warped = tiling.resample(all_, places.withColumns({"gx": gx, "gy": gy}))
+    return warped.select("img", "y", "x", tidy(F.col("v")).alias("v"))
+
+
+SQL["warp_images"] = f"""WITH {PIXELS}, u AS (
+  SELECT img, y, x, h, w, -1.0 + 2.0 * x / (w - 1) AS ux, -1.0 + 2.0 * y / (h - 1) AS uy FROM pix JOIN dims USING (img)
+), t AS (SELECT *, 0.1 * (img % 10 + 1) * (1.5 - sqrt(ux * ux + uy * uy)) AS a FROM u
+), g AS (
+  SELECT img, y, x, h, w, least(greatest((ux * cos(a) - uy * sin(a) + 1) / 2 * (w - 1), 0), w - 1) AS sx, least(greatest((ux * sin(a) + uy * cos(a) + 1) / 2 * (h - 1), 0), h - 1) AS sy FROM t
+), f AS (SELECT img, y, x, floor(sx)::INT AS x0, floor(sy)::INT AS y0, least(floor(sx) + 1, w - 1)::INT AS x1, least(floor(sy) + 1, h - 1)::INT AS y1, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM g)
+SELECT f.img, f.y, f.x, {sql_tidy('(1 - fy) * ((1 - fx) * a.v + fx * b.v) + fy * ((1 - fx) * c.v + fx * d.v)')} AS v
+FROM f JOIN pix a ON a.img = f.img AND a.y = y0 AND a.x = x0 JOIN pix b ON b.img = f.img AND b.y = y0 AND b.x = x1 JOIN pix c ON c.img = f.img AND c.y = y1 AND c.x = x0 JOIN pix d ON d.img = f.img AND d.y = y1 AND d.x = x1"""

@@ -94,3 +94,24 @@ def test_generators_are_selected(spark):
     df = spark.createDataFrame([(list("abcdefghij"),), (["a"],)], "g array<string>")
     taken = lambda most: [r[0] for r in df.select(search.select_generators(F.col("g"), most)).collect()]
     assert taken(8) == [list("abcdefgh"), ["a"]] and taken(None) == [list("abcdefghij"), ["a"]]
+
+
+def test_resampling(spark):
+    """Bilinear, held at the border, against arrays; the identity gives the image back."""
+    from tessella.operators import tiling
+
+    deal = np.random.default_rng(8)
+    image = deal.normal(size=(7, 9))
+    pixels = spark.createDataFrame([(0, y, x, float(image[y, x])) for y in range(7) for x in range(9)], "img long, y int, x int, v double")
+    same = [(0, 7, 9, y, x, -1 + 2 * y / 6, -1 + 2 * x / 8) for y in range(7) for x in range(9)]
+    odd = [(0, 7, 9, 100 + n, n, *g) for n, g in enumerate(deal.uniform(-1.5, 1.5, size=(60, 2)).tolist())]
+    places = spark.createDataFrame(same + odd, "img long, h int, w int, y int, x int, gy double, gx double")
+    got = {(r["y"], r["x"]): r["v"] for r in tiling.resample(pixels, places).collect()}
+    assert len(got) == len(same) + len(odd)
+    for _, h, w, y, x, gy, gx in same + odd:
+        sy, sx = np.clip((gy + 1) / 2 * (h - 1), 0, h - 1), np.clip((gx + 1) / 2 * (w - 1), 0, w - 1)
+        y0, x0 = int(sy), int(sx)
+        y1, x1, fy, fx = min(y0 + 1, h - 1), min(x0 + 1, w - 1), sy - y0, sx - x0
+        want = (1 - fy) * ((1 - fx) * image[y0, x0] + fx * image[y0, x1]) + fy * ((1 - fx) * image[y1, x0] + fx * image[y1, x1])
+        assert abs(got[y, x] - want) < 1e-9
+    assert tiling.resample(pixels, places.limit(0)).count() == 0
