@@ -116,6 +116,28 @@ def build_table(counts: DataFrame, precision: int = 12) -> Table:
     return normalised([found.get(s, 0) for s in range(SYMBOLS)], precision)
 
 
+def build_tables(rows: DataFrame, table_id: str, column: str = "text", precision: int = 12) -> dict[str, Table]:
+    """A table for each id of the column ``table_id``, from the bytes of its rows: at most 256 rows an id come to the driver.
+    A null id has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if name is not None and value.is_valid:
+                    counts = np.bincount(np.frombuffer(value.as_buffer(), dtype=np.uint8), minlength=SYMBOLS)
+                    total[name] = total[name] + counts if name in total else counts
+        for name, counts in total.items():
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["id", "sym", "n"])
+
+    counted = rows.select(F.col(table_id).cast("string"), column).mapInArrow(run, "id string, sym int, n long").groupBy("id", "sym").agg(F.sum("n").alias("n"))
+    found: dict[str, list[int]] = {}
+    for r in counted.toLocalIterator():
+        found.setdefault(r["id"], [0] * SYMBOLS)[r["sym"]] = r["n"]
+    return {name: normalised(counts, precision) for name, counts in sorted(found.items())}
+
+
 def precision_for(total: int, present: int) -> int:
     return min(15, max(1, math.ceil(math.log2(max(total, present, 1)))))
 
@@ -231,42 +253,51 @@ def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, longer[1 : least + 1]
 
 
-def encode_many(payloads: list[bytes], table: Table) -> list[bytes]:
-    """Streams of the payloads: number of symbols and final state, then what the state shed, 16 bits at a time.
+def _stacked(table: Table | list[Table], which: np.ndarray | None, count: int) -> tuple[list[Table], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tables, which of them each of ``count`` payloads has, and their precisions, frequencies and sums as arrays."""
+    tables = [table] if isinstance(table, Table) else table
+    which = np.zeros(count, dtype=np.int64) if which is None else np.asarray(which, dtype=np.int64)
+    return tables, which, np.array([t.precision for t in tables], dtype=np.int64), *(np.array([getattr(t, n) for t in tables], dtype=np.int64).reshape(len(tables), -1) for n in ("freqs", "cdf"))
+
+
+def encode_many(payloads: list[bytes], table: Table | list[Table], which: np.ndarray | None = None) -> list[bytes]:
+    """Streams of the payloads: number of symbols and final state, then what the state shed, 16 bits at a time.  Where
+    there are several tables, ``which`` says the place of each payload's own.
 
     All payloads take a step at a time, from their ends on, so a step is a few array operations.  A state sheds at most
     once in a step, as it is below 2 ** 32 and a frequency is 1 at least.
     """
-    precision = table.precision
-    freqs, cdf = np.array(table.freqs, dtype=np.int64), np.array(table.cdf, dtype=np.int64)
+    tables, which, precisions, freqs, cdf = _stacked(table, which, len(payloads))
     lengths = np.fromiter(map(len, payloads), dtype=np.int64, count=len(payloads))
     raw = np.frombuffer(b"".join(payloads), dtype=np.uint8)
-    if (bad := np.flatnonzero(freqs[raw] == 0)).size:
+    if (bad := np.flatnonzero(freqs[np.repeat(which, lengths), raw] == 0)).size:
         raise ValueError(f"symbol {raw[bad[0]]} has no frequency")
     order, active = _by_length(lengths)
     last = (np.cumsum(lengths) - 1)[order]
     state = np.full(len(payloads), FIRST_STATE, dtype=np.int64)
     shed, n_shed = np.zeros(len(raw), dtype="<u2"), np.zeros(len(payloads), dtype=np.int64)
     first = (np.cumsum(lengths) - lengths)[order]
+    lane, bits = which[order], precisions[which[order]]
     for step, n in enumerate(active.tolist()):
-        s = raw[last[:n] - step]
-        f, x = freqs[s], state[:n]
+        s, own, precision = raw[last[:n] - step], lane[:n], bits[:n]
+        f, x = freqs[own, s], state[:n]
         over = np.flatnonzero(x >= f << (32 - precision))
         shed[first[over] + n_shed[over]] = x[over] & 0xFFFF
         n_shed[over] += 1
         x[over] >>= 16
         whole, part = np.divmod(x, f)
-        state[:n] = (whole << precision) + part + cdf[s]
+        state[:n] = (whole << precision) + part + cdf[own, s]
     out: list[bytes] = [b""] * len(payloads)
     for i, at in enumerate(order.tolist()):
         x, own = int(state[i]), bytearray(shed[first[i] : first[i] + n_shed[i]].tobytes())
+        table, sums, precision = tables[which[at]], cdf[which[at]], tables[which[at]].precision
         for s in payloads[at][: max(0, int(lengths[at]) - len(active))][::-1]:
             f = table.freqs[s]
             while x >= f << (32 - precision):
                 own += (x & 0xFFFF).to_bytes(2, "little")
                 x >>= 16
             whole, part = divmod(x, f)
-            x = (whole << precision) + part + int(cdf[s])
+            x = (whole << precision) + part + int(sums[s])
         out[at] = struct.pack("<II", int(lengths[at]), x) + bytes(own)
     return out
 
@@ -290,16 +321,20 @@ def most_symbols(words: np.ndarray, table: Table) -> np.ndarray:
     return (words + 2) * each
 
 
-def decode_many(streams: list[bytes], table: Table) -> list[bytes | None]:
-    """The payloads of streams; None for one that ends early, or whose count of symbols is more than it can hold."""
-    precision, low = table.precision, (1 << table.precision) - 1
-    freqs, cdf = np.array(table.freqs, dtype=np.int64), np.array(table.cdf, dtype=np.int64)
-    owner = np.repeat(np.arange(SYMBOLS, dtype=np.uint8), freqs)
+def decode_many(streams: list[bytes], table: Table | list[Table], which: np.ndarray | None = None) -> list[bytes | None]:
+    """The payloads of streams; None for one that ends early, or whose count of symbols is more than it can hold.  Where
+    there are several tables, ``which`` says the place of each stream's own."""
+    tables, which, precisions, freqs, cdf = _stacked(table, which, len(streams))
+    owner = np.zeros((len(tables), 1 << int(precisions.max(initial=1))), dtype=np.uint8)
+    for n, f in enumerate(freqs):
+        owner[n, : 1 << precisions[n]] = np.repeat(np.arange(SYMBOLS, dtype=np.uint8), f)
     sound = np.array([len(s) >= 8 and len(s) % 2 == 0 for s in streams], dtype=bool)
     heads = [struct.unpack_from("<II", s) if good else (0, 0) for s, good in zip(streams, sound)]
     counts = np.array([(len(s) - 8) // 2 if good else 0 for s, good in zip(streams, sound)], dtype=np.int64)
     lengths = np.array([h[0] for h in heads], dtype=np.int64)
-    sound &= lengths <= most_symbols(counts, table)
+    for n, own in enumerate(tables):
+        mine = which == n
+        sound[mine] &= lengths[mine] <= most_symbols(counts[mine], own)
     lengths[~sound] = 0
     state = np.array([h[1] for h in heads], dtype=np.int64)
     words = np.frombuffer(b"".join([s[8 : 8 + 2 * n] for s, n in zip(streams, counts.tolist())]), dtype="<u2")
@@ -310,12 +345,14 @@ def decode_many(streams: list[bytes], table: Table) -> list[bytes | None]:
     steps = len(active)
     side = np.minimum(lengths, steps)  # symbols that are decoded side by side, payload after payload
     out, place = np.zeros(int(side.sum()), dtype=np.uint8), (np.cumsum(side) - side)[order]
+    lane, bits = which[order], precisions[which[order]]
+    below = (1 << bits) - 1
     for step, n in enumerate(active.tolist()):
-        x = state[:n]
-        slot = x & low
-        s = owner[slot]
+        x, own = state[:n], lane[:n]
+        slot = x & below[:n]
+        s = owner[own, slot]
         out[place[:n] + step] = s
-        x = freqs[s] * (x >> precision) + slot - cdf[s]
+        x = freqs[own, s] * (x >> bits[:n]) + slot - cdf[own, s]
         under = np.flatnonzero(x < FIRST_STATE)
         ended[under] |= left[under] <= 0
         under = under[left[under] > 0]
@@ -327,11 +364,12 @@ def decode_many(streams: list[bytes], table: Table) -> list[bytes | None]:
         n = int(lengths[at])
         own = bytearray(out[place[i] : place[i] + side[at]].tobytes())
         x, k, bad = int(state[i]), int(left[i]), bool(ended[i]) or not sound[at]
+        table, sums, owners, low = tables[which[at]], cdf[which[at]], owner[which[at]], int(below[i])
         while len(own) < n and not bad:
             slot = x & low
-            s = int(owner[slot])
+            s = int(owners[slot])
             own.append(s)
-            x = int(freqs[s]) * (x >> precision) + slot - int(cdf[s])
+            x = table.freqs[s] * (x >> table.precision) + slot - int(sums[s])
             while x < FIRST_STATE and not bad:
                 k -= 1
                 bad = k < 0
@@ -390,23 +428,47 @@ def encode_column(rows: DataFrame, table: Table, table_id: str, column: str, out
     return _coded(rows, column, [(out, T.BinaryType())], many)
 
 
+def encode_by_table(rows: DataFrame, tables: dict[str, Table], table_id: str, column: str, out: str, default: str | None = None) -> DataFrame:
+    """``encode_column`` with a table for each row, side by side: the one whose id the column ``table_id`` names, or else
+    ``default``; null for a row without a table, and for a null."""
+    places = {name: n for n, name in enumerate(tables)}
+    if default is not None and default not in places:
+        raise ValueError(f"no table {default!r}")
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != out], T.StructField(out, T.BinaryType())])
+    kept = schema.names[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = 0
+            for part in _parts(batch.column(column).to_pylist()):
+                some = batch.slice(start, len(part))
+                start += len(part)
+                names = [n if n in places else default for n in some.column(table_id).to_pylist()]
+                ready = [i for i, (n, v) in enumerate(zip(names, part)) if n is not None and v is not None]
+                made: list[bytes | None] = [None] * len(part)
+                for i, stream in zip(ready, encode_many([part[i] for i in ready], list(tables.values()), np.array([places[names[i]] for i in ready]))):
+                    made[i] = frame_stream(stream, names[i])
+                yield pa.RecordBatch.from_arrays([*[some.column(c) for c in kept], pa.array(made, pa.binary())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def decode_column(rows: DataFrame, tables: dict[str, Table], column: str, out: str, error: str | None = None) -> DataFrame:
     """The inverse; ``tables`` by the ids that streams name.  A stream that can't be decoded gives its message in the column
     ``error``, or fails the job if there is none."""
 
     def many(values: list[bytes | None]) -> list[tuple]:
         found: list[tuple] = [(None, None)] * len(values)
-        by_table: dict[str, list[tuple[int, bytes]]] = {}
+        places, ready = {name: n for n, name in enumerate(tables)}, []
         for i, v in enumerate(values):
             if v is not None:
                 try:
                     name, stream = unframe_stream(v)
-                    tables[name]
-                    by_table.setdefault(name, []).append((i, stream))
+                    ready.append((i, places[name], stream))
                 except (ValueError, KeyError) as problem:
                     found[i] = (None, str(problem) if isinstance(problem, ValueError) else f"no table {problem}")
-        for name, some in by_table.items():
-            for (i, _), raw in zip(some, decode_many([stream for _, stream in some], tables[name])):
+        if ready:  # all tables side by side
+            for (i, _, _), raw in zip(ready, decode_many([r[2] for r in ready], list(tables.values()), np.array([r[1] for r in ready]))):
                 found[i] = (raw, "the stream ends early" if raw is None else None)
         if error is None:
             if bad := next((m for _, m in found if m), None):

@@ -249,3 +249,18 @@ def sql_unpack_records(spark, sf_dir):
 
 
 SQL["sql_unpack_records"] = SQL["stream_roundtrip"]
+
+
+@query
+def rans_by_lang(spark, sf_dir):
+    """Each document coded by the table of its language, side by side, and decoded: the id in its
+    stream, and the digest of what comes back."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    tables = entropy.build_tables(documents, "lang", "raw", PRECISION)
+    coded = entropy.encode_by_table(documents, tables, "lang", "raw", "coded")
+    named = F.decode(F.expr("substring(coded, 6, cast(conv(hex(substring(coded, 5, 1)), 16, 10) as int))"), "utf-8")
+    back = entropy.decode_column(coded.select("doc_id", "coded", named.alias("id")), tables, "coded", "back")
+    return back.select("doc_id", "id", F.sha2("back", 256).alias("sha256"))
+
+
+SQL["rans_by_lang"] = "SELECT doc_id, lang AS id, sha256(coalesce(text, '')) AS sha256 FROM documents"

@@ -168,6 +168,32 @@ def test_counts_that_a_stream_cannot_hold(freqs, precision):
     assert entropy.decode_many([hostile[0], *coded], made) == [None, *payloads]
 
 
+def test_a_table_for_each_payload(spark):
+    """Payloads of several tables and precisions side by side are coded as alone; rows without a table are null."""
+    draw, made = random.Random(3), [entropy.UNIFORM]
+    for precision in (9, 12, 15):
+        made.append(entropy.normalised([draw.choice((0, 1, 5, 90)) + (s < 3) for s in range(256)], precision))
+    which, payloads = [], []
+    for _ in range(120):
+        k = draw.randrange(4)
+        payloads.append(bytes(draw.choices([s for s in range(256) if made[k].freqs[s]], k=draw.choice((0, 1, 5, 300, 3000)))))
+        which.append(k)
+    coded = entropy.encode_many(payloads, made, np.array(which))
+    assert coded == [entropy.encode_bytes(p, made[k]) for p, k in zip(payloads, which)]
+    assert entropy.decode_many(coded, made, np.array(which)) == payloads
+    tables = {f"t{n}": t for n, t in enumerate(made)}
+    rows = spark.createDataFrame([(n, f"t{k}", p) for n, (p, k) in enumerate(zip(payloads, which))] + [(900, "none", b"abc"), (901, None, b"abc"), (902, "t0", None)], "n int, id string, raw binary")
+    streams = entropy.encode_by_table(rows, tables, "id", "raw", "coded")
+    back = {r["n"]: (r["id"], r["raw"], r["back"]) for r in entropy.decode_column(streams, tables, "coded", "back").collect()}
+    assert all(back[n][1] == back[n][2] for n in range(120)) and all(back[n][2] is None for n in (900, 901, 902))
+    other = entropy.encode_by_table(rows, tables, "id", "raw", "coded", default="t0").filter("n in (900, 901)").collect()
+    assert [entropy.unframe_stream(bytes(r["coded"]))[0] for r in other] == ["t0", "t0"]
+    by_id = entropy.build_tables(rows.filter("n < 900"), "id", "raw")
+    for name, own in by_id.items():
+        joined = b"".join(p for p, k in zip(payloads, which) if f"t{k}" == name)
+        assert own == entropy.normalised([joined.count(s) for s in range(256)], 12)
+
+
 def test_hostile_counts_in_columns_and_images(spark):
     images = raster.wide(image(spark, codec.draw(16, 16, 4, 30, 180)))
     good = bytes(codec.encode(images, codec.CodecConfig(tile=16, overlap=0)).first()["blob"])
