@@ -68,7 +68,7 @@ def test_a_run_that_keeps_going(spark, tmp_path, monkeypatch):
     import numpy as np
     import pytest
 
-    from tessella.operators import metrics
+    from tessella.operators import bitstream, metrics
 
     def fussy(a, b):
         if a.max() >= 1:  # a white pixel
@@ -111,7 +111,7 @@ def test_a_run_that_keeps_going(spark, tmp_path, monkeypatch):
 
     good = {i: (f.read_bytes(), f.stat().st_mtime_ns) for i, f in files.items()}
     junk, cut, kept = sorted(files)
-    files[junk].write_bytes(b"PC15")
+    files[junk].write_bytes(bitstream.MAGIC)
     files[cut].write_bytes(good[cut][0][:-1])
     png(source / "white.png", lambda y, x: 100)
     assert cli.main(call, spark) == 1
