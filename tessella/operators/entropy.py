@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -270,8 +271,11 @@ def encode_many(payloads: list[bytes], table: Table | list[Table], which: np.nda
     tables, which, precisions, freqs, cdf = _stacked(table, which, len(payloads))
     lengths = np.fromiter(map(len, payloads), dtype=np.int64, count=len(payloads))
     raw = np.frombuffer(b"".join(payloads), dtype=np.uint8)
-    if (bad := np.flatnonzero(freqs[np.repeat(which, lengths), raw] == 0)).size:
-        raise ValueError(f"symbol {raw[bad[0]]} has no frequency")
+    absent = freqs == 0
+    for payload, n in zip(payloads, which.tolist()):  # one at a time: an index of all symbols takes many times their bytes
+        own = np.frombuffer(payload, dtype=np.uint8)
+        if (bad := absent[n][own]).any():
+            raise ValueError(f"symbol {own[bad.argmax()]} has no frequency")
     order, active = _by_length(lengths)
     last = (np.cumsum(lengths) - 1)[order]
     state = np.full(len(payloads), FIRST_STATE, dtype=np.int64)
@@ -406,16 +410,17 @@ def unframe_stream(raw: bytes) -> tuple[str, bytes]:
 TOGETHER = 4_000_000
 
 
-def _parts(values: list[bytes | None]) -> Iterator[list[bytes | None]]:
-    part, size = [], 0
-    for v in values:
-        if part and size + len(v or b"") > TOGETHER:
-            yield part
-            part, size = [], 0
-        part.append(v)
-        size += len(v or b"")
-    if part:
-        yield part
+def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, in parts of so many bytes of the column, or a row each; nothing is copied."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    start, size = 0, 0
+    for at, more in enumerate(sizes):
+        if at > start and size + more > TOGETHER:
+            yield batch.slice(start, at - start)
+            start, size = at, 0
+        size += more
+    if start < len(sizes):
+        yield batch.slice(start)
 
 
 def encode_column(rows: DataFrame, table: Table, table_id: str, column: str, out: str) -> DataFrame:
@@ -439,10 +444,8 @@ def encode_by_table(rows: DataFrame, tables: dict[str, Table], table_id: str, co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start = 0
-            for part in _parts(batch.column(column).to_pylist()):
-                some = batch.slice(start, len(part))
-                start += len(part)
+            for some in _parts(batch, column):
+                part = some.column(column).to_pylist()
                 names = [n if n in places else default for n in some.column(table_id).to_pylist()]
                 ready = [i for i, (n, v) in enumerate(zip(names, part)) if n is not None and v is not None]
                 made: list[bytes | None] = [None] * len(part)
@@ -487,11 +490,8 @@ def _coded(rows: DataFrame, column: str, added: list[tuple[str, T.DataType]], ma
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start = 0
-            for part in _parts(batch.column(column).to_pylist()):
-                columns = list(zip(*many(part)))
-                some = batch.slice(start, len(part))
-                start += len(part)
+            for some in _parts(batch, column):
+                columns = list(zip(*many(some.column(column).to_pylist())))
                 yield pa.RecordBatch.from_arrays([*[some.column(c) for c in kept], *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -361,3 +362,18 @@ def test_run_config():
 def test_rate_curve(spark):
     rows = spark.createDataFrame([("0.5", "30"), ("x", "1"), (None, "2"), ("0.1", "20")], "bpp string, psnr string")
     assert [tuple(r) for r in workflow.rate_curve(rows).collect()] == [(0.1, 20.0), (0.5, 30.0)]
+
+
+def test_coding_takes_few_times_the_bytes_of_its_payloads():
+    payloads = [bytes(np.random.default_rng(n).integers(0, 200, 1000, dtype=np.uint8)) for n in range(1000)]
+    made = entropy.normalised(np.bincount(np.frombuffer(b"".join(payloads), dtype=np.uint8), minlength=256).tolist(), 12)
+    tracemalloc.start()
+    streams_ = entropy.encode_many(payloads, made)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * 1_000_000 and entropy.decode_many(streams_, made) == payloads
+
+
+def test_decoding_deals_records_by_number_not_by_bytes(spark):
+    blobs = spark.createDataFrame([(0, b"")], "img long, blob binary")
+    assert "REPARTITION_BY_NUM" in codec.decode(blobs)._jdf.queryExecution().executedPlan().toString()
