@@ -193,6 +193,8 @@ def decode(blobs: DataFrame, by: str = "seed", tables: dict[str, entropy.Table]
     # The grid is that of the decoder; its tiles are as many as the records, in their order.  A record has its header's
     # sizes, so it finds its own place.
     drawn = drawn.select("img", "tile_id", F.col("height").alias("h"), F.col("width").alias("w"), F.col("tile").alias("size"), "overlap", "freq", "ang", "phase")
+    # Records are small and their pixels many: by the bytes of the records, Spark would put them all into one task.
+    drawn = drawn.repartition(int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions")), "img", "tile_id")
     grid = tiling.own_tile(drawn, F.col("size"), F.col("overlap"))
     at = grid.select("*", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y")).select("*", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"))
     at = at.withColumns({"ty": F.col("y") - F.col("y0"), "tx": F.col("x") - F.col("x0")})
