@@ -115,3 +115,11 @@ def test_resampling(spark):
         want = (1 - fy) * ((1 - fx) * image[y0, x0] + fx * image[y0, x1]) + fy * ((1 - fx) * image[y1, x0] + fx * image[y1, x1])
         assert abs(got[y, x] - want) < 1e-9
     assert tiling.resample(pixels, places.limit(0)).count() == 0
+
+
+def test_formulas_are_drawn_where_their_rows_lie(spark):
+    rows = rendering.jobs(spark, "RINGS", [at_share(PATTERNS["RINGS"], 0.13)], [1])
+    drawn = rendering.render_formulas(rows, 24, 20)
+    assert "Exchange" not in drawn._jdf.queryExecution().executedPlan().toString()
+    alone = rendering.render_formula(PATTERNS["RINGS"], at_share(PATTERNS["RINGS"], 0.13), spark.range(1).select(), 24, 20)
+    assert drawn.first()["data"] == [r["v"] for r in alone.orderBy("py", "px").collect()]
