@@ -123,3 +123,18 @@ def test_formulas_are_drawn_where_their_rows_lie(spark):
     assert "Exchange" not in drawn._jdf.queryExecution().executedPlan().toString()
     alone = rendering.render_formula(PATTERNS["RINGS"], at_share(PATTERNS["RINGS"], 0.13), spark.range(1).select(), 24, 20)
     assert drawn.first()["data"] == [r["v"] for r in alone.orderBy("py", "px").collect()]
+
+
+def test_catalogue_and_its_sql_agree_on_an_image_smaller_than_a_tile(spark, small, tmp_path):
+    import duckdb
+    from tessella.plans import registry
+
+    spark.read.parquet(f"{small}/embeddings.parquet").filter("vec_id < 80").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    found = registry.QUERIES["rd_catalogue"](spark, str(tmp_path))
+    want = duck.sql(registry.SQL["rd_catalogue"])
+    assert found.columns == list(want.columns)
+    got = {tuple(r) for r in found.collect()}
+    assert got == {tuple(r) for r in want.fetchall()} and len(got) == 12
+    assert {r[2:5] for r in got if r[0] == 1} == {(None, None, 0)}
