@@ -138,3 +138,42 @@ def test_catalogue_and_its_sql_agree_on_an_image_smaller_than_a_tile(spark, smal
     got = {tuple(r) for r in found.collect()}
     assert got == {tuple(r) for r in want.fetchall()} and len(got) == 12
     assert {r[2:5] for r in got if r[0] == 1} == {(None, None, 0)}
+
+
+@pytest.mark.parametrize("chunk", [16_384, 9])
+def test_tiles_that_lack_pixels_are_compared_over_those_they_have(spark, candidates, chunk):
+    deal, images = np.random.default_rng(2), {r["cand_id"]: np.array(r["data"]).reshape(24, 24) for r in candidates.collect()}
+    parts = [np.s_[:16, :], np.s_[:, :7], np.s_[:18, :18], np.s_[5:6, 3:4], np.s_[::2, 1:]]
+    tiles = [(c, part, images[c] * s + deal.normal(size=(24, 24)) * e) for c, part in zip((3, 11, 20, 33, 41), parts) for s, e in ((1, 0.0), (0.4, 0.5))]
+    has = np.zeros((len(tiles), 24, 24), dtype=bool)
+    for n, (_, part, _) in enumerate(tiles):
+        has[n][part] = True
+    rows = [(0, n, [float(v) if h else None for v, h in zip(t.ravel(), has[n].ravel())]) for n, (_, _, t) in enumerate(tiles)]
+    rows += [(0, len(tiles), [None] * 576), (0, len(tiles) + 1, [float("nan"), None] + [0.0] * 574)]
+    found = search.best_patterns(spark.createDataFrame(rows, "img long, tile_id int, data array<double>"), candidates, 24, 24, chunk).orderBy("tile_id").collect()
+    for r, (_, _, t), h in zip(found, tiles, has):
+        assert (r["d"], r["cand_id"]) == min((round(float(((t - i)[h] ** 2).mean()), 9), c) for c, i in images.items())
+        assert 0 <= r["tried"] <= len(images)
+    assert {(r["cand_id"], r["d"], r["tried"]) for r in found[-2:]} == {(None, None, 0)}
+
+
+def test_catalogue_gives_every_tile_of_cut_and_broken_images_its_pattern(spark, small, tmp_path):
+    """Images of 16 and of 18 rows, of 20 columns, without some rows, with null rows and with null pixels, against the SQL."""
+    import duckdb
+    from tessella.plans import registry
+
+    given = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding")
+    img, y = F.expr("vec_id div 64"), F.col("vec_id") % 64
+    kept = given.filter((img == 0) | (img == 1) & (y < 16) | (img == 2) & (y < 18) | (img == 3) | (img == 4) & ~y.between(5, 9) | (img == 5) | (img == 6) & (y == 33))
+    holes = F.when(img == 3, F.slice("embedding", 1, 20)).when((img == 5) & (y == 60), F.lit(None)).when(img == 5, F.transform("embedding", lambda v, i: F.when(i % 5 != y % 7, v))).otherwise(F.col("embedding"))
+    kept.select("vec_id", holes.alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    found = registry.QUERIES["rd_catalogue"](spark, str(tmp_path))
+    want = duck.sql(registry.SQL["rd_catalogue"])
+    assert found.columns == list(want.columns)
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(got) == sorted(tuple(r) for r in want.fetchall())
+    tiles = {i: [r for r in got if r[0] == i] for i in range(7)}
+    assert [len(tiles[i]) for i in range(7)] == [9, 3, 3, 3, 9, 9, 3]
+    assert all(r[2] is not None and r[3] is not None for r in got)
